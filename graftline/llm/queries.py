@@ -8,6 +8,29 @@ from pyspark.sql import functions as F
 from graftline.llm.common import table
 from graftline.llm.exact_dedup import exact_dedup
 from graftline.llm.mixing import mix
+from graftline.llm.pieces import encode_decode
+from graftline.llm.quality import classify, fit
+from graftline.llm.url_filter import UrlRatio, judge, labelled_sample
+
+
+def model_file(name: str = "piece_bpe_32k.model") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return judge(pages, UrlRatio(*labelled_sample(pages)))
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(table(spark, sf_dir, "documents"), model_file(), arrays=False)
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return classify(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +42,9 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_url_filter": op3_url_filter,
+    "op4_sentencepiece": op4_sentencepiece,
+    "op5_quality": op5_quality,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mixing": op9_mixing,
 }
