@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graftline.llm.common import table
 from graftline.llm.exact_dedup import exact_dedup
+from graftline.llm.fingerprints import edited_fingerprints
 from graftline.llm.mixing import mix
 from graftline.llm.pieces import encode_decode
 from graftline.llm.quality import classify, fit
@@ -19,6 +20,10 @@ def model_file(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return judge(pages, UrlRatio(*labelled_sample(pages)))
@@ -42,6 +47,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_fingerprints": op1_fingerprints,
     "op3_url_filter": op3_url_filter,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_quality": op5_quality,
