@@ -12,6 +12,7 @@ from graftline.llm.mixing import mix
 from graftline.llm.near_dedup import near_dedup
 from graftline.llm.pieces import encode_decode
 from graftline.llm.quality import classify, fit
+from graftline.llm.substring_dedup import substring_dedup
 from graftline.llm.url_filter import UrlRatio, judge, labelled_sample
 
 
@@ -43,6 +44,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents")).drop("n_factors")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -57,6 +62,7 @@ QUERIES = {
     "op3_url_filter": op3_url_filter,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_quality": op5_quality,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mixing": op9_mixing,
 }
@@ -80,6 +86,26 @@ ORACLES = {
         SELECT n.doc_id, n.n AS n_shingles, min(r.b) AS component_id, n.doc_id = min(r.b) AS kept
         FROM n JOIN reach r ON r.a = n.doc_id GROUP BY n.doc_id, n.n
     """,
+    "op7_substring_dedup": """
+        WITH w AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+        ), s AS (
+            SELECT doc_id, i, sha256(array_to_string(w[i:i + 34], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM w WHERE len(w) >= 35)
+        ), d AS (
+            SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS c FROM s) WHERE c > 1
+        ), g AS (
+            SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM d
+        ), l AS (
+            SELECT doc_id, list(p) AS gone FROM g GROUP BY doc_id
+        ), k AS (
+            SELECT w.doc_id, w.w, coalesce(l.gone, []) AS gone FROM w LEFT JOIN l USING (doc_id)
+        ), p AS (
+            SELECT k.doc_id, string_agg(k.w[x.i], ' ' ORDER BY x.i) AS kept FROM k, unnest(range(1, len(k.w) + 1)) AS x(i)
+            WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.doc_id = k.doc_id AND g.p = x.i) GROUP BY k.doc_id
+        )
+        SELECT k.doc_id, len(k.w)::BIGINT AS n_words, len(k.gone)::BIGINT AS n_removed, sha256(coalesce(p.kept, '')) AS kept_sha256
+        FROM k LEFT JOIN p USING (doc_id)
+    """,
     "op8_exact_dedup": """
         WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256
