@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graftline.llm.common import table
 from graftline.llm.exact_dedup import exact_dedup
 from graftline.llm.fingerprints import edited_fingerprints
+from graftline.llm.html_text import main_text
 from graftline.llm.mixing import mix
 from graftline.llm.near_dedup import near_dedup
 from graftline.llm.pieces import encode_decode
@@ -44,6 +45,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).drop("n_factors")
 
@@ -62,6 +67,7 @@ QUERIES = {
     "op3_url_filter": op3_url_filter,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_quality": op5_quality,
+    "op6_html_text": op6_html_text,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mixing": op9_mixing,
