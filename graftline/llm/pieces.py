@@ -161,6 +161,8 @@ class OffsetEncoder:
         return self.source.decode(ids, num_threads=1)
 
 
+#: Columns that may be asked for, and their types.
+ARRAYS = {"ids": "array<int>", "starts": "array<long>", "ends": "array<long>", "decoded": "string"}
 _LOADED: dict[str, OffsetEncoder] = {}
 
 
@@ -183,9 +185,9 @@ def chunks(texts: list[str], chars: int = CHUNK_CHARS) -> Iterator[list[str]]:
         yield part
 
 
-def encode_decode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", arrays: bool = True) -> DataFrame:
-    """One row per input row: id, n_tokens, ids_sha256, decoded_sha256, n_bytes, covered_bytes; with arrays also ids, starts, ends
-    (source byte spans) and decoded.
+def encode_decode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", also: tuple[str, ...] = tuple(ARRAYS)) -> DataFrame:
+    """One row per input row: id, n_tokens, ids_sha256, decoded_sha256, n_bytes, covered_bytes, and also ids, starts, ends
+    (source byte spans) and decoded, as asked for.
 
     ids has begin and end ids; ids_sha256 is of the ids as little-endian unsigned 32-bit integers. A null text counts as
     empty and, like it, encodes to begin and end alone. covered_bytes counts source bytes that lie in a piece's span: for a
@@ -207,17 +209,12 @@ def encode_decode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
                 out["decoded_sha256"] = [hashlib.sha256(t.encode()).hexdigest() for t in texts]
                 out["n_bytes"] = [len(t.encode()) for t in part]
                 out["covered_bytes"] = [covered(spans) for _, spans in done]
-                if arrays:
-                    out["ids"] = [ids.astype(np.int64) for ids, _ in done]
-                    out["starts"] = [s[:, 0] for _, s in done]
-                    out["ends"] = [s[:, 1] for _, s in done]
-                    out["decoded"] = texts
-                yield out
+                made = {"ids": [ids.astype(np.int32) for ids, _ in done], "starts": [s[:, 0] for _, s in done], "ends": [s[:, 1] for _, s in done], "decoded": texts}
+                yield out.assign(**{c: made[c] for c in also})
 
     slim = keyed(docs, id_col, text_col).toDF("id", "text")
     schema = f"id {slim.schema['id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long, covered_bytes long"
-    if arrays:
-        schema += ", ids array<long>, starts array<long>, ends array<long>, decoded string"
+    schema += "".join(f", {c} {ARRAYS[c]}" for c in also)
     return slim.mapInPandas(run, schema).withColumnRenamed("id", id_col)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graftline.llm import lm_score
 from graftline.llm.common import table
 from graftline.llm.exact_dedup import exact_dedup
 from graftline.llm.fingerprints import edited_fingerprints
@@ -37,7 +38,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_decode(table(spark, sf_dir, "documents"), model_file(), arrays=False)
+    return encode_decode(table(spark, sf_dir, "documents"), model_file(), also=())
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +62,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return lm_score.score(docs, lm_score.fit(docs, labels.where("quality = 1 and toxic = 0").select("doc_id")))
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_near_dedup": op2_near_dedup,
@@ -71,6 +77,7 @@ QUERIES = {
     "op7_substring_dedup": op7_substring_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mixing": op9_mixing,
+    "op10_lm_score": op10_lm_score,
 }
 
 ORACLES = {
