@@ -5,8 +5,8 @@ the circle, and coordinate k is the least rank among the shingles' places moved
 documents that share a band are candidates, and every link is confirmed on the full shingle sets.
 
 Equal sets are one class from the start, whatever their number. Of a band's bucket only links that can still join two
-components are worth a check: first all members against one pivot, then members outside the pivot's component against the
-rest, in bounded blocks, by their signatures, until no candidate pair between two components is unchecked.
+components are worth a check: first all members against one pivot, then members outside the bucket's largest component
+against those of other components, in bounded blocks, so that no candidate pair between two components is left out.
 """
 
 from __future__ import annotations
@@ -113,7 +113,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def _band_rows(classes: DataFrame) -> DataFrame:
-    """(bucket, id, n, low): low is the low byte of each coordinate."""
+    """(id, n, low, band, bucket): low is the low byte of each coordinate."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -125,13 +125,7 @@ def _band_rows(classes: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"id": part["id"].values, "buckets": keys, "n": part["n"].values, "low": low})
 
     rows = classes.mapInPandas(run, "id long, buckets array<long>, n long, low binary")
-    return rows.select(F.explode("buckets").alias("bucket"), "id", "n", "low")
-
-
-def _shares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Share of equal coordinates, corrected for the low bytes that agree by chance."""
-    equal = (a[:, None, :] == b[None, :, :]).mean(axis=2)
-    return (equal - 1 / 256) / (1 - 1 / 256)
+    return rows.select("id", "n", "low", F.posexplode("buckets").alias("band", "bucket"))
 
 
 def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -181,46 +175,63 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.mapInPandas(run, "id long, shingles binary")
 
 
-def _across(rows: DataFrame, comp: DataFrame, most: int | None) -> DataFrame:
-    """Candidate pairs (a, b) between components, from the buckets that hold more than one component.
+def _across(rows: DataFrame, comp: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """Confirmed links (a, b) between components that meet in a bucket, or None where no bucket holds two components.
 
-    In each, rows outside the pivot's component meet all rows of other components, in units of BLOCK by CHUNK rows. most
-    bounds what a unit tells of one row: its best partners; None gives all.
+    In each such bucket, rows outside its largest component meet all rows of other components, in units of BLOCK by CHUNK rows
+    that bring their sets. A pair is looked at in the first band that it shares, and a unit tells only the links that join
+    two of its components, so what it returns is less than its rows.
     """
-    known = rows.join(comp, "id", "left").withColumn("comp", F.coalesce("component_id", "id")).drop("component_id")
-    known = stored(known, "near-rows")
-    stats = known.groupBy("bucket").agg(F.min("comp").alias("main"), F.max("comp").alias("top"), F.count(F.lit(1)).alias("n_all"))
-    stats = stored(stats.where("main <> top").drop("top"), "near-open")
+    known = stored(rows.join(comp, "id", "left").withColumn("comp", F.coalesce("component_id", "id")).drop("component_id"), "near-rows")
+    kinds = known.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"))
+    stats = kinds.groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("largest"), F.sum("c").alias("n_all"), F.count(F.lit(1)).alias("kinds"))
+    stats = stats.where("kinds > 1").select("bucket", F.col("largest.comp").alias("main"), "n_all", (F.col("n_all") - F.col("largest.c")).alias("n_out"))
+    stats = stored(stats, "near-open")
     if stats.isEmpty():
         return None
-    met = stored(known.join(stats, "bucket"), "near-met")
-    outside = met.where("comp <> main").groupBy("bucket").agg(F.count(F.lit(1)).alias("n_out"))
-    met = met.join(stored(outside, "near-out"), "bucket")
+    met = stored(known.join(stats, "bucket"), "near-met").join(sets, "id")
     blocks, parts = F.ceil(F.col("n_out") / BLOCK), F.ceil(F.col("n_all") / CHUNK)
     own_block, own_part = F.pmod(F.xxhash64("id"), blocks), F.pmod(F.xxhash64("id", F.lit(1)), parts)
     unit = lambda k, r, left: F.struct(k.alias("k"), r.alias("r"), F.lit(left).alias("left"))
     right = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda k: unit(k, own_part, False))
     left = F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda r: unit(own_block, r, True))
-    units = met.select("bucket", "id", "n", "low", "comp", F.inline(F.when(F.col("comp") == F.col("main"), right).otherwise(F.concat(right, left))))
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        x, y = group[group["left"]], group[~group["left"]]
-        low = lambda g: np.frombuffer(b"".join(g["low"]), np.uint8).reshape(len(g), WIDTH)
-        found = []
-        ym, yc, yn, yi = low(y), y["comp"].values, y["n"].values, y["id"].values
-        for at in range(0, len(x), 8):
-            xs = x.iloc[at : at + 8]
-            share = _shares(low(xs), ym)
-            n = xs["n"].values[:, None]
-            share[(xs["comp"].values[:, None] == yc[None]) | (100 * np.minimum(n, yn) < 75 * np.maximum(n, yn))] = -1
-            for i, s in zip(xs["id"].values, share, strict=True):
-                hits = np.flatnonzero(s >= LEAST_SHARE)
-                if most and len(hits) > most:
-                    hits = hits[np.argsort(-s[hits], kind="stable")[:most]]
-                found += [(min(i, j), max(i, j)) for j in yi[hits]]
-        return pd.DataFrame(found, columns=["a", "b"]).drop_duplicates().astype("int64")
-
-    return units.groupBy("bucket", "k", "r").applyInPandas(run, "a long, b long").distinct()
+    dealt = F.when(F.col("comp") == F.col("main"), right).otherwise(F.concat(right, left))
+    units = met.select("bucket", "band", "id", "n", "low", "comp", "shingles", F.inline(dealt))
+    return units.groupBy("bucket", "k", "r").applyInPandas(_unit, "a long, b long").distinct()
+
+
+def _unit(group: pd.DataFrame) -> pd.DataFrame:
+    """Links of one unit's left rows with its right rows."""
+    x, y = group[group["left"]], group[~group["left"]]
+    found: list[tuple[int, int]] = []
+    if len(x) and len(y):
+        band = ROWS * int(x["band"].iloc[0])
+        xl, yl = (np.frombuffer(b"".join(g["low"]), np.uint8).reshape(len(g), WIDTH) for g in (x, y))
+        xn, yn, xi, yi = x["n"].values, y["n"].values, x["id"].values, y["id"].values
+        ys = [np.frombuffer(s, np.uint64) for s in y["shingles"]]
+        known = pd.factorize(np.concatenate([x["comp"].values, y["comp"].values]))[0]
+        own, other = known[: len(x)], known[len(x) :].copy()
+        for i in range(len(x)):
+            equal = xl[i] == yl
+            share = (equal.mean(axis=1) - 1 / 256) / (1 - 1 / 256)
+            seen = equal[:, :band].reshape(len(y), -1, ROWS).all(axis=2).any(axis=1)
+            fits = (share >= LEAST_SHARE) & ~seen & (100 * np.minimum(xn[i], yn) >= 75 * np.maximum(xn[i], yn)) & (other != own[i])
+            hits = np.flatnonzero(fits)
+            if not len(hits):
+                continue
+            mine = np.frombuffer(x["shingles"].iloc[i], np.uint64)
+            for at in range(0, len(hits), 128):
+                part = hits[at : at + 128]
+                lengths = np.array([len(ys[j]) for j in part])
+                flat = np.concatenate([ys[j] for j in part])
+                place = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
+                both = np.add.reduceat((mine[place] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(lengths)[:-1]]))
+                for j in part[100 * both >= 75 * (len(mine) + lengths - both)]:
+                    if other[j] != own[i]:
+                        found.append((min(xi[i], yi[j]), max(xi[i], yi[j])))
+                        gone, stays = other[j], own[i]  # one component from here on
+                        own[own == gone], other[other == gone] = stays, stays
+    return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -252,14 +263,6 @@ def _link(docs: DataFrame, classes: DataFrame) -> DataFrame:
     pairs = rows.where("id <> pivot").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct()
     sets = stored(_sets(docs, rows.select("id").distinct()), "near-sets")
     links = stored(confirmed(stored(likely(stored(pairs, "near-pairs"), classes), "near-likely"), sets), "near-links")
-    rows = rows.drop("pivot")
-    for most in (2, 16, None):
-        comp = stored(components(links), "near-components")
-        pairs = _across(rows, comp, most)
-        if pairs is None:
-            return comp
-        pairs = stored(pairs, "near-pairs")
-        if pairs.isEmpty():
-            return comp
-        links = links.unionByName(stored(confirmed(pairs, sets), "near-links"))
-    return components(links)
+    comp = stored(components(links), "near-components")
+    more = _across(rows.where("id <> pivot").drop("pivot"), comp, sets)
+    return comp if more is None else components(links.unionByName(stored(more, "near-links")))
