@@ -36,8 +36,9 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 CONTAINER = frozenset("html head body article aside details dialog div dl fieldset figure footer form header main menu nav ol section table ul".split())
 SKIPPED = frozenset("head nav footer aside form menu dialog button".split())
 MAIN = frozenset(("article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words of class, id or role that name a region which is not the article.
-SKIP_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer form gdpr header login masthead menu modal nav navbar navigation navigationbar newsletter notice notices pagination popup promo promoted promotion related reply replies search share sharing sidebar signup skyscraper social sponsor sponsored subscribe subscription toolbar widget".split())
+SKIP_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment commentlist comments consent cookie cookies disqus footer form gdpr header login masthead menu modal nav navbar navigation navigationbar newsletter notice notices pagination popup promo promoted promotion related reply replies search share sharing sidebar signup skyscraper social sponsor sponsored subscribe subscription toolbar widget".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -61,8 +62,9 @@ class Node:
         self.tag, self.path, self.skip, self.main = tag, path, skip, main
 
 
-def label(tag: str, attributes: str) -> tuple[str, bool]:
-    """The element's name in a path (digits of class and id are not told apart), and whether its names say to leave it out."""
+def label(tag: str, attributes: str, inside: bool) -> tuple[str, bool]:
+    """The element's name in a path (digits of class and id are not told apart), and whether its names say to leave it out;
+    inside an article, and of headings, header is no such word."""
     if not attributes or "=" not in attributes:
         return tag, tag in SKIPPED
     words, out = [], []
@@ -70,7 +72,8 @@ def label(tag: str, attributes: str) -> tuple[str, bool]:
         value = "".join(values)
         words += [w.lower() for w in PIECES.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value))]
         out.append(f"{kind.lower()[0]}={re.sub(r'[0-9]+', '0', SPACE.sub(' ', value.strip()))[:80]}")
-    named = tag in BLOCK and tag not in MAIN and tag not in ("html", "body") and not SKIP_WORDS.isdisjoint(words)
+    title = inside or tag in HEADINGS
+    named = tag not in MAIN and tag not in ("html", "body") and any(w in SKIP_WORDS and not (title and w == "header") for w in words)
     return f"{tag}[{','.join(sorted(out))}]" if out else tag, tag in SKIPPED or named
 
 
@@ -117,6 +120,8 @@ class Page:
     def _open(self, tag: str, attributes: str) -> None:
         if tag in BLOCK:
             self._flush()
+            while self.stack[-1].tag in ("p", tag) and tag not in CONTAINER or self.stack[-1].tag == "p":
+                self.stack.pop()  # left out and never closed
         elif tag == "br":
             self.parts.append(" ")
         if tag in VOID or attributes.rstrip().endswith("/"):
@@ -124,12 +129,12 @@ class Page:
         if tag == "a":
             self.links += 1
             return
-        if tag in BLOCK and tag not in CONTAINER:
-            return  # p, h1, li and the like only part blocks
+        top = self.stack[-1]
+        name, skip = label(tag, attributes, top.main)
         if tag not in CONTAINER and tag not in SKIPPED:
+            if skip:  # p, li, span and the like only count where they are left out
+                self.stack.append(Node(tag, top.path, True, top.main))
             return
-        name, skip = label(tag, attributes)
-        top = self.stack[-1]
         path = f"{top.path}>{name}"
         if tag == "header":
             skip = not top.main  # the header of an article holds its title

@@ -62,6 +62,12 @@ def test_regions_that_say_what_they_are():
     assert Page(source).text() == "Title <1>\n\nOne two three four\n\na\n\nb\n\nx < y"
 
 
+def test_inline_and_unclosed_regions():
+    source = """<body><article><h1 class="page-header">T</h1><p class="ad">buy<p>one <span class="share-bar">tweet</span>two
+    <ol class="commentlist"><li>x</ol><ul><li class="advert">y<li>kept</ul><div class="entry-header">By me</div></article>"""
+    assert Page(source).text() == "T\n\none two\n\nkept\n\nBy me"
+
+
 def test_templates_find_fixed_and_link_regions(spark):
     def page(i):
         return f"<html><body><div id='q1'><a href='/{i}'>link {i}</a><a>more</a></div><div id='q{i}x' class='k'>own text {i} <a>l</a></div><div class='z'>Always the same words</div></body></html>"
