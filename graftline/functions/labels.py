@@ -115,10 +115,10 @@ def restrict_split(split: Column, scope: Column) -> Column:
     return F.when(scope, split).otherwise("excluded")
 
 
-def scope_mask(name: str, optic: tuple[str, ...] = ("optic",), super_class: str = "super_class") -> Column:
-    """PRJ11: whole_brain, central_brain (known class, not optic) or optic_lobe."""
-    c = F.col(super_class)
-    found = {"whole_brain": F.lit(True), "central_brain": c.isNotNull() & ~c.isin(*optic), "optic_lobe": F.coalesce(c.isin(*optic), F.lit(False))}
+def scope_mask(name: str, super_class: str = "super_class", central: str = "central", optic: str = "optic") -> Column:
+    """PRJ11: whole_brain, central_brain or optic_lobe; a null class is in the first alone."""
+    is_ = lambda v: F.coalesce(F.col(super_class) == v, F.lit(False))
+    found = {"whole_brain": F.lit(True), "central_brain": is_(central), "optic_lobe": is_(optic)}
     if name not in found:
         raise ValueError(f"unknown scope {name!r}: one of {', '.join(found)}")
     return found[name]

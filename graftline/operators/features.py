@@ -19,6 +19,17 @@ from graftline.plans.storage import stored
 FLOORS = (1, 3, 5)
 SHAPES = ("fracW1", "fracGeP75", "fracGeP90", "logMeanW", "cv", "herfindahl", "topShare", "meanLogW")
 DEGREES = (*(f"logD{s}@{t}" for t in FLOORS for s in ("out", "in")), "logSynOut", "logSynIn")
+#: The published column set and, in order of removal, what its redundancy rule dropped; fixed values.
+REFINED = (
+    "logDout@5", "logDin@5", "fracW1_out", "fracGeP75_out", "fracGeP90_out", "logMeanW_out", "cv_out", "herfindahl_out", "fracW1_in", "fracGeP75_in",
+    "fracGeP90_in", "cv_in", "herfindahl_in", "meanLogW_in", "rwse_2", "rwse_3", "rwse_7", "rwse_8", "trophic_log1p", "local_recip_frac_out",
+    "local_recip_frac_in", "local_recip_wfrac_out", "local_recip_wfrac_in", "local_kcore_frac", "local_nbr_logdeg_out", "local_nbr_logdeg_in",
+    "local_nbr_logdeg_out_sd", "local_nbr_logdeg_in_sd", "local_tri_cycle_frac", "local_tri_trans_frac", "local_clust_coef",
+)
+DROPPED = (
+    "logSynIn", "logSynOut", "rwse_6", "rwse_5", "local_log_tri_undirected", "logDin@1", "logDout@1", "rwse_4", "meanLogW_out", "springrank_log1p_a1",
+    "topShare_in", "topShare_out", "logDin@3", "logMeanW_in", "logDout@3", "local_log_kcore",
+)
 #: rwse_1 is 0 but for self-loops and is not a feature.
 WALKS = tuple(f"rwse_{k}" for k in range(2, 9))
 
@@ -77,7 +88,7 @@ def partner_degree(edges: DataFrame) -> DataFrame:
     made = []
     for side, sign in (("out", 1), ("in", -1)):
         x = F.when(F.col("sign") == sign, F.col("x"))
-        made += [F.coalesce(F.avg(x), F.lit(0.0)).alias(f"local_nbr_logdeg_{side}"), F.coalesce(F.stddev_pop(x), F.lit(0.0)).alias(f"local_nbr_logdeg_sd_{side}")]
+        made += [F.coalesce(F.avg(x), F.lit(0.0)).alias(f"local_nbr_logdeg_{side}"), F.coalesce(F.stddev_pop(x), F.lit(0.0)).alias(f"local_nbr_logdeg_{side}_sd")]
     return met.groupBy("id").agg(*made)
 
 

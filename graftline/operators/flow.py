@@ -1,11 +1,13 @@
 """Hierarchy levels of a directed graph (FEA-F1 to F6, AGG21, AGG22): trophic levels and SpringRank by conjugate gradients.
 
-Vectors are DataFrames keyed by node; a product is one join of the symmetrised edges with the vector. Only inner products reach the
-driver. Each step is stored, so a lost executor costs one step.
+Systems of bounded size are solved by the driver. In larger ones vectors are DataFrames keyed by node, a product is one join of the
+symmetrised edges with the vector, and only inner products reach the driver; each step is stored, so a lost executor costs one step.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from graftline.plans.storage import stored
 
 WEIGHTINGS = ("binary", "raw", "log1p")
 ALPHAS = (0.0, 0.1, 1.0, 10.0)
+#: Entries of a system that one process may hold.
+MOST_LOCAL = 20_000_000
 
 
 def component_labels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -33,8 +37,13 @@ def laplacian(edges: DataFrame, weighting: str) -> tuple[DataFrame, DataFrame]:
     return off, stored(diagonal, "diagonal")
 
 
-def solve(off: DataFrame, diagonal: DataFrame, rhs: Column, alpha: float = 0.0, rtol: float = 1e-10, maxiter: int = 5000) -> tuple[DataFrame, dict]:
-    """FEA-F4: (i, x) with (L + alpha I) x = rhs by Jacobi-preconditioned conjugate gradients from zero, and the status."""
+def solve(off: DataFrame, diagonal: DataFrame, rhs: Column, alpha: float = 0.0, rtol: float = 1e-10, maxiter: int = 5000, most_local: int = MOST_LOCAL) -> tuple[DataFrame, dict]:
+    """FEA-F4: (i, x) with (L + alpha I) x = rhs by Jacobi-preconditioned conjugate gradients from zero, and the status.
+
+    A system of at most most_local entries (16 bytes each) is solved on the driver in vectors; a larger one stays distributed.
+    """
+    if off.count() <= most_local and diagonal.count() <= most_local:
+        return _solve_local(off, diagonal, rhs, alpha, rtol, maxiter)
     state = diagonal.select("i", (F.col("d") + alpha).alias("m"), rhs.alias("r")).withColumns({"x": F.lit(0.0), "z": F.col("r") / F.col("m"), "p": F.col("r") / F.col("m")})
     state = stored(state, "cg")
     norm, rz = state.agg(F.sqrt(F.coalesce(F.sum(F.col("r") * F.col("r")), F.lit(0.0))), F.coalesce(F.sum(F.col("r") * F.col("z")), F.lit(0.0))).first()
@@ -50,6 +59,27 @@ def solve(off: DataFrame, diagonal: DataFrame, rhs: Column, alpha: float = 0.0,
     return state.select("i", "x"), {"iterations": steps, "relative_residual": residual / norm if norm else 0.0, "converged": residual <= rtol * norm}
 
 
+def _solve_local(off: DataFrame, diagonal: DataFrame, rhs: Column, alpha: float, rtol: float, maxiter: int) -> tuple[DataFrame, dict]:
+    d = diagonal.select("i", (F.col("d") + alpha).cast("double").alias("m"), rhs.cast("double").alias("b")).toArrow()
+    o = off.select("i", "j", F.col("v").cast("double").alias("v")).toArrow()
+    ids = d["i"].to_numpy()
+    order = np.argsort(ids)
+    ids, m, r = ids[order], d["m"].to_numpy()[order], d["b"].to_numpy()[order].copy()
+    row, col, v = np.searchsorted(ids, o["i"].to_numpy()), np.searchsorted(ids, o["j"].to_numpy()), o["v"].to_numpy()
+    x, z = np.zeros_like(r), r / m
+    p, rz, norm, steps = z.copy(), float(r @ z), float(np.sqrt(r @ r)), 0
+    residual = norm
+    while residual > rtol * norm and steps < maxiter and norm > 0:
+        q = m * p - np.bincount(row, weights=v * p[col], minlength=len(ids))
+        a = rz / float(p @ q)
+        x, r = x + a * p, r - a * q
+        z = r / m
+        residual, rz_new = float(np.sqrt(r @ r)), float(r @ z)
+        p, rz, steps = z + (rz_new / rz) * p, rz_new, steps + 1
+    made = off.sparkSession.createDataFrame(pa.table({"i": pa.array(ids, pa.int64()), "x": pa.array(x, pa.float64())}))
+    return made, {"iterations": steps, "relative_residual": residual / norm if norm else 0.0, "converged": residual <= rtol * norm}
+
+
 def centred(values: DataFrame, labels: DataFrame, column: str = "x") -> DataFrame:
     """AGG22: the component's mean taken off; the means are aggregates of their own, so a giant component is no single task."""
     met = values.join(labels, "id")
@@ -61,10 +91,10 @@ def _onto(nodes: DataFrame, solution: DataFrame, name: str) -> DataFrame:
     return nodes.select("id").join(solution.toDF("id", name), "id", "left").na.fill(0.0)
 
 
-def trophic_levels(edges: DataFrame, nodes: DataFrame, weighting: str, labels: DataFrame | None = None) -> tuple[DataFrame, dict]:
+def trophic_levels(edges: DataFrame, nodes: DataFrame, weighting: str, labels: DataFrame | None = None, **how) -> tuple[DataFrame, dict]:
     """FEA-F1: (id, trophic_<weighting>), centred by component; a node without edge is 0."""
     off, diagonal = laplacian(edges, weighting)
-    solution, status = solve(off, diagonal, F.col("b").cast("double"))
+    solution, status = solve(off, diagonal, F.col("b").cast("double"), **how)
     labels = component_labels(edges, nodes) if labels is None else labels
     name = f"trophic_{weighting}"
     level = centred(_onto(nodes, solution, name), labels, name)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graftline.functions import arrays as A
@@ -167,7 +167,7 @@ def _(spark, d):
 
 
 @query("fea_l4_partner_degree", f"""WITH s AS (SELECT * FROM {SYM2} WHERE i <> j), x AS (SELECT i, ln(1 + count(*)) AS x FROM s GROUP BY i)
-    SELECT s.i AS id, {', '.join(f"round(coalesce(avg(x) FILTER (sign = {k}), 0), 6) + 0.0 AS local_nbr_logdeg_{n}, round(coalesce(stddev_pop(x) FILTER (sign = {k}), 0), 6) + 0.0 AS local_nbr_logdeg_sd_{n}" for n, k in (('out', 1), ('in', -1)))}
+    SELECT s.i AS id, {', '.join(f"round(coalesce(avg(x) FILTER (sign = {k}), 0), 6) + 0.0 AS local_nbr_logdeg_{n}, round(coalesce(stddev_pop(x) FILTER (sign = {k}), 0), 6) + 0.0 AS local_nbr_logdeg_{n}_sd" for n, k in (('out', 1), ('in', -1)))}
     FROM s JOIN x ON x.i = s.j GROUP BY s.i""")
 def _(spark, d):
     return rounded(X.partner_degree(G.directed(spark, d)))
@@ -409,9 +409,9 @@ def _(spark, d):
     return _node_rows(spark, d).select("id", L.restrict_split(splits.modulo_split(F.col("id")), L.in_scope("brain")).alias("split"))
 
 
-@query("prj11_scope_masks", "SELECT c_custkey AS id, true AS whole, c_mktsegment IS NOT NULL AND c_mktsegment NOT IN ('BUILDING', 'AUTOMOBILE') AS central, coalesce(c_mktsegment IN ('BUILDING', 'AUTOMOBILE'), false) AS optic FROM customer")
+@query("prj11_scope_masks", "SELECT c_custkey AS id, true AS whole, coalesce(c_mktsegment = 'BUILDING', false) AS central, coalesce(c_mktsegment = 'AUTOMOBILE', false) AS optic FROM customer")
 def _(spark, d):
-    m = lambda n: L.scope_mask(n, ("BUILDING", "AUTOMOBILE"), "c_mktsegment")
+    m = lambda n: L.scope_mask(n, "c_mktsegment", "BUILDING", "AUTOMOBILE")
     return _t(spark, d, "customer").select(F.col("c_custkey").alias("id"), m("whole_brain").alias("whole"), m("central_brain").alias("central"), m("optic_lobe").alias("optic"))
 
 
@@ -812,8 +812,3 @@ def _(spark, d):
     o, c = _t(spark, d, "orders").select(F.col("o_custkey").alias("k")), _t(spark, d, "customer").select(F.col("c_custkey").alias("k"), "c_nationkey")
     n = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("part"), "n")
     return n(o.intersect(c.where("c_nationkey < 10").select("k")), "both").unionByName(n(c.select("k").subtract(o), "only")).unionByName(n(o.unionByName(c.select("k")).distinct(), "either"))
-
-
-def running(order: str) -> Window:
-    """WIN2: from the first row to this one."""
-    return Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -23,9 +23,10 @@ def levels(df):
         ([(0, 1), (1, 2)], 4, [-1, 0, 1, 0]),
     ],
 )
-def test_trophic_levels(spark, pairs, n, expected):
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_trophic_levels(spark, pairs, n, expected, most):
     edges, nodes = graph(spark, pairs, n)
-    level, status = flow.trophic_levels(edges, nodes, "binary")
+    level, status = flow.trophic_levels(edges, nodes, "binary", most_local=most)
     assert np.allclose(levels(level), expected, atol=1e-9) and status["converged"]
     assert status["isolated_nodes"] == n - len({x for p in pairs for x in p})
     f = flow.incoherence(edges, level, "binary").first()[0]
