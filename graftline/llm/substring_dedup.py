@@ -192,7 +192,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pd.DataFrame(out, columns=["doc", "n_removed", "sha", "n_factors"])
 
     done = stored(_by_id(slim, spans).mapInPandas(cut, "doc long, n_removed long, sha string, n_factors long"), "rlz-cut")
-    told = parsed.select("id", "doc", "n_words", F.col("sha").alias("all_sha")).join(classes.drop("id"), "doc").join(done, "doc", "left")
+    fates = stored(classes.drop("id").join(done, "doc", "left"), "rlz-fates")  # so that one plain join meets a class of many copies
+    told = parsed.select("id", "doc", "n_words", F.col("sha").alias("all_sha")).join(fates, "doc")
     copy = (F.col("copies") > 1) & (F.col("n_words") >= window)
     return told.select(
         F.nullif("id", F.lit(NO_ID)).alias(id_col),
