@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graftline.plans.ordered import running_sums
+
 
 def aggregate_edges(raw: DataFrame, already_unique: bool = False) -> DataFrame:
     """AGG1: w summed by (pre, post). A table said to be unique is not summed, but is checked."""
@@ -30,18 +32,10 @@ def node_ids(edges: DataFrame, *more: DataFrame) -> DataFrame:
     return ids.distinct()
 
 
-def node_index(ids: DataFrame, buckets: int = 1024) -> DataFrame:
-    """AGG2: (source_id, node_id), contiguous from 0 in order of source_id.
-
-    Ids are ranked inside hash-free ranges cut at quantiles, and each range starts at the sum of those before it, so no task orders all ids.
-    """
-    cuts = sorted(set(ids.select(F.percentile_approx("source_id", [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []))
-    bounds = F.array(*map(F.lit, cuts)).cast("array<bigint>")
-    placed = ids.withColumn("_range", F.size(F.filter(bounds, lambda c: c < F.col("source_id"))))
-    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("_range").orderBy("source_id")) - 1
-    return placed.withColumn("_rank", rank).join(F.broadcast(before.select("_range", "_start")), "_range").select("source_id", (F.col("_start") + F.col("_rank")).alias("node_id"))
+def node_index(ids: DataFrame) -> DataFrame:
+    """AGG2: (source_id, node_id), contiguous from 0 in order of source_id; no task orders all ids."""
+    counted = running_sums(ids.select("source_id").withColumn("one", F.lit(1).cast("long")), "source_id", {"upto": "one"})
+    return counted.select("source_id", (F.col("upto") - 1).alias("node_id"))
 
 
 def renumbered(edges: DataFrame, index: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from graftline.functions.labels import safe_ratio
 from graftline.operators.edges import reciprocal, symmetrised, weight_percentiles
+from graftline.plans.ordered import running_sums
 from graftline.plans.storage import stored
 
 FLOORS = (1, 3, 5)
@@ -233,9 +234,8 @@ def correlations(df: DataFrame, x: str, y: str) -> DataFrame:
     """FEA-X/SCR10: (n, pearson, spearman, t): ranks of ties are averaged; ranks come from counts by value, not rows."""
     clean = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null")
     for c in ("x", "y"):
-        counts = clean.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-        before = F.sum("n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        ranks = stored(counts.select(c, (before - (F.col("n") - 1) / 2).alias(f"r{c}")), "ranks")
+        counts = running_sums(clean.groupBy(c).agg(F.count(F.lit(1)).alias("n")), c, {"upto": "n"})
+        ranks = stored(counts.select(c, (F.col("upto") - (F.col("n") - 1) / 2).alias(f"r{c}")), "ranks")
         clean = clean.join(ranks, c)
     out = clean.agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("pearson"), F.corr("rx", "ry").alias("spearman"))
     return out.withColumn("t", F.col("spearman") * F.sqrt((F.col("n") - 2) / (1 - F.col("spearman") * F.col("spearman"))))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graftline.functions.arrays import floor_bin, right_bin
+from graftline.plans.ordered import running_sums
 from graftline.plans.storage import stored
 
 
@@ -54,8 +55,7 @@ def coverage(rows: DataFrame, goals=(0.8, 0.9, 0.95, 0.99), by: tuple[str, ...]
     """
     right = (F.col("true") == F.col("pred")) if hit is None else hit
     steps = rows.groupBy(*by, F.col(p).alias("p")).agg(F.count(F.lit(1)).alias("n"), F.count_if(right).alias("h"))
-    run = Window.partitionBy(*by).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ran = steps.withColumns({"rn": F.sum("n").over(run), "hits": F.sum("h").over(run)})
+    ran = running_sums(steps.where("p IS NOT NULL"), "p", {"rn": "n", "hits": "h"}, by, descending=True)
     tried = ran.withColumn("goal", F.explode(F.array(*map(F.lit, goals))))
     ok = F.col("hits") >= F.col("goal") * F.col("rn") - 1e-12
     return tried.groupBy(*by, "goal").agg(F.coalesce(F.max(F.when(ok, F.col("rn"))) / F.max("rn"), F.lit(0.0)).alias("coverage"), F.min(F.when(ok, F.col("p"))).alias("threshold"))
@@ -114,9 +114,9 @@ def mann_whitney(rows: DataFrame, value: str, group: Column) -> DataFrame:
     Ranks come from counts by value, whose running sum is over distinct values.
     """
     counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count_if(group).alias("a"), F.count_if(~group).alias("b"))
-    n = F.col("a") + F.col("b")
-    before = F.coalesce(F.sum(n).over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = counts.withColumn("rank", before + (n + 1) / 2)
+    counts = running_sums(counts.withColumn("n", F.col("a") + F.col("b")), "v", {"upto": "n"})
+    n = F.col("n")
+    ranked = counts.withColumn("rank", F.col("upto") - (n - 1) / 2)
     out = ranked.agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"), F.sum(F.col("a") * F.col("rank")).alias("r1"), F.sum(n * n * n - n).alias("ties"))
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     total = n1 + n2

@@ -77,14 +77,14 @@ def _(spark, d):
 
 @query("agg2_node_index", f"SELECT i AS source_id, row_number() OVER (ORDER BY i) - 1 AS node_id FROM (SELECT DISTINCT i FROM {SYM1})")
 def _(spark, d):
-    return E.node_index(E.node_ids(G.bipartite(spark, d)), 64)
+    return E.node_index(E.node_ids(G.bipartite(spark, d)))
 
 
 @query("joi2_renumbered", f"""WITH ids AS (SELECT i, row_number() OVER (ORDER BY i) - 1 AS n FROM (SELECT DISTINCT i FROM {SYM1}))
     SELECT a.n AS pre, b.n AS post, g.w FROM {G1} g JOIN ids a ON a.i = g.pre JOIN ids b ON b.i = g.post""")
 def _(spark, d):
     g = G.bipartite(spark, d)
-    return E.renumbered(g, E.node_index(E.node_ids(g), 64))
+    return E.renumbered(g, E.node_index(E.node_ids(g)))
 
 
 @query("joi11_induced", f"""WITH k AS (SELECT user_id AS i, row_number() OVER (ORDER BY user_id) - 1 AS n FROM (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND value > 50))
