@@ -25,3 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def keyed(docs: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, so that other columns of the input, whatever their names, cannot clash."""
     return docs.select(*(F.col(f"`{c}`") for c in columns))
+
+
+def sample_by_hash(rows: DataFrame, column: str, n: int) -> DataFrame:
+    """The n rows of smallest hash of a column (ties by the column itself), or all rows if there are no more: a hash
+    threshold leaves about twice as many, so that what is ordered doesn't grow with the table."""
+    total = rows.count()
+    h = F.xxhash64(column)
+    if total > 2 * n:
+        rows = rows.where(F.shiftrightunsigned(h, 32) < int(2**32 * 2 * n / total))
+    return rows.orderBy(h, column).limit(n)
