@@ -10,11 +10,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graftline.llm.common import keyed
+from graftline.llm.common import keyed, sample_by_hash
 
 CHUNK = 1024
 DICTIONARY = 112_640
@@ -91,7 +92,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rest calibrate. At most fit_docs of them, of smallest hash, are taken, each by its first fit_chars characters. Null labels
     and texts are left out. With one class only, or no rows, every score follows from what there is (0.5 with none)."""
     i, y = F.col(f"`{id_col}`"), F.col(f"`{label_col}`")
-    chosen = labels.where(y.isNotNull() & (F.crc32(i.cast("string")) % 5 != 0)).select(i.alias("id"), y.cast("int").alias("y")).orderBy(F.xxhash64("id"), "id").limit(fit_docs)
+    chosen = sample_by_hash(labels.where(y.isNotNull() & (F.crc32(i.cast("string")) % 5 != 0)).select(i.alias("id"), y.cast("int").alias("y")), "id", fit_docs)
     texts = keyed(docs, id_col, text_col).toDF("id", "text").where("text is not null")
     rows = texts.join(F.broadcast(chosen), "id").select("id", "y", F.substring("text", 1, fit_chars).alias("text")).collect()
     rows = sorted({(r.id, r.y, r.text) for r in rows})
@@ -124,9 +125,9 @@ def keep_good(docs: DataFrame, model: CompressionClassifier, text_col: str = "te
     """The rows, with all their columns, whose text scores cut or more. Null and empty texts stay if the base score does."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for b in batches:
-            yield b[[own.score(t) >= cut for t in b[text_col].where(b[text_col].notna(), "")]]
+            yield b.filter(pa.array([own.score(t or "") >= cut for t in b.column(text_col).to_pylist()], pa.bool_()))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
