@@ -9,6 +9,7 @@ what b bits agree on by chance, estimates the Jaccard likeness of the shingle se
 from __future__ import annotations
 
 import hashlib
+import json
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +28,11 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def constant(values: list, kind: str) -> Column:
+    """A constant array; as one text that is folded once it costs the planner one node instead of thousands."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
 def shingle_hashes(text: Column, words: int = WORDS) -> Column:
     """Hashes of the text's word shingles; with fewer words, of the whole sequence; without words, none. A null is empty."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\f\r"))
@@ -50,7 +56,7 @@ def bin_minima(hashes: Column, bits: int = BIN_BITS) -> Column:
     Each bin gets one odd sentinel above all its even hashes, so after one sort the first value of each bin is its minimum.
     """
     shift = 64 - bits
-    top = F.array(*(F.lit(((b - (1 << bits - 1)) << shift) | ((1 << shift) - 1)) for b in range(1 << bits)))
+    top = constant([((b - (1 << bits - 1)) << shift) | ((1 << shift) - 1) for b in range(1 << bits)], "array<bigint>")
     even = F.transform(hashes, lambda h: h.bitwiseAND(F.lit(-2)))
     ordered = F.sort_array(F.concat(even, top))
     return let(ordered, lambda a: F.filter(a, lambda x, i: (i == 0) | (F.shiftright(x, shift) != F.shiftright(F.get(a, i - 1), shift))))
@@ -58,7 +64,7 @@ def bin_minima(hashes: Column, bits: int = BIN_BITS) -> Column:
 
 def densify(minima: Column, bits: int = BIN_BITS) -> Column:
     bins = 1 << bits
-    probes = F.array(*(F.array(*map(F.lit, probe_order(b, bins))) for b in range(bins)))
+    probes = constant([probe_order(b, bins) for b in range(bins)], "array<array<int>>")
     odd = lambda v: v.bitwiseAND(F.lit(1)) == 1
 
     def fill(a: Column) -> Column:
@@ -100,14 +106,14 @@ def neighbours(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     shares = [i / slices for i in range(1, slices)]
     cuts, top = slim.select(F.percentile_approx("id", shares, 10 * slices).alias("c"), F.max("id").alias("m")).first()
     cuts = sorted({c for c in cuts or [] if c is not None and c != top})
-    bounds = F.array(*map(F.lit, cuts)).cast("array<bigint>")
+    bounds = constant(cuts, "array<bigint>")
     own = F.when(F.col("id").isNull(), F.lit(0)).otherwise(F.size(F.filter(bounds, lambda c: c < F.col("id"))))
     place = lambda at, guest: F.struct(at.alias("slice"), F.lit(guest).alias("guest"))
     last, wraps = F.array_contains(bounds, F.col("id")), F.col("id") == F.lit(top)
     copies = F.filter(F.array(place(own, 0), F.when(last, place(own + 1, 1)), F.when(wraps, place(F.lit(0), 2))), lambda p: p.isNotNull())
     if top is None:  # ids are all null
         copies = F.array(place(F.lit(0), 0))
-    dealt = slim.select("id", "text", fingerprint(F.col("text")).alias("print"), copies.alias("copies")).select("id", "text", "print", F.inline("copies"))
+    dealt = slim.select("id", "text", F.inline(copies)).repartition(slices // 4, "slice").withColumn("print", fingerprint(F.col("text")))
     order = Window.partitionBy("slice").orderBy("guest", F.col("id").desc_nulls_last(), "text")
     after = {f"next_{c}": F.coalesce(F.lead(c).over(order), F.col(c)) for c in ("text", "print")}
     return dealt.withColumns(after).where("guest = 0").drop("slice", "guest")
