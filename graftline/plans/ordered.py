@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -13,7 +14,7 @@ def ranged(df: DataFrame, order: str, out: str = "_range") -> DataFrame:
     partition. Only the cuts reach the driver. Equal values share a range; null is in the first."""
     n = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = df.select(F.percentile_approx(order, [i / n for i in range(1, n)], 10 * n)).first()[0]
-    bounds = F.array(*map(F.lit, sorted(set(cuts or [])))).cast(f"array<{dict(df.dtypes)[order]}>")
+    bounds = F.from_json(F.lit(json.dumps(sorted(set(cuts or [])))), f"array<{dict(df.dtypes)[order]}>")  # one node of the plan
     return df.withColumn(out, F.coalesce(F.size(F.filter(bounds, lambda c: c < F.col(order))), F.lit(0)))
 
 
