@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables that this process has stored and not discarded.
+_KEPT: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; where the session names none (tests), one under the warehouse."""
@@ -20,4 +24,21 @@ def stored(df: DataFrame, name: str, **options) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
+    _KEPT.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession) -> int:
+    """Deletes the stored tables of this process; results that read them must have been written. Returns their number."""
+    n, conf = len(_KEPT), spark.sparkContext._jsc.hadoopConfiguration()
+    while _KEPT:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_KEPT.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
+
+
+@atexit.register
+def _at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        discard(spark)
