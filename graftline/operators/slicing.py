@@ -174,3 +174,31 @@ def side_shares(features: DataFrame, nodes: DataFrame, by: str) -> DataFrame:
     met = features.join(nodes, "id")
     sides = F.array(*(F.struct(F.lit(s).alias("side"), F.col(f"fracW1_{s}").alias("share"), F.col(f"logD{s}@1").alias("d")) for s in ("out", "in")))
     return met.select(by, F.inline(sides)).where("d > 0").groupBy(by, "side").agg(F.count(F.lit(1)).alias("n"), F.percentile("share", 0.5).alias("median"), F.avg("share").alias("mean"))
+
+
+def recalls(rows: DataFrame, by: tuple[str, ...], least: int = 200) -> DataFrame:
+    """QRY9: (by, n, recall) of groups with enough rows."""
+    hit = (F.col("true") == F.col("pred")).cast("double")
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(hit).alias("recall")).where(F.col("n") >= least)
+
+
+def confident(rows: DataFrame, threshold: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """QRY10: (by, n, confident): rows without a label whose call is at least so sure."""
+    return rows.where(F.col("true").isNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("p") >= threshold).alias("confident"))
+
+
+def split_composition(rows: DataFrame, split: str, type_: str, label: str) -> DataFrame:
+    """QRY14/AGG9/AGG16: (split, n, types, labels) and the types that lie in one part alone."""
+    whole = rows.where(F.col(type_).isNotNull()).groupBy(type_).agg(F.count_distinct(split).alias("_parts"), F.first(split, True).alias(split)).where("_parts = 1")
+    own = whole.groupBy(split).agg(F.count(F.lit(1)).alias("own_types"))
+    parts = rows.groupBy(split).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(type_).alias("types"), F.count_distinct(label).alias("labels"))
+    return parts.join(own, split, "left").na.fill(0, ["own_types"])
+
+
+def arms(runs: dict[str, DataFrame], by: tuple[str, ...]) -> DataFrame:
+    """QRY7/QRY12/QRY13c: scores of several runs side by side, one row a run and group."""
+    out = None
+    for name, rows in runs.items():
+        one = rows.withColumn("run", F.lit(name))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return score(out, None, ("run", *by)).select("run", *by, "n", "macro_f1", "weighted_f1", "accuracy")

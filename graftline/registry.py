@@ -812,3 +812,47 @@ def _(spark, d):
     o, c = _t(spark, d, "orders").select(F.col("o_custkey").alias("k")), _t(spark, d, "customer").select(F.col("c_custkey").alias("k"), "c_nationkey")
     n = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("part"), "n")
     return n(o.intersect(c.where("c_nationkey < 10").select("k")), "both").unionByName(n(c.select("k").subtract(o), "only")).unionByName(n(o.unionByName(c.select("k")).distinct(), "either"))
+
+
+@query("agg13_class_balance", f"SELECT label, count(*) AS n, {', '.join(f"round(count(*) FILTER (split = '{v}') / count(*), 6) + 0.0 AS split_{v}" for v in splits.PARTS)} FROM {_PART} GROUP BY label")
+def _(spark, d):
+    return rounded(slicing.shown("split", list(splits.PARTS), _part_nodes(spark, d).groupBy("label", "split").agg(F.count(F.lit(1)).alias("n")), "label"))
+
+
+@query("qry9_recalls", f"SELECT source, \"true\", count(*) AS n, round(avg((\"true\" = pred)::INT), 6) + 0.0 AS recall FROM {_PRED} GROUP BY ALL HAVING count(*) >= 5")
+def _(spark, d):
+    return rounded(slicing.recalls(_pred(spark, d), ("source", "true"), 5))
+
+
+@query("qry10_confident", f"SELECT lang, count(*) AS n, count(*) FILTER (p >= 0.8) AS confident FROM {_PRED} WHERE id % 3 = 0 GROUP BY lang")
+def _(spark, d):
+    return slicing.confident(_pred(spark, d).withColumn("true", F.when(F.col("id") % 3 != 0, F.col("true"))), 0.8, ("lang",))
+
+
+@query("qry14_split_composition", f"""WITH n AS (SELECT * FROM {_PART}), o AS (SELECT split, count(*) AS c FROM (SELECT cell_type, min(split) AS split FROM n WHERE cell_type IS NOT NULL GROUP BY 1 HAVING count(DISTINCT split) = 1) GROUP BY 1)
+    SELECT split, count(*) AS n, count(DISTINCT cell_type) AS types, count(DISTINCT label) AS labels, coalesce(any_value(o.c), 0) AS own_types FROM n LEFT JOIN o USING (split) GROUP BY split""")
+def _(spark, d):
+    return slicing.split_composition(_part_nodes(spark, d), "split", "cell_type", "label")
+
+
+@query("qry12_arms", f"""WITH r AS (SELECT 'a' AS run, lang, "true", pred FROM {_PRED} UNION ALL SELECT 'b', lang, "true", '1' FROM {_PRED}), c AS (SELECT *, 2 * tp / (support + predicted) AS f FROM {_CLASS.format(by='run, lang,', rows='r')} WHERE support + predicted > 0)
+    SELECT run, lang, sum(support)::BIGINT AS n, {r6('avg(f) FILTER (support > 0)', 'macro_f1')}, {r6('sum(f * support) / sum(support)', 'weighted_f1')}, {r6('sum(tp) / sum(support)', 'accuracy')} FROM c GROUP BY ALL""")
+def _(spark, d):
+    p = _pred(spark, d)
+    return rounded(slicing.arms({"a": p, "b": p.withColumn("pred", F.lit("1"))}, ("lang",)))
+
+
+@query("nn8_dropped_edges")
+def _(spark, d):
+    return tokens.dropped_edges(G.bipartite(spark, d), 0.2, 1)
+
+
+@query("prb1_in_volume")
+def _(spark, d):
+    out, _ = probes.in_volume(_probe_rows(spark, d), penalties=(0.1, 1.0), ks=(1, 5))
+    return rounded(out.drop("proba"), 4)
+
+
+@query("spl6_cohort")
+def _(spark, d):
+    return splits.cohort(_part_nodes(spark, d).select("id"), 50, 2)
