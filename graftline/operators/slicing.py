@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graftline.functions.labels import classified
 from graftline.operators.scoring import class_scores, confusion, score
+from graftline.plans.ordered import row_numbers
 
 
-def rank_bin(order: Window, n: Column, bins: int) -> Column:
+def rank_bin(rn: Column, n: Column, bins: int) -> Column:
     """WIN3/WIN4: the bin, from 1, of a row by its rank among n, cut at interpolated quantiles of the ranks."""
-    rn = F.row_number().over(order)
     return F.when(n <= 1, 1).otherwise(F.greatest(F.lit(1), F.ceil((rn - 1) * bins / (n - 1)))).cast("int")
 
 
 def quantile_bin(rows: DataFrame, value: str, bins: int, by: tuple[str, ...] = (), id_: str = "id", out: str = "bin") -> DataFrame:
-    """WIN3: per group, ranks of value with ties by id."""
-    counts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")) if by else rows.agg(F.count(F.lit(1)).alias("_n"))
-    met = rows.join(F.broadcast(counts), list(by)) if by else rows.crossJoin(F.broadcast(counts))
-    return met.withColumn(out, rank_bin(Window.partitionBy(*by).orderBy(value, id_), F.col("_n"), bins)).drop("_n")
+    """WIN3: per group, ranks of a numeric value with ties by id; a null value ranks first."""
+    counts = rows.groupBy(*(F.col(b).alias(f"_by_{b}") for b in by)).agg(F.count(F.lit(1)).alias("_n_all"))
+    ranked = row_numbers(rows, value, id_, "_rn", by)
+    same = reduce(lambda a, b: a & ranked[b].eqNullSafe(counts[f"_by_{b}"]), by, F.lit(True))
+    met = ranked.join(counts, same) if by else ranked.crossJoin(F.broadcast(counts))  # one row
+    return met.withColumn(out, rank_bin(F.col("_rn"), F.col("_n_all"), bins)).select(*rows.columns, out)
 
 
 def value_quartile(rows: DataFrame, value: str, out: str = "quartile") -> DataFrame:

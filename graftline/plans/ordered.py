@@ -18,15 +18,25 @@ def ranged(df: DataFrame, order: str, out: str = "_range") -> DataFrame:
     return df.withColumn(out, F.coalesce(F.size(F.filter(bounds, lambda c: c < F.col(order))), F.lit(0)))
 
 
+def _starts(placed: DataFrame, sums: dict, by: tuple[str, ...], way) -> DataFrame:
+    """placed with, under _<name>, the sum of each aggregate over the ranges before its own."""
+    totals = placed.groupBy(*by, "_range").agg(*(c.alias(f"_{n}") for n, c in sums.items()))
+    before = Window.partitionBy(*by).orderBy(way("_range")).rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    starts = totals.select(*(F.col(b).alias(f"_by_{b}") for b in by), F.col("_range").alias("_of"), *(F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in sums))
+    return placed.join(starts, reduce(lambda a, b: a & placed[b].eqNullSafe(starts[f"_by_{b}"]), by, placed["_range"] == starts["_of"]))
+
+
 def running_sums(df: DataFrame, order: str, sums: dict[str, str], by: tuple[str, ...] = (), descending: bool = False) -> DataFrame:
     """df with running sums {new column: summed column} up to and with each row, in order of a numeric column whose values are
     distinct within by. Each range is summed by itself and starts at the sum of the ranges before it."""
-    placed = ranged(df, order)
     way = F.desc if descending else F.asc
-    totals = placed.groupBy(*by, "_range").agg(*(F.sum(c).alias(f"_{n}") for n, c in sums.items()))
-    before = Window.partitionBy(*by).orderBy(way("_range")).rowsBetween(Window.unboundedPreceding, -1)  # one row a range
-    starts = totals.select(*(F.col(b).alias(f"_by_{b}") for b in by), F.col("_range").alias("_of"), *(F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in sums))
-    same = reduce(lambda a, b: a & placed[b].eqNullSafe(starts[f"_by_{b}"]), by, placed["_range"] == starts["_of"])
+    met = _starts(ranged(df, order), {n: F.sum(c) for n, c in sums.items()}, by, way)
     inside = Window.partitionBy(*by, "_range").orderBy(way(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    met = placed.join(starts, same).withColumns({n: F.col(f"_{n}") + F.sum(c).over(inside) for n, c in sums.items()})
-    return met.select(*df.columns, *sums)
+    return met.withColumns({n: F.col(f"_{n}") + F.sum(c).over(inside) for n, c in sums.items()}).select(*df.columns, *sums)
+
+
+def row_numbers(df: DataFrame, order: str, tie: str, out: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """df with the row's number, from 1, by a numeric column and then by tie, within by."""
+    met = _starts(ranged(df, order), {"n": F.count(F.lit(1))}, by, F.asc)
+    inside = Window.partitionBy(*by, "_range").orderBy(order, tie)
+    return met.withColumn(out, F.col("_n") + F.row_number().over(inside)).select(*df.columns, out)
