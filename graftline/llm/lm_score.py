@@ -1,8 +1,8 @@
 """Language-model scoring by cross-entropy difference.
 
-A target and a background bigram model share one vocabulary, one set of bigrams and one smoothing. Counts are of all documents; what
-the models keep of them has a fixed size, so that it can be broadcast. A document's score is its loss per token under the target model less
-that under the background model: the lower, the more it reads like the target.
+A target and a background bigram model share one vocabulary, one set of bigrams and one smoothing. Every word and bigram of all documents
+is counted and kept, in stored tables; each document's bigrams, summed, are joined with them. A document's score is its loss per token under
+the target model less that under the background model: the lower, the more it reads like the target.
 """
 
 from __future__ import annotations
@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 
 from graftline.llm.common import keyed, stored
 from graftline.llm.exact_dedup import filter_of, may_hit
-from graftline.llm.near_dedup import WordHashes
+from graftline.llm.near_dedup import WordHashes, _mix
 
-#: Most words of the vocabulary and most bigrams of the models: the commonest in the background, by a count threshold.
-VOCABULARY, BIGRAMS = 32_768, 500_000
+#: Words that have a short code, the commonest of one document in SAMPLE; all others go by their hash. The code only saves space.
+SHORT, SAMPLE = 32_768, 64
 #: Ids of what isn't a word of the vocabulary; words follow.
 START, END, UNKNOWN, FIRST = 0, 1, 2, 3
 ID_BITS = 20
@@ -33,15 +33,15 @@ def _tokens(texts: list[str | None], cache: WordHashes) -> list[np.ndarray]:
     return out
 
 
-def _keys(hashes: list[np.ndarray], vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids before, ids predicted, and where each text's predictions begin; every text ends with END."""
+def _keys(hashes: list[np.ndarray], vocabulary: np.ndarray, whole: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids before, ids predicted, and where each text's predictions begin; every text ends with END. Words outside the vocabulary
+    are one unknown word, or if whole each its own hash, below zero."""
     lengths = np.array([len(h) + 1 for h in hashes])
     words = np.concatenate(hashes) if hashes else np.empty(0, np.int64)
+    ids = words | np.iinfo(np.int64).min if whole else np.full(len(words), UNKNOWN)
     if len(vocabulary):
         at = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
-        ids = np.where(vocabulary[at] == words, at + FIRST, UNKNOWN)
-    else:
-        ids = np.full(len(words), UNKNOWN)
+        ids = np.where(vocabulary[at] == words, at + FIRST, ids)
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
     predicted = np.full(lengths.sum(), END, np.int64)
     inner = np.ones(len(predicted), bool)
@@ -67,7 +67,7 @@ def _commonest(counts: DataFrame, most: int) -> DataFrame:
     def cut(rows: DataFrame, key, room: int) -> tuple[int, int]:
         """(least key that fits whole, room left)."""
         least = None
-        for k, c in rows.groupBy(key.alias("k")).count().orderBy(F.desc("k")).limit(4096).collect():
+        for k, c in rows.groupBy(key.alias("k")).count().orderBy(F.desc("k")).toLocalIterator():
             if c > room:
                 break
             least, room = k, room - c
@@ -140,12 +140,87 @@ def _bigram_counts(docs: DataFrame, vocabulary) -> DataFrame:
     return docs.mapInPandas(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = VOCABULARY, bigrams: int = BIGRAMS) -> NgramPair:
-    """Models of all docs and of those whose id is in target_ids (one column). Null texts count as empty; ids are integers."""
+class StoredPair(NgramPair):
+    """All counts of both models, as tables: counts (before, predicted, n, t) and words (w, sums as a word before and predicted)."""
+
+    def __init__(self, docs: DataFrame, vocabulary: np.ndarray, counts: DataFrame):
+        self.docs, self.vocabulary, self.counts = docs, vocabulary, counts
+        seen = lambda c: F.count(F.when(F.col(c) > 0, 1))
+        after = counts.groupBy(F.col("before").alias("w")).agg(F.sum("n").alias("after_n"), seen("n").alias("kinds_n"), F.sum("t").alias("after_t"), seen("t").alias("kinds_t"))
+        single = counts.groupBy(F.col("predicted").alias("w")).agg(F.sum("n").alias("single_n"), F.sum("t").alias("single_t"))
+        self.words = stored(after.join(single, "w", "full").na.fill(0), "lm-words")
+        total = self.words.agg(F.sum("single_n"), F.sum("single_t"), F.count(F.when(~F.col("w").isin(START, END), 1))).first()
+        self.sizes = [(total[m] or 0) + total[2] + 2 for m in (0, 1)]  # the end sign and a word never seen are kinds too
+
+    def logs(self, counts: DataFrame) -> DataFrame:
+        """(key, background, target): log probabilities of counts' bigrams."""
+        before = self.words.select(F.col("w").alias("before"), "after_n", "kinds_n", "after_t", "kinds_t")
+        rows = counts.join(before, "before", "left").join(self.words.select(F.col("w").alias("predicted"), "single_n", "single_t"), "predicted", "left").na.fill(0)
+
+        def log(c: str, size: int):
+            all_, kinds, base = F.col(f"after_{c}") + F.col(f"kinds_{c}"), F.col(f"kinds_{c}"), (F.col(f"single_{c}") + 1) / F.lit(float(size))
+            return F.log(F.when(all_ > 0, (F.col(c) + kinds * base) / all_).otherwise(base))
+
+        return rows.select(_pair().alias("key"), log("n", self.sizes[0]).alias("background"), log("t", self.sizes[1]).alias("target"))
+
+    def table(self, docs: DataFrame, slim: DataFrame) -> DataFrame:
+        """The logs of all counted bigrams, and of those that only docs have."""
+        if docs is self.docs:
+            return self.logs(self.counts)
+        new = _pairs(slim, docs.sparkSession.sparkContext.broadcast(self.vocabulary)).select("before", "predicted").distinct()
+        new = new.join(self.counts, ["before", "predicted"], "left_anti").withColumn("n", F.lit(0).cast("long")).withColumn("t", F.lit(0).cast("long"))
+        return self.logs(self.counts.unionByName(new))
+
+
+def _pair():
+    """One key of a bigram: both codes where they are short, else a hash, below zero."""
+    before, predicted = F.col("before"), F.col("predicted")
+    return F.when((before >= 0) & (predicted >= 0), F.shiftleft(before, ID_BITS).bitwiseOR(predicted)).otherwise(F.xxhash64("before", "predicted").bitwiseOR(F.lit(-(1 << 63))))
+
+
+def _distinct(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each kind of row is first, and how often it is there."""
+    h = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + c.astype(np.int64).view(np.uint64))
+    return np.unique(h, return_index=True, return_counts=True)[1:]
+
+
+def _pairs(docs: DataFrame, vocabulary, by_row: bool = False) -> DataFrame:
+    """(before, predicted, n) of parts of docs, or with (id, row) of every row."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache = WordHashes()
+        for b in batches:
+            for part in _slices(b, 1 << 18 if by_row else 1 << 20):
+                before, predicted, starts = _keys(_tokens(part["text"].where(part["text"].notna(), "").tolist(), cache), vocabulary.value, whole=True)
+                at = np.repeat(np.arange(len(part)), np.diff(np.append(starts, len(predicted))))
+                first, n = _distinct(*([at] if by_row else []), before, predicted)
+                out = {"before": before[first], "predicted": predicted[first], "n": n}
+                yield pd.DataFrame({"id": part["id"].values[at[first]], "row": part["row"].values[at[first]]} | out if by_row else out)
+
+    own = f"id {docs.schema['id'].dataType.simpleString()}, row long, " if by_row else ""
+    return docs.mapInPandas(run, f"{own}before long, predicted long, n long")
+
+
+def _fit_whole(docs: DataFrame, slim: DataFrame, target: DataFrame) -> StoredPair:
+    sample = stored(_word_counts(slim.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0)), "lm-sample")
+    short = np.sort(_commonest(sample, SHORT).select("word").toArrow()["word"].to_numpy())
+    shared = docs.sparkSession.sparkContext.broadcast(short)
+    none = F.lit(0).cast("long")
+    both = _pairs(slim, shared).withColumn("t", none).unionByName(_pairs(target, shared).withColumnRenamed("n", "t").withColumn("n", none))
+    return StoredPair(docs, short, stored(both.groupBy("before", "predicted").agg(F.sum("n").alias("n"), F.sum("t").alias("t")), "lm-counts"))
+
+
+def fit(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int | None = None, bigrams: int | None = None) -> NgramPair:
+    """Models of all docs and of those whose id is in target_ids (one column). Null texts count as empty; ids are integers. Every word
+    and bigram is kept, unless vocabulary and bigrams ask for small models of the commonest."""
     slim = keyed(docs, id_col, text_col).toDF("id", "text")
     wanted = target_ids.toDF("digest").distinct()
     # one plan at every size: the bitmap keeps other texts from being moved, whatever the number of ids
     target = may_hit(slim.withColumn("digest", F.col("id")), filter_of(wanted)).join(wanted.hint("merge"), "digest", "left_semi").select("id", "text")
+    if vocabulary is None or bigrams is None:
+        return _fit_whole(docs, slim, target)
     words = stored(_word_counts(slim), "lm-words")
     kept = _commonest(words, vocabulary).select("word").toArrow()["word"].to_numpy()
     known = np.sort(kept)
@@ -167,9 +242,12 @@ def score(docs: DataFrame, models: NgramPair, id_col: str = "doc_id", text_col:
     """One row per input row: id, n_tokens (words and the end sign), target_loss, background_loss (nats per token), score
     (target_loss - background_loss).
 
-    Words are A-Z lower-cased; those outside the vocabulary are one unknown word. Null, empty and white texts have the end sign alone. Texts are read
+    Words are A-Z lower-cased; those that the models have never seen, or small models haven't kept, are one unknown word. Null, empty and white texts have the end sign alone. Texts are read
     whole; repeated rows score alike; other columns are not read; no row gives no row.
     """
+    slim = keyed(docs, id_col, text_col).toDF("id", "text")
+    if isinstance(models, StoredPair):
+        return _score_whole(docs, slim, models).withColumnRenamed("id", id_col)
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -181,6 +259,15 @@ def score(docs: DataFrame, models: NgramPair, id_col: str = "doc_id", text_col:
                 n = np.diff(np.append(starts, len(predicted)))
                 yield pd.DataFrame({"id": part["id"].values, "n_tokens": n, "target_loss": loss[1] / n, "background_loss": loss[0] / n})
 
-    slim = keyed(docs, id_col, text_col).toDF("id", "text")
     out = slim.mapInPandas(run, f"id {slim.schema['id'].dataType.simpleString()}, n_tokens long, target_loss double, background_loss double")
     return out.withColumn("score", F.col("target_loss") - F.col("background_loss")).withColumnRenamed("id", id_col)
+
+
+def _score_whole(docs: DataFrame, slim: DataFrame, models: StoredPair) -> DataFrame:
+    """Both sides of the join have plain exchanges of one key, so that adaptive execution can split a common bigram."""
+    table = stored(models.table(docs, slim), "lm-logs")
+    shared = docs.sparkSession.sparkContext.broadcast(models.vocabulary)
+    own = _pairs(slim.withColumn("row", F.monotonically_increasing_id()), shared, by_row=True).select("id", "row", _pair().alias("key"), F.col("n").cast("int").alias("n"))
+    sums = own.join(table.hint("merge"), "key").groupBy("id", "row").agg(F.sum("n").alias("n_tokens"), *(F.sum(F.col("n") * F.col(c)).alias(c) for c in ("target", "background")))
+    loss = lambda c: (-F.col(c) / F.col("n_tokens")).alias(f"{c}_loss")
+    return sums.select("id", "n_tokens", loss("target"), loss("background")).withColumn("score", F.col("target_loss") - F.col("background_loss"))

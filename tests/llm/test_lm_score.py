@@ -61,3 +61,36 @@ def test_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     models = fit(docs, docs.select("doc_id"))
     assert isinstance(models, NgramPair) and score(docs, models).count() == 0
+
+
+def plain(rows, target, others):
+    """Losses of documents that the models haven't counted; a word never seen is one kind more."""
+    split = lambda t: ["<s>", *(t or "").split(), "</s>"]
+    out = [[] for _ in others]
+    for pick in (None, target):
+        pairs = Counter(p for i, t in rows if pick is None or i in pick for p in zip(split(t), split(t)[1:]))  # noqa: B905
+        after, kinds, single = Counter(), Counter(), Counter()
+        for (v, w), n in pairs.items():
+            after[v], kinds[v], single[w] = after[v] + n, kinds[v] + 1, single[w] + n
+        size = sum(single.values()) + len({w for _, t in rows for w in t.split()}) + 2
+        for at, (_, t) in enumerate(others):
+            p = [(pairs[v, w] + kinds[v] * (single[w] + 1) / size) / (after[v] + kinds[v]) if after[v] else (single[w] + 1) / size for v, w in zip(split(t), split(t)[1:])]  # noqa: B905
+            out[at].append(-sum(map(math.log, p)) / len(p))
+    return out
+
+
+def test_no_word_or_bigram_is_dropped(spark, monkeypatch):
+    """More words than have a short code, and documents that the models have not seen."""
+    rows = [(i, f"common w{i} w{i + 1} rare{i} common w{i % 7}") for i in range(60)]
+    others = [(100, "common w3 never seen w4"), (101, None), (102, "rare5 common w5 rare5")]
+    monkeypatch.setattr("graftline.llm.lm_score.SHORT", 5)
+    monkeypatch.setattr("graftline.llm.lm_score.SAMPLE", 2)
+    docs, targets = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i,) for i in range(0, 60, 3)], "doc_id long")
+    models = fit(docs, targets)
+    assert 0 < len(models.vocabulary) <= 5
+    assert models.words.count() == len({w for _, t in rows for w in t.split()}) + 2  # START and END
+    assert models.counts.count() == len({p for _, t in rows for p in zip(["<s>", *t.split()], [*t.split(), "</s>"], strict=True)})
+    got = sorted((r.doc_id, r.background_loss, r.target_loss) for r in score(docs, models).collect())
+    assert np.allclose([g[1:] for g in got], [b for _, b in brute(rows, set(range(0, 60, 3)))])
+    got = sorted((r.doc_id, r.background_loss, r.target_loss) for r in score(spark.createDataFrame(others, docs.schema), models).collect())
+    assert np.allclose([g[1:] for g in got], plain(rows, set(range(0, 60, 3)), others))
