@@ -113,19 +113,17 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def _band_rows(classes: DataFrame) -> DataFrame:
-    """(id, n, low, band, bucket): low is the low byte of each coordinate."""
+    """(id, n, band, bucket) of every band."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for at in range(0, len(b), 2000):
                 part = b.iloc[at : at + 2000]
-                sigs = [np.frombuffer(s, np.uint32) for s in part["sig"]]
-                keys = [buckets(s) for s in sigs]
-                low = [s.astype(np.uint8).tobytes() for s in sigs]
-                yield pd.DataFrame({"id": part["id"].values, "buckets": keys, "n": part["n"].values, "low": low})
+                keys = [buckets(np.frombuffer(s, np.uint32)) for s in part["sig"]]
+                yield pd.DataFrame({"id": part["id"].values, "buckets": keys, "n": part["n"].values})
 
-    rows = classes.mapInPandas(run, "id long, buckets array<long>, n long, low binary")
-    return rows.select("id", "n", "low", F.posexplode("buckets").alias("band", "bucket"))
+    rows = classes.mapInPandas(run, "id long, buckets array<long>, n long")
+    return rows.select("id", "n", F.posexplode("buckets").alias("band", "bucket"))
 
 
 def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -175,11 +173,11 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.mapInPandas(run, "id long, shingles binary")
 
 
-def _across(rows: DataFrame, comp: DataFrame, sets: DataFrame) -> DataFrame | None:
+def _across(rows: DataFrame, comp: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame | None:
     """Confirmed links (a, b) between components that meet in a bucket, or None where no bucket holds two components.
 
     In each such bucket, rows outside its largest component meet all rows of other components, in units of BLOCK by CHUNK rows
-    that bring their sets. A pair is looked at in the first band that it shares, and a unit tells only the links that join
+    that bring their sets and signatures. A pair is looked at in the first band of which it shares the bucket, and a unit tells only the links that join
     two of its components, so what it returns is less than its rows.
     """
     known = stored(rows.join(comp, "id", "left").withColumn("comp", F.coalesce("component_id", "id")).drop("component_id"), "near-rows")
@@ -189,14 +187,14 @@ def _across(rows: DataFrame, comp: DataFrame, sets: DataFrame) -> DataFrame | No
     stats = stored(stats, "near-open")
     if stats.isEmpty():
         return None
-    met = stored(known.join(stats, "bucket"), "near-met").join(sets, "id")
+    met = stored(known.join(stats, "bucket"), "near-met").join(sets, "id").join(classes.select("id", "sig"), "id")
     blocks, parts = F.ceil(F.col("n_out") / BLOCK), F.ceil(F.col("n_all") / CHUNK)
     own_block, own_part = F.pmod(F.xxhash64("id"), blocks), F.pmod(F.xxhash64("id", F.lit(1)), parts)
     unit = lambda k, r, left: F.struct(k.alias("k"), r.alias("r"), F.lit(left).alias("left"))
     right = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda k: unit(k, own_part, False))
     left = F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda r: unit(own_block, r, True))
     dealt = F.when(F.col("comp") == F.col("main"), right).otherwise(F.concat(right, left))
-    units = met.select("bucket", "band", "id", "n", "low", "comp", "shingles", F.inline(dealt))
+    units = met.select("bucket", "band", "id", "n", "sig", "comp", "shingles", F.inline(dealt))
     return units.groupBy("bucket", "k", "r").applyInPandas(_unit, "a long, b long").distinct()
 
 
@@ -206,14 +204,14 @@ def _unit(group: pd.DataFrame) -> pd.DataFrame:
     found: list[tuple[int, int]] = []
     if len(x) and len(y):
         band = ROWS * int(x["band"].iloc[0])
-        xl, yl = (np.frombuffer(b"".join(g["low"]), np.uint8).reshape(len(g), WIDTH) for g in (x, y))
+        xs, zs = (np.frombuffer(b"".join(g["sig"]), np.uint32).reshape(len(g), WIDTH) for g in (x, y))
         xn, yn, xi, yi = x["n"].values, y["n"].values, x["id"].values, y["id"].values
         ys = [np.frombuffer(s, np.uint64) for s in y["shingles"]]
         known = pd.factorize(np.concatenate([x["comp"].values, y["comp"].values]))[0]
         own, other = known[: len(x)], known[len(x) :].copy()
         for i in range(len(x)):
-            equal = xl[i] == yl
-            share = (equal.mean(axis=1) - 1 / 256) / (1 - 1 / 256)
+            equal = xs[i] == zs
+            share = equal.mean(axis=1)
             seen = equal[:, :band].reshape(len(y), -1, ROWS).all(axis=2).any(axis=1)
             fits = (share >= LEAST_SHARE) & ~seen & (100 * np.minimum(xn[i], yn) >= 75 * np.maximum(xn[i], yn)) & (other != own[i])
             hits = np.flatnonzero(fits)
@@ -264,5 +262,5 @@ def _link(docs: DataFrame, classes: DataFrame) -> DataFrame:
     sets = stored(_sets(docs, rows.select("id").distinct()), "near-sets")
     links = stored(confirmed(stored(likely(stored(pairs, "near-pairs"), classes), "near-likely"), sets), "near-links")
     comp = stored(components(links), "near-components")
-    more = _across(rows.where("id <> pivot").drop("pivot"), comp, sets)
+    more = _across(rows.where("id <> pivot").drop("pivot"), comp, sets, classes)
     return comp if more is None else components(links.unionByName(stored(more, "near-links")))

@@ -2,9 +2,10 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 
 from graftline.llm.common import table
-from graftline.llm.near_dedup import WIDTH, WordHashes, near_dedup, shingle_set, signature
+from graftline.llm.near_dedup import ROWS, WIDTH, WordHashes, _unit, near_dedup, shingle_set, signature
 
 SCHEMA = "doc_id long, text string, bucket string, id int, comp int"
 
@@ -69,3 +70,19 @@ def test_signature_estimates_likeness():
         true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
         errors.append((signature(a) == signature(b)).mean() - true)
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 2 * 0.5 / WIDTH**0.5
+
+
+def test_only_a_shared_bucket_counts_as_seen():
+    """Low bytes agree in the first band, full coordinates do not, so the two have first met in the second."""
+    a = np.arange(WIDTH, dtype=np.uint32) * 1000
+    b = a.copy()
+    b[0] += 256
+    words = np.arange(100, dtype=np.uint64).tobytes()
+
+    def unit(band):
+        side = lambda i, s, left: {"band": band, "id": i, "n": 100, "sig": s.tobytes(), "low": s.astype(np.uint8).tobytes(), "comp": i, "shingles": words, "left": left}
+        return _unit(pd.DataFrame([side(1, a, True), side(2, b, False)])).values.tolist()
+
+    assert (a[:ROWS].astype(np.uint8) == b[:ROWS].astype(np.uint8)).all()
+    assert unit(1) == [[1, 2]]
+    assert unit(2) == []  # seen in the second band
