@@ -2,8 +2,8 @@
 
 A token is an element's open tag in the context of its open ancestors. Tokens of one host with the same occurrence vector over
 its pages form an equivalence class; vectors are compared by a sum of per-page hashes times counts, so they are built by partial sums and
-no host's pages ever meet in one task. Classes that enough pages hold and whose tokens occur once a page are valid; by their paths they nest into
-the host's template. Its regions are fixed (the same text on every page), navigation (mostly link text) or slots with the pages' own text. Fixed
+no host's pages ever meet in one task. Classes that enough pages hold and whose tokens occur once a page are valid; by their paths they nest in one
+another and make the host's template, of which each page is given the classes that it holds. Its regions are fixed (the same text on every page), navigation (mostly link text) or slots with the pages' own text. Fixed
 and navigation regions, and regions that say what they are by tag, class, id or role, are left out of the extracted slots; where the template
 has an article or main region, only that is kept.
 """
@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graftline.llm.common import keyed, stored
+from graftline.llm.exact_dedup import filter_of, may_hit
 from graftline.llm.url_filter import host_and_path
 
 #: A class is valid when this share of the host's pages, and so many of them, hold it.
@@ -176,10 +177,11 @@ def observations(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, skip): the paths of a host's template that are fixed or navigation, as text, one a line.
+    """(host, path, skip): of each class of a host's template that has some, the paths that are fixed or navigation, as text, one a
+    line, and one path by which a page is known to hold the class: its members are on the same pages.
 
-    The template holds tokens of the valid equivalence classes; a path is kept if all the container paths above it are, so
-    classes nest. At least SUPPORT_SHARE of the pages hold each, which bounds a template by the size of two pages.
+    A class is valid as a whole, by its support and its repeats. A member nests if the container above it belongs to a valid class, this
+    or another. What is collected of a class is on one page, so its size is bounded by a page's, whatever the host's.
     """
     seen = observations(pages)
     total = pages.where("html is not null and html <> ''").groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
@@ -192,17 +194,33 @@ def templates(pages: DataFrame) -> DataFrame:
         F.min("text").alias("first_text"),
         F.max("text").alias("last_text"),
     )
-    held = tokens.join(total, "host").where((F.col("on_pages") >= SUPPORT_PAGES) & (F.col("on_pages") >= SUPPORT_SHARE * F.col("pages")) & (F.col("most") == 1))
-    classes = held.groupBy("host", "vector").agg(F.collect_list(F.struct("path", "chars", "link_chars", (F.col("first_text") == F.col("last_text")).alias("fixed"))).alias("members"))
-    template = classes.groupBy("host").agg(F.flatten(F.collect_list("members")).alias("all"))
-    paths = F.transform("all", lambda m: m["path"])
-    above = lambda m: F.substring_index(m["path"], ">", -1)
-    nested = F.filter("all", lambda m: (F.length(m["path"]) == F.length(above(m)) + 1) | F.array_contains(paths, F.substring(m["path"], F.lit(1), F.length(m["path"]) - F.length(above(m)) - 1)))
-    main = lambda m: F.regexp_like(m["path"], F.lit(r">(article|main)(\[|>|$)"))
-    holds_main = lambda m, a: F.exists(a, lambda x: main(x) & F.startswith(x["path"], F.concat(m["path"], F.lit(">"))))
-    drop = lambda m: (m["chars"] > 0) & (m["fixed"] | (m["link_chars"] >= LINK_SHARE * m["chars"]))
-    listed = template.select("host", nested.alias("t"))
-    return listed.select("host", F.array_join(F.transform(F.filter("t", lambda m: drop(m) & ~main(m) & ~holds_main(m, F.col("t"))), lambda m: m["path"]), "\n").alias("skip"))
+    member = F.struct("path", "chars", "link_chars", (F.col("first_text") == F.col("last_text")).alias("fixed"))
+    classes = tokens.groupBy("host", "vector").agg(F.max("on_pages").alias("support"), F.max("most").alias("most"), F.collect_list(member).alias("members"))
+    valid = classes.join(total, "host").where((F.col("support") >= SUPPORT_PAGES) & (F.col("support") >= SUPPORT_SHARE * F.col("pages")) & (F.col("most") == 1))
+    members = stored(valid.select("host", "vector", F.inline("members")), "html-classes")
+    parts = F.split("path", ">")
+    up = lambda k: F.array_join(F.slice(parts, 1, k), ">")
+    inside = members.withColumn("above", up(F.size(parts) - 1)).join(members.select("host", F.col("path").alias("above"), F.lit(True).alias("held")), ["host", "above"], "left")
+    main = F.regexp_like("path", F.lit(r">(article|main)(\[|>|$)"))
+    around = members.where(main).select("host", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), up)).alias("path")).distinct()
+    drop = (F.col("chars") > 0) & (F.col("fixed") | (F.col("link_chars") >= LINK_SHARE * F.col("chars")))
+    left_out = inside.where((F.col("held") | (F.col("above") == "")) & drop & ~main).join(around, ["host", "path"], "left_anti")
+    return left_out.groupBy("host", "vector").agg(F.min("path").alias("path"), F.array_join(F.collect_list("path"), "\n").alias("skip")).drop("vector")
+
+
+def _skips(pages: DataFrame, known: DataFrame) -> DataFrame:
+    """(tag, skip) of the pages that hold a class with regions to leave out. A bitmap of bounded size keeps most other paths from being moved."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), 200):
+                part = b.iloc[at : at + 200]
+                rows = [(tag, host, path) for tag, host, source in part[["tag", "host", "html"]].itertuples(index=False) if source for path in Page(source).seen]
+                yield pd.DataFrame(rows, columns=["tag", "host", "path"])
+
+    held = pages.mapInPandas(run, "tag long, host string, path string").withColumn("digest", F.xxhash64("host", "path"))
+    near = may_hit(held, filter_of(known.select(F.xxhash64("host", "path").alias("digest")))).drop("digest").distinct()
+    return near.join(known, ["host", "path"]).groupBy("tag").agg(F.array_join(F.collect_list("skip"), "\n").alias("skip"))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -217,6 +235,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     slim = keyed(pages, id_col, url_col, html_col).toDF("id", "url", "html")
     hosted = slim.withColumn("host", host_and_path(F.col("url"))[0])
     known = stored(templates(hosted.select(F.col("id").cast("string").alias("id"), "host", "html")), "html-templates")
+    hosted = hosted.withColumn("tag", F.xxhash64("host", "html"))  # pages of one host and source are read alike
+    skips = stored(_skips(hosted.select("tag", "host", "html"), known), "html-skips")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -225,6 +245,6 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                 texts = [Page(h, frozenset(s.split("\n")) if s else frozenset()).text() if h else "" for h, s in zip(part["html"], part["skip"], strict=True)]
                 yield pd.DataFrame({"id": part["id"].values, "url": part["url"].values, "text": texts})
 
-    joined = hosted.join(known, "host", "left").select("id", "url", "html", "skip")
+    joined = hosted.join(skips, "tag", "left").select("id", "url", "html", "skip")
     out = joined.mapInPandas(run, f"id {slim.schema['id'].dataType.simpleString()}, url string, text string")
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.char_length("text").cast("long").alias("n_chars"))

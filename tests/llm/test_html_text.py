@@ -78,3 +78,13 @@ def test_templates_find_fixed_and_link_regions(spark):
     assert sorted(only.skip.split("\n")) == [">html>body>div[c=z]", ">html>body>div[i=q0]"]
     got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: f"own text {i} l" for i in range(20)}
+
+
+def test_pages_get_the_classes_that_they_hold(spark):
+    """Two classes, one on all pages and one on most, stay two; a page that lacks the second gets the first alone."""
+    notice = "<div class='n'>Same notice <i>here</i></div><div class='m'>And more</div>"
+    rows = [(i, "http://h.org/", f"<html><body><div class='z'>Always the same words</div><div class='k'>own text {i}</div>{notice * (i % 4 > 0)}</body></html>") for i in range(20)]
+    found = templates(spark.createDataFrame([(str(i), "h.org", h) for i, _, h in rows], "id string, host string, html string")).collect()
+    assert sorted(sorted(r.skip.split("\n")) for r in found) == [[">html>body>div[c=m]", ">html>body>div[c=n]"], [">html>body>div[c=z]"]]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"own text {i}" for i in range(20)}
