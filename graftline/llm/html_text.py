@@ -2,8 +2,8 @@
 
 A token is an element's open tag in the context of its open ancestors. Tokens of one host with the same occurrence vector over
 its pages form an equivalence class; vectors are compared by a sum of per-page hashes times counts, so they are built by partial sums and
-no host's pages ever meet in one task. Classes that enough pages hold and whose tokens occur once a page are valid; by their paths they nest in one
-another and make the host's template, of which each page is given the classes that it holds. Its regions are fixed (the same text on every page), navigation (mostly link text) or slots with the pages' own text. Fixed
+no host's pages ever meet in one task. Classes that enough pages hold, not all alike, and whose tokens occur once on nearly all of them are valid; by their paths they nest in one
+another and make the host's template, of which each page is given the classes that it holds. Its regions are fixed (the same text on every page that has it once), navigation (mostly link text) or slots with the pages' own text. Fixed
 and navigation regions, and regions that say what they are by tag, class, id or role, are left out of the extracted slots; where the template
 has an article or main region, only that is kept.
 """
@@ -24,8 +24,8 @@ from graftline.llm.common import keyed, stored
 from graftline.llm.exact_dedup import filter_of, may_hit
 from graftline.llm.url_filter import host_and_path
 
-#: A class is valid when this share of the host's pages, and so many of them, hold it.
-SUPPORT_SHARE, SUPPORT_PAGES = 0.5, 5
+#: A class is valid when so many pages hold it, whatever the host's number, and at most this share of them more than once.
+SUPPORT_PAGES, REPEAT_SHARE = 5, 0.05
 #: A region with this share of its text in links is navigation.
 LINK_SHARE = 0.6
 
@@ -161,7 +161,7 @@ class Page:
 
 
 def observations(pages: DataFrame) -> DataFrame:
-    """(host, path, mark, n, chars, link_chars, text) of every container on every page; mark is the page's hash."""
+    """(host, path, mark, page, n, chars, link_chars, text) of every container on every page; mark and page are hashes of the page, with and without its id."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -169,34 +169,36 @@ def observations(pages: DataFrame) -> DataFrame:
                 part, rows = b.iloc[at : at + 200], []
                 for i, host, source in part[["id", "host", "html"]].itertuples(index=False):
                     mark = xxhash.xxh32_intdigest(f"{i}\n{source[:200]}") if source else 0
+                    page = np.uint64(xxhash.xxh3_64_intdigest(source)).astype(np.int64) if source else 0
                     for path, (n, chars, links, text) in Page(source).seen.items() if source else ():
-                        rows.append((host, path, mark, n, chars, links, np.uint64(text).astype(np.int64)))
-                yield pd.DataFrame(rows, columns=["host", "path", "mark", "n", "chars", "link_chars", "text"])
+                        rows.append((host, path, mark, page, n, chars, links, np.uint64(text).astype(np.int64)))
+                yield pd.DataFrame(rows, columns=["host", "path", "mark", "page", "n", "chars", "link_chars", "text"])
 
-    return pages.mapInPandas(run, "host string, path string, mark long, n long, chars long, link_chars long, text long")
+    return pages.mapInPandas(run, "host string, path string, mark long, page long, n long, chars long, link_chars long, text long")
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """(host, path, skip): of each class of a host's template that has some, the paths that are fixed or navigation, as text, one a
     line, and one path by which a page is known to hold the class: its members are on the same pages.
 
-    A class is valid as a whole, by its support and its repeats. A member nests if the container above it belongs to a valid class, this
+    A class is valid as a whole, by its support and its share of repeats; one whose pages are copies of one another cannot be told from content. A member nests if the container above it belongs to a valid class, this
     or another. What is collected of a class is on one page, so its size is bounded by a page's, whatever the host's.
     """
     seen = observations(pages)
-    total = pages.where("html is not null and html <> ''").groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    once = F.when(F.col("n") == 1, F.col("text"))
     tokens = seen.groupBy("host", "path").agg(
         F.sum((F.col("mark") * F.col("n")).cast("decimal(38,0)")).alias("vector"),
         F.count(F.lit(1)).alias("on_pages"),
-        F.max("n").alias("most"),
+        F.count(F.when(F.col("n") > 1, 1)).alias("repeats"),
+        (F.min("page") != F.max("page")).alias("vary"),
         F.sum("chars").alias("chars"),
         F.sum("link_chars").alias("link_chars"),
-        F.min("text").alias("first_text"),
-        F.max("text").alias("last_text"),
+        F.min(once).alias("first_text"),
+        F.max(once).alias("last_text"),
     )
     member = F.struct("path", "chars", "link_chars", (F.col("first_text") == F.col("last_text")).alias("fixed"))
-    classes = tokens.groupBy("host", "vector").agg(F.max("on_pages").alias("support"), F.max("most").alias("most"), F.collect_list(member).alias("members"))
-    valid = classes.join(total, "host").where((F.col("support") >= SUPPORT_PAGES) & (F.col("support") >= SUPPORT_SHARE * F.col("pages")) & (F.col("most") == 1))
+    classes = tokens.groupBy("host", "vector").agg(F.max("on_pages").alias("support"), F.max("repeats").alias("repeats"), F.max("vary").alias("vary"), F.collect_list(member).alias("members"))
+    valid = classes.where((F.col("support") >= SUPPORT_PAGES) & F.col("vary") & (F.col("repeats") <= REPEAT_SHARE * F.col("support")))
     members = stored(valid.select("host", "vector", F.inline("members")), "html-classes")
     parts = F.split("path", ">")
     up = lambda k: F.array_join(F.slice(parts, 1, k), ">")

@@ -88,3 +88,12 @@ def test_pages_get_the_classes_that_they_hold(spark):
     assert sorted(sorted(r.skip.split("\n")) for r in found) == [[">html>body>div[c=m]", ">html>body>div[c=n]"], [">html>body>div[c=z]"]]
     got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: f"own text {i}" for i in range(20)}
+
+
+def test_layouts_below_half_and_one_odd_page(spark):
+    """Three layouts of a third of the pages each have their regions; a page that repeats one doesn't take it from the others."""
+    rows = [(i, "http://h.org/", f"<html><body><div class='a{'xyz'[i % 3]}'>Same words of layout {i % 3}</div><div class='k'>own text {i}</div></body></html>") for i in range(90)]
+    rows.append((90, "http://h.org/", rows[0][2].replace("<div class='k'", "<div class='ax'>Same words of layout 0</div><div class='k'")))
+    rows += [(100 + i, "http://copies.org/", "<html><body><div class='k'>ten copies</div></body></html>") for i in range(10)]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"own text {i}" for i in range(90)} | {90: "own text 0"} | {100 + i: "ten copies" for i in range(10)}
