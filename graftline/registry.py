@@ -222,6 +222,11 @@ def _(spark, d):
     return components(links)
 
 
+@query("agg21_components_whole")
+def _(spark, d):
+    return components(G.bipartite(spark, d), "pre", "post")
+
+
 def _nodes(edges: DataFrame) -> DataFrame:
     return E.node_ids(edges).toDF("id")
 
