@@ -19,8 +19,8 @@ from graftline.llm.common import keyed, sample_by_hash
 
 CHUNK = 1024
 DICTIONARY = 112_640
-#: Bounds of the training sample: labelled documents of smallest hash, and characters of each. Scoring knows no such bound.
-FIT_DOCS, FIT_CHARS = 6_000, 16_384
+#: Bounds of the training sample: labelled documents of smallest hash, and bytes of all their whole texts. Scoring knows no such bound.
+FIT_DOCS, FIT_BYTES = 6_000, 96_000_000
 
 
 def pieces(raw: bytes, n: int = CHUNK) -> list[bytes]:
@@ -87,14 +87,19 @@ def held_out(doc_id) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_docs: int = FIT_DOCS, fit_chars: int = FIT_CHARS) -> CompressionClassifier:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_docs: int = FIT_DOCS, fit_bytes: int = FIT_BYTES) -> CompressionClassifier:
     """A classifier from labelled rows whose crc32(id as text) mod 5 is not 0: two thirds of them build the dictionaries, the
-    rest calibrate. At most fit_docs of them, of smallest hash, are taken, each by its first fit_chars characters. Null labels
+    rest calibrate. At most fit_docs of them, of smallest hash, are taken, and fewer where their whole texts come to more than fit_bytes. Null labels
     and texts are left out. With one class only, or no rows, every score follows from what there is (0.5 with none)."""
     i, y = F.col(f"`{id_col}`"), F.col(f"`{label_col}`")
     chosen = sample_by_hash(labels.where(y.isNotNull() & (F.crc32(i.cast("string")) % 5 != 0)).select(i.alias("id"), y.cast("int").alias("y")), "id", fit_docs)
     texts = keyed(docs, id_col, text_col).toDF("id", "text").where("text is not null")
-    rows = texts.join(F.broadcast(chosen), "id").select("id", "y", F.substring("text", 1, fit_chars).alias("text")).collect()
+    sample = texts.join(F.broadcast(chosen), "id")
+    sizes = sample.groupBy("id").agg(F.sum(F.octet_length("text").cast("long")).alias("bytes")).orderBy(F.xxhash64("id"), "id").collect()
+    if sum(r.bytes for r in sizes) > fit_bytes:
+        room = np.cumsum([r.bytes for r in sizes]) <= fit_bytes
+        sample = sample.where(F.col("id").isin([r.id for r, fits in zip(sizes, room, strict=True) if fits]))
+    rows = sample.select("id", "y", "text").collect()
     rows = sorted({(r.id, r.y, r.text) for r in rows})
     part = lambda r: zlib.crc32(f"part{r[0]}".encode()) % 3
     build, rest = [r for r in rows if part(r)], [r for r in rows if not part(r)]

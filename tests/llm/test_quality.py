@@ -46,3 +46,18 @@ def test_nothing_to_learn_from(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert fit(docs, labels).score("anything") == 0.5
     assert CompressionClassifier(b"", b"").calibrate([], []).score("") == 0.5
+
+
+def test_whole_texts_are_learnt_from(spark, monkeypatch):
+    """A bound on bytes takes fewer rows, never a part of a text."""
+    texts = {i: f"{i} " * 30_000 for i in range(1, 41)}
+    taken = []
+    monkeypatch.setattr("graftline.llm.quality.dictionary", lambda ts: taken.extend(ts) or b"")
+    monkeypatch.setattr(CompressionClassifier, "calibrate", lambda self, ts, ys: taken.extend(ts) or self)
+    docs, labels = spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in texts], "doc_id long, quality int")
+    fit(docs, labels)
+    assert sorted(taken) == sorted(t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 5)
+    whole = len(taken)
+    taken.clear()
+    fit(docs, labels, fit_bytes=500_000)
+    assert 0 < len(taken) < whole and set(taken) <= set(texts.values()) and sum(map(len, taken)) <= 500_000
