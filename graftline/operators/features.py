@@ -6,6 +6,7 @@ out is grouped by pre and in by post. A node without an edge on a side has 0 the
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count as steps
 
 import numpy as np
 import pandas as pd
@@ -128,19 +129,22 @@ def triangles(edges: DataFrame) -> DataFrame:
     return all_.select("id", safe_ratio(F.col("cycle"), ways).alias("local_tri_cycle_frac"), safe_ratio(F.col("trans"), ways).alias("local_tri_trans_frac"), safe_ratio(2 * F.col("t"), ways).alias("local_clust_coef"), F.log1p(F.col("t").cast("double")).alias("local_log_tri_undirected"))
 
 
-def core_numbers(edges: DataFrame, rounds: int = 1000) -> DataFrame:
+def core_numbers(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """FEA-L3: (id, core, local_log_kcore, local_kcore_frac) by iterating the h-index of the neighbours' values to its fixpoint.
 
     A node's neighbours meet as counts by value, not as a list, so a hub costs as many rows as it has distinct values at most.
+    Ends when the sum of values stays; raises if a bound on rounds is met before.
     """
     both = stored(undirected(edges).select(F.inline(F.array(F.struct(F.col("a").alias("i"), F.col("b").alias("j")), F.struct(F.col("b").alias("i"), F.col("a").alias("j"))))), "core-edges")
     degree = stored(both.groupBy("i").agg(F.count(F.lit(1)).alias("d")), "core-degrees")
     h = degree.select("i", F.col("d").alias("h"))
     last = None
-    for _ in range(rounds):
+    for done in steps():
         total = h.agg(F.sum("h")).first()[0]
         if total == last:
             break
+        if done == rounds:
+            raise RuntimeError(f"no fixpoint of core numbers after {rounds} rounds")
         last = total
         values = both.join(h.toDF("j", "v"), "j").join(h, "i").groupBy("i", F.least("v", "h").alias("v")).agg(F.count(F.lit(1)).alias("c"))
         least = F.sum("c").over(Window.partitionBy("i").orderBy(F.desc("v")))
