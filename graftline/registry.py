@@ -301,8 +301,17 @@ def _(spark, d):
     SELECT i AS id, 'out' AS side, {', '.join(f"round(coalesce(sum(w) FILTER (label = '{c}'), 0) / sum(w), 6) + 0.0 AS \"{c}\"" for c in ('ECONOMY', 'PROMO'))},
     {r6("coalesce(sum(w) FILTER (label NOT IN ('ECONOMY', 'PROMO')), 0) / sum(w)", 'unknown')} FROM m GROUP BY i""")
 def _(spark, d):
+    return _composition(spark, d).where("side = 'out'")
+
+
+@query("agg18_composition_whole")
+def _(spark, d):
+    return _composition(spark, d)
+
+
+def _composition(spark, d) -> DataFrame:
     part = _t(spark, d, "part").select((F.col("p_partkey") + 1_000_000).alias("id"), F.when(F.col("p_size") % 3 != 0, F.split("p_type", " ")[0]).alias("label"))
-    return rounded(tokens.composition(G.bipartite(spark, d), part, ["ECONOMY", "PROMO"]).where("side = 'out'"))
+    return rounded(tokens.composition(G.bipartite(spark, d), part, ["ECONOMY", "PROMO"]))
 
 
 @query("nn8_mean_in", f"SELECT post AS id, {r6('sum(w * x) / sum(w)', 'x')}, {r6('sum(w * y) / sum(w)', 'y')} FROM {G2} g JOIN (SELECT user_id AS u, avg(value) AS x, count(*)::DOUBLE AS y FROM events GROUP BY 1) f ON u = pre GROUP BY 1")
@@ -518,15 +527,16 @@ def _(spark, d):
 
 # --- scaling ----------------------------------------------------------------------------------------------------------------
 
-_D = 8
+#: Places of the embedding that the queries with SQL read, and all of them.
+_D, _PLACES = 8, 64
 
 
-def _vec(spark, d) -> DataFrame:
+def _vec(spark, d, places: int = _D) -> DataFrame:
     e = _t(spark, d, "embeddings")
-    return e.select(F.col("vec_id").alias("id"), "label", *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(_D)), splits.modulo_split(F.col("vec_id")).alias("split"))
+    return e.select(F.col("vec_id").alias("id"), "label", *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(places)), splits.modulo_split(F.col("vec_id")).alias("split"))
 
 
-_X = [f"x{i}" for i in range(_D)]
+_X, _ALL = [f"x{i}" for i in range(_D)], [f"x{i}" for i in range(_PLACES)]
 _VEC = f"(SELECT vec_id AS id, label, {', '.join(f'embedding[{i + 1}]::DOUBLE AS x{i}' for i in range(_D))}, {_SPLIT.format(k='vec_id')} AS split FROM embeddings)"
 
 
@@ -544,6 +554,19 @@ def _(spark, d):
     return rounded(scaling.apply_scale(target, stats, _X))
 
 
+@query("scl1_standardise_whole")
+def _(spark, d):
+    v = _vec(spark, d, _PLACES).select("id", *_ALL, "split")
+    return rounded(scaling.apply_scale(v, scaling.fit_scale(v, _ALL, F.col("split") == "train"), _ALL).drop("split"))
+
+
+@query("scl2_transfer_whole")
+def _(spark, d):
+    v = _vec(spark, d, _PLACES)
+    source, target = v.where("id % 2 = 0"), v.where("id % 2 = 1").select("id", *_ALL)
+    return rounded(scaling.apply_scale(target, scaling.target_scale(source, target, _ALL, "source", F.col("split") == "train", F.lit(True)), _ALL))
+
+
 @query("scl4_unit_floor", f"SELECT id, {r6('(x0 - m) / (CASE WHEN s > 0 THEN s ELSE 1 END)', 'x0')}, {r6('0.0', 'c')} FROM {_VEC}, (SELECT avg(x0) AS m, stddev_pop(x0) AS s FROM {_VEC})")
 def _(spark, d):
     v = _vec(spark, d).select("id", "x0", F.lit(3.0).alias("c"))
@@ -552,15 +575,15 @@ def _(spark, d):
 
 @query("scl5_effective_rank")
 def _(spark, d):
-    v = _vec(spark, d)
-    m = scaling.collapse_metrics(v, _X)
-    return rounded(spark.createDataFrame([(scaling.effective_rank(v, _X), *m.values())], "standardised double, " + ", ".join(f"{k} double" for k in m)))
+    v = _vec(spark, d, _PLACES)
+    m = scaling.collapse_metrics(v, _ALL)
+    return rounded(spark.createDataFrame([(scaling.effective_rank(v, _ALL), *m.values())], "standardised double, " + ", ".join(f"{k} double" for k in m)))
 
 
 @query("scl9_null_space")
 def _(spark, d):
-    v = _vec(spark, d).withColumn("t", F.col("x0") + F.col("x1"))
-    return rounded(scaling.null_space(v, _X, ["t"], 1).select("id", *_X))
+    v = _vec(spark, d, _PLACES).withColumn("t", F.col("x0") + F.col("x1"))
+    return rounded(scaling.null_space(v, _ALL, ["t"], 1).select("id", *_ALL))
 
 
 # --- probes -----------------------------------------------------------------------------------------------------------------
@@ -685,6 +708,11 @@ def _(spark, d):
     return slicing.quantile_bin(_pred(spark, d).where("lang IN ('en', 'de')"), "n_chars", 5, ("lang",), "id", "quintile").select("id", "quintile")
 
 
+@query("win3_quintiles_whole")
+def _(spark, d):
+    return slicing.quantile_bin(_pred(spark, d), "n_chars", 5, ("lang",), "id", "quintile").select("id", "quintile")
+
+
 @query("win5_value_quartiles", f"SELECT id, 1 + (n_chars > q[1])::INT + (n_chars > q[2])::INT + (n_chars > q[3])::INT AS quartile FROM {_PRED}, (SELECT quantile_cont(n_chars, [0.25, 0.5, 0.75]) AS q FROM {_PRED})")
 def _(spark, d):
     return slicing.value_quartile(_pred(spark, d), "n_chars").select("id", "quartile")
