@@ -1,16 +1,23 @@
 """Language-model scoring by cross-entropy difference.
 
-A target and a background bigram model share one vocabulary, one set of bigrams and one smoothing. Every word and bigram of all documents
-is counted and kept, in stored tables; each document's bigrams, summed, are joined with them. A document's score is its loss per token under
-the target model less that under the background model: the lower, the more it reads like the target.
+A target and a background bigram model share one vocabulary (every word of all documents), every bigram and one smoothing: a bigram's
+probability is (count + m * base) / (count of its first word + m), base being the smoothed share of its second word and m the first word's count
+to the power HEAPS, about as many kinds of followers as Heaps' law expects. A document's score is its loss per token under the target model
+less that under the background model: the lower, the more it reads like the target.
+
+Nothing is cut off and no model is ever in one place. Documents are packed in batches. A batch asks once for each word and bigram that it has, in one exchange by ranges of their
+hashes; each range adds up what all batches have of it and answers each batch. So a word that every document has costs one number a batch.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,256 +25,203 @@ from graftline.llm.common import keyed, stored
 from graftline.llm.exact_dedup import filter_of, may_hit
 from graftline.llm.near_dedup import WordHashes, _mix
 
-#: Words that have a short code, the commonest of one document in SAMPLE; all others go by their hash. The code only saves space.
-SHORT, SAMPLE = 32_768, 64
-#: Ids of what isn't a word of the vocabulary; words follow.
-START, END, UNKNOWN, FIRST = 0, 1, 2, 3
-ID_BITS = 20
-
-
-def _tokens(texts: list[str | None], cache: WordHashes) -> list[np.ndarray]:
-    out = []
-    for t in texts:
-        words = (t or "").encode("utf-8", "replace").lower().split()
-        out.append(np.fromiter(map(cache.__getitem__, words), np.uint64, len(words)).view(np.int64))
-    return out
-
-
-def _keys(hashes: list[np.ndarray], vocabulary: np.ndarray, whole: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids before, ids predicted, and where each text's predictions begin; every text ends with END. Words outside the vocabulary
-    are one unknown word, or if whole each its own hash, below zero."""
-    lengths = np.array([len(h) + 1 for h in hashes])
-    words = np.concatenate(hashes) if hashes else np.empty(0, np.int64)
-    ids = words | np.iinfo(np.int64).min if whole else np.full(len(words), UNKNOWN)
-    if len(vocabulary):
-        at = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
-        ids = np.where(vocabulary[at] == words, at + FIRST, ids)
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
-    predicted = np.full(lengths.sum(), END, np.int64)
-    inner = np.ones(len(predicted), bool)
-    inner[starts + lengths - 1] = False
-    predicted[inner] = ids
-    before = np.concatenate([[START], predicted[:-1]])
-    before[starts] = START
-    return before, predicted, starts
-
-
-def _slices(b: pd.DataFrame, words: int = 1 << 20) -> Iterator[pd.DataFrame]:
-    """Parts of a batch of about so many words at most, or one text."""
-    size = b["text"].str.len().fillna(0).to_numpy() // 6 + 1
-    part = np.cumsum(size) // words
-    for k in np.unique(part):
-        yield b[part == k]
-
-
-def _commonest(counts: DataFrame, most: int) -> DataFrame:
-    """The rows of highest n, as many as their counts tell apart up to most: all of one count or none. Only a histogram of counts,
-    in powers of two and then within one power, reaches the driver."""
-
-    def cut(rows: DataFrame, key, room: int) -> tuple[int, int]:
-        """(least key that fits whole, room left)."""
-        least = None
-        for k, c in rows.groupBy(key.alias("k")).count().orderBy(F.desc("k")).toLocalIterator():
-            if c > room:
-                break
-            least, room = k, room - c
-        return least, room
-
-    power = F.floor(F.log2("n"))
-    least, room = cut(counts, power, most)
-    below = counts.where(power == (63 if least is None else least) - 1) if least is not None else counts.where(power == counts.agg(F.max(power)).first()[0])
-    exact, _ = cut(below, F.col("n"), room)
-    keep = exact if exact is not None else (1 << least if least is not None else None)
-    return counts.where(F.lit(False)) if keep is None else counts.where(F.col("n") >= keep)
-
-
-class NgramPair:
-    """The kept counts of both models."""
-
-    def __init__(self, vocabulary: np.ndarray, words: np.ndarray, keys: np.ndarray, counts: np.ndarray):
-        """words: (2, ids) counts by id; keys: sorted bigrams; counts: (2, bigrams). Row 0 is the background, 1 the target."""
-        self.vocabulary, self.keys = vocabulary, keys
-        n = len(vocabulary) + FIRST
-        predictable = np.arange(n) != START
-        self.base = np.where(predictable, (words + 1) / (words[:, predictable].sum(axis=1, keepdims=True) + n - 1), 0)
-        before, predicted = keys >> ID_BITS, keys & ((1 << ID_BITS) - 1)
-        seen = words.astype(float)
-        seen[:, START], seen[:, END] = words[:, END], 0  # each text starts once and ends once
-        share, self.log_kept = np.ones((2, n)), np.empty((2, len(keys)))
-        for m in (0, 1):
-            kinds = np.bincount(before[counts[m] > 0], minlength=n)
-            kept = np.bincount(before, weights=counts[m], minlength=n)
-            total = seen[m] + kinds
-            known = total > 0
-            share[m, known] = (seen[m] - kept + kinds)[known] / total[known]
-            base = share[m, before] * self.base[m, predicted]
-            self.log_kept[m] = np.log(np.where(total[before] > 0, counts[m] / np.maximum(total[before], 1) + base, base))
-        with np.errstate(divide="ignore"):
-            self.log_share, self.log_base = np.log(share), np.log(self.base)
-
-    def log_probabilities(self, before: np.ndarray, predicted: np.ndarray) -> np.ndarray:
-        """(2, tokens): interpolated, what unkept bigrams and new kinds leave over going to single words."""
-        out = self.log_share[:, before] + self.log_base[:, predicted]
-        if len(self.keys):
-            key = before << ID_BITS | predicted
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = np.flatnonzero(self.keys[at] == key)
-            out[:, hit] = self.log_kept[:, at[hit]]
-        return out
-
-
-def _word_counts(docs: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = WordHashes()
-        for b in batches:
-            for part in _slices(b):
-                h = _tokens(part["text"].where(part["text"].notna(), "").tolist(), cache)
-                word, n = np.unique(np.concatenate(h), return_counts=True)
-                yield pd.DataFrame({"word": word, "n": n})
-
-    return docs.mapInPandas(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def _bigram_counts(docs: DataFrame, vocabulary) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = WordHashes()
-        for b in batches:
-            for part in _slices(b):
-                before, predicted, _ = _keys(_tokens(part["text"].where(part["text"].notna(), "").tolist(), cache), vocabulary.value)
-                key, n = np.unique(before << ID_BITS | predicted, return_counts=True)
-                yield pd.DataFrame({"key": key, "n": n})
-
-    return docs.mapInPandas(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-class StoredPair(NgramPair):
-    """All counts of both models, as tables: counts (before, predicted, n, t) and words (w, sums as a word before and predicted)."""
-
-    def __init__(self, docs: DataFrame, vocabulary: np.ndarray, counts: DataFrame):
-        self.docs, self.vocabulary, self.counts = docs, vocabulary, counts
-        seen = lambda c: F.count(F.when(F.col(c) > 0, 1))
-        after = counts.groupBy(F.col("before").alias("w")).agg(F.sum("n").alias("after_n"), seen("n").alias("kinds_n"), F.sum("t").alias("after_t"), seen("t").alias("kinds_t"))
-        single = counts.groupBy(F.col("predicted").alias("w")).agg(F.sum("n").alias("single_n"), F.sum("t").alias("single_t"))
-        self.words = stored(after.join(single, "w", "full").na.fill(0), "lm-words")
-        total = self.words.agg(F.sum("single_n"), F.sum("single_t"), F.count(F.when(~F.col("w").isin(START, END), 1))).first()
-        self.sizes = [(total[m] or 0) + total[2] + 2 for m in (0, 1)]  # the end sign and a word never seen are kinds too
-
-    def logs(self, counts: DataFrame) -> DataFrame:
-        """(key, background, target): log probabilities of counts' bigrams."""
-        before = self.words.select(F.col("w").alias("before"), "after_n", "kinds_n", "after_t", "kinds_t")
-        rows = counts.join(before, "before", "left").join(self.words.select(F.col("w").alias("predicted"), "single_n", "single_t"), "predicted", "left").na.fill(0)
-
-        def log(c: str, size: int):
-            all_, kinds, base = F.col(f"after_{c}") + F.col(f"kinds_{c}"), F.col(f"kinds_{c}"), (F.col(f"single_{c}") + 1) / F.lit(float(size))
-            return F.log(F.when(all_ > 0, (F.col(c) + kinds * base) / all_).otherwise(base))
-
-        return rows.select(_pair().alias("key"), log("n", self.sizes[0]).alias("background"), log("t", self.sizes[1]).alias("target"))
-
-    def table(self, docs: DataFrame, slim: DataFrame) -> DataFrame:
-        """The logs of all counted bigrams, and of those that only docs have."""
-        if docs is self.docs:
-            return self.logs(self.counts)
-        new = _pairs(slim, docs.sparkSession.sparkContext.broadcast(self.vocabulary)).select("before", "predicted").distinct()
-        new = new.join(self.counts, ["before", "predicted"], "left_anti").withColumn("n", F.lit(0).cast("long")).withColumn("t", F.lit(0).cast("long"))
-        return self.logs(self.counts.unionByName(new))
-
-
-def _pair():
-    """One key of a bigram: both codes where they are short, else a hash, below zero."""
-    before, predicted = F.col("before"), F.col("predicted")
-    return F.when((before >= 0) & (predicted >= 0), F.shiftleft(before, ID_BITS).bitwiseOR(predicted)).otherwise(F.xxhash64("before", "predicted").bitwiseOR(F.lit(-(1 << 63))))
-
-
-def _distinct(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each kind of row is first, and how often it is there."""
-    h = np.zeros(len(columns[0]), np.uint64)
-    for c in columns:
-        h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + c.astype(np.int64).view(np.uint64))
-    return np.unique(h, return_index=True, return_counts=True)[1:]
-
-
-def _pairs(docs: DataFrame, vocabulary, by_row: bool = False) -> DataFrame:
-    """(before, predicted, n) of parts of docs, or with (id, row) of every row."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = WordHashes()
-        for b in batches:
-            for part in _slices(b, 1 << 18 if by_row else 1 << 20):
-                before, predicted, starts = _keys(_tokens(part["text"].where(part["text"].notna(), "").tolist(), cache), vocabulary.value, whole=True)
-                at = np.repeat(np.arange(len(part)), np.diff(np.append(starts, len(predicted))))
-                first, n = _distinct(*([at] if by_row else []), before, predicted)
-                out = {"before": before[first], "predicted": predicted[first], "n": n}
-                yield pd.DataFrame({"id": part["id"].values[at[first]], "row": part["row"].values[at[first]]} | out if by_row else out)
-
-    own = f"id {docs.schema['id'].dataType.simpleString()}, row long, " if by_row else ""
-    return docs.mapInPandas(run, f"{own}before long, predicted long, n long")
-
-
-def _fit_whole(docs: DataFrame, slim: DataFrame, target: DataFrame) -> StoredPair:
-    sample = stored(_word_counts(slim.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0)), "lm-sample")
-    short = np.sort(_commonest(sample, SHORT).select("word").toArrow()["word"].to_numpy())
-    shared = docs.sparkSession.sparkContext.broadcast(short)
-    none = F.lit(0).cast("long")
-    both = _pairs(slim, shared).withColumn("t", none).unionByName(_pairs(target, shared).withColumnRenamed("n", "t").withColumn("n", none))
-    return StoredPair(docs, short, stored(both.groupBy("before", "predicted").agg(F.sum("n").alias("n"), F.sum("t").alias("t")), "lm-counts"))
-
-
-def fit(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int | None = None, bigrams: int | None = None) -> NgramPair:
-    """Models of all docs and of those whose id is in target_ids (one column). Null texts count as empty; ids are integers. Every word
-    and bigram is kept, unless vocabulary and bigrams ask for small models of the commonest."""
+#: Words of a batch, or one document, and the hash ranges there are for each shuffle partition and for so many words at least.
+BATCH, RANGES, RANGE_WORDS = 1 << 21, 8, 1 << 20
+#: Prior weight of a word's followers: its count to this power.
+HEAPS = 0.75
+#: What a batch's words are counted for.
+NOTHING, BACKGROUND, TARGET = 0, 1, 2
+START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
+
+
+def pack(numbers: np.ndarray) -> bytes:
+    """Whole numbers as their byte planes, zeros left out, compressed."""
+    flat = np.ascontiguousarray(numbers, np.uint64)
+    width = int(flat.max()).bit_length() // 8 + 1 if len(flat) else 0
+    planes = flat.view(np.uint8).reshape(-1, 8)[:, : min(width, 8)].T
+    return bytes([min(width, 8)]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    width = raw[0]
+    if not width:
+        return np.empty(0, np.uint64)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view(np.uint64).ravel()
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    return pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpack_sorted(raw: bytes) -> np.ndarray:
+    return np.cumsum(unpack(raw), dtype=np.uint64)
+
+
+def batches(docs: DataFrame, counted: int) -> DataFrame:
+    """docs (id, text) in rows (batch, counted, n_docs, n_words, ids, lengths, words, tokens): the distinct words' sorted hashes, and of each token its word's place."""
+
+    def row(ids: list, hashes: list, batch: int) -> pd.DataFrame:
+        words, tokens = np.unique(np.concatenate(hashes), return_inverse=True)
+        lengths = [len(h) for h in hashes]
+        made = {"n_docs": len(ids), "n_words": len(tokens), "lengths": pack(np.array(lengths)), "words": pack_sorted(words), "tokens": pack(tokens)}
+        return pd.DataFrame([{"batch": batch, "counted": counted, "ids": ids} | made])[["batch", "counted", "n_docs", "n_words", "ids", "lengths", "words", "tokens"]]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache, ids, hashes, size = WordHashes(), [], [], 0
+        batch = (counted << 56) + (TaskContext.get().partitionId() << 32)
+        for p in parts:
+            for i, text in zip(p["id"].tolist(), p["text"].tolist(), strict=True):
+                words = (text or "").encode("utf-8", "replace").lower().split()
+                ids.append(i)
+                hashes.append(np.fromiter(map(cache.__getitem__, words), np.uint64, len(words)))
+                size += len(words)
+                if size >= BATCH or len(ids) >= BATCH:
+                    yield row(ids, hashes, batch)
+                    batch, ids, hashes, size = batch + 1, [], [], 0
+        if ids:
+            yield row(ids, hashes, batch)
+
+    kind = docs.schema["id"].dataType.simpleString()
+    asked = docs.select("id", F.coalesce("text", F.lit("")).alias("text")).withColumn("id", F.col("id").cast("string"))  # as text, so that a null stays one
+    made = asked.mapInPandas(run, "batch long, counted int, n_docs long, n_words long, ids array<string>, lengths binary, words binary, tokens binary")
+    return made.withColumn("ids", F.col("ids").cast(f"array<{kind}>"))
+
+
+def _bigrams(words: np.ndarray, tokens: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, place of the first word, place of the second, first bigram of each document) of all bigrams; len(words) is the place of a document's start and end."""
+    n, edge = lengths + 1, len(words)
+    starts = np.cumsum(n) - n
+    second = np.full(int(n.sum()), edge, np.int64)
+    inner = np.ones(len(second), bool)
+    inner[starts + lengths] = False
+    second[inner] = tokens
+    first = np.concatenate([[edge], second[:-1]]) if len(second) else second
+    first[starts] = edge
+    before, after = np.append(words, START), np.append(words, END)
+    return _mix(before[first] * np.uint64(0x9E3779B97F4A7C15) + _mix(after[second])), first, second, starts
+
+
+def _contents(r) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return unpack_sorted(r.words), unpack(r.tokens).astype(np.int64), unpack(r.lengths).astype(np.int64)
+
+
+def _places(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Where each of the 2**bits hash ranges begins, and the end, in sorted keys."""
+    return np.append(np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(keys))
+
+
+def requests(packed: DataFrame, bits: int) -> DataFrame:
+    """(part, batch, counted, bigrams, bigram_n, words, word_n): what a batch has in a hash range, and how often."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            for r in p.itertuples():
+                words, tokens, lengths = _contents(r)
+                keys, n = np.unique(_bigrams(words, tokens, lengths)[0], return_counts=True)
+                word_n = np.bincount(tokens, minlength=len(words))
+                at, word_at = _places(keys, bits), _places(words, bits)
+                out = []
+                for k in range(1 << bits):
+                    a, b, c, d = at[k], at[k + 1], word_at[k], word_at[k + 1]
+                    if b > a or d > c:
+                        out.append((k, r.batch, r.counted, pack_sorted(keys[a:b]), pack(n[a:b]), pack_sorted(words[c:d]), pack(word_n[c:d])))
+                yield pd.DataFrame(out, columns=["part", "batch", "counted", "bigrams", "bigram_n", "words", "word_n"])
+
+    return packed.mapInPandas(run, "part int, batch long, counted int, bigrams binary, bigram_n binary, words binary, word_n binary")
+
+
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray], counted: np.ndarray) -> tuple[list[list[np.ndarray]], int]:
+    """For each list of keys the background and the target count of each, over all lists, and the number of distinct counted keys."""
+    flat, sizes = np.concatenate(keys), [len(k) for k in keys]
+    distinct, place = np.unique(flat, return_inverse=True)
+    n, of = np.concatenate(counts).astype(np.int64), np.repeat(counted, sizes)
+    both, seen = [], np.zeros(len(distinct), bool)
+    for kind in (BACKGROUND, TARGET):
+        total = np.zeros(len(distinct), np.int64)
+        np.add.at(total, place[of == kind], n[of == kind])
+        seen |= total > 0
+        both.append(np.split(total[place], np.cumsum(sizes)[:-1]))
+    return both, int(seen.sum())
+
+
+def answers(asked: DataFrame) -> DataFrame:
+    """(batch, part, kinds, bigram_n, bigram_t, word_n, word_t): the counts of what the batch has in the range; kinds, the range's words, is told to one batch."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("batch", ignore_index=True)  # another attempt gives the same answer
+        counted = group["counted"].to_numpy()
+        (bn, bt), _ = _summed([unpack_sorted(x) for x in group["bigrams"]], [unpack(x) for x in group["bigram_n"]], counted)
+        (wn, wt), kinds = _summed([unpack_sorted(x) for x in group["words"]], [unpack(x) for x in group["word_n"]], counted)
+        packed = {c: [pack(x) for x in v] for c, v in (("bigram_n", bn), ("bigram_t", bt), ("word_n", wn), ("word_t", wt))}
+        out = pd.DataFrame({"batch": group["batch"], "part": group["part"], "kinds": np.where(np.arange(len(group)) == 0, kinds, 0)} | packed)
+        return out[counted != TARGET] if (counted != TARGET).any() else out.iloc[:1]
+
+    return asked.groupBy("part").applyInPandas(run, "batch long, part int, kinds long, bigram_n binary, bigram_t binary, word_n binary, word_t binary")
+
+
+@dataclass
+class Pair:
+    """The documents of both models; the models themselves are made range by range while documents are scored."""
+
+    docs: DataFrame
+    background: DataFrame
+    target: DataFrame
+
+
+def fit(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Pair:
+    """Models of all docs and of those whose id is in target_ids (one column). Null texts count as empty; a null id is in no target; rows that repeat an id are all in
+    the target or none."""
     slim = keyed(docs, id_col, text_col).toDF("id", "text")
     wanted = target_ids.toDF("digest").distinct()
     # one plan at every size: the bitmap keeps other texts from being moved, whatever the number of ids
     target = may_hit(slim.withColumn("digest", F.col("id")), filter_of(wanted)).join(wanted.hint("merge"), "digest", "left_semi").select("id", "text")
-    if vocabulary is None or bigrams is None:
-        return _fit_whole(docs, slim, target)
-    words = stored(_word_counts(slim), "lm-words")
-    kept = _commonest(words, vocabulary).select("word").toArrow()["word"].to_numpy()
-    known = np.sort(kept)
-    shared = docs.sparkSession.sparkContext.broadcast(known)
-    background = stored(_bigram_counts(slim, shared), "lm-background")
-    wanted_counts = stored(_bigram_counts(target, shared), "lm-target")
-    chosen = stored(_commonest(background, bigrams), "lm-chosen")
-    both = chosen.join(wanted_counts.select("key", F.col("n").alias("t")), "key", "left").select("key", "n", F.coalesce("t", F.lit(0)).cast("long").alias("t")).toArrow()
-    keys = both["key"].to_numpy()
-    order = np.argsort(keys)
-    single = np.zeros((2, len(known) + FIRST), np.int64)
-    for m, counts in enumerate((background, wanted_counts)):
-        by_word = counts.groupBy(F.col("key").bitwiseAND(F.lit((1 << ID_BITS) - 1)).alias("w")).agg(F.sum("n").alias("n")).toArrow()
-        single[m, by_word["w"].to_numpy()] = by_word["n"].to_numpy()
-    return NgramPair(known, single, keys[order], np.stack([both["n"].to_numpy()[order], both["t"].to_numpy()[order]]))
-
-
-def score(docs: DataFrame, models: NgramPair, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return Pair(docs, slim, target)
+
+
+def score(docs: DataFrame, models: Pair, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_tokens (words and the end sign), target_loss, background_loss (nats per token), score
     (target_loss - background_loss).
 
-    Words are A-Z lower-cased; those that the models have never seen, or small models haven't kept, are one unknown word. Null, empty and white texts have the end sign alone. Texts are read
-    whole; repeated rows score alike; other columns are not read; no row gives no row.
+    Words are A-Z lower-cased and told apart by 64-bit hashes, as bigrams are. A word that the models have never seen counts as a kind seen nowhere. Null, empty and white texts have the
+    end sign alone. Texts are read whole; repeated rows score alike; other columns are not read; no row gives no row.
     """
-    slim = keyed(docs, id_col, text_col).toDF("id", "text")
-    if isinstance(models, StoredPair):
-        return _score_whole(docs, slim, models).withColumnRenamed("id", id_col)
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache, pair = WordHashes(), shared.value
-        for b in batches:
-            for part in _slices(b, 1 << 18):
-                before, predicted, starts = _keys(_tokens(part["text"].where(part["text"].notna(), "").tolist(), cache), pair.vocabulary)
-                loss = -np.add.reduceat(pair.log_probabilities(before, predicted), starts, axis=1)
-                n = np.diff(np.append(starts, len(predicted)))
-                yield pd.DataFrame({"id": part["id"].values, "n_tokens": n, "target_loss": loss[1] / n, "background_loss": loss[0] / n})
-
-    out = slim.mapInPandas(run, f"id {slim.schema['id'].dataType.simpleString()}, n_tokens long, target_loss double, background_loss double")
-    return out.withColumn("score", F.col("target_loss") - F.col("background_loss")).withColumnRenamed("id", id_col)
-
-
-def _score_whole(docs: DataFrame, slim: DataFrame, models: StoredPair) -> DataFrame:
-    """Both sides of the join have plain exchanges of one key, so that adaptive execution can split a common bigram."""
-    table = stored(models.table(docs, slim), "lm-logs")
-    shared = docs.sparkSession.sparkContext.broadcast(models.vocabulary)
-    own = _pairs(slim.withColumn("row", F.monotonically_increasing_id()), shared, by_row=True).select("id", "row", _pair().alias("key"), F.col("n").cast("int").alias("n"))
-    sums = own.join(table.hint("merge"), "key").groupBy("id", "row").agg(F.sum("n").alias("n_tokens"), *(F.sum(F.col("n") * F.col(c)).alias(c) for c in ("target", "background")))
-    loss = lambda c: (-F.col(c) / F.col("n_tokens")).alias(f"{c}_loss")
-    return sums.select("id", "n_tokens", loss("target"), loss("background")).withColumn("score", F.col("target_loss") - F.col("background_loss"))
+    own = docs is models.docs
+    packed = batches(models.background, BACKGROUND).unionByName(batches(models.target, TARGET))
+    if not own:
+        packed = packed.unionByName(batches(keyed(docs, id_col, text_col).toDF("id", "text"), NOTHING))
+    packed = stored(packed, "lm-batches")
+    sums = {r["counted"]: r for r in packed.groupBy("counted").agg(F.sum("n_docs").alias("docs"), F.sum("n_words").alias("words")).collect()}
+    partitions = RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bits = max(partitions, sum(r["words"] for r in sums.values()) // RANGE_WORDS, 1).bit_length()
+    told = stored(answers(requests(packed, bits)), "lm-answers")
+    kinds = told.agg(F.sum("kinds")).first()[0] or 0
+    of = lambda k: (sums[k]["docs"], sums[k]["words"]) if k in sums else (0, 0)
+    # the end sign and a word never seen are kinds too
+    ends, sizes = zip(*((d, d + w + kinds + 2) for d, w in map(of, (BACKGROUND, TARGET))), strict=True)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            for r in p.itertuples():
+                words, tokens, lengths = _contents(r)
+                keys, first, second, starts = _bigrams(words, tokens, lengths)
+                place = np.unique(keys, return_inverse=True)[1]
+                told = sorted(r.told, key=lambda x: x["part"])
+                loss = []
+                for m, kind in enumerate("nt"):
+                    count = np.concatenate([unpack(x[f"bigram_{kind}"]) for x in told]).astype(float)[place]
+                    seen = np.append(np.concatenate([unpack(x[f"word_{kind}"]) for x in told]).astype(float), ends[m])
+                    base, prior = (seen + 1) / sizes[m], seen**HEAPS
+                    p1, weight, total = base[second], prior[first], seen[first]
+                    log = np.log(np.where(total > 0, (count + weight * p1) / np.maximum(total + weight, 1), p1))
+                    loss.append(-np.add.reduceat(log, starts) / (lengths + 1))
+                yield pd.DataFrame({"id": list(r.ids), "n_tokens": lengths + 1, "target_loss": loss[1], "background_loss": loss[0]}).astype({"id": object})
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    fields = F.struct("part", "bigram_n", "bigram_t", "word_n", "word_t")
+    replies = told.groupBy("batch").agg(F.collect_list(fields).alias("told"))
+    mine = packed.where(F.col("counted") == (BACKGROUND if own else NOTHING)).select("batch", F.col("ids").cast("array<string>").alias("ids"), "lengths", "words", "tokens")
+    out = mine.join(replies, "batch").mapInPandas(run, "id string, n_tokens long, target_loss double, background_loss double")
+    return out.select(F.col("id").cast(kind).alias(id_col), "n_tokens", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score"))
