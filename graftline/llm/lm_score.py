@@ -25,8 +25,8 @@ from graftline.llm.common import keyed, stored
 from graftline.llm.exact_dedup import filter_of, may_hit
 from graftline.llm.near_dedup import WordHashes, _mix
 
-#: Words of a batch, or one document, and the hash ranges there are for each shuffle partition and for so many words at least.
-BATCH, RANGES, RANGE_WORDS = 1 << 21, 8, 1 << 20
+#: Words of a batch, or one document; words of a hash range, and the bits of a hash that tell ranges apart at least.
+BATCH, RANGE_WORDS, RANGE_BITS = 1 << 20, 1 << 20, 7
 #: Prior weight of a word's followers: its count to this power.
 HEAPS = 0.75
 #: What a batch's words are counted for.
@@ -108,9 +108,11 @@ def _contents(r) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return unpack_sorted(r.words), unpack(r.tokens).astype(np.int64), unpack(r.lengths).astype(np.int64)
 
 
-def _places(keys: np.ndarray, bits: int) -> np.ndarray:
-    """Where each of the 2**bits hash ranges begins, and the end, in sorted keys."""
-    return np.append(np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(keys))
+def _ranges(keys: np.ndarray, bits: int) -> dict[int, slice]:
+    """The part of sorted keys in each hash range that has some."""
+    top = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    first = np.flatnonzero(np.diff(top, prepend=-1))
+    return {int(top[a]): slice(a, b) for a, b in zip(first, np.append(first[1:], len(keys)), strict=True)}
 
 
 def requests(packed: DataFrame, bits: int) -> DataFrame:
@@ -122,12 +124,11 @@ def requests(packed: DataFrame, bits: int) -> DataFrame:
                 words, tokens, lengths = _contents(r)
                 keys, n = np.unique(_bigrams(words, tokens, lengths)[0], return_counts=True)
                 word_n = np.bincount(tokens, minlength=len(words))
-                at, word_at = _places(keys, bits), _places(words, bits)
+                at, word_at, none = _ranges(keys, bits), _ranges(words, bits), slice(0, 0)
                 out = []
-                for k in range(1 << bits):
-                    a, b, c, d = at[k], at[k + 1], word_at[k], word_at[k + 1]
-                    if b > a or d > c:
-                        out.append((k, r.batch, r.counted, pack_sorted(keys[a:b]), pack(n[a:b]), pack_sorted(words[c:d]), pack(word_n[c:d])))
+                for k in sorted(at.keys() | word_at.keys()):
+                    a, b = at.get(k, none), word_at.get(k, none)
+                    out.append((k, r.batch, r.counted, pack_sorted(keys[a]), pack(n[a]), pack_sorted(words[b]), pack(word_n[b])))
                 yield pd.DataFrame(out, columns=["part", "batch", "counted", "bigrams", "bigram_n", "words", "word_n"])
 
     return packed.mapInPandas(run, "part int, batch long, counted int, bigrams binary, bigram_n binary, words binary, word_n binary")
@@ -194,8 +195,7 @@ def score(docs: DataFrame, models: Pair, id_col: str = "doc_id", text_col: str =
         packed = packed.unionByName(batches(keyed(docs, id_col, text_col).toDF("id", "text"), NOTHING))
     packed = stored(packed, "lm-batches")
     sums = {r["counted"]: r for r in packed.groupBy("counted").agg(F.sum("n_docs").alias("docs"), F.sum("n_words").alias("words")).collect()}
-    partitions = RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bits = max(partitions, sum(r["words"] for r in sums.values()) // RANGE_WORDS, 1).bit_length()
+    bits = max(RANGE_BITS, (sum(r["words"] for r in sums.values()) // RANGE_WORDS).bit_length())
     told = stored(answers(requests(packed, bits)), "lm-answers")
     kinds = told.agg(F.sum("kinds")).first()[0] or 0
     of = lambda k: (sums[k]["docs"], sums[k]["words"]) if k in sums else (0, 0)
