@@ -112,7 +112,7 @@ def _ranges(keys: np.ndarray, bits: int) -> dict[int, slice]:
     """The part of sorted keys in each hash range that has some."""
     top = (keys >> np.uint64(64 - bits)).astype(np.int64)
     first = np.flatnonzero(np.diff(top, prepend=-1))
-    return {int(top[a]): slice(a, b) for a, b in zip(first, np.append(first[1:], len(keys)), strict=True)}
+    return {int(top[a]): slice(a, b) for a, b in zip(first, np.append(first, len(keys))[1:], strict=True)}
 
 
 def requests(packed: DataFrame, bits: int) -> DataFrame:
