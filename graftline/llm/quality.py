@@ -1,46 +1,45 @@
-"""Quality classification by compression: texts are compressed in chunks under a zstandard dictionary built from good and
-one built from bad labelled text. The difference of the two sizes over their sum, with how far the text can be compressed at
-all, is calibrated to the probability of a good label on labelled rows that built neither dictionary.
+"""Quality classification by compression: a text is compressed in short chunks under a zstandard dictionary of good and one of
+bad labelled text. The difference of the two sizes, divided by the text's own, is the only thing that a score depends on: one monotone
+map, fitted on labelled rows that built neither dictionary, makes it the probability of a good label.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graftline.llm.common import keyed, sample_by_hash
 
-CHUNK = 1024
-DICTIONARY = 112_640
+#: Bytes of a chunk, so few that a text gains nothing by repeating itself; bytes of a dictionary and of its pieces; the level of compression.
+CHUNK, DICTIONARY, PIECE, LEVEL = 64, 262_144, 256, 3
 #: Bounds of the training sample: labelled documents of smallest hash, and bytes of all their whole texts. Scoring knows no such bound.
 FIT_DOCS, FIT_BYTES = 6_000, 96_000_000
 
 
-def pieces(raw: bytes, n: int = CHUNK) -> list[bytes]:
+def pieces(raw: bytes, n: int) -> list[bytes]:
     return [raw[i : i + n] for i in range(0, len(raw), n)]
 
 
 def dictionary(texts: list[str], size: int = DICTIONARY) -> bytes:
-    """A trained dictionary, or the plain text where there is too little of it to train on."""
-    samples = [p for t in texts for p in pieces(t.encode())]
-    try:
-        return zstandard.train_dictionary(size, samples, level=1).as_bytes()
-    except zstandard.ZstdError:
-        return b"".join(samples)[-size:]
+    """Raw dictionary content: pieces of all the texts in order of their hash, as many as it holds."""
+    found = sorted({p for t in texts for p in pieces(t.encode("utf-8", "replace"), PIECE)}, key=lambda p: (xxhash.xxh3_64_intdigest(p), p))
+    return b"".join(found[: -(-size // PIECE) * 2])[:size]
 
 
 class CompressionClassifier:
-    """Two dictionaries and the calibration of what they show."""
+    """Two dictionaries and the calibration (slope, offset) of the size difference under them."""
 
-    def __init__(self, good: bytes, bad: bytes, weights: np.ndarray | None = None):
-        self.good, self.bad, self.weights = good, bad, weights
+    def __init__(self, good: bytes, bad: bytes, slope: float = 0.0, offset: float = 0.0):
+        self.good, self.bad, self.slope, self.offset = good, bad, slope, offset
         self._ready = None
 
     def __getstate__(self) -> dict:
@@ -50,37 +49,35 @@ class CompressionClassifier:
         """Bytes, and compressed bytes under either dictionary, of the whole text."""
         if self._ready is None:
             self._ready = []
+            form = zstandard.ZstdCompressionParameters.from_level(LEVEL, write_content_size=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
             for raw in (self.good, self.bad):
-                kept = zstandard.ZstdCompressionDict(raw)
-                kept.precompute_compress(level=1)
-                self._ready.append(zstandard.ZstdCompressor(level=1, dict_data=kept, write_content_size=False, write_dict_id=False))
+                kept = {"dict_data": zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)} if raw else {}
+                self._ready.append(zstandard.ZstdCompressor(compression_params=form, **kept))
         raw = text.encode("utf-8", "replace")
-        parts = pieces(raw)
+        parts = pieces(raw, CHUNK)
         good, bad = (sum(len(c.compress(p)) for p in parts) for c in self._ready)
         return len(raw), good, bad
 
-    def features(self, text: str) -> list[float]:
+    def difference(self, text: str) -> float:
+        """Bytes that the good dictionary saves more than the bad one, for each byte of text, as a signed square root; 0 for an empty text."""
         n, good, bad = self.sizes(text)
-        if not n:
-            return [1.0, 0.0, 0.0, 0.0, 0.0, 0.0]
-        d, r = (bad - good) / (good + bad), min(1.0, min(good, bad) / n)
-        return [1.0, 10 * d, 10 * min(d, 0.03), 10 * max(0.0, 0.2 - r), 10 * max(0.0, 0.35 - r), 100 * d * max(0.0, 0.35 - r)]
-
-    def calibrate(self, texts: list[str], labels: list[int], ridge: float = 1e-2, steps: int = 60) -> CompressionClassifier:
-        """Logistic calibration by Newton steps."""
-        x, y = np.array([self.features(t) for t in texts]).reshape(-1, 6), np.array(labels, float)
-        w = np.zeros(6)
+        return math.copysign(math.sqrt(abs(bad - good) / n), bad - good) if n else 0.0
+
+    def calibrate(self, texts: list[str], labels: list[int], ridge: float = 1e-3, steps: int = 60) -> CompressionClassifier:
+        """Logistic calibration by Newton steps; the slope doesn't fall below zero."""
+        x, y = np.array([[self.difference(t), 1.0] for t in texts]).reshape(-1, 2), np.array(labels, float)
+        w = np.zeros(2)
         for _ in range(steps if len(y) else 0):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            hessian = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(6)
+            hessian = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(2)
             step = np.linalg.solve(hessian, x.T @ (y - p) - ridge * w)
             w += step * min(1.0, 3 / max(1e-9, np.abs(step).max()))
-        self.weights = w
+        self.slope, self.offset = max(0.0, float(w[0])), float(w[1])
         return self
 
     def score(self, text: str) -> float:
-        z = float(np.dot(self.features(text), self.weights))
-        return 1 / (1 + np.exp(-min(30.0, max(-30.0, z))))
+        z = self.slope * self.difference(text) + self.offset
+        return float(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
 
 
 def held_out(doc_id) -> bool:
@@ -111,7 +108,7 @@ def classify(docs: DataFrame, model: CompressionClassifier, id_col: str = "doc_i
     """One row per input row: id, held_out (crc32 of the id as text, mod 5, is 0), score (0 to 1) and predicted (score >= cut).
 
     Whole texts are compressed, chunk by chunk, in constant memory beside the text. A null or empty text has no difference
-    and gets the calibration's base score. Repeated rows score alike; other columns are not read; no row gives no row.
+    and gets the score of one. Repeated rows score alike; other columns are not read; no row gives no row.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -1,9 +1,11 @@
+import math
 import zlib
 
 import pytest
+import zstandard
 
 from graftline.llm.common import table
-from graftline.llm.quality import CompressionClassifier, classify, fit, keep_good
+from graftline.llm.quality import CompressionClassifier, classify, dictionary, fit, keep_good
 
 SF = "/root/testdata/sf0.1"
 
@@ -31,6 +33,31 @@ def test_held_out_rows_are_told_apart(spark, model):
     assert sum(r.predicted for r in held if r.quality) / sum(r.quality for r in held) > 0.99
 
 
+def test_scores_match_a_plain_version(spark, model):
+    """One monotone map of the size difference: sizes by a compressor of its own, order and map held against it."""
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    form = zstandard.ZstdCompressionParameters.from_level(3, write_content_size=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+
+    def size(raw, known):
+        squeeze = zstandard.ZstdCompressor(compression_params=form, dict_data=zstandard.ZstdCompressionDict(known, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+        return sum(len(squeeze.compress(raw[i : i + 64])) for i in range(0, len(raw), 64))
+
+    text = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    gain = {i: (size(t, model.bad) - size(t, model.good)) / len(t) if t else 0.0 for i, t in text.items()}
+    want = {i: math.sqrt(g) if g > 0 else -math.sqrt(-g) for i, g in gain.items()}
+    got = {r.doc_id: r.score for r in classify(docs, model).collect()}
+    assert got.keys() == want.keys() and model.slope > 0
+    assert all(math.isclose(math.log(got[i] / (1 - got[i])), min(30, max(-30, model.slope * want[i] + model.offset)), rel_tol=1e-6, abs_tol=1e-6) for i in want)
+
+
+def test_dictionaries_hold_pieces_of_their_own_texts():
+    texts = [f"text {i} " * 400 for i in range(400)]
+    known, whole = dictionary(texts), [t.encode() for t in texts]
+    assert len(known) == 262_144 and known == dictionary(texts[::-1])
+    assert dictionary(["short"]) == b"short" and dictionary([]) == b""
+    assert any(known[:200] in w for w in whole)
+
+
 def test_edge_rows(spark, model):
     rows = [(1, None, 0.0, "a"), (2, "", 0.0, "a"), (3, "a" * 300_000, 0.0, "a"), (3, "a" * 300_000, 0.0, "a"), (None, "The and", 0.0, "b")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score double, id string")
