@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graftline.llm.common import keyed, stored
-from graftline.llm.exact_dedup import filter_of, may_hit
+from graftline.llm.exact_dedup import probe
 from graftline.llm.url_filter import host_and_path
 
 #: A class is valid when so many pages hold it, whatever the host's number, and at most this share of them more than once.
@@ -221,7 +221,7 @@ def _skips(pages: DataFrame, known: DataFrame) -> DataFrame:
                 yield pd.DataFrame(rows, columns=["tag", "host", "path"])
 
     held = pages.mapInPandas(run, "tag long, host string, path string").withColumn("digest", F.xxhash64("host", "path"))
-    near = may_hit(held, filter_of(known.select(F.xxhash64("host", "path").alias("digest")))).drop("digest").distinct()
+    near = probe(held, known.select(F.xxhash64("host", "path").alias("digest"))).drop("digest").distinct()
     return near.join(known, ["host", "path"]).groupBy("tag").agg(F.array_join(F.collect_list("skip"), "\n").alias("skip"))
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graftline.llm.common import keyed, stored
-from graftline.llm.exact_dedup import filter_of, may_hit
+from graftline.llm.exact_dedup import probe
 from graftline.llm.near_dedup import WordHashes, _mix
 
 #: Words of a batch, or one document; words of a hash range, and the bits of a hash that tell ranges apart at least.
@@ -176,9 +176,9 @@ def fit(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col
     """Models of all docs and of those whose id is in target_ids (one column). Null texts count as empty; a null id is in no target; rows that repeat an id are all in
     the target or none."""
     slim = keyed(docs, id_col, text_col).toDF("id", "text")
-    wanted = target_ids.toDF("digest").distinct()
+    wanted = stored(target_ids.toDF("digest").distinct(), "lm-target")
     # one plan at every size: the bitmap keeps other texts from being moved, whatever the number of ids
-    target = may_hit(slim.withColumn("digest", F.col("id")), filter_of(wanted)).join(wanted.hint("merge"), "digest", "left_semi").select("id", "text")
+    target = probe(slim.withColumn("digest", F.col("id")), wanted).join(wanted.hint("merge"), "digest", "left_semi").select("id", "text")
     return Pair(docs, slim, target)
 
 

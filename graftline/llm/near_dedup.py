@@ -6,7 +6,8 @@ documents that share a band are candidates, and every link is confirmed on the f
 
 Equal sets are one class from the start, whatever their number. Of a band's bucket only links that can still join two
 components are worth a check: first all members against one pivot, then members outside the bucket's largest component
-against those of other components, in bounded blocks, so that no candidate pair between two components is left out.
+against those of other components, in bounded blocks, so that no candidate pair between two components is left out. Blocks
+are screened by signatures; only rows that have a likely partner in a block bring their sets there.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graftline.llm.common import keyed, stored
-from graftline.llm.exact_dedup import filter_of, may_hit
+from graftline.llm.exact_dedup import probe
 from graftline.operators.components import components
 
 WORDS = 5
@@ -30,7 +31,7 @@ WIDTH = BANDS * ROWS
 #: Places on the circle.
 CIRCLE = 1 << 20
 #: Rows of a block that are held against CHUNK others in one unit of work.
-BLOCK, CHUNK = 64, 1024
+BLOCK, CHUNK = 256, 1024
 #: Candidates whose signatures agree on less than this share of coordinates have a likeness under 0.75 but for odds of
 #: about one in 30,000, as bands have of missing a pair (0.75: share 0.75 +- 0.04).
 LEAST_SHARE = 0.6
@@ -157,27 +158,27 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame
     return pairs.join(side("b"), "b").join(side("a"), "a").mapInPandas(run, "a long, b long")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, shingles) of the wanted ids: a bitmap of bounded size keeps most other texts from being moved."""
+def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, shingles) of the wanted classes at least: a filter keeps most other texts from being moved. Rows that repeat an id with another text are classes of their own."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = WordHashes()
         for b in batches:
             for at in range(0, len(b), 500):
-                part = b.iloc[at : at + 500]
-                yield pd.DataFrame({"id": part["id"].values, "shingles": [shingle_set(t, cache).tobytes() for t in part["text"]]})
+                sets = [shingle_set(t, cache).tobytes() for t in b["text"].iloc[at : at + 500]]
+                yield pd.DataFrame({"digest": [xxhash.xxh3_128_digest(s) for s in sets], "shingles": sets})
 
-    wanted = wanted.select(F.col("id").alias("digest"))
-    near = may_hit(docs.withColumn("digest", F.col("id")), filter_of(wanted))
-    found = near.join(wanted, "digest", "left_semi").select("id", "text").dropDuplicates(["id"])
-    return found.mapInPandas(run, "id long, shingles binary")
+    owners = stored(classes.join(wanted, "id", "left_semi").select(F.col("rep").alias("digest")).distinct(), "near-owners")
+    near = probe(docs.where("text is not null").withColumn("digest", F.col("id")), owners).select("id", "text", F.xxhash64("text").alias("h"))
+    found = near.dropDuplicates(["id", "h"]).select("text").mapInPandas(run, "digest binary, shingles binary")
+    return found.select(F.xxhash64("digest").alias("id"), "shingles")
 
 
 def _across(rows: DataFrame, comp: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame | None:
     """Confirmed links (a, b) between components that meet in a bucket, or None where no bucket holds two components.
 
-    In each such bucket, rows outside its largest component meet all rows of other components, in units of BLOCK by CHUNK rows
-    that bring their sets and signatures. A pair is looked at in the first band of which it shares the bucket, and a unit tells only the links that join
+    In each such bucket, rows outside its largest component meet all rows of other components, in units of BLOCK by CHUNK rows. First
+    signatures alone meet; rows with a likely partner in a unit then bring their sets to it. A pair is looked at in the first band of which it shares the bucket, and a unit tells only the links that join
     two of its components, so what it returns is less than its rows.
     """
     known = stored(rows.join(comp, "id", "left").withColumn("comp", F.coalesce("component_id", "id")).drop("component_id"), "near-rows")
@@ -187,34 +188,55 @@ def _across(rows: DataFrame, comp: DataFrame, sets: DataFrame, classes: DataFram
     stats = stored(stats, "near-open")
     if stats.isEmpty():
         return None
-    met = stored(known.join(stats, "bucket"), "near-met").join(sets, "id").join(classes.select("id", "sig"), "id")
+    met = stored(known.join(stats, "bucket"), "near-met").join(classes.select("id", "sig"), "id")
     blocks, parts = F.ceil(F.col("n_out") / BLOCK), F.ceil(F.col("n_all") / CHUNK)
     own_block, own_part = F.pmod(F.xxhash64("id"), blocks), F.pmod(F.xxhash64("id", F.lit(1)), parts)
     unit = lambda k, r, left: F.struct(k.alias("k"), r.alias("r"), F.lit(left).alias("left"))
     right = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda k: unit(k, own_part, False))
     left = F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda r: unit(own_block, r, True))
     dealt = F.when(F.col("comp") == F.col("main"), right).otherwise(F.concat(right, left))
-    units = met.select("bucket", "band", "id", "n", "sig", "comp", "shingles", F.inline(dealt))
-    return units.groupBy("bucket", "k", "r").applyInPandas(_unit, "a long, b long").distinct()
+    units = met.select("bucket", "band", "id", "n", "sig", "comp", F.inline(dealt))
+    likely_rows = units.groupBy("bucket", "k", "r").applyInPandas(_screen, units.schema)
+    brought = stored(likely_rows, "near-screened").join(sets, "id")
+    return brought.groupBy("bucket", "k", "r").applyInPandas(_unit, "a long, b long").distinct()
+
+
+def _fits(i: int, xs: np.ndarray, zs: np.ndarray, n: int, others: np.ndarray, band: int) -> np.ndarray:
+    """Which of the signatures zs, of sets of other sizes, may be linked with row i of xs and share no bucket of an earlier band."""
+    equal = xs[i] == zs
+    seen = equal[:, : ROWS * band].reshape(len(zs), -1, ROWS).all(axis=2).any(axis=1)
+    return (equal.mean(axis=1) >= LEAST_SHARE) & ~seen & (100 * np.minimum(n, others) >= 75 * np.maximum(n, others))
+
+
+def _sides(group: pd.DataFrame) -> tuple:
+    x, y = group[group["left"]], group[~group["left"]]
+    xs, zs = (np.frombuffer(b"".join(g["sig"]), np.uint32).reshape(len(g), WIDTH) for g in (x, y))
+    return x, y, xs, zs, int(group["band"].iloc[0])
+
+
+def _screen(group: pd.DataFrame) -> pd.DataFrame:
+    """A unit's rows that have a likely partner of another component in it."""
+    x, y, xs, zs, band = _sides(group)
+    left, right = np.zeros(len(x), bool), np.zeros(len(y), bool)
+    xn, yn, xc, yc = x["n"].values, y["n"].values, x["comp"].values, y["comp"].values
+    for i in range(len(x) if len(y) else 0):
+        fits = _fits(i, xs, zs, xn[i], yn, band) & (yc != xc[i])
+        left[i] = fits.any()
+        right |= fits
+    return pd.concat([x[left], y[right]])
 
 
 def _unit(group: pd.DataFrame) -> pd.DataFrame:
     """Links of one unit's left rows with its right rows."""
-    x, y = group[group["left"]], group[~group["left"]]
+    x, y, xs, zs, band = _sides(group)
     found: list[tuple[int, int]] = []
     if len(x) and len(y):
-        band = ROWS * int(x["band"].iloc[0])
-        xs, zs = (np.frombuffer(b"".join(g["sig"]), np.uint32).reshape(len(g), WIDTH) for g in (x, y))
         xn, yn, xi, yi = x["n"].values, y["n"].values, x["id"].values, y["id"].values
         ys = [np.frombuffer(s, np.uint64) for s in y["shingles"]]
         known = pd.factorize(np.concatenate([x["comp"].values, y["comp"].values]))[0]
         own, other = known[: len(x)], known[len(x) :].copy()
         for i in range(len(x)):
-            equal = xs[i] == zs
-            share = equal.mean(axis=1)
-            seen = equal[:, :band].reshape(len(y), -1, ROWS).all(axis=2).any(axis=1)
-            fits = (share >= LEAST_SHARE) & ~seen & (100 * np.minimum(xn[i], yn) >= 75 * np.maximum(xn[i], yn)) & (other != own[i])
-            hits = np.flatnonzero(fits)
+            hits = np.flatnonzero(_fits(i, xs, zs, xn[i], yn, band) & (other != own[i]))
             if not len(hits):
                 continue
             mine = np.frombuffer(x["shingles"].iloc[i], np.uint64)
@@ -237,21 +259,24 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     (id = component_id).
 
     Two rows are linked when 100 * |A and B| >= 75 * |A or B| over their sets of distinct five-word shingles. A text of fewer
-    words is one shingle; null, empty and white texts have no shingle and no link, and are kept. Equal sets are one class. Rows
-    that repeat an id are one document. A null id is linked with nothing: its component_id is null and it is kept. Texts of any length
+    words is one shingle; null, empty and white texts have no shingle and no link, and are kept. Equal sets are one class, known by a hash of the set. Rows
+    that repeat an id are one document, with the links of each of their texts. A null id is linked with nothing: its component_id is null and it is kept. Texts of any length
     are read whole; other columns are not read; no row gives no row. Ids are integers.
     """
     slim = keyed(docs, id_col, text_col).toDF("id", "text").withColumn("id", F.col("id").cast("long"))
-    sigs = stored(signatures(slim, "id", "text"), "near-signatures")
-    classes = stored(sigs.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig")), "near-classes")
-    comp = stored(_link(slim, classes), "near-components")
-    own = stored(classes.select("digest", F.col("id").alias("rep")).join(comp, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("component_id", "rep").alias("component_id")), "near-membership")
-    told = sigs.select("id", "n", "digest").join(own, "digest", "left")
+    sigs = stored(signatures(slim, "id", "text").withColumn("class", F.xxhash64("digest")), "near-signatures")
+    held = sigs.where("digest is not null and id is not null")
+    classes = stored(held.groupBy(F.col("class").alias("id")).agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "near-classes")
+    comp = _link(slim, classes, held)
+    own = stored(classes.select(F.col("id").alias("class"), "rep").join(comp, F.col("class") == F.col("id"), "left").select("class", F.coalesce("component_id", "class").alias("comp"), "rep"), "near-membership")
+    least = own.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    own = stored(own.join(least, "comp").select("class", "component_id"), "near-membership")
+    told = sigs.select("id", "n", F.when(F.col("digest").isNotNull(), F.col("class")).alias("class")).join(own, "class", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return told.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-def _link(docs: DataFrame, classes: DataFrame) -> DataFrame:
+def _link(docs: DataFrame, classes: DataFrame, held: DataFrame) -> DataFrame:
     """(id, component_id) of the classes that have a link."""
     rows = _band_rows(classes)
     keys = rows.select("bucket", "id", F.xxhash64("id", F.pmod(F.col("bucket"), F.lit(2))).alias("draw"))
@@ -259,8 +284,11 @@ def _link(docs: DataFrame, classes: DataFrame) -> DataFrame:
     shared = stored(shared.where("c > 1").select("bucket", F.col("pivot.id").alias("pivot")), "near-buckets")
     rows = stored(rows.join(shared, "bucket"), "near-candidates")
     pairs = rows.where("id <> pivot").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct()
-    sets = stored(_sets(docs, rows.select("id").distinct()), "near-sets")
-    links = stored(confirmed(stored(likely(stored(pairs, "near-pairs"), classes), "near-likely"), sets), "near-links")
+    sets = stored(_sets(docs, classes, rows.select("id").distinct()), "near-sets")
+    links = confirmed(stored(likely(stored(pairs, "near-pairs"), classes), "near-likely"), sets)
+    twice = held.groupBy("id").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select("id", "a")
+    same = held.join(twice, "id").select("a", F.col("class").alias("b")).where("a <> b").distinct()  # texts of one id
+    links = stored(links.unionByName(same), "near-links")
     comp = stored(components(links), "near-components")
     more = _across(rows.where("id <> pivot").drop("pivot"), comp, sets, classes)
     return comp if more is None else components(links.unionByName(stored(more, "near-links")))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graftline.llm.common import keyed, stored
-from graftline.llm.exact_dedup import filter_of, may_hit
+from graftline.llm.exact_dedup import probe
 from graftline.llm.near_dedup import WordHashes, _mix
 
 WINDOW = 35
@@ -142,7 +142,7 @@ def factors(spans: np.ndarray) -> list[list[int]]:
 def _by_id(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """rows with the text of their id: a bitmap of bounded size keeps most other texts from being moved."""
     wanted = rows.select(F.col("id").alias("digest"))
-    near = may_hit(docs.withColumn("digest", F.col("id")), filter_of(wanted))
+    near = probe(docs.withColumn("digest", F.col("id")), wanted)
     return rows.join(near.select("id", "text"), "id")
 
 
@@ -163,7 +163,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     index = units.groupBy("anchor").agg(F.min("unit").alias("u0"), F.max("unit").alias("u1"), F.min(at).alias("low"), F.max(at).alias("high"))
     index = stored(index.where("low <> high").select("anchor", (F.col("u0") == F.col("u1")).alias("same"), "low", "high"), "rlz-index")
 
-    hits = may_hit(units.withColumn("digest", F.col("anchor")), filter_of(index.select(F.col("anchor").alias("digest")))).drop("digest", "unit")
+    hits = probe(units.withColumn("digest", F.col("anchor")), index.select(F.col("anchor").alias("digest"))).drop("digest", "unit")
     hits = stored(hits.join(index, "anchor"), "rlz-hits")
     ref = F.when(F.col("low") == at, F.col("high")).otherwise(F.col("low"))
     whole = hits.where("same").select("doc", "start", "count", ref.alias("ref"))

@@ -62,6 +62,49 @@ def test_edges(spark):
     assert {(r.doc_id, r.component_id, r.kept) for r in near_dedup(docs).collect()} == {(4, 4, True), (None, None, True), (9, 4, False)}
 
 
+def test_buckets_of_many_components(spark, monkeypatch):
+    """Many small groups that share most of their words, so that buckets hold many components, in blocks smaller than buckets: no link is lost."""
+    monkeypatch.setattr("graftline.llm.near_dedup.BLOCK", 4)
+    monkeypatch.setattr("graftline.llm.near_dedup.CHUNK", 8)
+    rng, rows = random.Random(11), []
+    base = [f"w{rng.randrange(9000)}" for _ in range(200)]
+    for g in range(40):  # likeness to the base and so to other groups is about 0.6 to 0.8
+        own = list(base)
+        for k in range(5):
+            own[rng.randrange(200)] = f"g{g}_{k}"
+        for _ in range(4):
+            w = list(own)
+            for k in range(rng.randrange(6)):
+                w[rng.randrange(200)] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    rng.shuffle(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute(rows)
+    assert len({c for _, c, _ in want.values()}) > 5 and {i: (want[i], got[i]) for i in want if want[i] != got[i]} == {}
+
+
+def test_recall_of_random_pairs(spark):
+    """Pairs spread over all likenesses from 0.75 on: each is found."""
+    rng, rows = random.Random(5), []
+    for g in range(400):
+        w = [f"p{g}_{k}" for k in range(150)]
+        rows.append((2 * g, " ".join(w)))
+        for k in rng.sample(range(5, 145), rng.randrange(0, 4)):
+            w[k] = "changed"
+        rows.append((2 * g + 1, " ".join(w)))
+    got = {r.doc_id: r.component_id for r in near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    linked = [i for i, (_, c, _) in brute(rows).items() if i % 2 and c != i]
+    assert len(linked) > 300 and [i for i in linked if got[i] != i - 1] == []
+
+
+def test_texts_of_one_id_are_one_document(spark):
+    """An id with two texts has the links of both; reruns agree."""
+    one, two, three = (" ".join(f"{c}{k}" for k in range(40)) for c in "abc")
+    docs = spark.createDataFrame([(7, one), (7, two), (3, one), (9, two), (9, two), (8, three), (5, three + " more")], "doc_id long, text string")
+    for df in (docs, docs.repartition(5)):
+        assert sorted((r.doc_id, r.component_id) for r in near_dedup(df).collect()) == [(3, 3), (5, 5), (7, 3), (7, 3), (8, 5), (9, 3), (9, 3)]
+
+
 def test_signature_estimates_likeness():
     cache, rng, errors = WordHashes(), random.Random(1), []
     for _ in range(60):
