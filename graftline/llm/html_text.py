@@ -1,20 +1,20 @@
 """Main text of web pages by equivalence-class template deduction.
 
-A token is an element's open tag in the context of its open ancestors. Tokens of one host with the same occurrence vector over
+A token is an element's open tag, or a block of text, in the context of its open ancestors. Tokens of one host with the same occurrence vector over
 its pages form an equivalence class; vectors are compared by a sum of per-page hashes times counts, so they are built by partial sums and
-no host's pages ever meet in one task. Classes that enough pages hold, not all alike, and whose tokens occur once on nearly all of them are valid; by their paths they nest in one
-another and make the host's template, of which each page is given the classes that it holds. Its regions are fixed (the same text on every page that has it once), navigation (mostly link text) or slots with the pages' own text. Fixed
-and navigation regions, and regions that say what they are by tag, class, id or role, are left out of the extracted slots; where the template
-has an article or main region, only that is kept.
+no host's pages ever meet in one task. A class is valid when it has several tokens, enough pages hold it, not all alike, and nearly all of them once. Valid
+classes nest by their tokens' contexts and make the host's template: its text is the same wherever a page holds the class, its regions of link text are navigation,
+and what is between its tokens are slots, the pages' own text, which is extracted. Where a page has an article or main region, that is the slot, and only it is kept.
+Regions that say by tag, class, id or role that they are no article are left out in any case.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
@@ -24,8 +24,8 @@ from graftline.llm.common import keyed, stored
 from graftline.llm.exact_dedup import probe
 from graftline.llm.url_filter import host_and_path
 
-#: A class is valid when so many pages hold it, whatever the host's number, and at most this share of them more than once.
-SUPPORT_PAGES, REPEAT_SHARE = 5, 0.05
+#: A class is valid when it has so many tokens and so many pages hold it, whatever the host's number, and at most this share of them more than once.
+CLASS_TOKENS, SUPPORT_PAGES, REPEAT_SHARE = 2, 5, 0.05
 #: A region with this share of its text in links is navigation.
 LINK_SHARE = 0.6
 
@@ -41,12 +41,13 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words of class, id or role that name a region which is not the article.
 SKIP_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment commentlist comments consent cookie cookies disqus footer form gdpr header login masthead menu modal nav navbar navigation navigationbar newsletter notice notices pagination popup promo promoted promotion related reply replies search share sharing sidebar signup skyscraper social sponsor sponsored subscribe subscription toolbar widget".split())
 
+#: No part is read twice, whatever is left open: a tag ends before another begins, what follows an open comment or raw element belongs to it.
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<({'|'.join(RAW)})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?][^>]*>"
-    r"|[^<]+|<",
+    rf"|<({'|'.join(RAW)})\b(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+>.*?(?:</\1\s*+>|\Z)"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>"
+    r"|<[!?][^>]*+(?:>|\Z)"
+    r"|[^<]++|<",
     re.S | re.I,
 )
 NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -55,12 +56,13 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    """An open element: its tag, its path, and whether its text is left out or belongs to the article."""
+    """An open element: its tag, its token's hash, whether its text is left out or belongs to the article, and its text's characters, those in links among them."""
 
-    __slots__ = ("tag", "path", "skip", "main")
+    __slots__ = ("tag", "key", "above", "skip", "main", "chars", "links", "holds")
 
-    def __init__(self, tag: str, path: str, skip: bool, main: bool):
-        self.tag, self.path, self.skip, self.main = tag, path, skip, main
+    def __init__(self, tag: str, key: int, above: int | None, skip: bool, main: bool):
+        self.tag, self.key, self.above, self.skip, self.main = tag, key, above, skip, main
+        self.chars, self.links, self.holds = 0, 0, main
 
 
 def label(tag: str, attributes: str, inside: bool) -> tuple[str, bool]:
@@ -72,19 +74,21 @@ def label(tag: str, attributes: str, inside: bool) -> tuple[str, bool]:
     for kind, *values in NAMES.findall(attributes):
         value = "".join(values)
         words += [w.lower() for w in PIECES.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value))]
-        out.append(f"{kind.lower()[0]}={re.sub(r'[0-9]+', '0', SPACE.sub(' ', value.strip()))[:80]}")
+        out.append(f"{kind.lower()[0]}={re.sub(r'[0-9]+', '0', SPACE.sub(' ', value.strip()))}")
     title = inside or tag in HEADINGS
     named = tag not in MAIN and tag not in ("html", "body") and any(w in SKIP_WORDS and not (title and w == "header") for w in words)
     return f"{tag}[{','.join(sorted(out))}]" if out else tag, tag in SKIPPED or named
 
 
 class Page:
-    """Reads a page once. events gets (path, text characters, link characters, text) of each container; blocks the text."""
+    """Reads a page once, in time and memory in proportion to it. skip: hashes of template tokens. tokens: hash -> [number, hash of the container above, is text, characters,
+    those in links, holds an article]; blocks: the text that is not left out."""
 
     def __init__(self, source: str, skip: frozenset | set = frozenset()):
         self.skip, self.blocks, self.parts, self.has_main = skip, [], [], False
-        self.stack = [Node("", "", False, False)]
-        self.seen: dict[str, list] = {}
+        self.stack = [Node("", 0, None, False, False)]
+        self.open: Counter = Counter()
+        self.tokens: dict[int, list] = {}
         self.links = 0
         for m in TOKEN.finditer(source):
             kind = m[3]
@@ -97,32 +101,51 @@ class Page:
             else:
                 self._open(kind.lower(), m[4])
         self._flush()
+        self._pop(1)
 
     def _text(self, text: str) -> None:
         top = self.stack[-1]
         if not top.skip:
             self.parts.append(text)
         n = len(text.strip())
-        if n:
-            h = xxhash.xxh3_64_intdigest(text)
-            for node in {id(x): x for x in self.stack if x.tag in CONTAINER}.values():
-                s = self.seen[node.path]
-                s[1] += n
-                s[2] += n * (self.links > 0)
-                s[3] = s[3] * 31 + h & 0xFFFFFFFFFFFFFFFF
+        top.chars += n
+        top.links += n * (self.links > 0)
+
+    def _token(self, key: int, above: int, text: bool, chars: int, links: int, holds: bool) -> None:
+        t = self.tokens.setdefault(key, [0, above, text, 0, 0, False])
+        t[0], t[3], t[4], t[5] = t[0] + 1, t[3] + chars, t[4] + links, t[5] or holds
 
     def _flush(self) -> None:
         if self.parts:
             text = SPACE.sub(" ", html.unescape("".join(self.parts))).strip()
             if text:
-                self.blocks.append((text, self.stack[-1].main))
+                top = self.stack[-1]
+                key = xxhash.xxh3_64_intdigest(text, seed=top.key ^ 1)
+                if not top.main:
+                    self._token(key, top.key, True, len(text), 0, False)
+                if key not in self.skip or top.main:
+                    self.blocks.append((text, top.main))
             self.parts = []
 
+    def _push(self, node: Node) -> None:
+        self.stack.append(node)
+        self.open[node.tag] += 1
+
+    def _pop(self, to: int) -> None:
+        """Ends the elements from place to on."""
+        while len(self.stack) > to:
+            node = self.stack.pop()
+            self.open[node.tag] -= 1
+            below = self.stack[-1]
+            below.chars, below.links, below.holds = below.chars + node.chars, below.links + node.links, below.holds or node.holds
+            if node.above is not None:
+                self._token(node.key, node.above, False, node.chars, node.links, node.holds)
+
     def _open(self, tag: str, attributes: str) -> None:
         if tag in BLOCK:
             self._flush()
             while self.stack[-1].tag in ("p", tag) and tag not in CONTAINER or self.stack[-1].tag == "p":
-                self.stack.pop()  # left out and never closed
+                self._pop(len(self.stack) - 1)  # left out and never closed
         elif tag == "br":
             self.parts.append(" ")
         if tag in VOID or attributes.rstrip().endswith("/"):
@@ -134,95 +157,81 @@ class Page:
         name, skip = label(tag, attributes, top.main)
         if tag not in CONTAINER and tag not in SKIPPED:
             if skip:  # p, li, span and the like only count where they are left out
-                self.stack.append(Node(tag, top.path, True, top.main))
+                self._push(Node(tag, top.key, None, True, top.main))
             return
-        path = f"{top.path}>{name}"
+        key = xxhash.xxh3_64_intdigest(name, seed=top.key)
         if tag == "header":
             skip = not top.main  # the header of an article holds its title
-        self.seen.setdefault(path, [0, 0, 0, 0])[0] += 1
         main = top.main or tag in MAIN
-        skip = top.skip or skip or path in self.skip
+        skip = top.skip or skip or (key in self.skip and not main)
         self.has_main |= main and not skip
-        self.stack.append(Node(tag, path, skip, main))
+        self._push(Node(tag, key, top.key, skip, main))
 
     def _close(self, tag: str) -> None:
         if tag == "a":
             self.links = max(0, self.links - 1)
         if tag in BLOCK:
             self._flush()
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k].tag == tag:
-                del self.stack[k:]
-                self.links = 0 if tag in CONTAINER else self.links
-                return
+        if self.open[tag]:
+            at = len(self.stack) - 1
+            while self.stack[at].tag != tag:
+                at -= 1
+            self._pop(at)
+            self.links = 0 if tag in CONTAINER else self.links
 
     def text(self) -> str:
         return "\n\n".join(t for t, main in self.blocks if main or not self.has_main)
 
 
+def _signed(key: int) -> int:
+    return key - (1 << 64) if key >> 63 else key
+
+
 def observations(pages: DataFrame) -> DataFrame:
-    """(host, path, mark, page, n, chars, link_chars, text) of every container on every page; mark and page are hashes of the page, with and without its id."""
+    """(host, tag, token, above, is_text, mark, page, n, chars, link_chars, holds) of every token on every page; mark and page are hashes of the page, with and without its id.
+    Text is a token only where a page has no article, as no other text is left to the template."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for at in range(0, len(b), 200):
-                part, rows = b.iloc[at : at + 200], []
-                for i, host, source in part[["id", "host", "html"]].itertuples(index=False):
-                    mark = xxhash.xxh32_intdigest(f"{i}\n{source[:200]}") if source else 0
-                    page = np.uint64(xxhash.xxh3_64_intdigest(source)).astype(np.int64) if source else 0
-                    for path, (n, chars, links, text) in Page(source).seen.items() if source else ():
-                        rows.append((host, path, mark, page, n, chars, links, np.uint64(text).astype(np.int64)))
-                yield pd.DataFrame(rows, columns=["host", "path", "mark", "page", "n", "chars", "link_chars", "text"])
-
-    return pages.mapInPandas(run, "host string, path string, mark long, page long, n long, chars long, link_chars long, text long")
-
-
-def templates(pages: DataFrame) -> DataFrame:
-    """(host, path, skip): of each class of a host's template that has some, the paths that are fixed or navigation, as text, one a
-    line, and one path by which a page is known to hold the class: its members are on the same pages.
-
-    A class is valid as a whole, by its support and its share of repeats; one whose pages are copies of one another cannot be told from content. A member nests if the container above it belongs to a valid class, this
-    or another. What is collected of a class is on one page, so its size is bounded by a page's, whatever the host's.
+            for at in range(0, len(b), 100):
+                part, rows = b.iloc[at : at + 100], []
+                for i, host, tag, source in part[["id", "host", "tag", "html"]].itertuples(index=False):
+                    if not source:
+                        continue
+                    page, read = xxhash.xxh3_64_intdigest(source), Page(source)
+                    mark = xxhash.xxh32_intdigest(f"{i}\n{page}")
+                    for key, (n, above, text, chars, links, holds) in read.tokens.items():
+                        if not (text and read.has_main):
+                            rows.append((host, tag, _signed(key), _signed(above), text, mark, _signed(page), n, chars, links, holds))
+                yield pd.DataFrame(rows, columns=["host", "tag", "token", "above", "is_text", "mark", "page", "n", "chars", "link_chars", "holds"])
+
+    return pages.mapInPandas(run, "host string, tag long, token long, above long, is_text boolean, mark long, page long, n int, chars long, link_chars long, holds boolean")
+
+
+def templates(seen: DataFrame) -> DataFrame:
+    """(host, token) of each host's template that a page which holds them leaves out: text, and regions of link text that hold no article.
+
+    A token belongs if its class is valid and it nests: the container that it stands in belongs to a valid class, this or another. A class whose pages are copies of
+    one another cannot be told from content, nor one that is a single token.
     """
-    seen = observations(pages)
-    once = F.when(F.col("n") == 1, F.col("text"))
-    tokens = seen.groupBy("host", "path").agg(
+    tokens = seen.groupBy("host", "token").agg(
         F.sum((F.col("mark") * F.col("n")).cast("decimal(38,0)")).alias("vector"),
-        F.count(F.lit(1)).alias("on_pages"),
+        F.count(F.lit(1)).alias("support"),
         F.count(F.when(F.col("n") > 1, 1)).alias("repeats"),
         (F.min("page") != F.max("page")).alias("vary"),
+        F.min("above").alias("above"),
+        F.max("is_text").alias("is_text"),
         F.sum("chars").alias("chars"),
         F.sum("link_chars").alias("link_chars"),
-        F.min(once).alias("first_text"),
-        F.max(once).alias("last_text"),
+        F.max("holds").alias("holds"),
     )
-    member = F.struct("path", "chars", "link_chars", (F.col("first_text") == F.col("last_text")).alias("fixed"))
-    classes = tokens.groupBy("host", "vector").agg(F.max("on_pages").alias("support"), F.max("repeats").alias("repeats"), F.max("vary").alias("vary"), F.collect_list(member).alias("members"))
-    valid = classes.where((F.col("support") >= SUPPORT_PAGES) & F.col("vary") & (F.col("repeats") <= REPEAT_SHARE * F.col("support")))
-    members = stored(valid.select("host", "vector", F.inline("members")), "html-classes")
-    parts = F.split("path", ">")
-    up = lambda k: F.array_join(F.slice(parts, 1, k), ">")
-    inside = members.withColumn("above", up(F.size(parts) - 1)).join(members.select("host", F.col("path").alias("above"), F.lit(True).alias("held")), ["host", "above"], "left")
-    main = F.regexp_like("path", F.lit(r">(article|main)(\[|>|$)"))
-    around = members.where(main).select("host", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), up)).alias("path")).distinct()
-    drop = (F.col("chars") > 0) & (F.col("fixed") | (F.col("link_chars") >= LINK_SHARE * F.col("chars")))
-    left_out = inside.where((F.col("held") | (F.col("above") == "")) & drop & ~main).join(around, ["host", "path"], "left_anti")
-    return left_out.groupBy("host", "vector").agg(F.min("path").alias("path"), F.array_join(F.collect_list("path"), "\n").alias("skip")).drop("vector")
-
-
-def _skips(pages: DataFrame, known: DataFrame) -> DataFrame:
-    """(tag, skip) of the pages that hold a class with regions to leave out. A bitmap of bounded size keeps most other paths from being moved."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for at in range(0, len(b), 200):
-                part = b.iloc[at : at + 200]
-                rows = [(tag, host, path) for tag, host, source in part[["tag", "host", "html"]].itertuples(index=False) if source for path in Page(source).seen]
-                yield pd.DataFrame(rows, columns=["tag", "host", "path"])
-
-    held = pages.mapInPandas(run, "tag long, host string, path string").withColumn("digest", F.xxhash64("host", "path"))
-    near = probe(held, known.select(F.xxhash64("host", "path").alias("digest"))).drop("digest").distinct()
-    return near.join(known, ["host", "path"]).groupBy("tag").agg(F.array_join(F.collect_list("skip"), "\n").alias("skip"))
+    tokens = stored(tokens.where((F.col("support") >= SUPPORT_PAGES) & F.col("vary") & (F.col("repeats") <= REPEAT_SHARE * F.col("support"))), "html-tokens")
+    classes = tokens.groupBy("host", "vector").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= CLASS_TOKENS)
+    members = stored(tokens.join(classes, ["host", "vector"]), "html-classes")
+    around = members.where(~F.col("is_text")).select("host", F.col("token").alias("above"), F.lit(True).alias("held"))
+    nested = members.join(around, ["host", "above"], "left").where(F.col("held") | (F.col("above") == 0))
+    links = (F.col("chars") > 0) & (F.col("link_chars") >= LINK_SHARE * F.col("chars")) & ~F.col("holds")
+    return nested.where(F.col("is_text") | links).select("host", "token")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -231,21 +240,25 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     Character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined in page
     order by two line feeds. A null or empty page, or one with no text outside left-out regions, has an empty text. Pages with a
     null URL or none with ://, share the empty host. Hosts with fewer than SUPPORT_PAGES pages have no template and go by what the
-    regions say of themselves. Repeated rows give their row each; other columns are not read; no row gives no row. Broken
+    regions say of themselves; so does a page of which the template would leave nothing. Repeated rows give their row each; other columns are not read; no row gives no row. Broken
     markup is read as far as it goes: unclosed elements end with their container.
     """
     slim = keyed(pages, id_col, url_col, html_col).toDF("id", "url", "html")
-    hosted = slim.withColumn("host", host_and_path(F.col("url"))[0])
-    known = stored(templates(hosted.select(F.col("id").cast("string").alias("id"), "host", "html")), "html-templates")
-    hosted = hosted.withColumn("tag", F.xxhash64("host", "html"))  # pages of one host and source are read alike
-    skips = stored(_skips(hosted.select("tag", "host", "html"), known), "html-skips")
+    hosted = slim.withColumn("host", host_and_path(F.col("url"))[0]).withColumn("tag", F.xxhash64("host", "html"))  # pages of one host and source are read alike
+    seen = stored(observations(hosted.select(F.col("id").cast("string").alias("id"), "host", "tag", "html")), "html-tokens")
+    known = stored(templates(seen), "html-template")
+    held = probe(seen.select("host", "tag", "token", F.xxhash64("host", "token").alias("digest")), known.select(F.xxhash64("host", "token").alias("digest")))
+    skips = stored(held.join(known, ["host", "token"]).groupBy("tag").agg(F.collect_set("token").alias("skip")), "html-skips")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def text(source: str | None, skip) -> str:
+            left_out = frozenset(int(x) & 0xFFFFFFFFFFFFFFFF for x in skip) if skip is not None else frozenset()
+            return (left_out and Page(source, left_out).text() or Page(source).text()) if source else ""
+
         for b in batches:
             for at in range(0, len(b), 200):
                 part = b.iloc[at : at + 200]
-                texts = [Page(h, frozenset(s.split("\n")) if s else frozenset()).text() if h else "" for h, s in zip(part["html"], part["skip"], strict=True)]
-                yield pd.DataFrame({"id": part["id"].values, "url": part["url"].values, "text": texts})
+                yield pd.DataFrame({"id": part["id"].values, "url": part["url"].values, "text": [text(h, s) for h, s in zip(part["html"], part["skip"], strict=True)]})
 
     joined = hosted.join(skips, "tag", "left").select("id", "url", "html", "skip")
     out = joined.mapInPandas(run, f"id {slim.schema['id'].dataType.simpleString()}, url string, text string")
