@@ -31,7 +31,7 @@ WIDTH = BANDS * ROWS
 #: Places on the circle.
 CIRCLE = 1 << 20
 #: Rows of a block that are held against CHUNK others in one unit of work.
-BLOCK, CHUNK = 256, 1024
+BLOCK, CHUNK = 256, 512
 #: Candidates whose signatures agree on less than this share of coordinates have a likeness under 0.75 but for odds of
 #: about one in 30,000, as bands have of missing a pair (0.75: share 0.75 +- 0.04).
 LEAST_SHARE = 0.6
