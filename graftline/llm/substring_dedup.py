@@ -26,10 +26,6 @@ from graftline.llm.near_dedup import WordHashes, _mix
 WINDOW = 35
 GRAM = 8
 BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Bits of a location that hold the word's place; the others hold the document's hash.
-PLACE_BITS = 28
-#: Stands for a null id.
-NO_ID = -(1 << 63)
 
 
 @lru_cache(maxsize=1)
@@ -87,23 +83,24 @@ class Parsed:
 
 
 def location(doc: Column, place: Column) -> Column:
-    return F.call_function("shiftleft", doc, F.lit(PLACE_BITS)).bitwiseOR(place.cast("long"))
+    """A place in all documents: 62 bits of the document's hash, and as many places on as the word has in it."""
+    return F.shiftright(doc, 2) + place.cast("long")
 
 
 def parse(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(id, doc, n_words, sha, anchors, units, starts, counts): doc is a hash of the word sequence, sha of all words."""
+    """docs (id, text, raw) as (id, raw, doc, n_words, sha, anchors, units, starts, counts): doc is a hash of the word sequence, sha of all words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = WordHashes()
         for b in batches:
             for at in range(0, len(b), 250):
                 part, rows = b.iloc[at : at + 250], []
-                for i, t in zip(part["id"], part["text"].where(part["text"].notna(), ""), strict=True):
+                for i, t, raw in zip(part["id"], part["text"], part["raw"], strict=True):
                     p = Parsed(t, cache)
-                    rows.append((i, p.doc, len(p.words), hashlib.sha256(b" ".join(p.words)).hexdigest(), *p.units(window)))
-                yield pd.DataFrame(rows, columns=["id", "doc", "n_words", "sha", "anchors", "units", "starts", "counts"])
+                    rows.append((i, raw, p.doc, len(p.words), hashlib.sha256(b" ".join(p.words)).hexdigest(), *p.units(window)))
+                yield pd.DataFrame(rows, columns=["id", "raw", "doc", "n_words", "sha", "anchors", "units", "starts", "counts"])
 
-    return docs.mapInPandas(run, "id long, doc long, n_words long, sha string, anchors array<long>, units array<long>, starts array<int>, counts array<int>")
+    return docs.mapInPandas(run, f"id {docs.schema['id'].dataType.simpleString()}, raw binary, doc long, n_words long, sha string, anchors array<long>, units array<long>, starts array<int>, counts array<int>")
 
 
 def _windows(joined: DataFrame, window: int) -> DataFrame:
@@ -116,8 +113,8 @@ def _windows(joined: DataFrame, window: int) -> DataFrame:
                 part, out = b.iloc[at : at + 250], []
                 for doc, text, anchor, start, count in part[["doc", "text", "anchor", "start", "count"]].itertuples(index=False):
                     p = Parsed(text, cache)
-                    if p.doc != doc:  # another row of the same id
-                        continue
+                    if p.doc != doc:
+                        raise ValueError("two texts of one hash")
                     start, count = np.asarray(start, np.int64), np.asarray(count, np.int64)
                     places = np.repeat(start - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
                     out.append(pd.DataFrame({"anchor": np.repeat(np.asarray(anchor, np.int64), count), "hash": p.ranges(places, places + window).view(np.int64), "doc": doc, "start": places.astype(np.int32)}))
@@ -139,11 +136,11 @@ def factors(spans: np.ndarray) -> list[list[int]]:
     return out
 
 
-def _by_id(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """rows with the text of their id: a bitmap of bounded size keeps most other texts from being moved."""
-    wanted = rows.select(F.col("id").alias("digest"))
-    near = probe(docs.withColumn("digest", F.col("id")), wanted)
-    return rows.join(near.select("id", "text"), "id")
+def _with_text(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows (of one document each) with the text that has the hash raw. Equal texts are one before they are moved, whatever their ids; a filter keeps most others from being moved."""
+    wanted = rows.select(F.col("raw").alias("digest"))
+    near = probe(docs.select(F.col("raw").alias("digest"), "text"), wanted).groupBy(F.col("digest").alias("raw")).agg(F.first("text").alias("text"))
+    return rows.join(near, "raw")
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -152,12 +149,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A word is removed when a window of so many consecutive words of its document covers it whose sequence also starts
     anywhere else, in this or another row. Windows are judged on the input. Texts with fewer words lose none; null and empty texts have no
     word. Rows of one word sequence, repeated rows too, are copies of one another and lose all words if they have a window.
-    A null id is an id; other columns are not read; no row gives no row. Ids are integers. Very long texts (to 2**28 words)
+    Ids are only carried along: null and repeated ones cost nothing more. Other columns are not read; no row gives no row. Very long texts
     are read whole.
     """
-    slim = keyed(docs, id_col, text_col).toDF("id", "text").withColumn("id", F.coalesce(F.col("id").cast("long"), F.lit(NO_ID)))
+    slim = keyed(docs, id_col, text_col).toDF("id", "text").select("id", F.coalesce("text", F.lit("")).alias("text")).withColumn("raw", F.unhex(F.md5(F.col("text").cast("binary"))))
     parsed = stored(parse(slim, window), "rlz-parse")
-    classes = stored(parsed.groupBy("doc").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("id")), "rlz-classes")
+    classes = stored(parsed.groupBy("doc").agg(F.count(F.lit(1)).alias("copies"), F.min("raw").alias("raw")), "rlz-classes")
     units = parsed.select("doc", F.inline(F.arrays_zip("anchors", "units", "starts", "counts"))).toDF("doc", "anchor", "unit", "start", "count")
     at = location(F.col("doc"), F.col("start"))
     index = units.groupBy("anchor").agg(F.min("unit").alias("u0"), F.max("unit").alias("u1"), F.min(at).alias("low"), F.max(at).alias("high"))
@@ -170,15 +167,15 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     mixed = hits.where("not same").select("doc", "anchor", "start", "count").distinct()
     mixed = mixed.groupBy("doc").agg(F.collect_list(F.struct("anchor", "start", "count")).alias("m")).join(classes, "doc")
-    mixed = stored(mixed.select("id", "doc", F.col("m.anchor").alias("anchor"), F.col("m.start").alias("start"), F.col("m.count").alias("count")), "rlz-mixed")
-    windows = stored(_windows(_by_id(slim, mixed), window), "rlz-windows")
+    mixed = stored(mixed.select("raw", "doc", F.col("m.anchor").alias("anchor"), F.col("m.start").alias("start"), F.col("m.count").alias("count")), "rlz-mixed")
+    windows = stored(_windows(_with_text(slim, mixed), window), "rlz-windows")
     met = windows.groupBy("anchor", "hash").agg(F.min(at).alias("low"), F.max(at).alias("high"))
     met = stored(met.where("low <> high"), "rlz-met")
     single = windows.join(met, ["anchor", "hash"]).select("doc", "start", F.lit(1).alias("count"), ref.alias("ref"))
 
     lone = classes.where("copies = 1")
     spans = whole.unionByName(single).groupBy("doc").agg(F.collect_set(F.struct("start", "count", "ref")).alias("spans"))
-    spans = stored(spans.join(lone, "doc").select("id", "doc", "spans"), "rlz-spans")
+    spans = stored(spans.join(lone, "doc").select("raw", "doc", "spans"), "rlz-spans")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = WordHashes()
@@ -186,17 +183,18 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             out = []
             for doc, text, found in b[["doc", "text", "spans"]].itertuples(index=False):
                 p = Parsed(text, cache)
-                if p.doc == doc:
-                    parts = factors(sorted((s["start"], s["count"], s["ref"]) for s in found))
-                    out.append((doc, *p.kept([(a, a + n - 1 + window) for a, n, _ in parts]), len(parts)))
+                if p.doc != doc:
+                    raise ValueError("two texts of one hash")
+                parts = factors(sorted((s["start"], s["count"], s["ref"]) for s in found))
+                out.append((doc, *p.kept([(a, a + n - 1 + window) for a, n, _ in parts]), len(parts)))
             yield pd.DataFrame(out, columns=["doc", "n_removed", "sha", "n_factors"])
 
-    done = stored(_by_id(slim, spans).mapInPandas(cut, "doc long, n_removed long, sha string, n_factors long"), "rlz-cut")
-    fates = stored(classes.drop("id").join(done, "doc", "left"), "rlz-fates")  # so that one plain join meets a class of many copies
+    done = stored(_with_text(slim, spans).mapInPandas(cut, "doc long, n_removed long, sha string, n_factors long"), "rlz-cut")
+    fates = stored(classes.drop("raw").join(done, "doc", "left"), "rlz-fates")  # so that one plain join meets a class of many copies
     told = parsed.select("id", "doc", "n_words", F.col("sha").alias("all_sha")).join(fates, "doc")
     copy = (F.col("copies") > 1) & (F.col("n_words") >= window)
     return told.select(
-        F.nullif("id", F.lit(NO_ID)).alias(id_col),
+        F.col("id").alias(id_col),
         "n_words",
         F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(copy, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("sha", "all_sha")).alias("kept_sha256"),

@@ -50,5 +50,15 @@ def test_random_overlaps_with_short_windows(spark):
         assert run(spark, rows, window) == brute(rows, window)
 
 
+def test_null_and_repeated_ids_are_only_carried(spark):
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    texts = [" ".join(words[k % 50 : k % 50 + 60] + [f"own{k}"]) for k in range(300)]
+    rows = [(None if k % 2 else 7, t) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame([(str(i) if i else None, t) for i, t in rows], "doc_id string, text string")
+    got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup(docs).collect()), key=str)
+    assert got == sorted(((str(i) if i else None, *x) for i, *x in brute(rows)), key=str)
+
+
 def test_factors_follow_the_reference():
     assert factors([(0, 2, 100), (2, 3, 102), (5, 1, 900), (7, 1, 902)]) == [[0, 5, 100], [5, 1, 900], [7, 1, 902]]
