@@ -7,14 +7,17 @@ ones, until it holds a single hash. The threshold then says per row whether it i
 from __future__ import annotations
 
 from fractions import Fraction
+from math import ceil, floor
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graftline.llm.common import WORD, keyed, stored
 
 LEVELS, LEVEL_BITS = 5, 12
 HASH_BITS = LEVELS * LEVEL_BITS
+#: Sources are a dimension; one row of each reaches the driver, and more than so many are refused.
+MOST_SOURCES = 1_000_000
 
 
 def word_count(text: Column) -> Column:
@@ -49,8 +52,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     threshold once more, so taken is at most most * size and a source's sum misses its target by less than half its
     boundary row. A null or empty text has size 0 and gives nothing; a null source is one source; rows that repeat an id
     have one hash and go together. The hash is of the id and the seed, so reruns agree. No row gives no row.
-    Sources are a dimension: one row of each reaches the driver, and nothing else but LEVELS histograms of
-    sources x 2**LEVEL_BITS sums, cut to the boundary row by row in the executors.
+    Sources are a dimension: one row of each reaches the driver, and nothing else; histograms stay in the executors, one source's in one task. More than MOST_SOURCES
+    sources raise an error.
     """
     spark = docs.sparkSession
     slim = keyed(docs, id_col, text_col, source_col).select(
@@ -60,15 +63,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         F.shiftrightunsigned(F.xxhash64(F.col(f"`{id_col}`"), F.lit(seed)), 64 - HASH_BITS).alias("hash"),
     )
     sized = stored(slim, "mix-sizes")
-    sizes = {r["source"]: r["size"] for r in sized.groupBy("source").agg(F.sum("size").alias("size")).collect()}
+    totals = stored(sized.groupBy("source").agg(F.sum("size").alias("size")), "mix-sources")
+    if totals.count() > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
+    sizes = {r["source"]: r["size"] for r in totals.collect()}
     goal = targets(sizes, weights, most)
     whole = {s: int(t / sizes[s]) if sizes[s] else 0 for s, t in goal.items()}
     left = {s: goal[s] - whole[s] * sizes[s] for s in goal}
-    low = thresholds(sized, {s: v for s, v in left.items() if v > 0})
-    rows = [(_key(s), sizes[s], float(goal[s]), whole[s], low.get(s, 0)) for s in sizes]
-    plan = spark.createDataFrame(rows, "_key string, source_size long, target double, _whole long, _below long")
-    if len(rows) <= 100_000:  # else the join shuffles
-        plan = F.broadcast(plan)
+    rows = [(_key(s), sizes[s], float(goal[s]), whole[s]) for s in sizes]
+    plan = spark.createDataFrame(rows, "_key string, source_size long, target double, _whole long")
+    plan = stored(plan.join(thresholds(sized, {s: v for s, v in left.items() if v > 0}), "_key", "left").na.fill(0, ["_below"]), "mix-plan")
     joined = sized.withColumn("_key", key(F.col("source"))).join(plan, "_key")
     taken = F.col("size") * (F.col("_whole") + (F.col("hash") < F.col("_below")).cast("long"))
     return joined.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("taken"))
@@ -78,33 +82,25 @@ def _key(source: str | None) -> str:
     return "null" if source is None else f"s{source}"
 
 
-def thresholds(sized: DataFrame, budget: dict) -> dict:
-    """Source -> hash below which its rows' words come nearest to its budget (Fractions, below the source's sum)."""
-    if not budget:
-        return {}
+def thresholds(sized: DataFrame, budget: dict) -> DataFrame:
+    """(_key, _below): for each source the hash below which its rows' words come nearest to its budget (Fractions, below the source's sum)."""
     spark = sized.sparkSession
-    spent, prefix = dict.fromkeys(budget, 0), dict.fromkeys(budget, 0)
-    open_, out = set(budget), {}
-    for level in range(LEVELS):
+    # whole numbers that compare as the fractions do: sums with the budget, and twice a sum with twice the budget
+    open_ = spark.createDataFrame([(_key(s), 0, 0, floor(b), ceil(2 * b)) for s, b in budget.items()], "_key string, _prefix long, _spent long, _budget long, _twice long")
+    words = sized.where("size > 0").withColumn("_key", key(F.col("source")))
+    upto = Window.partitionBy("_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # 2**LEVEL_BITS rows at most
+    found = None
+    for level in range(LEVELS if budget else 0):
         shift = HASH_BITS - LEVEL_BITS * (level + 1)
-        marks = F.broadcast(spark.createDataFrame([(_key(s), prefix[s]) for s in open_], "_key string, _prefix long"))
-        inside = sized.where("size > 0").withColumn("_key", key(F.col("source"))).join(marks, "_key")
-        inside = inside.where(F.shiftright("hash", shift + LEVEL_BITS) == F.col("_prefix"))
-        sums = inside.groupBy("source", F.shiftright("hash", shift).alias("bucket")).agg(F.sum("size").alias("size"), F.min("hash").alias("low"), F.max("hash").alias("high"))
-        found: dict = {s: [] for s in open_}
-        for r in sums.collect():
-            found[r["source"]].append((r["bucket"], r["size"], r["low"], r["high"]))
-        for s in list(open_):
-            for bucket, size, least, high in sorted(found[s]):
-                if spent[s] + size <= budget[s]:
-                    spent[s] += size
-                    continue
-                if least == high:  # one hash: in, if that comes nearer
-                    over = spent[s] + size - budget[s] < budget[s] - spent[s]
-                    out[s] = high + 1 if over else least
-                    open_.discard(s)
-                prefix[s] = bucket
-                break
-        if not open_:
+        inside = words.join(open_.select("_key", "_prefix"), "_key").where(F.shiftright("hash", shift + LEVEL_BITS) == F.col("_prefix"))
+        sums = inside.groupBy("_key", F.shiftright("hash", shift).alias("bucket")).agg(F.sum("size").alias("size"), F.min("hash").alias("low"), F.max("hash").alias("high"))
+        before = (F.col("_spent") + F.sum("size").over(upto) - F.col("size")).alias("before")
+        met = sums.join(open_, "_key").select("_key", "bucket", "size", "low", "high", "_budget", "_twice", before)
+        edge = stored(met.where((F.col("before") <= F.col("_budget")) & (F.col("before") + F.col("size") > F.col("_budget"))), "mix-level")
+        nearer = 2 * F.col("before") + F.col("size") < F.col("_twice")  # one hash: in, if that comes nearer
+        done = edge.where("low = high").select("_key", F.when(nearer, F.col("high") + 1).otherwise(F.col("low")).alias("_below"))
+        found = done if found is None else found.unionByName(done)
+        open_ = edge.where("low < high").select("_key", F.col("bucket").alias("_prefix"), F.col("before").alias("_spent"), "_budget", "_twice")
+        if open_.isEmpty():
             break
-    return out
+    return spark.createDataFrame([], "_key string, _below long") if found is None else found

@@ -12,7 +12,6 @@ import hashlib
 import re
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -37,14 +36,14 @@ class CharacterMap:
     def _offset(unit: int) -> int:
         return (unit >> 10) << ((unit & 512) >> 6)
 
-    @lru_cache(maxsize=1 << 16)  # noqa: B019  one map for each model and process
-    def longest(self, prefix: bytes) -> tuple[int, bytes] | None:
-        """(bytes matched, replacement) of the longest rule that prefix begins with."""
+    def longest(self, text: bytes, start: int = 0) -> tuple[int, bytes] | None:
+        """(bytes matched, replacement) of the longest rule that text has at start; the trie ends the search, however long its rules are."""
         units, found = self.units, None
         if units is None:
             return None
         at = self._offset(units[0])
-        for n, byte in enumerate(prefix, 1):
+        for place in range(start, len(text)):
+            byte = text[place]
             at ^= byte
             if at >= len(units):
                 break
@@ -53,17 +52,13 @@ class CharacterMap:
                 break
             at ^= self._offset(unit)
             if unit >> 8 & 1:
-                found = n, units[at] & 0x7FFFFFFF
+                found = place + 1 - start, units[at] & 0x7FFFFFFF
         if found is None:
             return None
         n, start = found
         return n, self.texts[start : self.texts.index(b"\0", start)]
 
 
-#: Longest rule prefix that is looked at, in bytes.
-PREFIX_BYTES = 48
-
-
 class OffsetEncoder:
     """Encodes and decodes with a model file, and gives the source byte span of every piece."""
 
@@ -98,7 +93,7 @@ class OffsetEncoder:
         while at < len(raw):  # one character or rule at a time
             if symbols and (m := symbols.match(raw, at)):
                 n, new = len(m[0]), m[0]
-            elif hit := self.map.longest(raw[at : at + PREFIX_BYTES]):
+            elif hit := self.map.longest(raw, at):
                 n, new = hit
             else:
                 n = 1 if raw[at] < 0x80 else 2 if raw[at] < 0xE0 else 3 if raw[at] < 0xF0 else 4

@@ -1,6 +1,10 @@
+import random
 import re
 from collections import defaultdict
 
+import pytest
+from pyspark.sql import functions as F
+
 from graftline.llm.mixing import mix, targets
 
 SCHEMA = "doc_id long, text string, source string, size int, hash string"
@@ -32,5 +36,51 @@ def test_mix_meets_targets_and_reruns_agree(spark):
         assert abs(taken[s] - goal[s]) <= most[s]
 
 
+def level(sizes, weights):
+    """The reshared targets by bisection: all open sources have one level a weight."""
+    total, low, high = sum(sizes.values()), 0.0, 1.0 + sum(sizes.values())
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(mid * weights[s], 3 * sizes[s]) for s in sizes) < total else (low, mid)
+    return {s: min(high * weights[s], 3 * sizes[s]) for s in sizes}
+
+
+def test_taken_rows_match_brute_force(spark):
+    """Sorted by hash, a source's rows are taken once more while they fit its budget, and the next if that comes nearer; repeated ids go together."""
+    rng = random.Random(8)
+    rows = [(rng.randrange(700), " ".join(["w"] * rng.choice([0, 1, 2, 5, 40, 300])), rng.choice(["a", "b", "c", "D", "é", None, "tiny" if rng.random() < 0.05 else "a"]), 0, "x") for _ in range(900)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    hashed = docs.select("doc_id", "source", F.size(F.split("text", " ")).alias("n"), "text", F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(17)), 4).alias("h")).collect()
+    table = [(r.doc_id, r.source, r.n if r.text else 0, r.h) for r in hashed]
+    sizes = defaultdict(int)
+    for _, s, n, _ in table:
+        sizes[s] += n
+    order = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None]
+    goal = level(sizes, {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)})
+    want = []
+    for s in sizes:
+        whole = int(goal[s] / sizes[s] + 1e-9)
+        budget, spent, more = goal[s] - whole * sizes[s], 0, set()
+        for h in sorted({r[3] for r in table if r[1] == s and r[2]}):
+            n = sum(r[2] for r in table if r[1] == s and r[3] == h)
+            if spent + n > budget + 1e-6:
+                more |= {h} if spent + n - budget < budget - spent - 1e-6 else set()
+                break
+            spent += n
+            more.add(h)
+        want += [(i, n, n * (whole + (h in more))) for i, t, n, h in table if t == s]
+    got = [(r.doc_id, r["size"], r.taken) for r in mix(docs).collect()]
+    assert sorted(got) == sorted(want)
+    for r in mix(docs).collect():
+        assert any(abs(r.target - g) < 1e-3 for g in goal.values())
+
+
+def test_too_many_sources_are_refused(spark, monkeypatch):
+    monkeypatch.setattr("graftline.llm.mixing.MOST_SOURCES", 3)
+    docs = spark.createDataFrame([(i, "a b", f"s{i}") for i in range(4)], "doc_id long, text string, source string")
+    with pytest.raises(ValueError):
+        mix(docs)
+
+
 def test_no_rows(spark):
     assert mix(spark.createDataFrame([], SCHEMA)).count() == 0
