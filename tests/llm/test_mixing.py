@@ -45,21 +45,16 @@ def level(sizes, weights):
     return {s: min(high * weights[s], 3 * sizes[s]) for s in sizes}
 
 
-def test_taken_rows_match_brute_force(spark):
-    """Sorted by hash, a source's rows are taken once more while they fit its budget, and the next if that comes nearer; repeated ids go together."""
-    rng = random.Random(8)
-    rows = [(rng.randrange(700), " ".join(["w"] * rng.choice([0, 1, 2, 5, 40, 300])), rng.choice(["a", "b", "c", "D", "é", None, "tiny" if rng.random() < 0.05 else "a"]), 0, "x") for _ in range(900)]
-    docs = spark.createDataFrame(rows, SCHEMA)
-    hashed = docs.select("doc_id", "source", F.size(F.split("text", " ")).alias("n"), "text", F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(17)), 4).alias("h")).collect()
-    table = [(r.doc_id, r.source, r.n if r.text else 0, r.h) for r in hashed]
+def brute(table):
+    """(id, size, taken, target) of (id, source, size, hash) rows: sorted by hash, a source's rows are taken once more while they fit its budget, and the next if that comes nearer."""
     sizes = defaultdict(int)
     for _, s, n, _ in table:
         sizes[s] += n
-    order = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None]
+    order = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in sizes)
     goal = level(sizes, {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)})
     want = []
     for s in sizes:
-        whole = int(goal[s] / sizes[s] + 1e-9)
+        whole = int(goal[s] / sizes[s] + 1e-9) if sizes[s] else 0
         budget, spent, more = goal[s] - whole * sizes[s], 0, set()
         for h in sorted({r[3] for r in table if r[1] == s and r[2]}):
             n = sum(r[2] for r in table if r[1] == s and r[3] == h)
@@ -68,11 +63,24 @@ def test_taken_rows_match_brute_force(spark):
                 break
             spent += n
             more.add(h)
-        want += [(i, n, n * (whole + (h in more))) for i, t, n, h in table if t == s]
-    got = [(r.doc_id, r["size"], r.taken) for r in mix(docs).collect()]
-    assert sorted(got) == sorted(want)
-    for r in mix(docs).collect():
-        assert any(abs(r.target - g) < 1e-3 for g in goal.values())
+        want += [(i, n, n * (whole + (h in more)), goal[s]) for i, t, n, h in table if t == s]
+    return want
+
+
+def hashed(docs):
+    """docs as rows for brute."""
+    rows = docs.select("doc_id", "source", "text", F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(17)), 4).alias("h")).collect()
+    return [(r.doc_id, r.source, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")), r.h) for r in rows]
+
+
+def test_taken_rows_match_brute_force(spark):
+    """Repeated ids go together."""
+    rng = random.Random(8)
+    rows = [(rng.randrange(700), " ".join(["w"] * rng.choice([0, 1, 2, 5, 40, 300])), rng.choice(["a", "b", "c", "D", "é", None, "tiny" if rng.random() < 0.05 else "a"]), 0, "x") for _ in range(900)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got, want = sorted((r.doc_id, r["size"], r.taken, r.target) for r in mix(docs).collect()), sorted(brute(hashed(docs)))
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert all(abs(g[3] - w[3]) < 1e-3 for g, w in zip(got, want, strict=True))
 
 
 def test_too_many_sources_are_refused(spark, monkeypatch):
