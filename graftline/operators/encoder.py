@@ -48,6 +48,18 @@ def forward(weights: dict, tokens: np.ndarray, valid: np.ndarray, code: np.ndarr
     return _norm(x[:, 0])
 
 
+def calibrate_codes(weights: dict, seed_tokens: np.ndarray) -> tuple[dict, float]:
+    """NN3c: the class codes (and the unknown one) scaled to the mean norm of a seed token, (rows, d_in + 2), so that a label moves the read-out as much as a node's own features do; and that norm."""
+    scale = float(np.linalg.norm(seed_tokens @ weights["token"], axis=1).mean())
+    unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=-1, keepdims=True), 1e-12) * scale
+    return weights | {"codes": unit(weights["codes"]), "unknown": unit(weights["unknown"])}, scale
+
+
+def read_out(weights: dict, shown: bool = False):
+    """NN3d: a function (tokens, valid, code) -> read-outs: with the class of each row's code shown, or with the unknown class whatever it is."""
+    return lambda tokens, valid, code: forward(weights, tokens, valid, code if shown else np.full(len(tokens), -1))
+
+
 def embed(gathered: DataFrame, weights: dict, k: int, shown: str | None = None, rows: int = 256) -> DataFrame:
     """NN5: (id, embedding) of gathered sets (id, seed, partners of x, weight and sign, shown: a class code or null). A batch's size falls with the square of k."""
     shared = gathered.sparkSession.sparkContext.broadcast(weights)

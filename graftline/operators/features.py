@@ -5,14 +5,16 @@ out is grouped by pre and in by post. A node without an edge on a side has 0 the
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from itertools import count as steps
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graftline.functions.arrays import population_sd
 from graftline.functions.labels import safe_ratio
 from graftline.operators.edges import reciprocal, symmetrised, weight_percentiles
 from graftline.plans.ordered import running_sums
@@ -61,7 +63,7 @@ def connection_features(edges: DataFrame, degrees: bool = True) -> DataFrame:
         g = lambda k, side=side: F.col(f"{k}_{side}").cast("double")
         count = F.greatest(g("n"), F.lit(1.0))
         mean = g("s") / count
-        sd = F.sqrt(F.greatest(g("ss") / count - mean * mean, F.lit(0.0)))
+        sd = population_sd(g("ss") / count, mean)
         if degrees:
             out |= {f"logD{side}@{t}": F.log1p(g(f"t{t}")) for t in FLOORS} | {f"logSyn{side.title()}": F.log1p(g("s"))}
         floor = F.greatest(g("s"), F.lit(1e-9))
@@ -161,23 +163,52 @@ def walk_matrix(edges: DataFrame) -> DataFrame:
 
 
 def return_probabilities_sql(edges: DataFrame) -> DataFrame:
-    """FEA-R for k = 2 and 3 by joins alone: (id, rwse_2, rwse_3)."""
-    s = stored(walk_matrix(edges), "walk-s")
-    two = s.groupBy(F.col("i").alias("id")).agg(F.sum(F.col("s") * F.col("s")).alias("rwse_2"))
-    path = s.select("i", "j", F.col("s").alias("s1")).join(s.select(F.col("i").alias("j"), F.col("j").alias("l"), F.col("s").alias("s2")), "j")
-    closed = path.join(s.select(F.col("i").alias("l"), F.col("j").alias("i"), F.col("s").alias("s3")), ["l", "i"])
-    three = closed.groupBy(F.col("i").alias("id")).agg(F.sum(F.col("s1") * F.col("s2") * F.col("s3")).alias("rwse_3"))
-    return two.join(three, "id", "left").na.fill(0.0, ["rwse_3"])
-
+    """FEA-R for k = 2 and 3 by joins alone: (id, rwse_2, rwse_3).
 
-def return_probabilities(edges: DataFrame, k: int = 8, block: int = 256, most_entries: int = 100_000_000) -> DataFrame:
+    A closed walk of three steps is a triangle, in two directions, or passes a loop. Triangles come from pairs oriented by (degree, id), as in triangles().
+    """
+    s = stored(walk_matrix(edges), "walk-s")
+    off, loops = s.where("i <> j"), s.where("i = j").select("i", F.col("s").alias("own"))
+    degree = stored(off.groupBy("i").agg(F.count(F.lit(1)).alias("d")), "walk-degrees")
+    ends = off.join(degree, "i").join(degree.toDF("j", "dj"), "j")
+    pairs = stored(ends.where(F.struct("d", "i") < F.struct("dj", "j")).select(F.col("i").alias("x"), F.col("j").alias("y"), "s"), "walk-pairs")
+    wedges = pairs.select("x", "y", F.col("s").alias("xy")).join(pairs.select("x", F.col("y").alias("z"), F.col("s").alias("xz")), "x").where("y < z")
+    closed = wedges.join(pairs.select(F.least("x", "y").alias("y"), F.greatest("x", "y").alias("z"), F.col("s").alias("yz")), ["y", "z"])
+    around = closed.select(F.explode(F.array("x", "y", "z")).alias("i"), (F.col("xy") * F.col("xz") * F.col("yz")).alias("t")).groupBy("i").agg(F.sum("t").alias("t"))
+    square = F.col("s") * F.col("s")
+    sums = off.join(loops.toDF("j", "far"), "j", "left").groupBy("i").agg(F.sum(square).alias("out"), F.coalesce(F.sum(square * F.col("far")), F.lit(0.0)).alias("through"))
+    met = s.select("i").distinct().join(sums, "i", "left").join(loops, "i", "left").join(around, "i", "left").na.fill(0.0)
+    own, out = F.col("own"), F.col("out")
+    return met.select(F.col("i").alias("id"), (own * own + out).alias("rwse_2"), (2 * F.col("t") + own * own * own + 2 * own * out + F.col("through")).alias("rwse_3"))
+
+
+def _return_probabilities_joined(s: DataFrame, k: int, parts: int) -> DataFrame:
+    """The same by joins, for a matrix of any size: the half walks of a part of the start nodes at a time, each step stored."""
+    out = None
+    for part in range(parts):
+        x, cells = None, None
+        y = stored(s.where(F.pmod(F.xxhash64("j"), F.lit(parts)) == part).select(F.col("j").alias("id"), F.col("i").alias("at"), F.col("s").alias("p")), "walk-step")
+        for step in range(1, (k + 1) // 2 + 1):
+            if x is not None:
+                y = stored(x.join(s.select(F.col("j").alias("at"), "i", "s"), "at").groupBy("id", F.col("i").alias("at")).agg(F.sum(F.col("p") * F.col("s")).alias("p")), "walk-step")
+            odd = (y.where("id = at").select("id", F.col("p").alias("v")) if x is None else y.join(x.withColumnRenamed("p", "q"), ["id", "at"]).select("id", (F.col("p") * F.col("q")).alias("v"))).withColumn("k", F.lit(2 * step - 1))
+            even = y.select("id", (F.col("p") * F.col("p")).alias("v"), F.lit(2 * step).alias("k"))
+            cells = odd.unionByName(even) if cells is None else cells.unionByName(odd).unionByName(even)
+            x = y
+        sums = cells.groupBy("id").agg(*(F.coalesce(F.sum(F.when(F.col("k") == j, F.col("v"))), F.lit(0.0)).alias(f"rwse_{j}") for j in range(1, k + 1)))
+        sums = stored(sums, "walk-part")
+        out = sums if out is None else out.unionByName(sums)
+    return out
+
+
+def return_probabilities(edges: DataFrame, k: int = 8, block: int = 256, most_entries: int = 20_000_000, parts: int = 16) -> DataFrame:
     """FEA-R/FEA-Rb: (id, rwse_1 .. rwse_k), exact. With S symmetric, diag of an even power is a squared norm of S^m e_i and of an
     odd one a product of neighbouring half-steps, so k/2 products do. Node blocks are dealt to tasks; each reads the matrix, which is broadcast
-    and whose size is checked (16 bytes an entry): beyond most_entries the joins of return_probabilities_sql remain.
+    and whose size is checked (16 bytes an entry): beyond most_entries the half walks are joins, of one part of the start nodes after another.
     """
     s = stored(walk_matrix(edges), "walk-s")
     if s.count() > most_entries:
-        raise ValueError("the matrix is too large to be broadcast; use return_probabilities_sql")
+        return _return_probabilities_joined(s, k, parts)
     table = s.toArrow()
     ids, index = np.unique(np.concatenate([table["i"].to_numpy(), table["j"].to_numpy()]), return_inverse=True)
     n, m = len(ids), table.num_rows
@@ -227,6 +258,25 @@ def assemble(ids: DataFrame, *blocks: DataFrame) -> DataFrame:
     return ids.na.fill(0)
 
 
+def attach(ids: DataFrame, *blocks: DataFrame) -> DataFrame:
+    """FEA-A2/FEA-A3: blocks of one row for each id, put side by side; a block that lacks ids, repeats them or has others is an error, not zeros."""
+    n = ids.count()
+    out = ids
+    for b in blocks:
+        rows, own = b.agg(F.count(F.lit(1)), F.count_distinct("id")).first()
+        there = ids.join(b.select("id"), "id", "left_semi").count()
+        if (rows, own, there) != (n, n, n):
+            raise ValueError(f"a block of {b.columns[1:3]}... has {rows} rows, {own} ids and {there} of the {n} nodes")
+        out = out.join(b, "id")
+    return out
+
+
+def read_column_set(path: str) -> list[str]:
+    """SRC8: the column names of a JSON file {"columns": [...]}, read by Spark, so that it may lie in any store."""
+    spark = SparkSession.getActiveSession()
+    return list(json.loads("\n".join(r.value for r in spark.read.text(path, wholetext=True).collect()))["columns"])
+
+
 def select_columns(df: DataFrame, wanted: list[str]) -> DataFrame:
     """PRJ13/PRJ14: the wanted columns in the frame's order; repeated or missing names are errors."""
     if len(set(wanted)) < len(wanted) or not wanted or set(wanted) - set(df.columns):

@@ -5,8 +5,6 @@ Rows have id, x (array of doubles), label and, where a probe is tuned, split.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
@@ -20,8 +18,8 @@ from graftline.plans.storage import stored
 
 PENALTIES = (0.01, 0.1, 1.0, 10.0)
 NEIGHBOURS = (1, 5, 15, 50)
-#: Bytes of a reference matrix that may be broadcast; a larger one is read in slices.
-MOST_BROADCAST = 512 << 20
+#: Bytes of vectors that a block of queries, or a slice of the reference, holds.
+MOST_BYTES = 64 << 20
 
 
 def fit_scaler(rows: DataFrame, x: str = "x") -> tuple[list[float], list[float]]:
@@ -72,43 +70,41 @@ def prediction_rows(rows: DataFrame, classes: list[str], p: str = "proba") -> Da
 def neighbours(queries: DataFrame, reference: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
     """JOI15/JOI16/TOP7: (id, rank from 1, neighbour, label, distance) of each query's k nearest, ties by id.
 
-    The reference is sliced to bounded size. Each slice is broadcast in turn, queries are met by blocks of a matrix product, and
-    the best of all slices are merged by rank: no cross join, and every query meets the whole reference.
+    Queries are dealt to blocks and the reference to slices of bounded size, and each block meets each slice as matrix products in a task of its own; the best of
+    all slices are merged by rank. Nothing but the counts of both sides reaches the driver.
     """
-    spark = queries.sparkSession
     n, width = reference.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
-    slices = max(1, -(-int(n * (width or 1) * 8) // MOST_BROADCAST))
-    found = None
-    for s in range(slices):
-        part = reference if slices == 1 else reference.where(F.pmod(F.xxhash64("id"), F.lit(slices)) == s)
-        rows = part.select("id", "x", F.col("label").cast("string").alias("label")).toArrow()
-        ids, labels = rows["id"].to_numpy(), np.array(rows["label"].to_pylist(), dtype=object)
-        matrix = np.array(rows["x"].to_pylist(), dtype=float).reshape(len(ids), width or 0)
-        if metric == "cosine":
-            matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-        shared = spark.sparkContext.broadcast((ids, labels, matrix))
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, labels, m = shared.value
+    tasks, size = queries.sparkSession.sparkContext.defaultParallelism, 8 * (width or 1)
+    slices, m = max(1, -(-n * size // MOST_BYTES)), queries.count()
+    blocks = max(1, -(-m * size // MOST_BYTES), min(tasks, m // 256))
+    all_of = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    left = queries.select("id", "x", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), all_of(slices).alias("slice"))
+    right = reference.select("id", "x", F.col("label").cast("string").alias("label"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(slices)).cast("int").alias("slice"), all_of(blocks).alias("block"))
+    unit = lambda rows: np.array(rows["x"].tolist(), dtype=float).reshape(len(rows), -1)
+
+    def run(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(q) and len(r):
+            ids, labels, m = r["id"].to_numpy(), r["label"].to_numpy(), unit(r)
+            if metric == "cosine":
+                m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
             squares = (m * m).sum(axis=1)
-            for b in batches:
-                for at in range(0, len(b), 256):
-                    q = np.array(b["x"].iloc[at : at + 256].tolist(), dtype=float).reshape(-1, m.shape[1])
-                    if metric == "cosine":
-                        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-                        d = 1 - q @ m.T
-                    else:
-                        d = np.maximum((q * q).sum(axis=1)[:, None] + squares - 2 * q @ m.T, 0)
-                    out = []
-                    for query, row, x in zip(b["id"].iloc[at : at + 256], d, q, strict=True):
-                        near = np.flatnonzero(row <= np.partition(row, min(k, len(row)) - 1)[min(k, len(row)) - 1] + 1e-9) if len(row) else []
-                        exact = 1 - m[near] @ x if metric == "cosine" else np.sqrt(((m[near] - x) ** 2).sum(axis=1))
-                        best = np.lexsort((ids[near], exact))[:k]
-                        out += [(query, ids[near[j]], labels[near[j]], exact[j]) for j in best]
-                    yield pd.DataFrame(out, columns=["id", "neighbour", "label", "distance"])
-
-        one = queries.select("id", "x").mapInPandas(run, "id long, neighbour long, label string, distance double")
-        found = one if found is None else found.unionByName(one)
+            for at in range(0, len(q), 256):
+                x = unit(q.iloc[at : at + 256])
+                if metric == "cosine":
+                    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+                    d = 1 - x @ m.T
+                else:
+                    d = np.maximum((x * x).sum(axis=1)[:, None] + squares - 2 * x @ m.T, 0)
+                last = min(k, len(ids)) - 1
+                for query, row, v in zip(q["id"].iloc[at : at + 256], d, x, strict=True):
+                    near = np.flatnonzero(row <= np.partition(row, last)[last] + 1e-9)
+                    exact = 1 - m[near] @ v if metric == "cosine" else np.sqrt(((m[near] - v) ** 2).sum(axis=1))
+                    best = np.lexsort((ids[near], exact))[:k]
+                    out += [(query, ids[near[j]], labels[near[j]], exact[j]) for j in best]
+        return pd.DataFrame(out, columns=["id", "neighbour", "label", "distance"])
+
+    found = left.groupBy("block", "slice").cogroup(right.groupBy("block", "slice")).applyInPandas(run, "id long, neighbour long, label string, distance double")
     order = Window.partitionBy("id").orderBy("distance", "neighbour")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -203,9 +199,18 @@ def in_volume(rows: DataFrame, **how) -> tuple[DataFrame, dict]:
     return out, report | {"rows_of_unknown_class": lost}
 
 
-def sweep(rows: DataFrame, targets: list[str], scopes: dict[str, Column]) -> dict:
+def sweep(rows: DataFrame, targets: list[str], scopes: dict[str, Column], **how) -> dict:
     """PRB2: in_volume for each target column and scope."""
-    return {(t, name): in_volume(rows.where(mask).withColumn("label", F.col(t)))[1] for t in targets for name, mask in scopes.items()}
+    return {(t, name): in_volume(rows.where(mask).withColumn("label", F.col(t)), **how)[1] for t in targets for name, mask in scopes.items()}
+
+
+def curve_point(rows: DataFrame, most: int = 15) -> dict:
+    """PRB11: one cheap reading of a run: macro-F1 on val of a linear probe with penalty 1 and of a vote among min(most, n - 1) neighbours, both fitted on train."""
+    train, val = (rows.where((F.col("split") == s) & F.col("label").isNotNull()) for s in ("train", "val"))
+    classes, scaler, k = class_list(train), fit_scaler(train), min(most, train.count() - 1)
+    train, val = stored(scaled(train, scaler), "curve-train"), stored(scaled(val, scaler), "curve-val")
+    linear = prediction_rows(probabilities(val, fit_logistic(train, classes, 1.0)), classes)
+    return {"linear": _macro(linear, classes), "knn": _macro(val.join(vote(neighbours(val, train, k), k), "id"), classes, "pred_knn"), "k": k}
 
 
 def bundle(report: dict, reference: DataFrame, spark) -> DataFrame:

@@ -10,9 +10,14 @@ PARTS = ("train", "val", "test")
 FRACTIONS = (0.7, 0.15, 0.15)
 
 
+def draw(*key: Column) -> Column:
+    """The order of a draw: the digest of the key's parts as text, the same in any engine."""
+    return F.md5(F.concat_ws(":", *(k.cast("string") for k in key)).cast("binary"))
+
+
 def hash_share(*key: Column) -> Column:
-    """A value from 0 to 1 by the hash of a key."""
-    return F.pmod(F.xxhash64(*key), F.lit(1_000_000)) / 1e6
+    """A value from 0 to 1 by the first 32 bits of a key's digest."""
+    return F.conv(F.substring(draw(*key), 1, 8), 16, 10).cast("long") / 4294967296.0
 
 
 def cut(share: Column, fractions=FRACTIONS) -> Column:
@@ -44,7 +49,7 @@ def blocked_split(nodes: DataFrame, stratify_on: list[str], group: str, seed: in
     """
     stratum = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("__null")) for c in stratify_on))
     keyed = nodes.withColumns({"_group": group_key(F.col(group), F.col("id")), "_stratum": stratum})
-    groups = keyed.groupBy("_group").agg(F.count(F.lit(1)).alias("size"), F.mode("_stratum", True).alias("stratum")).withColumn("draw", F.xxhash64("_group", F.lit(seed)))
+    groups = keyed.groupBy("_group").agg(F.count(F.lit(1)).alias("size"), F.mode("_stratum", True).alias("stratum")).withColumn("draw", draw(F.col("_group"), F.lit(seed)))
 
     def deal(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "draw", "_group"], ascending=[False, True, True])
@@ -95,7 +100,7 @@ def label_coverage(nodes: DataFrame, split: str, target: str) -> DataFrame:
 
 def cohort(nodes: DataFrame, size: int, seed: int = 0) -> DataFrame:
     """SPL6/SPL8: so many rows of smallest hash of id and seed."""
-    return nodes.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(size)
+    return nodes.orderBy(draw(F.col("id"), F.lit(seed)), "id").limit(size)
 
 
 def holdout(seeds: DataFrame, width: int, labelled_train: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graftline.operators.edges import symmetrised
+from graftline.operators.splits import hash_share
 
 
 def top_partners(edges: DataFrame, k: int = 64) -> DataFrame:
@@ -71,4 +72,36 @@ def attention(edges: DataFrame, scores: str, features: DataFrame, columns: list[
 
 def dropped_edges(edges: DataFrame, share: float, seed: int) -> DataFrame:
     """NN8: edges without a share of them, by hash, so that reruns agree."""
-    return edges.where(F.pmod(F.xxhash64("pre", "post", F.lit(seed)), F.lit(1_000_000)) >= round(share * 1_000_000))
+    return edges.where(hash_share(F.col("pre"), F.col("post"), F.lit(seed)) >= share)
+
+
+def _linear(df: DataFrame, inputs: list[str], weights: list[list[float]], bias: list[float], relu: bool = True) -> DataFrame:
+    """(id, h0, h1, ...): one column for each row of weights, by expressions."""
+    made = [sum((F.lit(float(w)) * F.col(c) for w, c in zip(row, inputs, strict=True)), F.lit(float(b))) for row, b in zip(weights, bias, strict=True)]
+    return df.select("id", *((F.greatest(m, F.lit(0.0)) if relu else m).alias(f"h{k}") for k, m in enumerate(made)))
+
+
+def sage_layer(edges: DataFrame, h: DataFrame, own: list[list[float]], near: list[list[float]], bias: list[float], relu: bool = True) -> DataFrame:
+    """NN10: own weights of a node's columns and near weights of its incoming partners' mean (0 without one)."""
+    names = h.columns[1:]
+    mean = propagate(edges, h, names, "mean", "in").withColumnsRenamed({c: f"_{c}" for c in names})
+    met = h.join(mean, "id", "left").na.fill(0.0)
+    return _linear(met, [*names, *(f"_{c}" for c in names)], [[*a, *b] for a, b in zip(own, near, strict=True)], bias, relu)
+
+
+def gin_layer(edges: DataFrame, h: DataFrame, weights: list[list[float]], bias: list[float], eps: float = 0.0, relu: bool = True) -> DataFrame:
+    """NN10: weights of 1 + eps times a node's columns and its incoming partners' sum."""
+    names = h.columns[1:]
+    total = propagate(edges, h, names, "sum", "in").withColumnsRenamed({c: f"_{c}" for c in names})
+    met = h.join(total, "id", "left").na.fill(0.0)
+    return _linear(met.select("id", *(((1 + eps) * F.col(c) + F.col(f"_{c}")).alias(c) for c in names)), names, weights, bias, relu)
+
+
+def gnn_forward(edges: DataFrame, h: DataFrame, layers: list[dict]) -> DataFrame:
+    """NN11: a stack's forward pass: each layer is {"kind": "sage" or "gin", its weights, and optionally "norm": (mean, deviation, scale, shift) of each column, kept from the source}."""
+    for layer in layers:
+        given = {k: v for k, v in layer.items() if k not in ("kind", "norm")}
+        h = {"sage": sage_layer, "gin": gin_layer}[layer["kind"]](edges, h, relu=False, **given)
+        norm = layer.get("norm") or [(0.0, 1.0, 1.0, 0.0)] * (len(h.columns) - 1)
+        h = h.select("id", *(F.greatest((F.col(c) - m) / s * g + b, F.lit(0.0)).alias(c) for c, (m, s, g, b) in zip(h.columns[1:], norm, strict=True)))
+    return h

@@ -55,7 +55,7 @@ def make_splits(to: Folder, seed: int = 0, stratify_on: tuple[str, ...] = ("nt_b
 
 
 def feature_blocks(to: Folder, kinds: tuple[str, ...] = ("connection", "rwse", "flow", "local", "local_tri")) -> None:
-    """Each block is its own table, so a stage that was lost is made again alone."""
+    """Each block is its own table with a row for every node, so a stage that was lost is made again alone."""
     edges, nodes = to.read("edges").selectExpr("CAST(pre AS long) pre", "CAST(post AS long) post", "w"), to.nodes()
     make = {
         "connection": lambda: X.connection_features(edges),
@@ -65,15 +65,31 @@ def feature_blocks(to: Folder, kinds: tuple[str, ...] = ("connection", "rwse", "
         "local_tri": lambda: X.triangles(edges),
     }
     for kind in kinds:
-        to.write(kind, make[kind]())
+        to.write(kind, X.assemble(nodes.select("id"), make[kind]()))
 
 
 def features(at: Folder, columns: tuple[str, ...] | None = X.REFINED) -> DataFrame:
-    """FEA-A3: (id, features) of all nodes in the columns' order of the blocks; every block must be there."""
-    whole = X.assemble(at.nodes().select("id"), *(at.read(k) for k in ("connection", "rwse", "flow", "local", "local_tri")))
+    """FEA-A3: (id, features) of all nodes in the columns' order of the blocks; every block must be there, with every node."""
+    whole = X.attach(at.nodes().select("id"), *(at.read(k) for k in ("connection", "rwse", "flow", "local", "local_tri")))
     return whole if columns is None else X.select_columns(whole, list(columns))
 
 
+def volume_inputs(at: Folder, columns: tuple[str, ...] | None = X.REFINED) -> dict:
+    """SRC14: what a model of one volume reads: nodes, their split within the scope, edges, standardised features and the statistics they were standardised by."""
+    nodes, whole = at.nodes(), features(at, columns)
+    whole = whole.withColumnsRenamed({c: c.replace("@", "_at_") for c in whole.columns})
+    split = nodes.join(at.read("splits"), "node_id").select("id", L.restrict_split(F.col("split"), F.col("is_seed")).alias("split"))
+    names = whole.columns[1:]
+    stats = scaling.fit_scale(whole.join(split, "id"), names, F.col("split") == "train")
+    return {"nodes": nodes, "split": split, "edges": at.read("edges"), "features": scaling.apply_scale(whole, stats, names), "stats": stats}
+
+
+def probe_sweep(at: Folder, embedding: DataFrame, targets: tuple[str, ...] = PLAN, scopes: dict | None = None, **how) -> dict:
+    """PRB2: probes within the volume for each target and scope (name -> mask over the nodes)."""
+    nodes = L.harmonise(at.nodes()).join(at.read("splits"), "node_id").withColumn("split", L.restrict_split(F.col("split"), L.in_scope("brain")))
+    return probes.sweep(nodes.join(embedding, "id"), list(targets), scopes or {"whole_brain": F.lit(True)}, **how)
+
+
 def top_k(to: Folder, k: int = 64) -> str:
     edges = to.read("edges")
     to.write("topk", tokens.token_arrays(tokens.top_partners(edges, k)))

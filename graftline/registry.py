@@ -184,7 +184,14 @@ def _(spark, d):
     return rounded(X.triangles(G.directed(spark, d)))
 
 
-@query("fea_l3_kcore")
+def _core_sql(graph: str, rounds: int = 80) -> str:
+    """The h-index of the neighbours' values, so often that nothing changes any more."""
+    return f"""WITH RECURSIVE u AS (SELECT pre AS i, post AS j FROM {graph} WHERE pre <> post UNION SELECT post, pre FROM {graph} WHERE pre <> post), d AS (SELECT i, count(*) AS d FROM u GROUP BY i),
+    c AS (SELECT 0 AS step, i, d AS h FROM d UNION ALL SELECT step + 1, i, max(least(h, r)) FROM (SELECT c.step, u.i, c.h, row_number() OVER (PARTITION BY u.i ORDER BY c.h DESC) AS r FROM c JOIN u ON u.j = c.i WHERE c.step < {rounds}) GROUP BY step, i)
+    SELECT i AS id, h AS core, {r6('ln(1 + h)', 'local_log_kcore')}, {r6('h / d', 'local_kcore_frac')} FROM c JOIN d USING (i) WHERE step = {rounds}"""
+
+
+@query("fea_l3_kcore", _core_sql(G1))
 def _(spark, d):
     return rounded(X.core_numbers(G.bipartite(spark, d)))
 
@@ -200,15 +207,28 @@ def _(spark, d):
     return rounded(X.return_probabilities_sql(G.dense(spark, d)))
 
 
-@query("fea_r_walk_8", f"""WITH {_WALK.format(sym=SYM3)}, s2 AS (SELECT x.i, y.j, sum(x.s * y.s) AS s FROM s x JOIN s y ON x.j = y.i GROUP BY ALL),
+def _walks_sql(sym: str, show: str = "coalesce(({p}), 0)") -> str:
+    part = lambda x, y: show.format(p=f"SELECT sum(x.s * y.s) FROM {x} x JOIN {y} y ON x.i = y.i AND x.j = y.j WHERE x.i = n.i")
+    return f"""WITH {_WALK.format(sym=sym)}, s2 AS (SELECT x.i, y.j, sum(x.s * y.s) AS s FROM s x JOIN s y ON x.j = y.i GROUP BY ALL),
     s3 AS (SELECT x.i, y.j, sum(x.s * y.s) AS s FROM s2 x JOIN s y ON x.j = y.i GROUP BY ALL), s4 AS (SELECT x.i, y.j, sum(x.s * y.s) AS s FROM s3 x JOIN s y ON x.j = y.i GROUP BY ALL),
     n AS (SELECT DISTINCT i FROM s)
-    SELECT n.i AS id, {', '.join(f"round(coalesce((SELECT sum(x.s * y.s) FROM {x} x JOIN {y} y ON x.i = y.i AND x.j = y.j WHERE x.i = n.i), 0), 6) + 0.0 AS rwse_{k}" for k, x, y in ((2, 's', 's'), (3, 's', 's2'), (4, 's2', 's2'), (5, 's2', 's3'), (6, 's3', 's3'), (7, 's3', 's4'), (8, 's4', 's4')))} FROM n""")
+    SELECT n.i AS id, {', '.join(r6(part(x, y), f'rwse_{k}') for k, x, y in ((2, 's', 's'), (3, 's', 's2'), (4, 's2', 's2'), (5, 's2', 's3'), (6, 's3', 's3'), (7, 's3', 's4'), (8, 's4', 's4')))} FROM n"""
+
+
+_WALK_FEATURES = _walks_sql(SYM2, "ln(1 + 10000 * coalesce(({p}), 0))")
+
+
+@query("fea_r_walk_8", _walks_sql(SYM3))
 def _(spark, d):
     return rounded(X.return_probabilities(G.dense(spark, d))).drop("rwse_1")
 
 
-@query("fea_rt_walk_features")
+@query("fea_r_walk_8_joined", _walks_sql(SYM3))
+def _(spark, d):
+    return rounded(X.return_probabilities(G.dense(spark, d), most_entries=0, parts=2)).drop("rwse_1")
+
+
+@query("fea_rt_walk_features", _WALK_FEATURES)
 def _(spark, d):
     return rounded(X.walk_features(X.return_probabilities(G.directed(spark, d))))
 
@@ -222,7 +242,9 @@ def _(spark, d):
     return components(links)
 
 
-@query("agg21_components_whole")
+@query("agg21_components_whole", f"""WITH RECURSIVE u AS (SELECT pre AS i, post AS j FROM {G1} UNION SELECT post, pre FROM {G1}),
+    c AS (SELECT DISTINCT 0 AS step, i, i AS m FROM u UNION ALL SELECT step + 1, i, min(m) FROM (SELECT c.step, u.i, c.m FROM c JOIN u ON u.j = c.i WHERE c.step < 24 UNION ALL SELECT step, i, m FROM c WHERE step < 24) GROUP BY step, i)
+    SELECT i AS id, m AS component_id FROM c WHERE step = 24""")
 def _(spark, d):
     return components(G.bipartite(spark, d), "pre", "post")
 
@@ -273,7 +295,8 @@ def _(spark, d):
     return rounded(spark.createDataFrame(X.redundancy_filter(f, f.columns[1:]), "column string, r2 double"))
 
 
-@query("fea_a_assembled")
+@query("fea_a_assembled", f"""SELECT id, coalesce(COLUMNS(* EXCLUDE (id)), 0) FROM (SELECT DISTINCT i AS id FROM {SYM2}) LEFT JOIN ({_shape_sql(G2)}) USING (id) LEFT JOIN ({ORACLES['fea_l1_reciprocity']}) USING (id)
+    LEFT JOIN ({ORACLES['fea_l4_partner_degree']}) USING (id) LEFT JOIN ({ORACLES['fea_l8_triangles']}) USING (id) LEFT JOIN (SELECT * EXCLUDE (core) FROM ({_core_sql(G2)})) USING (id) LEFT JOIN ({_WALK_FEATURES}) USING (id)""")
 def _(spark, d):
     g = G.directed(spark, d)
     return rounded(X.assemble(_nodes(g), X.connection_features(g), X.reciprocity(g), X.partner_degree(g), X.triangles(g), X.core_numbers(g).drop("core"), X.walk_features(X.return_probabilities(g))))
@@ -304,7 +327,10 @@ def _(spark, d):
     return _composition(spark, d).where("side = 'out'")
 
 
-@query("agg18_composition_whole")
+@query("agg18_composition_whole", f"""WITH p AS (SELECT p_partkey + 1000000 AS j, CASE WHEN p_size % 3 = 0 THEN NULL ELSE split_part(p_type, ' ', 1) END AS label FROM part),
+    m AS (SELECT i, CASE WHEN sign > 0 THEN 'out' ELSE 'in' END AS side, w, coalesce(label, 'unknown') AS label FROM {SYM1} LEFT JOIN p USING (j))
+    SELECT i AS id, side, {', '.join(f"round(coalesce(sum(w) FILTER (label = '{c}'), 0) / sum(w), 6) + 0.0 AS \"{c}\"" for c in ('ECONOMY', 'PROMO'))},
+    {r6("coalesce(sum(w) FILTER (label NOT IN ('ECONOMY', 'PROMO')), 0) / sum(w)", 'unknown')} FROM m GROUP BY ALL""")
 def _(spark, d):
     return _composition(spark, d)
 
@@ -332,6 +358,49 @@ def _(spark, d):
     return rounded(tokens.attention(G.directed(spark, d), "w", f, ["y"]))
 
 
+_GNN = "h AS (SELECT user_id AS id, avg(value) / 50 AS h0, count(*) / 100.0::DOUBLE AS h1 FROM events GROUP BY 1)"
+
+
+def _near(graph: str, of: str, how: str) -> str:
+    return f"(SELECT post AS id, {how}(h0) AS n0, {how}(h1) AS n1 FROM {graph} JOIN {of} ON {of}.id = pre GROUP BY 1)"
+
+
+_SAGE = {"own": [[0.5, -0.25], [0.125, 1.0]], "near": [[0.25, 0.5], [-1.0, 0.75]], "bias": [0.1, -0.2]}
+_GIN = {"weights": [[0.01, -0.02], [0.005, 0.01]], "bias": [0.3, 0.0], "eps": 0.5}
+_NORM = [(0.5, 2.0, 1.5, 0.1), (0.25, 0.5, 1.0, 0.0)]
+_SAGE_SQL = ["0.5 * h0 - 0.25 * h1 + 0.25 * coalesce(n0, 0) + 0.5 * coalesce(n1, 0) + 0.1", "0.125 * h0 + h1 - coalesce(n0, 0) + 0.75 * coalesce(n1, 0) - 0.2"]
+_GIN_SQL = ["0.01 * (1.5 * h0 + coalesce(n0, 0)) - 0.02 * (1.5 * h1 + coalesce(n1, 0)) + 0.3", "0.005 * (1.5 * h0 + coalesce(n0, 0)) + 0.01 * (1.5 * h1 + coalesce(n1, 0))"]
+
+
+def _user_features(spark, d) -> DataFrame:
+    return _t(spark, d, "events").groupBy(F.col("user_id").alias("id")).agg((F.avg("value") / 50).alias("h0"), (F.count(F.lit(1)) / 100.0).alias("h1"))
+
+
+@query("nn10_sage_layer", f"WITH {_GNN} SELECT id, {', '.join(r6(f'greatest({e}, 0)', f'h{k}') for k, e in enumerate(_SAGE_SQL))} FROM h LEFT JOIN {_near(G2, 'h', 'avg')} USING (id)")
+def _(spark, d):
+    return rounded(tokens.sage_layer(G.directed(spark, d), _user_features(spark, d), **_SAGE))
+
+
+@query("nn10_gin_layer", f"WITH {_GNN} SELECT id, {', '.join(r6(f'greatest({e}, 0)', f'h{k}') for k, e in enumerate(_GIN_SQL))} FROM h LEFT JOIN {_near(G2, 'h', 'sum')} USING (id)")
+def _(spark, d):
+    return rounded(tokens.gin_layer(G.directed(spark, d), _user_features(spark, d), **_GIN))
+
+
+@query("nn11_gnn_stack", f"""WITH {_GNN}, a AS (SELECT id, {', '.join(f'greatest((({e}) - {m}) / {v} * {g} + {b}, 0) AS h{k}' for k, (e, (m, v, g, b)) in enumerate(zip(_SAGE_SQL, _NORM, strict=True)))} FROM h LEFT JOIN {_near(G2, 'h', 'avg')} USING (id))
+    SELECT id, {', '.join(r6(f'greatest({e}, 0)', f'h{k}') for k, e in enumerate(_GIN_SQL))} FROM a LEFT JOIN {_near(G2, 'a', 'sum')} USING (id)""")
+def _(spark, d):
+    return rounded(tokens.gnn_forward(G.directed(spark, d), _user_features(spark, d), [{"kind": "sage", "norm": _NORM, **_SAGE}, {"kind": "gin", **_GIN}]))
+
+
+@query("nn4_displacement", f"SELECT vec_id AS id, {', '.join(r6(f'embedding[{k + 1}]::DOUBLE - embedding[{64 - k}]::DOUBLE', f'x{k}') for k in (0, 7, 40))} FROM embeddings")
+def _(spark, d):
+    from graftline.operators.encoder import displacement
+
+    e = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    moved = displacement(e, e.withColumn("embedding", F.reverse("embedding")))
+    return rounded(moved.select("id", *(F.col("embedding")[k].alias(f"x{k}") for k in (0, 7, 40))))
+
+
 @query("nn1_nn5_untrained_embedding")
 def _(spark, d):
     from graftline.operators.encoder import embed, random_weights
@@ -483,7 +552,15 @@ def _(spark, d):
     return _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), splits.modulo_split(F.col("vec_id")).alias("split"))
 
 
-@query("spl1_random")
+def _draw_sql(key: str) -> str:
+    return f"md5({key})"
+
+
+def _share_sql(key: str) -> str:
+    return f"(('0x' || substr(md5({key}), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+
+
+@query("spl1_random", f"SELECT id, CASE WHEN s < 0.7::DOUBLE THEN 'train' WHEN s < 0.7::DOUBLE + 0.15::DOUBLE THEN 'val' ELSE 'test' END AS split_random FROM (SELECT c_custkey AS id, {_share_sql("c_custkey || ':3'")} AS s FROM customer)")
 def _(spark, d):
     return splits.random_split(_t(spark, d, "customer").select(F.col("c_custkey").alias("id")), 3)
 
@@ -495,7 +572,14 @@ def _part_nodes(spark, d) -> DataFrame:
 _PART = f"(SELECT p_partkey AS id, CASE WHEN p_partkey % 9 <> 0 THEN p_brand || '-' || p_size END AS cell_type, p_type AS label, CASE p_partkey % 3 WHEN 0 THEN 'left' WHEN 1 THEN 'right' END AS side, {_SPLIT.format(k='p_partkey')} AS split FROM part)"
 
 
-@query("spl3_blocked")
+@query("spl3_blocked", f"""WITH RECURSIVE n AS (SELECT *, coalesce(cell_type, '__ungrouped_' || id) AS grp FROM {_PART}), c AS (SELECT grp, label, count(*) AS c FROM n GROUP BY ALL),
+    s AS (SELECT grp, sum(c)::BIGINT AS size, arg_min(label, (-c, label)) AS stratum FROM c GROUP BY grp),
+    g AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY size DESC, {_draw_sql("grp || ':1'")}, grp) AS r, sum(size) OVER (PARTITION BY stratum)::DOUBLE AS total FROM s),
+    deal AS (SELECT DISTINCT stratum, 0::BIGINT AS r, 0::BIGINT AS a, 0::BIGINT AS b, 0::BIGINT AS c, NULL::VARCHAR AS grp, -1 AS p FROM g UNION ALL
+        SELECT stratum, r, a + CASE WHEN p = 0 THEN size ELSE 0 END, b + CASE WHEN p = 1 THEN size ELSE 0 END, c + CASE WHEN p = 2 THEN size ELSE 0 END, grp, p FROM
+        (SELECT d.stratum, g.r, d.a, d.b, d.c, g.grp, g.size, CASE WHEN 0.7::DOUBLE * total - a >= 0.15::DOUBLE * total - b AND 0.7::DOUBLE * total - a >= 0.15::DOUBLE * total - c THEN 0 WHEN 0.15::DOUBLE * total - b >= 0.15::DOUBLE * total - c THEN 1 ELSE 2 END AS p
+        FROM deal d JOIN g ON g.stratum = d.stratum AND g.r = d.r + 1))
+    SELECT id, cell_type, label, side, CASE p WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split FROM n JOIN (SELECT grp, p FROM deal WHERE p >= 0) USING (grp)""")
 def _(spark, d):
     return splits.blocked_split(_part_nodes(spark, d).drop("split"), ["label"], "cell_type", 1)
 
@@ -517,7 +601,8 @@ def _(spark, d):
     return splits.label_coverage(_part_nodes(spark, d), "split", "cell_type")
 
 
-@query("spl7_holdout")
+@query("spl7_holdout", f"""WITH n AS (SELECT id, split, row_number() OVER (ORDER BY {_draw_sql("id || ':0'")}, id) AS r, count(*) OVER () AS c FROM {_PART}), h AS (SELECT *, r <= least(2048, c // 4) AS held FROM n)
+    SELECT id, CASE WHEN held THEN 'holdout' ELSE 'trainable' END AS part FROM h UNION ALL SELECT id, 'pool' FROM h WHERE NOT held AND split = 'train'""")
 def _(spark, d):
     n = _part_nodes(spark, d)
     held, rest, pool = splits.holdout(n.select("id"), 8, n.where("split = 'train'").select("id"))
@@ -537,6 +622,14 @@ def _vec(spark, d, places: int = _D) -> DataFrame:
 
 
 _X, _ALL = [f"x{i}" for i in range(_D)], [f"x{i}" for i in range(_PLACES)]
+_VEC_ALL = f"(SELECT vec_id AS id, label, {', '.join(f'embedding[{i + 1}]::DOUBLE AS x{i}' for i in range(_PLACES))}, {_SPLIT.format(k='vec_id')} AS split FROM embeddings)"
+
+
+def _scaled_sql(fitted: str, shown: str = "true") -> str:
+    """All places of the shown rows by the mean and deviation of the fitted ones."""
+    return f"SELECT id, {', '.join(r6(f'({c} - m_{c}) / greatest(s_{c}, 1e-6)', c) for c in _ALL)} FROM {_VEC_ALL}, (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}' for c in _ALL)} FROM {_VEC_ALL} WHERE {fitted}) WHERE {shown}"
+
+
 _VEC = f"(SELECT vec_id AS id, label, {', '.join(f'embedding[{i + 1}]::DOUBLE AS x{i}' for i in range(_D))}, {_SPLIT.format(k='vec_id')} AS split FROM embeddings)"
 
 
@@ -554,19 +647,34 @@ def _(spark, d):
     return rounded(scaling.apply_scale(target, stats, _X))
 
 
-@query("scl1_standardise_whole")
+@query("scl1_standardise_whole", _scaled_sql("split = 'train'"))
 def _(spark, d):
     v = _vec(spark, d, _PLACES).select("id", *_ALL, "split")
     return rounded(scaling.apply_scale(v, scaling.fit_scale(v, _ALL, F.col("split") == "train"), _ALL).drop("split"))
 
 
-@query("scl2_transfer_whole")
+@query("scl2_transfer_whole", _scaled_sql("split = 'train' AND id % 2 = 0", "id % 2 = 1"))
 def _(spark, d):
     v = _vec(spark, d, _PLACES)
     source, target = v.where("id % 2 = 0"), v.where("id % 2 = 1").select("id", *_ALL)
     return rounded(scaling.apply_scale(target, scaling.target_scale(source, target, _ALL, "source", F.col("split") == "train", F.lit(True)), _ALL))
 
 
+@query("scl3_own_statistics", _scaled_sql("id % 2 = 1", "id % 2 = 1"))
+def _(spark, d):
+    v = _vec(spark, d, _PLACES)
+    source, target = v.where("id % 2 = 0"), v.where("id % 2 = 1").select("id", *_ALL)
+    return rounded(scaling.apply_scale(target, scaling.target_scale(source, target, _ALL, "own", F.col("split") == "train", F.lit(True)), _ALL))
+
+
+@query("scl3_connected_statistics", _scaled_sql("id % 2 = 1 AND label < 5", "id % 2 = 1"))
+def _(spark, d):
+    v = _vec(spark, d, _PLACES)
+    source, target = v.where("id % 2 = 0"), v.where("id % 2 = 1").select("id", "label", *_ALL)
+    stats = scaling.target_scale(source, target, _ALL, "own_neurons", F.col("split") == "train", F.col("label") < 5)
+    return rounded(scaling.apply_scale(target, stats, _ALL).drop("label"))
+
+
 @query("scl4_unit_floor", f"SELECT id, {r6('(x0 - m) / (CASE WHEN s > 0 THEN s ELSE 1 END)', 'x0')}, {r6('0.0', 'c')} FROM {_VEC}, (SELECT avg(x0) AS m, stddev_pop(x0) AS s FROM {_VEC})")
 def _(spark, d):
     v = _vec(spark, d).select("id", "x0", F.lit(3.0).alias("c"))
@@ -605,6 +713,32 @@ def _(spark, d):
     return rounded(probes.vote(probes.neighbours(rows.where("split = 'test'"), rows.where("split = 'train'"), 5), 5))
 
 
+@query("prb8_class_votes", f"SELECT id, label, {r6('count(*) / 5', 'share')} FROM {_NEAR.format(dist='list_distance(q.x, r.x)', e=_E)} WHERE rank <= 5 GROUP BY id, label")
+def _(spark, d):
+    rows = _probe_rows(spark, d)
+    return rounded(probes.class_votes(probes.neighbours(rows.where("split = 'test'"), rows.where("split = 'train'"), 5), 5))
+
+
+@query("qry11_same_label", f"SELECT q.label AS label, count(*) AS n, {r6('avg((n.label = q.label)::INT::DOUBLE)', 'same_share')} FROM {_NEAR.format(dist='(1 - list_cosine_similarity(q.x, r.x))', e=_E)} n JOIN {_E} q USING (id) WHERE rank = 1 GROUP BY 1")
+def _(spark, d):
+    rows = _probe_rows(spark, d)
+    near = probes.neighbours(rows.where("split = 'test'"), rows.where("split = 'train'"), 1, "cosine")
+    return rounded(probes.same_label_share(near, rows.withColumn("by", F.col("label")), "label", "by").withColumnRenamed("by", "label"))
+
+
+@query("prb11_curve_point")
+def _(spark, d):
+    found = probes.curve_point(_probe_rows(spark, d))
+    return rounded(spark.createDataFrame([tuple(found.values())], "linear double, knn double, k long"), 4)
+
+
+@query("prb2_sweep")
+def _(spark, d):
+    rows = _probe_rows(spark, d).withColumn("odd", F.expr("CAST(CAST(label AS INT) % 2 AS STRING)"))
+    found = probes.sweep(rows, ["odd"], {"all": F.lit(True), "even": F.col("id") % 2 == 0}, penalties=(1.0,), ks=(5,))
+    return rounded(spark.createDataFrame([(t, scope, r["source_macro_f1"], r["rows_of_unknown_class"]) for (t, scope), r in found.items()], "target string, scope string, macro_f1 double, rows_of_unknown_class long"), 4)
+
+
 @query("joi16_cosine_nearest", f"SELECT id, label, {r6('distance', 'distance')} FROM {_NEAR.format(dist='(1 - list_cosine_similarity(q.x, r.x))', e=_E)} WHERE rank = 1")
 def _(spark, d):
     rows = _probe_rows(spark, d)
@@ -708,7 +842,7 @@ def _(spark, d):
     return slicing.quantile_bin(_pred(spark, d).where("lang IN ('en', 'de')"), "n_chars", 5, ("lang",), "id", "quintile").select("id", "quintile")
 
 
-@query("win3_quintiles_whole")
+@query("win3_quintiles_whole", f"SELECT id, CASE WHEN c = 1 THEN 1 ELSE greatest(1, ceil((r - 1) * 5 / (c - 1)))::INT END AS quintile FROM (SELECT id, row_number() OVER (PARTITION BY lang ORDER BY n_chars, id) AS r, count(*) OVER (PARTITION BY lang) AS c FROM {_PRED})")
 def _(spark, d):
     return slicing.quantile_bin(_pred(spark, d), "n_chars", 5, ("lang",), "id", "quintile").select("id", "quintile")
 
@@ -816,12 +950,16 @@ def _(spark, d):
     return rounded(slicing.by_status(_pred(spark, d), "source", 5, 1).select("source", "n", "macro_f1", "accuracy"))
 
 
-@query("qry16_side_shares")
+@query("qry16_side_shares", f"SELECT s_nationkey AS nation, 'out' AS side, count(*) AS n, {r6('median(share)', 'median')}, {r6('avg(share)', 'mean')} FROM (SELECT pre, count(*) FILTER (w = 1) / count(*) AS share FROM {G1} GROUP BY pre) JOIN supplier ON s_suppkey = pre GROUP BY 1")
 def _(spark, d):
     return rounded(slicing.side_shares(X.connection_features(G.bipartite(spark, d)), _t(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("nation")), "nation"))
 
 
-@query("qry1_metadata")
+@query("qry1_metadata", f"""WITH n AS (SELECT c_custkey AS id, CASE WHEN c_nationkey % 4 = 0 THEN 'vnc' ELSE 'brain' END AS region, c_mktsegment AS super_class, c_nationkey AS nation, CASE WHEN c_custkey % 5 <> 0 THEN c_nationkey::VARCHAR END AS cell_type,
+    count(i) FILTER (sign < 0) AS n_in, count(i) FILTER (sign > 0) AS n_out, coalesce(sum(w) FILTER (sign < 0), 0)::BIGINT AS syn_in, coalesce(sum(w) FILTER (sign > 0), 0)::BIGINT AS syn_out FROM customer LEFT JOIN {SYM2} ON i = c_custkey GROUP BY 1, 2, 3, 4),
+    t AS (SELECT DISTINCT cell_type FROM n WHERE nation < 12 AND cell_type IS NOT NULL), m AS (SELECT *, n_in + n_out AS degree, row_number() OVER (ORDER BY n_in + n_out, id) AS r, count(*) OVER () AS c FROM n)
+    SELECT id, 'nt' AS probe_target, super_class AS "true", 'BUILDING' AS pred, region, super_class, nation, cell_type, n_in, n_out, syn_in, syn_out, degree, CASE WHEN cell_type IS NULL THEN 'no type' WHEN cell_type IN (SELECT cell_type FROM t) THEN 'seen' ELSE 'unseen' END AS type_in_source,
+    CASE WHEN degree <= 7 THEN '0-7' WHEN degree <= 15 THEN '8-15' WHEN degree <= 31 THEN '16-31' WHEN degree <= 63 THEN '32-63' ELSE '64+' END AS tokens, greatest(1, ceil((r - 1) * 5 / (c - 1)))::INT AS degree_quintile FROM m""")
 def _(spark, d):
     nodes = _node_rows(spark, d).withColumn("cell_type", F.when(F.col("id") % 5 != 0, F.col("nation").cast("string")))
     pred = nodes.select("id", F.lit("nt").alias("probe_target"), F.col("super_class").alias("true"), F.lit("BUILDING").alias("pred"))
@@ -875,7 +1013,7 @@ def _(spark, d):
     return rounded(slicing.arms({"a": p, "b": p.withColumn("pred", F.lit("1"))}, ("lang",)))
 
 
-@query("nn8_dropped_edges")
+@query("nn8_dropped_edges", f"SELECT pre, post, w FROM {G1} WHERE {_share_sql("pre || ':' || post || ':1'")} >= 0.2::DOUBLE")
 def _(spark, d):
     return tokens.dropped_edges(G.bipartite(spark, d), 0.2, 1)
 
@@ -886,6 +1024,6 @@ def _(spark, d):
     return rounded(out.drop("proba"), 4)
 
 
-@query("spl6_cohort")
+@query("spl6_cohort", f"SELECT p_partkey AS id FROM part ORDER BY {_draw_sql("p_partkey || ':2'")}, id LIMIT 50")
 def _(spark, d):
     return splits.cohort(_part_nodes(spark, d).select("id"), 50, 2)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,10 +16,27 @@ def edge_table(spark: SparkSession, path: str, pre: str, post: str, weight: str)
 
 
 def feather(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """SRC5: an Arrow (Feather) file, by row batches; the file is read where the driver can open it, once, for conversion."""
+    """SRC5: Arrow (Feather) files, read whole file by whole file in the executors from any store that Spark reads; only the first file's schema reaches the driver."""
+    import pyarrow as pa
     import pyarrow.feather
+    from pyspark.sql.pandas.types import from_arrow_schema
 
-    return spark.createDataFrame(pyarrow.feather.read_table(path, columns=columns, memory_map=True))
+    files = spark.read.format("binaryFile").load(path).select("content")
+
+    def schemas(batches):
+        for b in batches:
+            for content in b.column("content"):
+                yield pa.RecordBatch.from_pydict({"schema": [pa.feather.read_table(pa.BufferReader(content.as_buffer()), columns=columns, memory_map=False).schema.remove_metadata().serialize().to_pybytes()]})
+
+    def rows(batches):
+        for b in batches:
+            for content in b.column("content"):
+                yield from pa.feather.read_table(pa.BufferReader(content.as_buffer()), columns=columns, memory_map=False).to_batches(max_chunksize=65_536)
+
+    first = files.limit(1).mapInArrow(schemas, "schema binary").first()
+    if first is None:
+        raise FileNotFoundError(path)
+    return files.mapInArrow(rows, from_arrow_schema(pa.ipc.read_schema(pa.BufferReader(bytes(first[0])))))
 
 
 def annotations(spark: SparkSession, path: str, schema: str, columns: list[str] | None = None) -> DataFrame:
@@ -58,8 +76,18 @@ def predictions(spark: SparkSession, path: str, target: str, where: str, columns
 
 
 def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
-    """SNK1/SNK2: a Parquet table, there as a whole or not at all."""
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    """SNK1/SNK2: a Parquet table, there as a whole or not at all: written beside its place and moved there, so that the table it replaces goes only when the new one is complete."""
+    spark, path = df.sparkSession, path.rstrip("/")
+    aside, old = (f"{path}.{kind}-{uuid.uuid4().hex}" for kind in ("new", "old"))
+    df.write.partitionBy(*partition_by).parquet(aside)
+    of = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    fs = of(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(of(path)):
+        fs.rename(of(path), of(old))
+    if not fs.rename(of(aside), of(path)):
+        raise OSError(f"{aside} could not be moved to {path}")
+    fs.delete(of(old), True)
+    spark.catalog.refreshByPath(path)
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:

@@ -31,7 +31,7 @@ def test_logistic_is_at_the_optimum(rows):
 @pytest.mark.parametrize("metric", ["euclidean", "cosine"])
 @pytest.mark.parametrize("limit", [1 << 30, 1000])
 def test_neighbours_equal_brute_force(rows, metric, limit, monkeypatch):
-    monkeypatch.setattr(probes, "MOST_BROADCAST", limit)
+    monkeypatch.setattr(probes, "MOST_BYTES", limit)
     train, test = (rows.where(f"split = '{s}' AND label IS NOT NULL") for s in ("train", "test"))
     a, b = train.toPandas(), test.toPandas()
     x, q = np.array(a["x"].tolist()), np.array(b["x"].tolist())
@@ -86,3 +86,18 @@ def test_coverage_by_row_and_encoder(spark):
     y[1, 1:] = y[1, [3, 1, 4, 2]]  # nor has the order of partners
     assert np.allclose(a, encoder.forward(w, y, valid))
     assert not np.allclose(encoder.forward(w, x.copy(), valid, np.array([0, 1])), encoder.forward(w, x.copy(), valid, np.array([-1, -1])))
+
+
+def test_codes_take_the_norm_of_seed_tokens():
+    from graftline.operators import encoder
+
+    weights = encoder.random_weights(6, 16, 4, 2, 5, 3)
+    seeds = np.random.default_rng(1).standard_normal((40, 8))
+    got, scale = encoder.calibrate_codes(weights, seeds)
+    assert abs(scale - np.linalg.norm(seeds @ weights["token"], axis=1).mean()) < 1e-12
+    assert np.allclose(np.linalg.norm(got["codes"], axis=1), scale) and np.allclose(np.linalg.norm(got["unknown"]), scale)
+    assert np.allclose(got["codes"] / scale, weights["codes"] / np.linalg.norm(weights["codes"], axis=1, keepdims=True))
+    tokens, valid = np.random.default_rng(2).standard_normal((3, 4, 8)), np.ones((3, 4), bool)
+    plain, shown = encoder.read_out(got), encoder.read_out(got, shown=True)
+    code = np.array([0, 1, 2])
+    assert np.allclose(plain(tokens, valid, code), plain(tokens, valid, code[::-1])) and not np.allclose(shown(tokens, valid, code), plain(tokens, valid, code))

@@ -1,3 +1,5 @@
+import os
+
 import pyarrow as pa
 import pyarrow.feather
 import pytest
@@ -41,3 +43,24 @@ def test_feather_vectors_probes_and_resume(spark, tmp_path):
         out = T.resume(blocks.where(f"block < {n}"), spark, f"{tmp_path}/blocks", lambda b: (done.append(b.count()), b)[1])
         assert out.count() == n
     assert done == [2, 2]
+
+
+def test_feather_files_of_a_folder(spark, tmp_path):
+    for k in range(3):
+        pyarrow.feather.write_feather(pa.table({"pre": [k, k + 1], "w": pa.array([1, None], pa.int32()), "name": ["x", None]}), tmp_path / f"{k}.feather", compression="lz4")
+    got = T.feather(spark, str(tmp_path))
+    assert dict(got.dtypes) == {"pre": "bigint", "w": "int", "name": "string"} and got.count() == 6
+    assert sorted(r.pre for r in T.feather(spark, str(tmp_path), ["pre"]).collect()) == [0, 1, 1, 2, 2, 3]
+
+
+def test_a_failed_write_leaves_the_old_table(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    T.write_table(spark.range(5), path)
+    T.write_table(spark.range(7), path)
+    assert spark.read.parquet(path).count() == 7
+    with pytest.raises(Exception):
+        T.write_table(spark.range(9).selectExpr("raise_error('no') AS x"), path)
+    assert spark.read.parquet(path).count() == 7
+    T.write_table(spark.read.parquet(path).where("id < 3"), path)  # from the table that it replaces
+    assert spark.read.parquet(path).count() == 3
+    assert [f for f in os.listdir(tmp_path) if f.startswith("t.old")] == []
