@@ -188,7 +188,7 @@ def _across(rows: DataFrame, comp: DataFrame, sets: DataFrame, classes: DataFram
     stats = stored(stats, "near-open")
     if stats.isEmpty():
         return None
-    met = stored(known.join(stats, "bucket"), "near-met").join(classes.select("id", "sig"), "id")
+    met = known.join(stats, "bucket").join(classes.select("id", "sig"), "id")
     blocks, parts = F.ceil(F.col("n_out") / BLOCK), F.ceil(F.col("n_all") / CHUNK)
     own_block, own_part = F.pmod(F.xxhash64("id"), blocks), F.pmod(F.xxhash64("id", F.lit(1)), parts)
     unit = lambda k, r, left: F.struct(k.alias("k"), r.alias("r"), F.lit(left).alias("left"))
@@ -285,7 +285,7 @@ def _link(docs: DataFrame, classes: DataFrame, held: DataFrame) -> DataFrame:
     rows = stored(rows.join(shared, "bucket"), "near-candidates")
     pairs = rows.where("id <> pivot").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct()
     sets = stored(_sets(docs, classes, rows.select("id").distinct()), "near-sets")
-    links = confirmed(stored(likely(stored(pairs, "near-pairs"), classes), "near-likely"), sets)
+    links = confirmed(stored(likely(pairs, classes), "near-likely"), sets)
     twice = held.groupBy("id").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select("id", "a")
     same = held.join(twice, "id").select("a", F.col("class").alias("b")).where("a <> b").distinct()  # texts of one id
     links = stored(links.unionByName(same), "near-links")
