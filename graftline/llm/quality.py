@@ -129,7 +129,9 @@ def keep_good(docs: DataFrame, model: CompressionClassifier, text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for b in batches:
-            yield b.filter(pa.array([own.score(t or "") >= cut for t in b.column(text_col).to_pylist()], pa.bool_()))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):  # so that few texts are held twice
+                b = whole.slice(at, 500)
+                yield b.filter(pa.array([own.score(t or "") >= cut for t in b.column(text_col).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
