@@ -104,6 +104,7 @@ def neighbours(queries: DataFrame, reference: DataFrame, k: int, metric: str = "
                     out += [(query, ids[near[j]], labels[near[j]], exact[j]) for j in best]
         return pd.DataFrame(out, columns=["id", "neighbour", "label", "distance"])
 
+    left, right = left.toDF(*left.columns), right.toDF(*right.columns)  # columns of their own, where both sides come from one table
     found = left.groupBy("block", "slice").cogroup(right.groupBy("block", "slice")).applyInPandas(run, "id long, neighbour long, label string, distance double")
     order = Window.partitionBy("id").orderBy("distance", "neighbour")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

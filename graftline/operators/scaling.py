@@ -70,11 +70,9 @@ def collapse_metrics(df: DataFrame, columns: list[str], dead: float = 0.01) -> d
     return stats | {"ratio_to_null": stats["effective_rank"] / null if null else 0.0, "dead_fraction": float((e < dead * e.mean()).mean()) if e.sum() > 0 else 1.0}
 
 
-def null_space(df: DataFrame, columns: list[str], targets: list[str], rounds: int = 1, ridge: float = 1e-3) -> DataFrame:
-    """SCL9: columns without the directions from which the targets can be read, in rounds of ridge regression, QR and projection.
-
-    The products of columns and targets are summed once; each round works on them, and the rows are projected once at the end.
-    """
+def null_projection(df: DataFrame, columns: list[str], targets: list[str], rounds: int = 1, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """SCL9: (means, projection) that takes out the directions from which the targets can be read, in rounds of ridge regression, QR and projection.
+    The products of columns and targets are summed once; each round works on them."""
     d = len(columns)
     n, s, g = gramian(df, [*columns, *targets])
     c = g - np.outer(s, s) / n
@@ -84,5 +82,12 @@ def null_space(df: DataFrame, columns: list[str], targets: list[str], rounds: in
         q, r = np.linalg.qr(p @ b)
         q = q[:, np.abs(np.diag(r)) > 1e-10]
         p = p - q @ (q.T @ p)
-    x = [F.col(k) - float(m) for k, m in zip(columns, s[:d] / n, strict=True)]
+    return s[:d] / n, p
+
+
+def null_space(df: DataFrame, columns: list[str], targets: list[str], rounds: int = 1, ridge: float = 1e-3) -> DataFrame:
+    """SCL9: columns without those directions; the rows are projected once."""
+    d = len(columns)
+    mean, p = null_projection(df, columns, targets, rounds, ridge)
+    x = [F.col(k) - float(m) for k, m in zip(columns, mean, strict=True)]
     return df.withColumns({k: sum((x[i] * float(p[i, j]) for i in range(d)), F.lit(0.0)) for j, k in enumerate(columns)})

@@ -1027,3 +1027,29 @@ def _(spark, d):
 @query("spl6_cohort", f"SELECT p_partkey AS id FROM part ORDER BY {_draw_sql("p_partkey || ':2'")}, id LIMIT 50")
 def _(spark, d):
     return splits.cohort(_part_nodes(spark, d).select("id"), 50, 2)
+
+
+def _report_rows(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Vectors whose label stands for a class, with a type, a split and counts by arithmetic; even ids are the source."""
+    e, i = _t(spark, d, "embeddings"), F.col("vec_id")
+    rows = e.select(i.alias("id"), F.slice(F.col("embedding").cast("array<double>"), 1, 16).alias("x"), (F.col("label") % 3).cast("string").alias("label"), F.concat(F.lit("t"), (F.col("label") * 4 + F.shiftright(i, 1) % 4).cast("string")).alias("cell_type"),
+        splits.modulo_split(i).alias("split"), (i * 37 % 101 + 1).alias("syn_out"), (i * 17 % 31 + 1).alias("n_out"), (i * 13 % 97 + 1).alias("syn_in"), (i * 7 % 29 + 1).alias("n_in"))
+    return rows.where("id % 2 = 0"), rows.where("id % 2 = 1")
+
+
+@query("qry17_forward_mechanism")
+def _(spark, d):
+    from graftline.plans.reports import forward_mechanism
+
+    found = forward_mechanism(*_report_rows(spark, d), least_cells=3, least_types=3, rounds=(1,))
+    cell = lambda part, name, value: found[part].select(F.lit(part).alias("part"), F.expr(f"CAST({name} AS STRING)").alias("what"), F.expr(value).cast("double").alias("value"))
+    return rounded(cell("A", "what", "macro_f1").unionByName(cell("B", "class", "spearman")).unionByName(cell("B by ratio", "ratio_bin", "acc")).unionByName(cell("C", "concat(`true`, quartile)", "acc")).unionByName(cell("D", "what", "macro_f1")).unionByName(cell("E", "`true`", "same_type")).unionByName(cell("E by neighbour", "same", "acc")).unionByName(cell("E chance", "'chance'", "chance")), 4)
+
+
+@query("qry18_reverse_drop")
+def _(spark, d):
+    from graftline.plans.reports import reverse_drop
+
+    found = reverse_drop(*_report_rows(spark, d), "1")
+    cell = lambda part, name, value: found[part].select(F.lit(part).alias("part"), F.expr(f"CAST({name} AS STRING)").alias("what"), F.expr(value).cast("double").alias("value"))
+    return rounded(cell("score", "what", "macro_f1").unionByName(cell("confusion", "concat(`true`, pred)", "share")).unionByName(cell("types", "cell_type", "correct")).unionByName(cell("coverage", "'of_class'", "of_class")).unionByName(cell("by coverage", "type_in_source", "accuracy")).unionByName(cell("counts", "ok", "median_syn_out")).unionByName(cell("test", "'p'", "p_greater")).unionByName(cell("quartiles", "quartile", "share")), 4)
