@@ -233,16 +233,7 @@ def _(spark, d):
     return rounded(X.walk_features(X.return_probabilities(G.directed(spark, d))))
 
 
-@query("agg21_components", f"""WITH RECURSIVE u AS (SELECT l_suppkey AS i, c_custkey + 10000000 AS j FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey WHERE l_quantity >= 49 AND l_returnflag = 'R' AND l_discount > 0.08),
-    e AS (SELECT DISTINCT i, j FROM u UNION SELECT DISTINCT j, i FROM u), r AS (SELECT DISTINCT i AS id, i AS c FROM e UNION SELECT e.j, r.c FROM r JOIN e ON e.i = r.id)
-    SELECT id, min(c) AS component_id FROM r GROUP BY id""")
-def _(spark, d):
-    line = _t(spark, d, "lineitem").where("l_quantity >= 49 AND l_returnflag = 'R' AND l_discount > 0.08")
-    links = line.join(_t(spark, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("l_suppkey").alias("a"), (F.col("o_custkey") + 10_000_000).alias("b"))
-    return components(links)
-
-
-@query("agg21_components_whole", f"""WITH RECURSIVE u AS (SELECT pre AS i, post AS j FROM {G1} UNION SELECT post, pre FROM {G1}),
+@query("agg21_components", f"""WITH RECURSIVE u AS (SELECT pre AS i, post AS j FROM {G1} UNION SELECT post, pre FROM {G1}),
     c AS (SELECT DISTINCT 0 AS step, i, i AS m FROM u UNION ALL SELECT step + 1, i, min(m) FROM (SELECT c.step, u.i, c.m FROM c JOIN u ON u.j = c.i WHERE c.step < 24 UNION ALL SELECT step, i, m FROM c WHERE step < 24) GROUP BY step, i)
     SELECT i AS id, m AS component_id FROM c WHERE step = 24""")
 def _(spark, d):
@@ -320,14 +311,6 @@ def _(spark, d):
 
 
 @query("agg18_composition", f"""WITH p AS (SELECT p_partkey + 1000000 AS j, CASE WHEN p_size % 3 = 0 THEN NULL ELSE split_part(p_type, ' ', 1) END AS label FROM part),
-    m AS (SELECT i, sign, w, coalesce(label, 'unknown') AS label FROM {SYM1} LEFT JOIN p USING (j) WHERE sign > 0)
-    SELECT i AS id, 'out' AS side, {', '.join(f"round(coalesce(sum(w) FILTER (label = '{c}'), 0) / sum(w), 6) + 0.0 AS \"{c}\"" for c in ('ECONOMY', 'PROMO'))},
-    {r6("coalesce(sum(w) FILTER (label NOT IN ('ECONOMY', 'PROMO')), 0) / sum(w)", 'unknown')} FROM m GROUP BY i""")
-def _(spark, d):
-    return _composition(spark, d).where("side = 'out'")
-
-
-@query("agg18_composition_whole", f"""WITH p AS (SELECT p_partkey + 1000000 AS j, CASE WHEN p_size % 3 = 0 THEN NULL ELSE split_part(p_type, ' ', 1) END AS label FROM part),
     m AS (SELECT i, CASE WHEN sign > 0 THEN 'out' ELSE 'in' END AS side, w, coalesce(label, 'unknown') AS label FROM {SYM1} LEFT JOIN p USING (j))
     SELECT i AS id, side, {', '.join(f"round(coalesce(sum(w) FILTER (label = '{c}'), 0) / sum(w), 6) + 0.0 AS \"{c}\"" for c in ('ECONOMY', 'PROMO'))},
     {r6("coalesce(sum(w) FILTER (label NOT IN ('ECONOMY', 'PROMO')), 0) / sum(w)", 'unknown')} FROM m GROUP BY ALL""")
@@ -612,85 +595,68 @@ def _(spark, d):
 
 # --- scaling ----------------------------------------------------------------------------------------------------------------
 
-#: Places of the embedding that the queries with SQL read, and all of them.
-_D, _PLACES = 8, 64
+#: Places of an embedding; the queries read all of them.
+_PLACES = 64
 
 
-def _vec(spark, d, places: int = _D) -> DataFrame:
+def _vec(spark, d) -> DataFrame:
     e = _t(spark, d, "embeddings")
-    return e.select(F.col("vec_id").alias("id"), "label", *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(places)), splits.modulo_split(F.col("vec_id")).alias("split"))
+    return e.select(F.col("vec_id").alias("id"), "label", *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(_PLACES)), splits.modulo_split(F.col("vec_id")).alias("split"))
 
 
-_X, _ALL = [f"x{i}" for i in range(_D)], [f"x{i}" for i in range(_PLACES)]
-_VEC_ALL = f"(SELECT vec_id AS id, label, {', '.join(f'embedding[{i + 1}]::DOUBLE AS x{i}' for i in range(_PLACES))}, {_SPLIT.format(k='vec_id')} AS split FROM embeddings)"
+_ALL = [f"x{i}" for i in range(_PLACES)]
+_VEC = f"(SELECT vec_id AS id, label, {', '.join(f'embedding[{i + 1}]::DOUBLE AS x{i}' for i in range(_PLACES))}, {_SPLIT.format(k='vec_id')} AS split FROM embeddings)"
 
 
 def _scaled_sql(fitted: str, shown: str = "true") -> str:
     """All places of the shown rows by the mean and deviation of the fitted ones."""
-    return f"SELECT id, {', '.join(r6(f'({c} - m_{c}) / greatest(s_{c}, 1e-6)', c) for c in _ALL)} FROM {_VEC_ALL}, (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}' for c in _ALL)} FROM {_VEC_ALL} WHERE {fitted}) WHERE {shown}"
-
-
-_VEC = f"(SELECT vec_id AS id, label, {', '.join(f'embedding[{i + 1}]::DOUBLE AS x{i}' for i in range(_D))}, {_SPLIT.format(k='vec_id')} AS split FROM embeddings)"
-
-
-@query("scl1_standardise", f"SELECT id, {', '.join(r6(f'({c} - m_{c}) / greatest(s_{c}, 1e-6)', c) for c in _X)} FROM {_VEC}, (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}' for c in _X)} FROM {_VEC} WHERE split = 'train')")
-def _(spark, d):
-    v = _vec(spark, d).select("id", *_X, "split")
-    return rounded(scaling.apply_scale(v, scaling.fit_scale(v, _X, F.col("split") == "train"), _X).drop("split"))
+    return f"SELECT id, {', '.join(r6(f'({c} - m_{c}) / greatest(s_{c}, 1e-6)', c) for c in _ALL)} FROM {_VEC}, (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}' for c in _ALL)} FROM {_VEC} WHERE {fitted}) WHERE {shown}"
 
 
-@query("scl2_transfer", f"SELECT id, {', '.join(r6(f'({c} - m_{c}) / greatest(s_{c}, 1e-6)', c) for c in _X)} FROM {_VEC}, (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}' for c in _X)} FROM {_VEC} WHERE split = 'train' AND id % 2 = 0) WHERE id % 2 = 1")
+@query("scl1_standardise", _scaled_sql("split = 'train'"))
 def _(spark, d):
-    v = _vec(spark, d)
-    source, target = v.where("id % 2 = 0"), v.where("id % 2 = 1").select("id", *_X)
-    stats = scaling.target_scale(source, target, _X, "source", F.col("split") == "train", F.lit(True))
-    return rounded(scaling.apply_scale(target, stats, _X))
-
-
-@query("scl1_standardise_whole", _scaled_sql("split = 'train'"))
-def _(spark, d):
-    v = _vec(spark, d, _PLACES).select("id", *_ALL, "split")
+    v = _vec(spark, d).select("id", *_ALL, "split")
     return rounded(scaling.apply_scale(v, scaling.fit_scale(v, _ALL, F.col("split") == "train"), _ALL).drop("split"))
 
 
-@query("scl2_transfer_whole", _scaled_sql("split = 'train' AND id % 2 = 0", "id % 2 = 1"))
+@query("scl2_transfer", _scaled_sql("split = 'train' AND id % 2 = 0", "id % 2 = 1"))
 def _(spark, d):
-    v = _vec(spark, d, _PLACES)
+    v = _vec(spark, d)
     source, target = v.where("id % 2 = 0"), v.where("id % 2 = 1").select("id", *_ALL)
     return rounded(scaling.apply_scale(target, scaling.target_scale(source, target, _ALL, "source", F.col("split") == "train", F.lit(True)), _ALL))
 
 
 @query("scl3_own_statistics", _scaled_sql("id % 2 = 1", "id % 2 = 1"))
 def _(spark, d):
-    v = _vec(spark, d, _PLACES)
+    v = _vec(spark, d)
     source, target = v.where("id % 2 = 0"), v.where("id % 2 = 1").select("id", *_ALL)
     return rounded(scaling.apply_scale(target, scaling.target_scale(source, target, _ALL, "own", F.col("split") == "train", F.lit(True)), _ALL))
 
 
 @query("scl3_connected_statistics", _scaled_sql("id % 2 = 1 AND label < 5", "id % 2 = 1"))
 def _(spark, d):
-    v = _vec(spark, d, _PLACES)
+    v = _vec(spark, d)
     source, target = v.where("id % 2 = 0"), v.where("id % 2 = 1").select("id", "label", *_ALL)
     stats = scaling.target_scale(source, target, _ALL, "own_neurons", F.col("split") == "train", F.col("label") < 5)
     return rounded(scaling.apply_scale(target, stats, _ALL).drop("label"))
 
 
-@query("scl4_unit_floor", f"SELECT id, {r6('(x0 - m) / (CASE WHEN s > 0 THEN s ELSE 1 END)', 'x0')}, {r6('0.0', 'c')} FROM {_VEC}, (SELECT avg(x0) AS m, stddev_pop(x0) AS s FROM {_VEC})")
+@query("scl4_unit_floor", f"SELECT id, {', '.join(r6(f'({c} - m_{c}) / (CASE WHEN s_{c} > 0 THEN s_{c} ELSE 1 END)', c) for c in _ALL)}, {r6('0.0', 'c')} FROM {_VEC}, (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}' for c in _ALL)} FROM {_VEC})")
 def _(spark, d):
-    v = _vec(spark, d).select("id", "x0", F.lit(3.0).alias("c"))
-    return rounded(scaling.apply_scale(v, scaling.fit_scale(v, ["x0", "c"]), ["x0", "c"], None))
+    v = _vec(spark, d).select("id", *_ALL, F.lit(3.0).alias("c"))
+    return rounded(scaling.apply_scale(v, scaling.fit_scale(v, [*_ALL, "c"]), [*_ALL, "c"], None))
 
 
 @query("scl5_effective_rank")
 def _(spark, d):
-    v = _vec(spark, d, _PLACES)
+    v = _vec(spark, d)
     m = scaling.collapse_metrics(v, _ALL)
     return rounded(spark.createDataFrame([(scaling.effective_rank(v, _ALL), *m.values())], "standardised double, " + ", ".join(f"{k} double" for k in m)))
 
 
 @query("scl9_null_space")
 def _(spark, d):
-    v = _vec(spark, d, _PLACES).withColumn("t", F.col("x0") + F.col("x1"))
+    v = _vec(spark, d).withColumn("t", F.col("x0") + F.col("x1"))
     return rounded(scaling.null_space(v, _ALL, ["t"], 1).select("id", *_ALL))
 
 
@@ -837,12 +803,7 @@ def _(spark, d):
 # --- slices and reports -----------------------------------------------------------------------------------------------------
 
 
-@query("win3_quintiles", f"SELECT id, greatest(1, ceil((row_number() OVER (PARTITION BY lang ORDER BY n_chars, id) - 1) * 5 / (count(*) OVER (PARTITION BY lang) - 1)))::INT AS quintile FROM {_PRED} WHERE lang IN ('en', 'de')")
-def _(spark, d):
-    return slicing.quantile_bin(_pred(spark, d).where("lang IN ('en', 'de')"), "n_chars", 5, ("lang",), "id", "quintile").select("id", "quintile")
-
-
-@query("win3_quintiles_whole", f"SELECT id, CASE WHEN c = 1 THEN 1 ELSE greatest(1, ceil((r - 1) * 5 / (c - 1)))::INT END AS quintile FROM (SELECT id, row_number() OVER (PARTITION BY lang ORDER BY n_chars, id) AS r, count(*) OVER (PARTITION BY lang) AS c FROM {_PRED})")
+@query("win3_quintiles", f"SELECT id, CASE WHEN c = 1 THEN 1 ELSE greatest(1, ceil((r - 1) * 5 / (c - 1)))::INT END AS quintile FROM (SELECT id, row_number() OVER (PARTITION BY lang ORDER BY n_chars, id) AS r, count(*) OVER (PARTITION BY lang) AS c FROM {_PRED})")
 def _(spark, d):
     return slicing.quantile_bin(_pred(spark, d), "n_chars", 5, ("lang",), "id", "quintile").select("id", "quintile")
 

@@ -40,5 +40,5 @@ def test_whole_graph_against_union_find(spark):
     for a, b in connect(sf).execute(f"SELECT pre, post FROM {G1_SQL}").fetchall():
         p, q = find(a), find(b)
         parent[max(p, q)] = min(p, q)
-    got = {r.id: r.component_id for r in registry.QUERIES["agg21_components_whole"](spark, sf).collect()}
+    got = {r.id: r.component_id for r in registry.QUERIES["agg21_components"](spark, sf).collect()}
     assert got == {x: find(x) for x in parent}

@@ -57,14 +57,14 @@ assert set(e.oracle_sql()) <= names
 
 
 def test_whole_jobs(spark, duck):
-    """All places of the embedding, all languages and both sides, in queries without SQL."""
+    """All places of the embedding, all languages and both sides, against numpy."""
     vec = np.array(duck.execute("SELECT embedding::DOUBLE[] FROM embeddings ORDER BY vec_id").fetchnumpy()["CAST(embedding AS DOUBLE[])"].tolist())
     ids = [i for (i,) in duck.execute("SELECT vec_id FROM embeddings ORDER BY vec_id").fetchall()]
     run = lambda name: registry.QUERIES[name](spark, SF)
     part = {r.id: r.split for r in registry._vec(spark, SF).collect()}
     train = np.array([part[i] == "train" for i in ids])
     even = np.array([i % 2 == 0 for i in ids])
-    for name, fitted, shown in (("scl1_standardise_whole", train, np.ones(len(ids), bool)), ("scl2_transfer_whole", train & even, ~even)):
+    for name, fitted, shown in (("scl1_standardise", train, np.ones(len(ids), bool)), ("scl2_transfer", train & even, ~even)):
         want = (vec[shown] - vec[fitted].mean(0)) / np.maximum(vec[fitted].std(0), 1e-6)
         got = sorted(tuple(r) for r in run(name).select("id", *(f"x{i}" for i in range(64))).collect())
         assert np.allclose([g[1:] for g in got], want, atol=1e-5)
@@ -73,5 +73,5 @@ def test_whole_jobs(spark, duck):
     p = np.maximum(np.linalg.eigvalsh(np.cov(x.T)), 1e-300)
     p /= p.sum()
     assert abs(run("scl5_effective_rank").first().standardised - np.exp(-(p * np.log(p)).sum())) < 1e-4
-    assert run("win3_quintiles_whole").count() == duck.execute(f"SELECT count(*) FROM {registry._PRED}").fetchone()[0]
-    assert {r.side for r in run("agg18_composition_whole").select("side").distinct().collect()} == {"in", "out"}
+    assert run("win3_quintiles").count() == duck.execute(f"SELECT count(*) FROM {registry._PRED}").fetchone()[0]
+    assert {r.side for r in run("agg18_composition").select("side").distinct().collect()} == {"in", "out"}
