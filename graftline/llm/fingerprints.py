@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -91,32 +92,48 @@ def likeness(a: Column, b: Column, bins: int = BINS) -> Column:
     return F.when(a == b, 1.0).when((a == "") | (b == ""), 0.0).otherwise(F.greatest(F.lit(0.0), (share - chance) / (1 - chance)))
 
 
+def cut_keys(slim: DataFrame, slices: int) -> tuple[list[tuple], tuple | None]:
+    """(cuts, top): at most slices - 1 keys (id, h) of rows, in ascending order, that part the rows evenly, and the largest key (None without rows).
+
+    Cuts come from a random sample of some 20 rows a slice, so their number is bounded by the slices whatever the table. A null is the least id.
+    """
+    rows, top_id = slim.agg(F.count(F.lit(1)), F.max("id")).first()
+    if not rows:
+        return [], None
+    top = slim.where(F.col("id").eqNullSafe(F.lit(top_id).cast(slim.schema["id"].dataType))).agg(F.max("h")).first()[0]
+    rank = lambda k: (k[0] is not None, k[0] or 0, k[1])
+    share = min(1.0, 20 * slices / rows)
+    drawn = sorted((tuple(r) for r in (slim if share == 1 else slim.sample(share, seed=1)).select("id", "h").collect()), key=rank)
+    cuts = {drawn[len(drawn) * i // slices] for i in range(1, slices)} if drawn else set()
+    return sorted(cuts - {(top_id, top)}, key=rank), (top_id, top)
+
+
 def neighbours(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text, print, next_text, next_print), print being the fingerprint and next the row after it by descending id, or
-    the first after the last; null texts are empty.
+    the first after the last; null texts are empty. Rows of one id follow one another by descending hash of the text, null ids come last.
 
-    Ids are cut at sampled quantiles into slices of about equal size, a few for each shuffle partition. A cut is itself an
-    id, the largest of its slice, and that row is also sent as a guest to the slice above, whose last row it follows; the row of largest
-    id is sent as a guest behind the lowest slice. So every row finds its neighbour in its slice, after one exchange of the
+    Rows are cut at sampled keys, of id and hash, into slices of about equal size, a few for each shuffle partition, so that an id that many rows share is cut as
+    well. A cut is itself a row's key, the largest of its slice, and that row is also sent as a guest to the slice above, whose last row it follows; the row of the
+    largest key is sent as a guest behind the lowest slice. So every row finds its neighbour in its slice, after one exchange of the
     texts, and only the cuts reach the driver.
     """
     spark = docs.sparkSession
-    slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    slim = keyed(docs, id_col, text_col).toDF("id", "text").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("h", F.xxhash64("text"))
     slices = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shares = [i / slices for i in range(1, slices)]
-    cuts, top = slim.select(F.percentile_approx("id", shares, 10 * slices).alias("c"), F.max("id").alias("m")).first()
-    cuts = sorted({c for c in cuts or [] if c is not None and c != top})
-    bounds = constant(cuts, "array<bigint>")
-    own = F.when(F.col("id").isNull(), F.lit(0)).otherwise(F.size(F.filter(bounds, lambda c: c < F.col("id"))))
+    cuts, top = cut_keys(slim, slices)
+    kind = f"struct<id:{slim.schema['id'].dataType.simpleString()},h:bigint>"
+    key, step = F.struct("id", "h"), max(1, math.isqrt(len(cuts)))
+    as_rows = lambda keys: constant([{"id": i, "h": h} for i, h in keys], f"array<{kind}>")
+    bounds, below = as_rows(cuts), lambda c: c < key
+    whole = F.size(F.filter(as_rows(cuts[step - 1 :: step]), below)) * step  # cuts in the stretches that lie below as a whole
+    own = whole + F.size(F.filter(F.slice(bounds, whole + 1, F.lit(step)), below))
     place = lambda at, guest: F.struct(at.alias("slice"), F.lit(guest).alias("guest"))
-    last, wraps = F.array_contains(bounds, F.col("id")), F.col("id") == F.lit(top)
-    copies = F.filter(F.array(place(own, 0), F.when(last, place(own + 1, 1)), F.when(wraps, place(F.lit(0), 2))), lambda p: p.isNotNull())
-    if top is None:  # ids are all null
-        copies = F.array(place(F.lit(0), 0))
-    dealt = slim.select("id", "text", F.inline(copies)).repartition(slices // 4, "slice").withColumn("print", fingerprint(F.col("text")))
-    order = Window.partitionBy("slice").orderBy("guest", F.col("id").desc_nulls_last(), "text")
+    last, wraps = F.get(bounds, F.col("own")) == key, key == F.from_json(F.lit(json.dumps(dict(zip(("id", "h"), top or (None, None), strict=True)))), kind)
+    copies = F.filter(F.array(place(F.col("own"), 0), F.when(last, place(F.col("own") + 1, 1)), F.when(wraps, place(F.lit(0), 2))), lambda p: p.isNotNull())
+    dealt = slim.withColumn("own", own).select("id", "h", "text", F.inline(copies)).repartition(slices // 4, "slice").withColumn("print", fingerprint(F.col("text")))
+    order = Window.partitionBy("slice").orderBy("guest", F.col("id").desc_nulls_last(), F.col("h").desc(), "text")
     after = {f"next_{c}": F.coalesce(F.lead(c).over(order), F.col(c)) for c in ("text", "print")}
-    return dealt.withColumns(after).where("guest = 0").drop("slice", "guest")
+    return dealt.withColumns(after).where("guest = 0").drop("slice", "guest", "h")
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -125,7 +142,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     The edited text is the text with its last floor(n_chars / 3) code points replaced by the first as many (or all) of the
     next row's text by descending id; after the row of smallest id comes that of the largest, and a single row is its own next. Equal
     texts have equal fingerprints; a null or empty text, or one of white space, has the empty fingerprint. Rows that repeat an id follow one
-    another by the hash of their text, null ids come last of all; of several rows with the largest id any may follow the last row. Whole texts of any length are read.
+    another by descending hash of their text, null ids come last of all. Rows equal in id and text lie in one slice. Whole texts of any length are read.
     """
     rows = neighbours(docs, id_col, text_col)
     n = F.char_length("text")

@@ -4,7 +4,7 @@ import re
 from pyspark.sql import functions as F
 
 from graftline.llm.common import table
-from graftline.llm.fingerprints import BINS, bin_minima, edited_fingerprints, fingerprint, likeness, probe_order, shingle_hashes
+from graftline.llm.fingerprints import BINS, bin_minima, cut_keys, edited_fingerprints, fingerprint, likeness, neighbours, probe_order, shingle_hashes
 
 SCHEMA = "doc_id long, text string, fingerprint string, slice int, guest int"
 
@@ -53,6 +53,20 @@ def test_few_rows(spark):
     assert edited_fingerprints(tied).count() == 4
 
 
+def test_shared_ids_are_cut_and_keep_their_order(spark):
+    """A third of the rows share one id, a third have none: no task holds them all, and each row's next is the one that a plain order names."""
+    rows = [(i if i % 3 == 0 else 7 if i % 3 == 1 else None, f"text {i} {i * i} of some words {i % 13}") for i in range(900)] + [(None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    hashed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).select("doc_id", "t", F.xxhash64("t").alias("h")).collect()
+    order = sorted(hashed, key=lambda r: (r.doc_id is None, -(r.doc_id or 0), -r.h, r.t))
+    want = sorted((r.doc_id or -1, r.t, n.t) for r, n in zip(order, order[1:] + order[:1], strict=True))
+    found = neighbours(docs, "doc_id", "text")
+    assert sorted((r.id or -1, r.text, r.next_text) for r in found.collect()) == want
+    cuts, top = cut_keys(docs.select(F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")), 16)
+    assert top == (order[0].doc_id, order[0].h) and len(cuts) == 15
+    assert sum(c[0] is None for c in cuts) in (4, 5, 6) and sum(c[0] == 7 for c in cuts) in (4, 5, 6)
+
+
 def test_minima_against_a_loop(spark):
     t = " ".join(f"w{i * i % 97}" for i in range(300))
     (r,) = spark.createDataFrame([(t,)], "t string").select(shingle_hashes(F.col("t")).alias("h"), bin_minima(shingle_hashes(F.col("t"))).alias("m"), fingerprint(F.col("t")).alias("f")).collect()
