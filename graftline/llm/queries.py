@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graftline.llm import lm_score
+from graftline.llm.alignment import align
 from graftline.llm.common import table
 from graftline.llm.exact_dedup import exact_dedup
 from graftline.llm.fingerprints import edited_fingerprints
@@ -15,6 +16,7 @@ from graftline.llm.near_dedup import near_dedup
 from graftline.llm.pieces import encode_decode
 from graftline.llm.quality import classify, fit
 from graftline.llm.substring_dedup import substring_dedup
+from graftline.llm.token_counts import token_counts
 from graftline.llm.url_filter import UrlRatio, judge, labelled_sample
 
 
@@ -73,6 +75,14 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(docs, lm_score.fit(docs, labels.where("quality = 1 and toxic = 0").select("doc_id")))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(spread(spark, sf_dir, "documents"), model_file("byte_bpe_50k.json"), model_file())
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(spread(spark, sf_dir, "documents"), model_file("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_near_dedup": op2_near_dedup,
@@ -84,6 +94,8 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mixing": op9_mixing,
     "op10_lm_score": op10_lm_score,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_token_counts": op12_token_counts,
 }
 
 ORACLES = {
