@@ -130,7 +130,12 @@ def _(spark, d):
 # --- features ----------------------------------------------------------------------------------------------------------
 
 
-def _shape_sql(graph: str, degrees: bool = True) -> str:
+def shape_columns() -> list[str]:
+    """The degree and connection-shape columns, in the order of the SQL."""
+    return [c for side in ("out", "in") for c in (*(f"logD{side}@{t}" for t in X.FLOORS), f"logSyn{side.title()}", *(f"{s}_{side}" for s in X.SHAPES))]
+
+
+def shape_sql(graph: str, degrees: bool = True, show=r6) -> str:
     out = []
     for side, key in (("out", "pre"), ("in", "post")):
         n = f"greatest(coalesce(n_{side}, 0), 1)"
@@ -138,10 +143,10 @@ def _shape_sql(graph: str, degrees: bool = True) -> str:
         mean = f"({g('s')} / {n})"
         floor = f"greatest({g('s')}, 1e-9)"
         if degrees:
-            out += [r6(f"ln(1 + {g(f't{t}')})", f"logD{side}@{t}") for t in X.FLOORS] + [r6(f"ln(1 + {g('s')})", f"logSyn{side.title()}")]
+            out += [show(f"ln(1 + {g(f't{t}')})", f"logD{side}@{t}") for t in X.FLOORS] + [show(f"ln(1 + {g('s')})", f"logSyn{side.title()}")]
         sd = f"sqrt(greatest({g('ss')} / {n} - {mean} * {mean}, 0))"
         shape = (f"{g('one')} / {n}", f"{g('p75')} / {n}", f"{g('p90')} / {n}", f"ln(1 + {mean})", f"{sd} / greatest({mean}, 1e-9)", f"{g('ss')} / ({floor} * {floor})", f"{g('m')} / {floor}", f"{g('l')} / {n}")
-        out += [r6(e, f"{s}_{side}") for s, e in zip(X.SHAPES, shape, strict=True)]
+        out += [show(e, f"{s}_{side}") for s, e in zip(X.SHAPES, shape, strict=True)]
     sums = lambda key, side: f"""(SELECT {key} AS id, count(*)::DOUBLE AS n_{side}, sum(w)::DOUBLE AS s_{side}, sum(w * w)::DOUBLE AS ss_{side}, max(w)::DOUBLE AS m_{side}, sum(ln(1 + w)) AS l_{side},
         count(*) FILTER (w = 1)::DOUBLE AS one_{side}, count(*) FILTER (w >= p75)::DOUBLE AS p75_{side}, count(*) FILTER (w >= p90)::DOUBLE AS p90_{side},
         count(*) FILTER (w >= 1)::DOUBLE AS t1_{side}, count(*) FILTER (w >= 3)::DOUBLE AS t3_{side}, count(*) FILTER (w >= 5)::DOUBLE AS t5_{side} FROM g, p GROUP BY 1)"""
@@ -149,12 +154,12 @@ def _shape_sql(graph: str, degrees: bool = True) -> str:
     SELECT id, {', '.join(out)} FROM {sums('pre', 'out')} FULL JOIN {sums('post', 'in')} USING (id)"""
 
 
-@query("fea_connection_shape", _shape_sql(G1))
+@query("fea_connection_shape", shape_sql(G1))
 def _(spark, d):
     return rounded(X.connection_features(G.bipartite(spark, d)))
 
 
-@query("fea_connection_shape_events", _shape_sql(G2))
+@query("fea_connection_shape_events", shape_sql(G2))
 def _(spark, d):
     return rounded(X.connection_features(G.directed(spark, d)))
 
@@ -286,7 +291,7 @@ def _(spark, d):
     return rounded(spark.createDataFrame(X.redundancy_filter(f, f.columns[1:]), "column string, r2 double"))
 
 
-@query("fea_a_assembled", f"""SELECT id, coalesce(COLUMNS(* EXCLUDE (id)), 0) FROM (SELECT DISTINCT i AS id FROM {SYM2}) LEFT JOIN ({_shape_sql(G2)}) USING (id) LEFT JOIN ({ORACLES['fea_l1_reciprocity']}) USING (id)
+@query("fea_a_assembled", f"""SELECT id, coalesce(COLUMNS(* EXCLUDE (id)), 0) FROM (SELECT DISTINCT i AS id FROM {SYM2}) LEFT JOIN ({shape_sql(G2)}) USING (id) LEFT JOIN ({ORACLES['fea_l1_reciprocity']}) USING (id)
     LEFT JOIN ({ORACLES['fea_l4_partner_degree']}) USING (id) LEFT JOIN ({ORACLES['fea_l8_triangles']}) USING (id) LEFT JOIN (SELECT * EXCLUDE (core) FROM ({_core_sql(G2)})) USING (id) LEFT JOIN ({_WALK_FEATURES}) USING (id)""")
 def _(spark, d):
     g = G.directed(spark, d)
