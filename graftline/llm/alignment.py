@@ -26,10 +26,11 @@ from pyspark.sql.types import StructType
 
 from graftline.llm.common import keyed, stored
 from graftline.llm.token_counts import Numbers, byte_alphabet, ragged_sums
+from graftline.llm.token_counts import batches as batches_of
 
 SPACE = "▁"
-#: Texts are aligned in batches of so many characters, or one text if that is longer.
-BATCH_CHARS = 1 << 24
+#: Texts are aligned in batches of so many characters, or one text if that is longer, and their pieces in slices of so many characters.
+BATCH_CHARS, SLICE_CHARS = 1 << 24, 1 << 17
 #: A place where both tokenizers always end a token: Python's white space includes all that the byte-level pattern has. A last lone space
 #: stays with what it follows, since the model adds no space to an empty text.
 CUT = re.compile(r"(?<=\S)(?= [\s\S])")
@@ -91,7 +92,8 @@ class Aligner:
         split = spec["pre_tokenizer"]
         #: Whether a cut text's pieces have the tokens of the whole: known of byte-level splits and of models without rules in which white space only begins a piece.
         self.cuts = not whole and not spec["normalizer"] and split["type"] == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"]
-        self.a_words, self.b_words = ([str(i) for i in range(len(t))] for t in (self.a_bytes, self.b_bytes))
+        self.a_words, self.b_words = (np.array([str(i) for i in range(len(t))], object) for t in (self.a_bytes, self.b_bytes))
+        self.a_widths, self.b_widths = (np.fromiter(map(len, t), np.int64, len(t)) for t in (self.a_bytes, self.b_bytes))
 
     @staticmethod
     def _table(entries: dict[int, bytes]) -> list[bytes]:
@@ -120,18 +122,18 @@ class Alignment:
     """
 
     def __init__(self, coder: Aligner, pieces: list[str]):
-        ids_a, ids_b = coder.encode(pieces)
-        raw = [b" " + p.encode() for p in pieces]
-        joined_a, joined_b = ([b"".join(map(table.__getitem__, ids)) for ids in found] for table, found in ((coder.a_bytes, ids_a), (coder.b_bytes, ids_b)))
-        self.ok = np.array([r == x == y for r, x, y in zip(raw, joined_a, joined_b, strict=True)], dtype=bool)
-        n = len(pieces)
-        for found in (ids_a, ids_b):
-            for i in np.flatnonzero(~self.ok):
-                found[i] = []
-        self.n_a, self.n_b = (np.fromiter(map(len, found), np.int64, n) for found in (ids_a, ids_b))
-        flat_a, flat_b = (np.fromiter(itertools.chain.from_iterable(found), np.int64, int(k.sum())) for found, k in ((ids_a, self.n_a), (ids_b, self.n_b)))
-        wide_a, wide_b = (np.fromiter(map(len, table), np.int64, len(table)) for table in (coder.a_bytes, coder.b_bytes))
-        end_a, end_b = np.cumsum(wide_a[flat_a]), np.cumsum(wide_b[flat_b])
+        found, n = coder.encode(pieces), len(pieces)
+        raw = (" " + " ".join(pieces)).encode() if n else b""
+        wide = np.fromiter(map(len, map(str.encode, pieces)), np.int64, n) + 1
+        self.ok, flat, sizes = np.ones(n, bool), [], []
+        for ids, table, widths in zip(found, (coder.a_bytes, coder.b_bytes), (coder.a_widths, coder.b_widths), strict=True):
+            sizes.append(np.fromiter(map(len, ids), np.int64, n))
+            flat.append(np.fromiter(itertools.chain.from_iterable(ids), np.int64, int(sizes[-1].sum())))
+            same = ragged_sums(widths[flat[-1]], sizes[-1]) == wide
+            if not (same.all() and b"".join(map(table.__getitem__, flat[-1].tolist())) == raw):
+                self.ok &= same & np.array([b"".join(map(table.__getitem__, i)) == b" " + p.encode() for i, p in zip(ids, pieces, strict=True)], dtype=bool)
+        (flat_a, flat_b), (self.n_a, self.n_b) = ([f[np.repeat(self.ok, s)] for f, s in zip(flat, sizes, strict=True)], [np.where(self.ok, s, 0) for s in sizes])
+        end_a, end_b = np.cumsum(coder.a_widths[flat_a]), np.cumsum(coder.b_widths[flat_b])
         size = int(end_a[-1]) if len(end_a) else 0
         self.n_groups = self.n_links = np.zeros(n, np.int64)
         self.links, self.shown = np.zeros(0, np.int64), [""] * n
@@ -140,7 +142,7 @@ class Alignment:
         # a bit stands for the last byte of a token
         a, b = Bits.of(end_a - 1, size), Bits.of(end_b - 1, size)
         shared, either = Bits(a.words & b.words), Bits(a.words | b.words)
-        ends = np.cumsum(np.where(self.ok, np.fromiter(map(len, raw), np.int64, n), 0))
+        ends = np.cumsum(np.where(self.ok, wide, 0))
         upto = lambda bits: np.diff(bits.rank(ends), prepend=0)
         self.n_groups, self.n_links = upto(shared), upto(either)
         stops = either.places()
@@ -156,8 +158,7 @@ class Alignment:
         group_a, group_b = (np.repeat(np.arange(len(upto_a)), u - f) for u, f in ((upto_a, from_a), (upto_b, from_b)))
         at_a, at_b = np.arange(len(flat_a)) + from_b[group_a], np.arange(len(flat_b)) + upto_a[group_b]
         words, marks = np.empty(n, object), np.full(n, ",", object)
-        words[at_a] = np.array(coder.a_words, object)[flat_a]
-        words[at_b] = np.array(coder.b_words, object)[flat_b]
+        words[at_a], words[at_b] = coder.a_words[flat_a], coder.b_words[flat_b]
         marks[from_a + from_b] = ";"
         marks[upto_a + from_b] = "|"
         parts = np.empty(2 * n, object)
@@ -186,25 +187,28 @@ def aligned_batch(coder: Aligner, texts: list[str]) -> dict:
     known, found = Numbers(), []
     for t in texts:
         found.append(np.array(list(map(known.__getitem__, coder.pieces(t))) if t else [], dtype=np.int32))
-    done = coder.align(list(known))
+    slices = [coder.align(part) for part in batches_of(list(known), SLICE_CHARS)]
+    each = {c: np.concatenate([np.zeros(0, bool if c == "ok" else np.int64), *(getattr(s, c) for s in slices)]) for c in ("ok", "n_a", "n_b", "n_groups", "n_links", "links")}
+    shown = [text for s in slices for text in s.shown]
+    del known, slices
     for i, f in enumerate(found):
-        if not done.ok[f].all():
+        if not each["ok"][f].all():
             found[i] = f[:0]
-    shown = done.shown
     sha = [hashlib.sha256(";".join(map(shown.__getitem__, f.tolist())).encode()).hexdigest() if len(f) else "" for f in found]
     seen, sizes = np.concatenate([np.zeros(0, np.int32), *found]), np.fromiter(map(len, found), np.int64, len(found))
-    keys, links = np.unique(done.links, return_inverse=True)
+    keys, links = np.unique(each["links"], return_inverse=True)
     docs = np.zeros(len(keys), np.int64)
-    start = np.cumsum(done.n_links) - done.n_links
+    n_links = each["n_links"]
+    start = np.cumsum(n_links) - n_links
     for f in found:  # each text's distinct links
         own = np.unique(f)
-        n = done.n_links[own]
+        n = n_links[own]
         at = np.repeat(start[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         docs[np.unique(links[at])] += 1
     used = docs > 0  # links of a piece all of whose texts are without tokens are of no key: the place after the last
     links = np.where(used, np.cumsum(used) - 1, used.sum())[links]
-    out = {c: ragged_sums(getattr(done, c)[seen], sizes) for c in ("n_a", "n_b", "n_groups", "n_links")}
-    return out | {"groups_sha256": sha, "pieces": found, "sizes": done.n_links, "links": links, "keys": keys[used], "docs": docs[used]}
+    out = {c: ragged_sums(each[c][seen], sizes) for c in ("n_a", "n_b", "n_groups", "n_links")}
+    return out | {"groups_sha256": sha, "pieces": found, "sizes": n_links, "links": links, "keys": keys[used], "docs": docs[used]}
 
 
 def align(docs: DataFrame, a_file: str, b_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
