@@ -1,14 +1,12 @@
 """Hierarchy levels of a directed graph (FEA-F1 to F6, AGG21, AGG22): trophic levels and SpringRank by conjugate gradients.
 
-Systems of bounded size are solved by the driver. In larger ones vectors are DataFrames keyed by node, a product is one join of the
-symmetrised edges with the vector, and only inner products reach the driver; each step is stored, so a lost executor costs one step.
+Vectors are DataFrames keyed by node; the matrix stays where it is, the vectors come to it by a join, and only inner products reach
+the driver, at every size. Systems of one graph, whatever their weights, run side by side as columns of the same steps.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from graftline.functions.labels import weighted
@@ -18,8 +16,6 @@ from graftline.plans.storage import stored
 
 WEIGHTINGS = ("binary", "raw", "log1p")
 ALPHAS = (0.0, 0.1, 1.0, 10.0)
-#: Entries of a system that one process may hold.
-MOST_LOCAL = 20_000_000
 
 
 def component_labels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -28,110 +24,129 @@ def component_labels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("component_id", "id").alias("component"))
 
 
-def laplacian(edges: DataFrame, weighting: str) -> tuple[DataFrame, DataFrame]:
-    """FEA-F3: (i, j, v) of the symmetrised weights without loops, and (i, d, b) with d the strength and b in- minus out-weight."""
-    w = edges.select("pre", "post", weighted(weighting, F.col("w")).alias("w"))
-    both = symmetrised(w.where("pre <> post"))
-    off = stored(both.groupBy("i", "j").agg(F.sum("w").alias("v")), "laplacian")
-    diagonal = both.groupBy("i").agg(F.sum("w").alias("d"), F.sum(-F.col("sign") * F.col("w")).alias("b"))
-    return off, stored(diagonal, "diagonal")
+def laplacians(edges: DataFrame, weightings: tuple[str, ...] = WEIGHTINGS) -> tuple[DataFrame, DataFrame]:
+    """FEA-F3: (i, j, v_<weighting>...) of the symmetrised weights without loops, and (i, d_<weighting>, b_<weighting>...) with d the
+    strength and b in- minus out-weight."""
+    w = F.struct(*(weighted(k, F.col("w")).cast("double").alias(k) for k in weightings)).alias("w")
+    both = symmetrised(edges.where("pre <> post").select("pre", "post", w))
+    off = stored(both.groupBy("i", "j").agg(*(F.sum(f"w.{k}").alias(f"v_{k}") for k in weightings)), "laplacian")
+    sums = [c for k in weightings for c in (F.sum(f"w.{k}").alias(f"d_{k}"), F.sum(-F.col("sign") * F.col(f"w.{k}")).alias(f"b_{k}"))]
+    return off, stored(both.groupBy("i").agg(*sums), "diagonal")
 
 
-def solve(off: DataFrame, diagonal: DataFrame, rhs: Column, alpha: float = 0.0, rtol: float = 1e-10, maxiter: int = 5000, most_local: int = MOST_LOCAL) -> tuple[DataFrame, dict]:
-    """FEA-F4: (i, x) with (L + alpha I) x = rhs by Jacobi-preconditioned conjugate gradients from zero, and the status.
+def solve(off: DataFrame, diagonal: DataFrame, systems: dict[str, tuple[str, int, float]], rtol: float = 1e-10, maxiter: int = 5000) -> tuple[DataFrame, dict[str, dict]]:
+    """FEA-F4: (i, <name>...) with (L + alpha I) x = sign b for each {name: (weighting, sign, alpha)}, by Jacobi-preconditioned conjugate
+    gradients from zero, and the status of each.
 
-    A system of at most most_local entries (16 bytes each) is solved on the driver in vectors; a larger one stays distributed.
+    The matrix is dealt once by column and kept in the executors, where its stored table makes good what is lost. The steps are
+    arranged so that one product and one reduction make an iteration of all systems: what moves is one row of values a node to
+    the columns, and one sum a row and task back. A system that has converged stands still. Each step is stored, so a lost
+    executor costs one step.
     """
-    if off.count() <= most_local and diagonal.count() <= most_local:
-        return _solve_local(off, diagonal, rhs, alpha, rtol, maxiter)
-    state = diagonal.select("i", (F.col("d") + alpha).alias("m"), rhs.alias("r")).withColumns({"x": F.lit(0.0), "z": F.col("r") / F.col("m"), "p": F.col("r") / F.col("m")})
-    state = stored(state, "cg")
-    norm, rz = state.agg(F.sqrt(F.coalesce(F.sum(F.col("r") * F.col("r")), F.lit(0.0))), F.coalesce(F.sum(F.col("r") * F.col("z")), F.lit(0.0))).first()
-    residual, steps = norm, 0
-    while residual > rtol * norm and steps < maxiter and norm > 0:
-        moved = off.join(state.select(F.col("i").alias("j"), F.col("p").alias("pj")), "j").groupBy("i").agg(F.sum(F.col("v") * F.col("pj")).alias("ap"))
-        q = stored(state.join(moved, "i", "left").withColumn("q", F.col("m") * F.col("p") - F.coalesce("ap", F.lit(0.0))).drop("ap"), "cg-q")
-        a = rz / q.agg(F.sum(F.col("p") * F.col("q"))).first()[0]
-        new = q.select("i", "m", (F.col("x") + a * F.col("p")).alias("x"), (F.col("r") - a * F.col("q")).alias("r"), "p").withColumn("z", F.col("r") / F.col("m"))
-        residual, rz_new = new.agg(F.sqrt(F.sum(F.col("r") * F.col("r"))), F.sum(F.col("r") * F.col("z"))).first()
-        state = stored(new.withColumn("p", F.col("z") + (rz_new / rz) * F.col("p")), "cg")
-        rz, steps = rz_new, steps + 1
-    return state.select("i", "x"), {"iterations": steps, "relative_residual": residual / norm if norm else 0.0, "converged": residual <= rtol * norm}
-
-
-def _solve_local(off: DataFrame, diagonal: DataFrame, rhs: Column, alpha: float, rtol: float, maxiter: int) -> tuple[DataFrame, dict]:
-    d = diagonal.select("i", (F.col("d") + alpha).cast("double").alias("m"), rhs.cast("double").alias("b")).toArrow()
-    o = off.select("i", "j", F.col("v").cast("double").alias("v")).toArrow()
-    ids = d["i"].to_numpy()
-    order = np.argsort(ids)
-    ids, m, r = ids[order], d["m"].to_numpy()[order], d["b"].to_numpy()[order].copy()
-    row, col, v = np.searchsorted(ids, o["i"].to_numpy()), np.searchsorted(ids, o["j"].to_numpy()), o["v"].to_numpy()
-    x, z = np.zeros_like(r), r / m
-    p, rz, norm, steps = z.copy(), float(r @ z), float(np.sqrt(r @ r)), 0
-    residual = norm
-    while residual > rtol * norm and steps < maxiter and norm > 0:
-        q = m * p - np.bincount(row, weights=v * p[col], minlength=len(ids))
-        a = rz / float(p @ q)
-        x, r = x + a * p, r - a * q
-        z = r / m
-        residual, rz_new = float(np.sqrt(r @ r)), float(r @ z)
-        p, rz, steps = z + (rz_new / rz) * p, rz_new, steps + 1
-    made = off.sparkSession.createDataFrame(pa.table({"i": pa.array(ids, pa.int64()), "x": pa.array(x, pa.float64())}))
-    return made, {"iterations": steps, "relative_residual": residual / norm if norm else 0.0, "converged": residual <= rtol * norm}
-
-
-def centred(values: DataFrame, labels: DataFrame, column: str = "x") -> DataFrame:
+    parts = int(off.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    matrix = off.repartition(parts, "j").sortWithinPartitions("j").persist()
+    of = dict(enumerate(systems.values()))
+    keep = ["i", *(f"m{k}" for k in of)]
+
+    def step(new: DataFrame) -> tuple[DataFrame, list[tuple[float, float, float]]]:
+        """new (i, and m, x, r, p, s of each system) with u = r / m and w the product with u, stored; and the sums of r u, w u and r r."""
+        new = new.select("*", *((F.col(f"r{k}") / F.col(f"m{k}")).alias(f"u{k}") for k in of))
+        sent = new.select(F.col("i").alias("j"), *(f"u{k}" for k in of))
+        moved = matrix.join(sent, "j").groupBy("i").agg(*(F.sum(F.col(f"v_{w}") * F.col(f"u{k}")).alias(f"a{k}") for k, (w, _, _) in of.items()))
+        new = new.join(moved, "i", "left").select(*new.columns, *((F.col(f"m{k}") * F.col(f"u{k}") - F.coalesce(f"a{k}", F.lit(0.0))).alias(f"w{k}") for k in of))
+        seen = Observation()  # the sums come with the write, in tasks that count once
+        new = stored(new.observe(seen, *(F.sum(F.col(f"{a}{k}") * F.col(f"{b}{k}")).alias(f"{a}{b}{k}") for k in of for a, b in ("ru", "wu", "rr"))), "cg")
+        return new, [tuple(seen.get[f"{c}{k}"] or 0.0 for c in ("ru", "wu", "rr")) for k in of]
+
+    try:
+        first = [c for k, (w, sign, alpha) in of.items() for c in ((F.col(f"d_{w}") + alpha).alias(f"m{k}"), (sign * F.col(f"b_{w}")).alias(f"r{k}"), *(F.lit(0.0).alias(f"{c}{k}") for c in "xps"))]
+        state, sums = step(diagonal.select("i", *first))
+        norm, size, done = [rr**0.5 for _, _, rr in sums], [rr**0.5 for _, _, rr in sums], [0] * len(of)
+        a, b = [ru / wu if wu else 0.0 for ru, wu, _ in sums], [0.0] * len(of)
+        while live := [k for k in of if size[k] > rtol * norm[k] and done[k] < maxiter]:
+            made = []
+            for k in of:
+                if k in live:
+                    p, s = F.col(f"u{k}") + b[k] * F.col(f"p{k}"), F.col(f"w{k}") + b[k] * F.col(f"s{k}")
+                    made += [(F.col(f"x{k}") + a[k] * p).alias(f"x{k}"), (F.col(f"r{k}") - a[k] * s).alias(f"r{k}"), p.alias(f"p{k}"), s.alias(f"s{k}")]
+                else:
+                    made += [F.col(f"{c}{k}") for c in "xrps"]
+            last, (state, sums) = sums, step(state.select(*keep, *made))
+            for k in live:
+                ru, wu, rr = sums[k]
+                size[k], b[k], done[k] = rr**0.5, ru / last[k][0], done[k] + 1
+                down = wu - b[k] * ru / a[k]
+                a[k] = ru / down if down else 0.0
+    finally:
+        matrix.unpersist()
+    status = {name: {"iterations": done[k], "relative_residual": size[k] / norm[k] if norm[k] else 0.0, "converged": size[k] <= rtol * norm[k]} for k, name in enumerate(systems)}
+    return state.select("i", *(F.col(f"x{k}").alias(name) for k, name in enumerate(systems))), status
+
+
+def centred(values: DataFrame, labels: DataFrame, columns: list[str]) -> DataFrame:
     """AGG22: the component's mean taken off; the means are aggregates of their own, so a giant component is no single task."""
     met = values.join(labels, "id")
-    means = stored(met.groupBy("component").agg(F.avg(column).alias("_mean")), "means")
-    return met.join(means, "component").select("id", (F.col(column) - F.col("_mean")).alias(column))
+    means = stored(met.groupBy("component").agg(*(F.avg(c).alias(f"_{c}") for c in columns)), "means")
+    rest = [c for c in values.columns if c not in columns]
+    return met.join(means, "component").select(*(F.col(f"`{c}`") for c in rest), *((F.col(c) - F.col(f"_{c}")).alias(c) for c in columns))
 
 
-def _onto(nodes: DataFrame, solution: DataFrame, name: str) -> DataFrame:
-    return nodes.select("id").join(solution.toDF("id", name), "id", "left").na.fill(0.0)
+def _trophic(weighting: str) -> tuple[str, tuple[str, int, float]]:
+    return f"trophic_{weighting}", (weighting, 1, 0.0)
+
+
+def _rank(weighting: str, alpha: float) -> tuple[str, tuple[str, int, float]]:
+    return f"springrank_{weighting}_a{alpha:g}", (weighting, -1, alpha)
+
+
+def levels(edges: DataFrame, nodes: DataFrame, systems: dict[str, tuple[str, int, float]], labels: DataFrame | None = None, **how) -> tuple[DataFrame, dict[str, dict]]:
+    """(id, <name>...): the solutions on all nodes, 0 without an edge; those without an alpha are centred by component."""
+    off, diagonal = laplacians(edges, tuple(dict.fromkeys(w for w, _, _ in systems.values())))
+    solution, status = solve(off, diagonal, systems, **how)
+    out = nodes.select("id").join(solution.withColumnRenamed("i", "id"), "id", "left").na.fill(0.0)
+    isolated = nodes.select("id").join(diagonal.select(F.col("i").alias("id")), "id", "left_anti").count()
+    free = [name for name, (_, _, alpha) in systems.items() if not alpha]
+    if free:
+        out = centred(out, component_labels(edges, nodes) if labels is None else labels, free)
+    return out, {name: s | {"isolated_nodes": isolated} for name, s in status.items()}
 
 
 def trophic_levels(edges: DataFrame, nodes: DataFrame, weighting: str, labels: DataFrame | None = None, **how) -> tuple[DataFrame, dict]:
     """FEA-F1: (id, trophic_<weighting>), centred by component; a node without edge is 0."""
-    off, diagonal = laplacian(edges, weighting)
-    solution, status = solve(off, diagonal, F.col("b").cast("double"), **how)
-    labels = component_labels(edges, nodes) if labels is None else labels
-    name = f"trophic_{weighting}"
-    level = centred(_onto(nodes, solution, name), labels, name)
-    isolated = nodes.select("id").join(diagonal.select(F.col("i").alias("id")), "id", "left_anti").count()
-    return level, status | {"isolated_nodes": isolated}
+    name, system = _trophic(weighting)
+    level, status = levels(edges, nodes, {name: system}, labels, **how)
+    return level, status[name]
 
 
-def springrank(edges: DataFrame, nodes: DataFrame, alpha: float, weighting: str = "log1p", labels: DataFrame | None = None) -> tuple[DataFrame, dict]:
+def springrank(edges: DataFrame, nodes: DataFrame, alpha: float, weighting: str = "log1p", labels: DataFrame | None = None, **how) -> tuple[DataFrame, dict]:
     """FEA-F2: (id, springrank_<weighting>_a<alpha>); alpha 0 is minus the trophic level and is centred, others are not."""
-    name = f"springrank_{weighting}_a{alpha:g}"
-    if not alpha:
-        level, status = trophic_levels(edges, nodes, weighting, labels)
-        return level.select("id", (-F.col(f"trophic_{weighting}")).alias(name)), status
-    off, diagonal = laplacian(edges, weighting)
-    solution, status = solve(off, diagonal, -F.col("b").cast("double"), alpha)
-    return _onto(nodes, solution, name), status
+    name, system = _rank(weighting, alpha)
+    level, status = levels(edges, nodes, {name: system}, labels, **how)
+    return level, status[name]
+
+
+def _gap(weighting: str, h: str) -> Column:
+    w, gap = weighted(weighting, F.col("w")), F.col(f"post.{h}") - F.col(f"pre.{h}") - 1
+    return F.sum(w * gap * gap) / F.sum(w)
+
+
+def _with_levels(edges: DataFrame, values: DataFrame, names: list[str]) -> DataFrame:
+    side = lambda c: values.select(F.col("id").alias(f"_{c}"), F.struct(*names).alias(c))
+    return edges.toDF("_pre", "_post", "w").join(side("pre"), "_pre").join(side("post"), "_post")
 
 
-def incoherence(edges: DataFrame, levels: DataFrame, weighting: str, level: str | None = None) -> DataFrame:
+def incoherence(edges: DataFrame, values: DataFrame, weighting: str, level: str | None = None) -> DataFrame:
     """FEA-F5: one row: sum of w (h_post - h_pre - 1)^2 over the sum of w; loops count with a gap of -1."""
     h = level or f"trophic_{weighting}"
-    side = lambda c: levels.select(F.col("id").alias(c), F.col(h).alias(f"h_{c}"))
-    met = edges.join(side("pre"), "pre").join(side("post"), "post")
-    w, gap = weighted(weighting, F.col("w")), F.col("h_post") - F.col("h_pre") - 1
-    return met.agg((F.sum(w * gap * gap) / F.sum(w)).alias("incoherence"))
+    return _with_levels(edges.select("pre", "post", "w"), values, [h]).agg(_gap(weighting, h).alias("incoherence"))
 
 
-def flow_block(edges: DataFrame, nodes: DataFrame, alphas=ALPHAS) -> tuple[DataFrame, dict]:
-    """FEA-F6: every trophic column, every positive alpha, and the component, by id; component labels are found once."""
+def flow_block(edges: DataFrame, nodes: DataFrame, alphas=ALPHAS, **how) -> tuple[DataFrame, dict]:
+    """FEA-F6: every trophic column, every positive alpha, and the component, by id; all systems are solved in one pass of steps."""
     labels = stored(component_labels(edges, nodes), "components")
-    out, report = labels, {}
-    for weighting in WEIGHTINGS:
-        level, report[weighting] = trophic_levels(edges, nodes, weighting, labels)
-        out = out.join(level, "id")
-        report[weighting]["incoherence"] = incoherence(edges, level, weighting).first()[0]
-    for alpha in alphas:
-        if alpha:
-            rank, report[f"a{alpha:g}"] = springrank(edges, nodes, alpha)
-            out = out.join(rank, "id")
-    return out, report
+    systems = dict([*map(_trophic, WEIGHTINGS), *(_rank("log1p", a) for a in alphas if a)])
+    out, report = levels(edges, nodes, systems, labels, **how)
+    out = stored(labels.join(out, "id"), "flow")
+    names = [f"trophic_{w}" for w in WEIGHTINGS]
+    gaps = _with_levels(edges.select("pre", "post", "w"), out, names).agg(*(_gap(w, h).alias(h) for w, h in zip(WEIGHTINGS, names, strict=True))).first()
+    return out, {name: s | ({"incoherence": gaps[name]} if name in names else {}) for name, s in report.items()}

@@ -249,19 +249,39 @@ def _nodes(edges: DataFrame) -> DataFrame:
     return E.node_ids(edges).toDF("id")
 
 
-@query("fea_f1_trophic")
+_WEIGHT = {"binary": "1.0::DOUBLE", "raw": "w::DOUBLE", "log1p": "ln(1 + w)"}
+
+
+def _flow_sql(graph: str, weighting: str, alpha: float = 0.0, steps: int = 150, share: float = 0.8) -> str:
+    """(i, x) of a connected graph by damped Jacobi steps. The solution adds up to zero, so every entry of the system may have the mean weight
+    added, without which the steps would be slow to find that sum; with alpha the sign is that of a rank."""
+    return f"""(WITH RECURSIVE g AS (SELECT pre, post, {_WEIGHT[weighting]} AS w FROM {graph} WHERE pre <> post),
+    d AS (SELECT i, sum(w) AS d, {-1 if alpha else 1} * sum(b) AS b FROM (SELECT post AS i, w, w AS b FROM g UNION ALL SELECT pre, w, -w FROM g) GROUP BY i),
+    e AS (SELECT i, j, sum(w) AS v FROM (SELECT pre AS i, post AS j, w FROM g UNION ALL SELECT post, pre, w FROM g) GROUP BY ALL),
+    c AS (SELECT sum(d) / (count(*) * count(*)) AS c FROM d), f AS (SELECT i, d + {alpha}::DOUBLE + c AS d, b FROM d, c),
+    m AS (SELECT i.i, j.i AS j, CASE WHEN i.i = j.i THEN 1 - {share}::DOUBLE ELSE {share}::DOUBLE * (coalesce(v, 0) - c) / i.d END AS v FROM f i CROSS JOIN f j CROSS JOIN c LEFT JOIN e ON e.i = i.i AND e.j = j.i),
+    x AS (SELECT 0 AS step, i, 0.0::DOUBLE AS x FROM f
+        UNION ALL SELECT x.step + 1, m.i, sum(m.v * x.x) + any_value({share}::DOUBLE * f.b / f.d) FROM x JOIN m ON m.j = x.i JOIN f ON f.i = m.i WHERE x.step < {steps} GROUP BY x.step, m.i)
+    SELECT i, x FROM x WHERE step = {steps})"""
+
+
+@query("fea_f1_trophic", f"SELECT i AS id, {r6('x', 'trophic_log1p')} FROM {_flow_sql(G2, 'log1p')}")
 def _(spark, d):
     g = G.directed(spark, d)
-    return rounded(flow.trophic_levels(g, _nodes(g), "log1p")[0])
+    return rounded(flow.trophic_levels(g, _nodes(g), "log1p", rtol=1e-12)[0])
 
 
-@query("fea_f2_springrank")
+@query("fea_f2_springrank", f"SELECT i AS id, {r6('x', 'springrank_log1p_a1')} FROM {_flow_sql(G2, 'log1p', 1.0)}")
 def _(spark, d):
     g = G.directed(spark, d)
-    return rounded(flow.springrank(g, _nodes(g), 1.0)[0])
+    return rounded(flow.springrank(g, _nodes(g), 1.0, rtol=1e-12)[0])
+
+
+_FLOWS = {f"trophic_{w}": _flow_sql(G3, w) for w in flow.WEIGHTINGS} | {f"springrank_log1p_a{a:g}": _flow_sql(G3, "log1p", a) for a in flow.ALPHAS if a}
 
 
-@query("fea_f6_flow_block")
+@query("fea_f6_flow_block", f"""WITH {', '.join(f'f{k} AS {sql}' for k, sql in enumerate(_FLOWS.values()))}
+    SELECT f0.i AS id, (SELECT min(i) FROM f0) AS component, {', '.join(r6(f'f{k}.x', c) for k, c in enumerate(_FLOWS))} FROM f0 {' '.join(f'JOIN f{k} USING (i)' for k in range(1, len(_FLOWS)))}""")
 def _(spark, d):
     g = G.dense(spark, d)
     return rounded(flow.flow_block(g, _nodes(g))[0])

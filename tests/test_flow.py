@@ -23,10 +23,9 @@ def levels(df):
         ([(0, 1), (1, 2)], 4, [-1, 0, 1, 0]),
     ],
 )
-@pytest.mark.parametrize("most", [0, 10**6])
-def test_trophic_levels(spark, pairs, n, expected, most):
+def test_trophic_levels(spark, pairs, n, expected):
     edges, nodes = graph(spark, pairs, n)
-    level, status = flow.trophic_levels(edges, nodes, "binary", most_local=most)
+    level, status = flow.trophic_levels(edges, nodes, "binary")
     assert np.allclose(levels(level), expected, atol=1e-9) and status["converged"]
     assert status["isolated_nodes"] == n - len({x for p in pairs for x in p})
     f = flow.incoherence(edges, level, "binary").first()[0]
@@ -49,3 +48,33 @@ def test_springrank_solves_its_system(spark):
     np.fill_diagonal(a, 0)
     lap = np.diag(a.sum(0) + a.sum(1)) - a - a.T
     assert np.allclose(got, np.linalg.solve(lap + np.eye(12), a.sum(1) - a.sum(0)), atol=1e-8)
+
+
+def test_systems_side_by_side_equal_each_alone_and_a_dense_solve(spark):
+    """On two components, a node without edge and a loop; weights of all kinds, all alphas, in one pass."""
+    rng = np.random.default_rng(8)
+    w = rng.integers(0, 9, (20, 20)) * (rng.random((20, 20)) < 0.3)
+    w[:12, 12:] = w[12:, :12] = 0
+    w[3, 3] = 4
+    edges = spark.createDataFrame([(i, j, int(w[i, j])) for i in range(20) for j in range(20) if w[i, j]], "pre long, post long, w long")
+    out, report = flow.flow_block(edges, spark.range(21), rtol=1e-12)
+    got = out.toPandas().sort_values("id")
+    assert all(r["converged"] and r["isolated_nodes"] == 1 for r in report.values())
+    part = np.array(got["component"])
+    assert set(part) == {0, 12, 20}
+    systems = {f"trophic_{k}": (k, 1, 0) for k in flow.WEIGHTINGS} | {f"springrank_log1p_a{a:g}": ("log1p", -1, a) for a in flow.ALPHAS if a}
+    for name, (weighting, sign, alpha) in systems.items():
+        a = np.zeros((21, 21))
+        a[:20, :20] = {"binary": w > 0, "raw": w, "log1p": np.log1p(w)}[weighting]
+        loops = np.diag(a).copy()
+        np.fill_diagonal(a, 0)
+        lap = np.diag(a.sum(0) + a.sum(1)) - a - a.T
+        x = np.linalg.lstsq(lap + alpha * np.eye(21), sign * (a.sum(0) - a.sum(1)), rcond=None)[0]
+        if not alpha:
+            x = x - np.array([x[part == p].mean() for p in part])
+            a += np.diag([*loops])
+            f = (a * (x[None] - x[:, None] - 1) ** 2).sum() / a.sum()
+            assert abs(report[name]["incoherence"] - f) < 1e-8
+        assert np.abs(got[name] - x).max() < 1e-8, name
+    alone = levels(flow.springrank(edges, spark.range(21), 0.1, rtol=1e-12)[0])
+    assert np.abs(np.array(alone) - got["springrank_log1p_a0.1"]).max() < 1e-8
