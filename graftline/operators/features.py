@@ -11,6 +11,9 @@ from itertools import count as steps
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -295,16 +298,51 @@ def correlations(df: DataFrame, x: str, y: str) -> DataFrame:
     return out.withColumn("t", F.col("spearman") * F.sqrt((F.col("n") - 2) / (1 - F.col("spearman") * F.col("spearman"))))
 
 
+def _batch_matrix(batch: pa.RecordBatch) -> np.ndarray:
+    """The rows of a batch's only column, an array of doubles, as a matrix; null places count 0."""
+    x = batch.column(0)
+    return np.asarray(pc.fill_null(x.flatten(), 0.0)).reshape(len(x), -1)
+
+
 def gramian(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
-    """Rows, sums and products of columns, summed where the rows are: what reaches the driver is columns squared."""
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    x = [F.col(f"`{c}`").cast("double") for c in columns]
-    row = df.agg(F.count(F.lit(1)), *(F.sum(c) for c in x), *(F.sum(x[i] * x[j]) for i, j in pairs)).first()
-    n, d = row[0], len(columns)
-    g = np.zeros((d, d))
-    for (i, j), v in zip(pairs, row[1 + d :], strict=True):
-        g[i, j] = g[j, i] = v or 0.0
-    return n, np.array([v or 0.0 for v in row[1 : 1 + d]]), g
+    """Rows, sums and products of columns; null counts 0. Each task adds its rows up in Arrow batches to one matrix, the matrices
+    are added up in fewer tasks, and at most 16 of columns squared reach the driver."""
+    spark, d = df.sparkSession, len(columns)
+    rows = df.select(F.array(*(F.col(f"`{c}`").cast("double") for c in columns)).alias("x"))
+    schema = "part int, n long, s binary, g binary"
+
+    def one(n: int, s: np.ndarray, g: np.ndarray) -> pa.RecordBatch:
+        part = TaskContext.get().partitionId()
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n], pa.int64()), pa.array([s.tobytes()], pa.binary()), pa.array([g.tobytes()], pa.binary())], ["part", "n", "s", "g"])
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, s, g = 0, np.zeros(d), np.zeros((d, d))
+        for b in batches:
+            if len(b):
+                x = _batch_matrix(b)
+                n, s, g = n + len(b), s + x.sum(axis=0), g + x.T @ x
+        if n:
+            yield one(n, s, g)
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, s, g = 0, np.zeros(d), np.zeros((d, d))
+        for b in batches:
+            for r in b.to_pylist():
+                n, s, g = n + r["n"], s + np.frombuffer(r["s"]), g + np.frombuffer(r["g"]).reshape(d, d)
+        if n:
+            yield one(n, s, g)
+
+    parts = rows.mapInArrow(partial, schema)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    while True:
+        tasks = -(-tasks // 16)
+        parts = parts.repartition(tasks, "part").mapInArrow(merged, schema)
+        if tasks <= 16:
+            break
+    n, s, g = 0, np.zeros(d), np.zeros((d, d))
+    for r in parts.collect():
+        n, s, g = n + r.n, s + np.frombuffer(r.s), g + np.frombuffer(r.g).reshape(d, d)
+    return n, s, g
 
 
 def explained_by(df: DataFrame, target: str, block: list[str]) -> float:

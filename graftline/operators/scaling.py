@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,8 +88,16 @@ def null_projection(df: DataFrame, columns: list[str], targets: list[str], round
 
 
 def null_space(df: DataFrame, columns: list[str], targets: list[str], rounds: int = 1, ridge: float = 1e-3) -> DataFrame:
-    """SCL9: columns without those directions; the rows are projected once."""
-    d = len(columns)
+    """SCL9: columns without those directions, as doubles; rows meet the projection in Arrow batches. A row with a null among the columns has null in all."""
     mean, p = null_projection(df, columns, targets, rounds, ridge)
-    x = [F.col(k) - float(m) for k, m in zip(columns, mean, strict=True)]
-    return df.withColumns({k: sum((x[i] * float(p[i, j]) for i in range(d)), F.lit(0.0)) for j, k in enumerate(columns)})
+    casted = df.withColumns({c: F.col(f"`{c}`").cast("double") for c in columns})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.column_stack([np.asarray(b[c].to_numpy(zero_copy_only=False), dtype=float) for c in columns])
+            gone = np.isnan(x).any(axis=1)
+            x = (x - mean) @ p
+            at = {c: i for i, c in enumerate(columns)}
+            yield pa.RecordBatch.from_arrays([pa.array(x[:, at[c]], mask=gone) if c in at else b[c] for c in b.schema.names], schema=b.schema)
+
+    return casted.mapInArrow(run, casted.schema)
