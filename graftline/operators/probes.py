@@ -5,12 +5,16 @@ Rows have id, x (array of doubles), label and, where a probe is tuned, split.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from graftline.functions import arrays as A
 from graftline.operators.scoring import score
@@ -20,6 +24,8 @@ PENALTIES = (0.01, 0.1, 1.0, 10.0)
 NEIGHBOURS = (1, 5, 15, 50)
 #: Bytes of vectors that a block of queries, or a slice of the reference, holds.
 MOST_BYTES = 64 << 20
+#: Bytes of a model that every executor may hold, and values of probabilities that a batch holds.
+MOST_MODEL, BATCH_VALUES = 1 << 28, 1 << 21
 
 
 def fit_scaler(rows: DataFrame, x: str = "x") -> tuple[list[float], list[float]]:
@@ -37,34 +43,63 @@ def class_list(rows: DataFrame) -> list[str]:
     return [r[0] for r in rows.where("label is not null").select(F.col("label").cast("string").alias("label")).distinct().orderBy("label").collect()]
 
 
-def _code(classes: list[str], label: str = "label") -> Column:
-    """Place of the label in the classes, from 0; null if it is not one of them."""
-    return F.nullif(F.array_position(F.array(*map(F.lit, classes)), F.col(label).cast("string")), F.lit(0)) - 1
+def class_table(spark: SparkSession, classes: list[str]) -> DataFrame:
+    """(code, class): the classes as rows, which labels and codes meet by a join, however many there are."""
+    return spark.createDataFrame(pa.table({"code": pa.array(range(len(classes)), pa.int32()), "class": pa.array(classes, pa.string())}))
+
+
+def coded(rows: DataFrame, classes: list[str], name: str, label: str = "label") -> DataFrame:
+    """rows with the place of the label in the classes, from 0; null if it is not one of them."""
+    met = class_table(rows.sparkSession, classes).select(F.col("code").alias(name), F.col("class").alias("_class"))
+    return rows.join(met, F.col(label).cast("string") == F.col("_class"), "left").drop("_class")
 
 
 def fit_logistic(rows: DataFrame, classes: list[str], c: float = 1.0, balanced: bool = True):
     """PRB4: multinomial logistic regression with an L2 penalty: the objective 1/2 |B|^2 + c sum of weighted losses."""
-    known = rows.withColumn("_y", _code(classes).cast("double")).where("_y is not null")
-    counts = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
-    n = sum(counts.values())
-    weight = F.create_map(*(v for y, k in counts.items() for v in (F.lit(y), F.lit(n / (len(counts) * k) if balanced else 1.0))))
-    data = known.select("_y", array_to_vector("x").alias("_x"), weight[F.col("_y")].alias("_w"))
+    known = coded(rows, classes, "_y").where("_y is not null").withColumn("_y", F.col("_y").cast("double"))
+    sizes = stored(known.groupBy("_y").agg(F.count(F.lit(1)).alias("_k")), "class-sizes")
+    n, there = sizes.agg(F.sum("_k"), F.count(F.lit(1))).first()
+    weight = F.lit(float(n)) / (there * F.col("_k")) if balanced else F.lit(1.0)
+    data = known.join(sizes, "_y").select("_y", array_to_vector("x").alias("_x"), weight.alias("_w"))
     lr = LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_w", family="multinomial", regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-10)
     model = lr.fit(data)
-    return {"classes": classes, "coef": model.coefficientMatrix.toArray(), "intercept": np.array(model.interceptVector.toArray()), "iterations": model.summary.totalIterations, "c": c}
+    coef, intercept = model.coefficientMatrix.toArray(), np.array(model.interceptVector.toArray())
+    if len(intercept) < len(classes):  # the last classes have no row; their odds are nothing
+        coef, intercept = np.vstack([coef, np.zeros((len(classes) - len(coef), coef.shape[1]))]), np.append(intercept, np.full(len(classes) - len(intercept), -np.inf))
+    return {"classes": classes, "coef": coef, "intercept": intercept, "iterations": model.summary.totalIterations, "c": c}
 
 
 def probabilities(rows: DataFrame, probe: dict, x: str = "x") -> DataFrame:
-    """PRB9/MTH7: adds proba, from the arrays alone."""
-    logits = F.array(*(A.dot(F.col(x), F.array(*map(F.lit, map(float, w)))) + float(b) for w, b in zip(probe["coef"], probe["intercept"], strict=True)))
-    return rows.withColumn("_logits", logits).withColumn("proba", A.softmax(F.col("_logits"))).drop("_logits")
+    """PRB9/MTH7: adds proba, from the arrays alone: the model is broadcast, at most MOST_MODEL bytes, and meets the rows as matrix products in Arrow batches."""
+    coef, intercept = np.asarray(probe["coef"], dtype=float), np.asarray(probe["intercept"], dtype=float)
+    if coef.nbytes > MOST_MODEL:
+        raise ValueError(f"a model of {coef.nbytes} bytes; {MOST_MODEL} at most")
+    model = rows.sparkSession.sparkContext.broadcast((coef, intercept))
+    schema = StructType([*(f for f in rows.schema.fields if f.name != "proba"), StructField("proba", ArrayType(DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coef, intercept = model.value
+        most = max(1, BATCH_VALUES // len(intercept))
+        for batch in batches:
+            for at in range(0, len(batch), most):
+                b = batch.slice(at, most)
+                vectors = b[x]
+                given = np.asarray(vectors.is_valid())
+                z = np.asarray(vectors.flatten(), dtype=float).reshape(int(given.sum()), -1) @ coef.T + intercept if given.any() else np.zeros((0, len(intercept)))
+                z = np.exp(z - z.max(axis=1, keepdims=True))
+                z /= z.sum(axis=1, keepdims=True)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(given * len(intercept))]).astype(np.int32), mask=np.append(~given, False))
+                proba = pa.ListArray.from_arrays(offsets, pa.array(z.ravel()))
+                yield pa.RecordBatch.from_arrays([proba if f.name == "proba" else b[f.name] for f in schema.fields], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def prediction_rows(rows: DataFrame, classes: list[str], p: str = "proba") -> DataFrame:
     """PRB8/MTH4-6: pred, p, p_true (null for a class that is not known), margin and entropy."""
-    names = F.array(*map(F.lit, classes))
-    code = _code(classes)
-    return rows.withColumns({"pred": F.element_at(names, A.argmax(F.col(p)) + 1), "p": F.array_max(p), "p_true": F.when(code.isNotNull(), F.get(F.col(p), code.cast("int"))), "margin": A.margin(F.col(p)), "entropy": A.entropy(F.col(p))})
+    names = class_table(rows.sparkSession, classes).select(F.col("code").alias("_best"), F.col("class").alias("pred"))
+    met = coded(rows, classes, "_true").withColumn("_best", A.argmax(F.col(p))).join(names, "_best", "left")
+    return met.withColumns({"p": F.array_max(p), "p_true": F.get(F.col(p), F.col("_true")), "margin": A.margin(F.col(p)), "entropy": A.entropy(F.col(p))}).drop("_true", "_best")
 
 
 def neighbours(queries: DataFrame, reference: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
@@ -123,11 +158,11 @@ def class_votes(near: DataFrame, k: int) -> DataFrame:
 
 def baselines(train: DataFrame, test: DataFrame) -> DataFrame:
     """PRB7: one row: the accuracy of the commonest train class, and the expected accuracy of drawing from the train classes."""
-    counts = train.groupBy("label").agg(F.count(F.lit(1)).alias("c"))
-    share = counts.crossJoin(F.broadcast(counts.agg(F.sum("c").alias("s"), F.min_by("label", F.struct(-F.col("c"), F.col("label"))).alias("top"))))
-    met = test.join(F.broadcast(share), "label", "left")
-    top = F.broadcast(counts.agg(F.min_by("label", F.struct(-F.col("c"), F.col("label"))).alias("majority")))
-    return met.crossJoin(top).agg(F.avg((F.col("label") == F.col("majority")).cast("double")).alias("majority_accuracy"), F.avg(F.coalesce(F.col("c") / F.col("s"), F.lit(0.0))).alias("prior_accuracy"))
+    counts = stored(train.groupBy("label").agg(F.count(F.lit(1)).alias("c")), "class-counts")
+    total = counts.agg(F.sum("c").alias("s"), F.min_by("label", F.struct(-F.col("c"), F.col("label"))).alias("majority"))
+    met = test.groupBy("label").agg(F.count(F.lit(1)).alias("t")).join(counts, "label", "left").crossJoin(F.broadcast(total))  # one row
+    n, hits = F.sum("t"), F.sum(F.when(F.col("label") == F.col("majority"), F.col("t")).otherwise(0))
+    return met.agg((hits / n).alias("majority_accuracy"), (F.sum(F.col("t") * F.coalesce(F.col("c") / F.col("s"), F.lit(0.0))) / n).alias("prior_accuracy"))
 
 
 def _macro(rows: DataFrame, classes: list[str], pred: str = "pred") -> float:
@@ -214,12 +249,12 @@ def curve_point(rows: DataFrame, most: int = 15) -> dict:
     return {"linear": _macro(linear, classes), "knn": _macro(val.join(vote(neighbours(val, train, k), k), "id"), classes, "pred_knn"), "k": k}
 
 
-def bundle(report: dict, reference: DataFrame, spark) -> DataFrame:
-    """PRB9/SNK5: a probe as one row of arrays; apply it with probabilities() and neighbours() alone."""
+def bundle(report: dict, reference: DataFrame, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """PRB9/SNK5: a probe as one row of arrays, and its nearest-neighbour reference as rows (id, code); apply it with apply_bundle() and neighbours() alone."""
     p, (mean, sd) = report["probe"], report["scaler"]
-    refs = [r.id for r in reference.select("id").orderBy("id").collect()]
-    row = (p["classes"], mean, sd, [float(v) for v in p["coef"].ravel()], [float(v) for v in p["intercept"]], refs, report["k"])
-    return spark.createDataFrame([row], "classes array<string>, scaler_mean array<double>, scaler_scale array<double>, linear_coef array<double>, linear_intercept array<double>, knn_reference_id array<long>, k int")
+    row = (p["classes"], mean, sd, [float(v) for v in p["coef"].ravel()], [float(v) for v in p["intercept"]], report["k"])
+    kept = spark.createDataFrame([row], "classes array<string>, scaler_mean array<double>, scaler_scale array<double>, linear_coef array<double>, linear_intercept array<double>, k int")
+    return kept, coded(reference, p["classes"], "code").select("id", "code")
 
 
 def apply_bundle(bundle_row, rows: DataFrame) -> DataFrame:

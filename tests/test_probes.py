@@ -50,7 +50,9 @@ def test_transfer_and_bundle(spark, rows):
     places = {r["where"]: r["count"] for r in out.groupBy("where").count().collect()}
     assert places["target_unlabelled"] == target.where("label IS NULL").count() and out.where(F.col("true") == "new").isEmpty()
     train = rows.where("split = 'train' AND label IS NOT NULL")
-    kept = probes.bundle(report, train, spark).first()
+    row, reference = probes.bundle(report, train, spark)
+    kept = row.first()
+    assert {r.id: r.code for r in reference.collect()} == {r.id: "abc".index(r.label) for r in train.collect()}
     again = {r.id: r.p for r in probes.apply_bundle(kept, rows.where("split = 'test'")).collect()}
     first = {r.id: r.p for r in out.where("`where` = 'source_test'").collect()}
     assert all(abs(again[i] - p) < 1e-9 for i, p in first.items())
@@ -101,3 +103,37 @@ def test_codes_take_the_norm_of_seed_tokens():
     plain, shown = encoder.read_out(got), encoder.read_out(got, shown=True)
     code = np.array([0, 1, 2])
     assert np.allclose(plain(tokens, valid, code), plain(tokens, valid, code[::-1])) and not np.allclose(shown(tokens, valid, code), plain(tokens, valid, code))
+
+
+def test_five_thousand_classes(spark):
+    """Scored row by row as numpy does, in a plan whose size does not know the classes."""
+    rng = np.random.default_rng(13)
+    classes = sorted(f"type{i}" for i in range(5000))
+    probe = {"coef": rng.standard_normal((5000, 64)), "intercept": rng.standard_normal(5000)}
+    x = rng.standard_normal((700, 64))
+    labels = [None if i % 50 == 0 else "other" if i % 50 == 1 else classes[i * 7] for i in range(700)]
+    rows = spark.createDataFrame([(i, [float(v) for v in r], y, "k") for i, (r, y) in enumerate(zip(x, labels, strict=True))], "id long, x array<double>, label string, proba string")
+    out = probes.prediction_rows(probes.probabilities(rows, probe), classes)
+    assert len(out._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+    z = x @ probe["coef"].T + probe["intercept"]
+    p = np.exp(z - z.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    got = out.orderBy("id").drop("x", "proba").collect()
+    best = np.sort(p, axis=1)[:, ::-1]
+    assert [r.pred for r in got] == [classes[i] for i in p.argmax(1)]
+    for r, q, b, y in zip(got, p, best, labels, strict=True):
+        assert abs(r.p - b[0]) < 1e-12 and abs(r.margin - (b[0] - b[1])) < 1e-12 and abs(r.entropy + (q * np.log(np.maximum(q, 1e-12))).sum()) < 1e-9
+        assert (r.p_true is None) if y not in set(classes) else abs(r.p_true - q[classes.index(y)]) < 1e-12
+    probes.MOST_MODEL, most = 1000, probes.MOST_MODEL
+    try:
+        with pytest.raises(ValueError, match="at most"):
+            probes.probabilities(rows, probe)
+    finally:
+        probes.MOST_MODEL = most
+
+
+def test_rows_without_a_vector_have_no_probabilities(spark):
+    rows = spark.createDataFrame([(1, [1.0, 2.0], "a"), (2, None, "a"), (3, [0.0, 0.0], None)], "id long, x array<double>, label string")
+    probe = {"coef": np.array([[1.0, 0.0], [0.0, 1.0]]), "intercept": [0.0, 0.0]}
+    got = {r.id: r for r in probes.prediction_rows(probes.probabilities(rows, probe), ["a", "b"]).collect()}
+    assert got[1].pred == "b" and got[2].proba is None and got[2].pred is None and got[2].p_true is None and got[3].p == 0.5 and got[3].p_true is None
