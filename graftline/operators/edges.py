@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graftline.plans.ordered import running_sums
+from graftline.plans.ordered import percentiles, running_sums
 
 
 def aggregate_edges(raw: DataFrame, already_unique: bool = False) -> DataFrame:
@@ -64,7 +64,7 @@ def degree_table(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
 
 def weight_percentiles(edges: DataFrame, shares=(0.75, 0.9)) -> DataFrame:
     """AGG6: one row of exact, interpolated percentiles over edges."""
-    return edges.agg(*(F.percentile("w", p).alias(f"p{round(100 * p)}") for p in shares))
+    return percentiles(edges, "w", {f"p{round(100 * p)}": p for p in shares})
 
 
 def check_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:

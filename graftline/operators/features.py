@@ -6,7 +6,8 @@ out is grouped by pre and in by post. A node without an edge on a side has 0 the
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from itertools import count as steps
 
 import numpy as np
@@ -16,12 +17,13 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from graftline.functions.arrays import population_sd
 from graftline.functions.labels import safe_ratio
 from graftline.operators.edges import reciprocal, symmetrised, weight_percentiles
 from graftline.plans.ordered import running_sums
-from graftline.plans.storage import stored
+from graftline.plans.storage import shared_dir, stored
 
 FLOORS = (1, 3, 5)
 SHAPES = ("fracW1", "fracGeP75", "fracGeP90", "logMeanW", "cv", "herfindahl", "topShare", "meanLogW")
@@ -37,6 +39,8 @@ DROPPED = (
     "logSynIn", "logSynOut", "rwse_6", "rwse_5", "local_log_tri_undirected", "logDin@1", "logDout@1", "rwse_4", "meanLogW_out", "springrank_log1p_a1",
     "topShare_in", "topShare_out", "logDin@3", "logMeanW_in", "logDout@3", "local_log_kcore",
 )
+#: Values of a dense block of start nodes that a task holds, twice.
+MOST_DENSE = 1 << 25
 #: rwse_1 is 0 but for self-loops and is not a feature.
 WALKS = tuple(f"rwse_{k}" for k in range(2, 9))
 
@@ -185,42 +189,31 @@ def return_probabilities_sql(edges: DataFrame) -> DataFrame:
     return met.select(F.col("i").alias("id"), (own * own + out).alias("rwse_2"), (2 * F.col("t") + own * own * own + 2 * own * out + F.col("through")).alias("rwse_3"))
 
 
-def _return_probabilities_joined(s: DataFrame, k: int, parts: int) -> DataFrame:
-    """The same by joins, for a matrix of any size: the half walks of a part of the start nodes at a time, each step stored."""
-    out = None
-    for part in range(parts):
-        x, cells = None, None
-        y = stored(s.where(F.pmod(F.xxhash64("j"), F.lit(parts)) == part).select(F.col("j").alias("id"), F.col("i").alias("at"), F.col("s").alias("p")), "walk-step")
-        for step in range(1, (k + 1) // 2 + 1):
-            if x is not None:
-                y = stored(x.join(s.select(F.col("j").alias("at"), "i", "s"), "at").groupBy("id", F.col("i").alias("at")).agg(F.sum(F.col("p") * F.col("s")).alias("p")), "walk-step")
-            odd = (y.where("id = at").select("id", F.col("p").alias("v")) if x is None else y.join(x.withColumnRenamed("p", "q"), ["id", "at"]).select("id", (F.col("p") * F.col("q")).alias("v"))).withColumn("k", F.lit(2 * step - 1))
-            even = y.select("id", (F.col("p") * F.col("p")).alias("v"), F.lit(2 * step).alias("k"))
-            cells = odd.unionByName(even) if cells is None else cells.unionByName(odd).unionByName(even)
-            x = y
-        sums = cells.groupBy("id").agg(*(F.coalesce(F.sum(F.when(F.col("k") == j, F.col("v"))), F.lit(0.0)).alias(f"rwse_{j}") for j in range(1, k + 1)))
-        sums = stored(sums, "walk-part")
-        out = sums if out is None else out.unionByName(sums)
-    return out
+def _joined_part(s: DataFrame, k: int, part: int, parts: int) -> DataFrame:
+    """(id, rwse_1 .. rwse_k) of a part of the start nodes by joins, for a matrix of any size: their half walks, each step stored."""
+    x, cells = None, None
+    y = stored(s.where(F.pmod(F.xxhash64("j"), F.lit(parts)) == part).select(F.col("j").alias("id"), F.col("i").alias("at"), F.col("s").alias("p")), "walk-step")
+    for step in range(1, (k + 1) // 2 + 1):
+        if x is not None:
+            y = stored(x.join(s.select(F.col("j").alias("at"), "i", "s"), "at").groupBy("id", F.col("i").alias("at")).agg(F.sum(F.col("p") * F.col("s")).alias("p")), "walk-step")
+        odd = (y.where("id = at").select("id", F.col("p").alias("v")) if x is None else y.join(x.withColumnRenamed("p", "q"), ["id", "at"]).select("id", (F.col("p") * F.col("q")).alias("v"))).withColumn("k", F.lit(2 * step - 1))
+        even = y.select("id", (F.col("p") * F.col("p")).alias("v"), F.lit(2 * step).alias("k"))
+        cells = odd.unionByName(even) if cells is None else cells.unionByName(odd).unionByName(even)
+        x = y
+    return cells.groupBy("id").agg(*(F.coalesce(F.sum(F.when(F.col("k") == j, F.col("v"))), F.lit(0.0)).alias(f"rwse_{j}") for j in range(1, k + 1)))
 
 
-def return_probabilities(edges: DataFrame, k: int = 8, block: int = 256, most_entries: int = 20_000_000, parts: int = 16) -> DataFrame:
-    """FEA-R/FEA-Rb: (id, rwse_1 .. rwse_k), exact. With S symmetric, diag of an even power is a squared norm of S^m e_i and of an
-    odd one a product of neighbouring half-steps, so k/2 products do. Node blocks are dealt to tasks; each reads the matrix, which is broadcast
-    and whose size is checked (16 bytes an entry): beyond most_entries the half walks are joins, of one part of the start nodes after another.
-    """
-    s = stored(walk_matrix(edges), "walk-s")
-    if s.count() > most_entries:
-        return _return_probabilities_joined(s, k, parts)
+def _matrix_parts(s: DataFrame, k: int, block: int, parts: int) -> Callable[[int], DataFrame | None]:
+    """The same by a broadcast matrix: a function from a part's number to the rows of its blocks of nodes, if it has any."""
     table = s.toArrow()
     ids, index = np.unique(np.concatenate([table["i"].to_numpy(), table["j"].to_numpy()]), return_inverse=True)
     n, m = len(ids), table.num_rows
     row, col, val = index[:m], index[m:], table["s"].to_numpy()
     order = np.argsort(row, kind="stable")
     csr = np.searchsorted(row[order], np.arange(n + 1)), col[order].astype(np.int32), val[order]
-    spark = edges.sparkSession
+    spark = s.sparkSession
     shared = spark.sparkContext.broadcast((ids, csr))
-    half = (k + 1) // 2
+    half, block = (k + 1) // 2, max(1, min(block, MOST_DENSE // max(n, 1)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, (start, col, val) = shared.value
@@ -244,9 +237,45 @@ def return_probabilities(edges: DataFrame, k: int = 8, block: int = 256, most_en
                     x = y
                 yield pd.DataFrame(out, columns=[f"rwse_{j + 1}" for j in range(k)]).assign(id=ids[nodes])
 
-    blocks = spark.range(0, -(-n // block), 1, max(1, min(-(-n // block), spark.sparkContext.defaultParallelism * 4))).select(F.col("id").alias("block"))
-    made = blocks.mapInPandas(run, ", ".join(f"rwse_{j + 1} double" for j in range(k)) + ", id long")
-    return made.select("id", *(f"rwse_{j + 1}" for j in range(k)))
+    def rows(part: int) -> DataFrame | None:
+        blocks = -(-n // block)
+        first, last = blocks * part // parts, blocks * (part + 1) // parts
+        if first == last:
+            return None
+        numbers = spark.range(first, last, 1, max(1, min(last - first, spark.sparkContext.defaultParallelism * 4))).select(F.col("id").alias("block"))
+        made = numbers.mapInPandas(run, ", ".join(f"rwse_{j + 1} double" for j in range(k)) + ", id long")
+        return made.select("id", *(f"rwse_{j + 1}" for j in range(k)))
+
+    return rows
+
+
+def return_probabilities(edges: DataFrame, k: int = 8, block: int = 256, most_entries: int = 20_000_000, parts: int = 16, keep: str | None = None) -> DataFrame:
+    """FEA-R/FEA-Rb: (id, rwse_1 .. rwse_k), exact. With S symmetric, diag of an even power is a squared norm of S^m e_i and of an
+    odd one a product of neighbouring half-steps, so k/2 products do. Node blocks are dealt to tasks; each reads the matrix, which is broadcast
+    and whose size is checked (16 bytes an entry), and holds at most MOST_DENSE values a vector; beyond most_entries the half walks are joins.
+
+    keep (SNK8) is a folder that holds each part of the start nodes as soon as it is done, under the digest of the edges, k and the number
+    of parts: a run that was cut off goes on with the parts that are missing, and edges that have changed start anew.
+    """
+    s = stored(walk_matrix(edges), "walk-s")
+    joined = s.count() > most_entries
+    if keep is None and not joined:
+        return _matrix_parts(s, k, block, 1)(0)
+    make = (lambda part: _joined_part(s, k, part, parts)) if joined else None
+    n, digest = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("pre", "post", F.col("w").cast("double")).cast("decimal(38,0)"))).first()
+    folder = f"{(keep or shared_dir(edges.sparkSession) + '/walks-' + uuid.uuid4().hex).rstrip('/')}/{n}-{digest}-{k}-{parts}"
+    schema = ", ".join(["id " + s.schema["i"].dataType.simpleString(), *(f"rwse_{j} double" for j in range(1, k + 1)), "part int"])
+    for part in range(parts):
+        try:
+            done = not edges.sparkSession.read.schema(schema).parquet(f"{folder}/part={part}").isEmpty()
+        except AnalysisException:
+            done = False
+        if not done:
+            make = make or _matrix_parts(s, k, block, parts)
+            rows = make(part)
+            if rows is not None:
+                rows.write.mode("overwrite").parquet(f"{folder}/part={part}")
+    return edges.sparkSession.read.schema(schema).parquet(folder).drop("part")
 
 
 def walk_features(rwse: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graftline.functions.labels import classified
 from graftline.operators.scoring import class_scores, confusion, score
-from graftline.plans.ordered import row_numbers
+from graftline.plans.ordered import percentiles, row_numbers
 
 
 def rank_bin(rn: Column, n: Column, bins: int) -> Column:
@@ -28,9 +28,9 @@ def quantile_bin(rows: DataFrame, value: str, bins: int, by: tuple[str, ...] = (
 
 def value_quartile(rows: DataFrame, value: str, out: str = "quartile") -> DataFrame:
     """WIN5: quartiles by value, closed on the right; equal edges leave bins out."""
-    q = rows.agg(F.percentile(value, [0.25, 0.5, 0.75]).alias("_q"))
-    place = 1 + F.size(F.filter("_q", lambda e: F.col(value) > e))
-    return rows.crossJoin(F.broadcast(q)).withColumn(out, F.when(F.col(value).isNotNull(), place)).drop("_q")
+    q = percentiles(rows, value, {"_q1": 0.25, "_q2": 0.5, "_q3": 0.75})
+    place = 1 + sum((F.col(value) > F.col(c)).cast("int") for c in q.columns)
+    return rows.crossJoin(F.broadcast(q)).withColumn(out, F.when(F.col(value).isNotNull(), place)).drop(*q.columns)  # one row
 
 
 def fixed_bin(value: Column, edges: list[float], labels: list[str]) -> Column:
@@ -177,7 +177,15 @@ def side_shares(features: DataFrame, nodes: DataFrame, by: str) -> DataFrame:
     """QRY16/AGG14/AGG15: (by, side, n, median, mean) of the share of single-weight partners, nodes without partner on the side left out."""
     met = features.join(nodes, "id")
     sides = F.array(*(F.struct(F.lit(s).alias("side"), F.col(f"fracW1_{s}").alias("share"), F.col(f"logD{s}@1").alias("d")) for s in ("out", "in")))
-    return met.select(by, F.inline(sides)).where("d > 0").groupBy(by, "side").agg(F.count(F.lit(1)).alias("n"), F.percentile("share", 0.5).alias("median"), F.avg("share").alias("mean"))
+    return median_and_mean(met.select(by, F.inline(sides)).where("d > 0"), "share", (by, "side"))
+
+
+def median_and_mean(rows: DataFrame, value: str, by: tuple[str, ...], **more: Column) -> DataFrame:
+    """AGG14: (by, n, median, mean) and further aggregates; a group of nulls has a median of null."""
+    own = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), *(c.alias(k) for k, c in more.items()))
+    middle = percentiles(rows, value, {"median": 0.5}, by).withColumnsRenamed({b: f"_by_{b}" for b in by})
+    met = own.join(middle, reduce(lambda a, b: a & own[b].eqNullSafe(middle[f"_by_{b}"]), by, F.lit(True)), "left")
+    return met.select(*by, "n", "median", "mean", *more)
 
 
 def recalls(rows: DataFrame, by: tuple[str, ...], least: int = 200) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from graftline.operators.edges import symmetrised
 from graftline.operators.splits import hash_share
+from graftline.plans.ordered import percentiles
+from graftline.plans.storage import stored
 
 
 def top_partners(edges: DataFrame, k: int = 64) -> DataFrame:
@@ -25,13 +27,13 @@ def token_arrays(top: DataFrame) -> DataFrame:
 
 def token_stats(edges: DataFrame, n_nodes: int, k: int = 64) -> DataFrame:
     """TOP2: one row: degree percentiles, and the shares of nodes cut and connections kept at k."""
-    degree = symmetrised(edges).groupBy("i").agg(F.count(F.lit(1)).alias("d"))
+    degree = stored(symmetrised(edges).groupBy("i").agg(F.count(F.lit(1)).alias("d")), "token-degrees")
     kept = F.least("d", F.lit(k))
-    return degree.agg(
-        F.percentile("d", 0.5).alias("median"), F.percentile("d", 0.9).alias("p90"), F.percentile("d", 0.99).alias("p99"), F.max("d").alias("most"),
-        (F.count_if(F.col("d") > k) / n_nodes).alias("truncated_share"), (F.sum(kept) / F.sum("d")).alias("kept_share"),
+    sums = degree.agg(
+        F.max("d").alias("most"), (F.count_if(F.col("d") > k) / n_nodes).alias("truncated_share"), (F.sum(kept) / F.sum("d")).alias("kept_share"),
         (n_nodes - F.count(F.lit(1))).alias("isolated"), (F.sum(kept) / (n_nodes * k)).alias("fill"),
     )
+    return percentiles(degree, "d", {"median": 0.5, "p90": 0.9, "p99": 0.99}).crossJoin(F.broadcast(sums))  # one row each
 
 
 def composition(edges: DataFrame, labels: DataFrame, vocabulary: list[str]) -> DataFrame:

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graftline.plans.storage import stored
+
 
 def ranged(df: DataFrame, order: str, out: str = "_range") -> DataFrame:
     """df with the number of its range: ranges are cut at sampled quantiles of a numeric column, a few for each shuffle
@@ -40,3 +42,29 @@ def row_numbers(df: DataFrame, order: str, tie: str, out: str, by: tuple[str, ..
     met = _starts(ranged(df, order), {"n": F.count(F.lit(1))}, by, F.asc)
     inside = Window.partitionBy(*by, "_range").orderBy(order, tie)
     return met.withColumn(out, F.col("_n") + F.row_number().over(inside)).select(*df.columns, out)
+
+
+def percentiles(df: DataFrame, value: str, shares: dict[str, float], by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., <name>...): exact percentiles of a numeric column, interpolated between ranks, of each group with a value; without
+    groups one row, of nulls where there is no value.
+
+    Values are counted, the counts are added up by range, and only in the ranges that hold a wanted rank are values put in order:
+    no task holds a column, nor more than a range's distinct values of a group.
+    """
+    counts = stored(df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n")), "value-counts")
+    placed = ranged(counts, "_v")
+    totals = stored(placed.groupBy(*by, "_range").agg(F.sum("_n").alias("_t")), "range-counts")
+    group = Window.partitionBy(*by)  # one row a range
+    starts = totals.withColumns({"_before": F.coalesce(F.sum("_t").over(group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_all": F.sum("_t").over(group)})
+    place = lambda q: F.lit(q) * (F.col("_all") - 1)
+    ends = lambda q: [F.struct(f(place(q)).cast("long").alias("_rank"), w.alias("_w"), F.lit(name).alias("_q")) for f, w, name in ((F.floor, F.floor(place(q)) + 1 - place(q), q), (F.ceil, place(q) - F.floor(place(q)), q))]
+    wanted = starts.select(*by, "_range", "_before", "_t", F.inline(F.array(*(e for q in sorted(set(shares.values())) for e in ends(q)))))
+    wanted = stored(wanted.where("_w > 0 AND _rank >= _before AND _rank < _before + _t"), "ranks")
+    mine = wanted.select(*(F.col(b).alias(f"_by_{b}") for b in by), F.col("_range").alias("_of"), F.col("_before"))
+    same = lambda right: reduce(lambda a, b: a & placed[b].eqNullSafe(right[f"_by_{b}"]), by, placed["_range"] == right["_of"])
+    open_ranges = mine.distinct()
+    inside = Window.partitionBy(*by, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = placed.join(open_ranges, same(open_ranges)).withColumn("_upto", F.col("_before") + F.sum("_n").over(inside)).select(*by, "_range", "_v", "_n", "_upto")
+    ranks = wanted.select(*(F.col(b).alias(f"_by_{b}") for b in by), F.col("_range").alias("_of"), "_rank", "_w", "_q")
+    met = held.join(ranks, reduce(lambda a, b: a & held[b].eqNullSafe(ranks[f"_by_{b}"]), by, held["_range"] == ranks["_of"])).where("_rank < _upto AND _rank >= _upto - _n")
+    return met.groupBy(*by).agg(*(F.sum(F.when(F.col("_q") == q, F.col("_v") * F.col("_w"))).alias(name) for name, q in shares.items()))

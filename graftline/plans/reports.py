@@ -18,6 +18,7 @@ from graftline.operators.features import correlations
 from graftline.operators.scaling import null_projection
 from graftline.operators.scoring import class_scores, confusion, mann_whitney, score
 from graftline.operators.slicing import quantile_bin
+from graftline.plans.ordered import percentiles
 from graftline.plans.storage import stored
 
 COUNTS = ("syn_out", "n_out", "syn_in", "n_in")
@@ -55,7 +56,7 @@ def without_counts(rows: DataFrame, source: DataFrame, rounds: int) -> DataFrame
 
 
 def _typed_medians(target: DataFrame, source: DataFrame) -> DataFrame:
-    median = lambda rows, name: rows.where("cell_type IS NOT NULL").groupBy("cell_type").agg(F.percentile("syn_out", 0.5).alias(name))
+    median = lambda rows, name: percentiles(rows.where("cell_type IS NOT NULL"), "syn_out", {name: 0.5}, ("cell_type",))
     return median(target, "t").join(median(source, "s"), "cell_type").select("cell_type", log2_ratio(F.col("t"), F.col("s")).alias("ratio")).where("ratio IS NOT NULL")
 
 
@@ -108,7 +109,9 @@ def reverse_drop(source: DataFrame, target: DataFrame, of: str, c: float = 1.0)
     covered = stored(covered.withColumn("type_in_source", F.col("_in") > 0), "report-covered")
     own = read_out(source, target, c, target)
     named = lambda rows, name: class_scores(confusion(rows)).withColumn("scaler", F.lit(name))
-    counts = [F.percentile(k, 0.5).alias(f"median_{k}") for k in COUNTS]
+    counts = mine.groupBy("ok").agg(F.count(F.lit(1)).alias("n"))
+    for k in COUNTS:
+        counts = counts.join(percentiles(mine, k, {f"median_{k}": 0.5}, ("ok",)), "ok", "left")
     return {
         "score": _f1(called, "source statistics").unionByName(_f1(own, "own statistics")),
         "confusion": shares.join(called.groupBy("true").agg(F.count(F.lit(1)).alias("_n")), "true").select("true", "pred", "n", (F.col("n") / F.col("_n")).alias("share")),
@@ -116,7 +119,7 @@ def reverse_drop(source: DataFrame, target: DataFrame, of: str, c: float = 1.0)
         "coverage": covered.agg(F.avg("_in").alias("all_rows"), F.avg(F.when(F.col("true") == of, F.col("_of"))).alias("of_class")),
         "by coverage": score(covered, None, ("type_in_source",)).select("type_in_source", "n", "macro_f1", "accuracy"),
         "classes": named(called, "source").unionByName(named(own, "own")),
-        "counts": mine.groupBy("ok").agg(F.count(F.lit(1)).alias("n"), *counts),
+        "counts": counts,
         "test": mann_whitney(mine.withColumn("_v", F.col("syn_out").cast("double")), "_v", F.col("ok") > 0),
         "quartiles": quantile_bin(mine, "syn_out", 4, (), "id", "quartile").groupBy("quartile").agg(F.count(F.lit(1)).alias("n"), F.avg("ok").alias("share")),
     }

@@ -59,7 +59,7 @@ def feature_blocks(to: Folder, kinds: tuple[str, ...] = ("connection", "rwse", "
     edges, nodes = to.read("edges").selectExpr("CAST(pre AS long) pre", "CAST(post AS long) post", "w"), to.nodes()
     make = {
         "connection": lambda: X.connection_features(edges),
-        "rwse": lambda: X.walk_features(X.return_probabilities(edges)),
+        "rwse": lambda: X.walk_features(X.return_probabilities(edges, keep=to.at("rwse_parts"))),
         "flow": lambda: flow.flow_block(edges, nodes.select("id"))[0],
         "local": lambda: X.assemble(nodes.select("id"), X.reciprocity(edges), X.partner_degree(edges), X.core_numbers(edges).drop("core")),
         "local_tri": lambda: X.triangles(edges),

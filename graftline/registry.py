@@ -961,7 +961,7 @@ def _(spark, d):
 
 @query("agg14_medians", "SELECT c_mktsegment, count(*) AS n, count(DISTINCT c_nationkey) AS nations, round(median(c_acctbal), 6) + 0.0 AS median, round(avg(c_acctbal), 6) + 0.0 AS mean FROM customer GROUP BY 1")
 def _(spark, d):
-    return rounded(_t(spark, d, "customer").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("c_nationkey").alias("nations"), F.percentile("c_acctbal", 0.5).alias("median"), F.avg("c_acctbal").alias("mean")))
+    return rounded(slicing.median_and_mean(_t(spark, d, "customer"), "c_acctbal", ("c_mktsegment",), nations=F.count_distinct("c_nationkey")))
 
 
 @query("set4_set_ops", "SELECT 'both' AS part, count(*) AS n FROM (SELECT o_custkey FROM orders INTERSECT SELECT c_custkey FROM customer WHERE c_nationkey < 10) UNION ALL SELECT 'only', count(*) FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders) UNION ALL SELECT 'either', count(*) FROM (SELECT o_custkey FROM orders UNION SELECT c_custkey FROM customer)")
