@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graftline.functions import arrays as A
 from graftline.functions.arrays import floor_bin, right_bin
 from graftline.plans.ordered import running_sums
 from graftline.plans.storage import stored
@@ -84,30 +85,38 @@ def triage(rows: DataFrame, goal: float = 0.95, by: str = "pred") -> DataFrame:
     return coverage(rows, (goal,), (by,)).drop("goal")
 
 
-def temperature(rows: DataFrame, log_p: str = "log_p", code: str = "true_code", low: float = 0.05, high: float = 20.0, steps: int = 40) -> float:
-    """SCR8: the temperature of least negative log-likelihood, by golden section over one aggregate a step."""
-    def loss(t: float) -> float:
+def temperature(rows: DataFrame, log_p: str = "log_p", code: str = "true_code", low: float = 0.05, high: float = 20.0, steps: int = 7, width: int = 17) -> float:
+    """SCR8: the temperature of least negative log-likelihood: each aggregate weighs width temperatures, even in logarithm, and the next looks
+    between the neighbours of the best, which halves of a loss with one valley allow."""
+
+    def loss(t: float) -> Column:
         z = F.transform(F.col(log_p), lambda x: x / t)
-        top = F.array_max(z)
-        norm = top + F.log(F.aggregate(z, F.lit(0.0), lambda s, x: s + F.exp(x - top)))
-        return rows.agg(F.avg(norm - F.element_at(z, F.col(code) + 1))).first()[0]
+        norm = F.array_max(z) + F.log(F.aggregate(F.transform(z, lambda x: F.exp(x - F.array_max(z))), F.lit(0.0), lambda s, x: s + x))
+        return F.avg(norm - F.element_at(z, F.col(code) + 1))
 
-    ratio = (math.sqrt(5) - 1) / 2
     a, b = math.log(low), math.log(high)
-    c, d = b - ratio * (b - a), a + ratio * (b - a)
-    fc, fd = loss(math.exp(c)), loss(math.exp(d))
     for _ in range(steps):
-        if fc < fd:
-            b, d, fd = d, c, fc
-            c = b - ratio * (b - a)
-            fc = loss(math.exp(c))
-        else:
-            a, c, fc = c, d, fd
-            d = a + ratio * (b - a)
-            fd = loss(math.exp(d))
+        points = [a + (b - a) * i / (width - 1) for i in range(width)]
+        losses = rows.agg(*(loss(math.exp(p)).alias(f"l{i}") for i, p in enumerate(points))).first()
+        best = min(range(width), key=lambda i: losses[i])
+        a, b = points[max(0, best - 1)], points[min(width - 1, best + 1)]
     return math.exp((a + b) / 2)
 
 
+def calibrated(source: DataFrame, target: DataFrame, bins: int = 10) -> tuple[float, DataFrame]:
+    """SCR8 on the target: the temperature fitted on the source's rows (log_p, true_code), and (rows, before, after) of the target: the mean gap of
+    confidence and accuracy over equal bins of confidence, weighted by rows, as given and at that temperature."""
+    t = temperature(source)
+    name = lambda c: F.col(c).cast("string")
+    out = None
+    for when, heat in (("before", 1.0), ("after", t)):
+        p = target.withColumn("_p", A.softmax(F.col("log_p"), heat)).select(name("true_code").alias("true"), A.argmax(F.col("_p")).cast("string").alias("pred"), F.array_max("_p").alias("p"))
+        binned = p.groupBy(A.floor_bin(F.col("p"), bins).alias("_b")).agg(F.count(F.lit(1)).alias("_n"), F.avg("p").alias("_m"), F.avg((F.col("true") == F.col("pred")).cast("double")).alias("_a"))
+        one = binned.agg(F.sum("_n").alias("rows"), (F.sum(F.col("_n") * F.abs(F.col("_m") - F.col("_a"))) / F.sum("_n")).alias(when))
+        out = one if out is None else out.join(one, "rows")
+    return t, out
+
+
 def mann_whitney(rows: DataFrame, value: str, group: Column) -> DataFrame:
     """SCR9: (n1, n2, u, p_greater): group true against false, ties averaged, normal approximation with continuity and ties.
 

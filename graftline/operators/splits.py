@@ -91,11 +91,11 @@ def twin_share(nodes: DataFrame, split: str, type_: str = "cell_type", side: str
 
 def label_coverage(nodes: DataFrame, split: str, target: str) -> DataFrame:
     """SPL5: (split, missing): classes that a part lacks, as sorted text."""
-    classes = nodes.where(F.col(target).isNotNull()).select(target).distinct()
     parts = nodes.select(split).distinct()
-    seen = nodes.where(F.col(target).isNotNull()).select(split, target).distinct()
-    lacking = parts.crossJoin(F.broadcast(classes)).join(seen, [split, target], "left_anti")  # parts and classes are few
-    return parts.join(lacking.groupBy(split).agg(F.array_join(F.array_sort(F.collect_set(F.col(target).cast("string"))), ",").alias("missing")), split, "left").na.fill("", ["missing"])
+    named = nodes.where(F.col(target).isNotNull()).groupBy(F.col(target).cast("string").alias("_c")).agg(F.collect_set(split).alias("_in"))  # as many as there are parts
+    lists = parts.agg(F.collect_set(split).alias("_parts"))
+    lacking = named.crossJoin(F.broadcast(lists)).select("_c", F.explode(F.array_except("_parts", "_in")).alias(split))  # one row
+    return parts.join(lacking.groupBy(split).agg(F.array_join(F.array_sort(F.collect_list("_c")), ",").alias("missing")), split, "left").na.fill("", ["missing"])
 
 
 def cohort(nodes: DataFrame, size: int, seed: int = 0) -> DataFrame:

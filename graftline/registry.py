@@ -23,6 +23,8 @@ from graftline.sources import graphs as G
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "fea_connection_shape"
+#: Places of an embedding.
+_PLACES = 64
 
 
 def query(name: str, sql: str | None = None):
@@ -311,11 +313,16 @@ def _(spark, d):
     return rounded(spark.createDataFrame(X.redundancy_filter(f, f.columns[1:]), "column string, r2 double"))
 
 
+def _flows(g: DataFrame) -> DataFrame:
+    return flow.levels(g, _nodes(g), {"trophic_log1p": ("log1p", 1, 0.0), "springrank_log1p_a1": ("log1p", -1, 1.0)}, rtol=1e-12)[0]
+
+
 @query("fea_a_assembled", f"""SELECT id, coalesce(COLUMNS(* EXCLUDE (id)), 0) FROM (SELECT DISTINCT i AS id FROM {SYM2}) LEFT JOIN ({shape_sql(G2)}) USING (id) LEFT JOIN ({ORACLES['fea_l1_reciprocity']}) USING (id)
-    LEFT JOIN ({ORACLES['fea_l4_partner_degree']}) USING (id) LEFT JOIN ({ORACLES['fea_l8_triangles']}) USING (id) LEFT JOIN (SELECT * EXCLUDE (core) FROM ({_core_sql(G2)})) USING (id) LEFT JOIN ({_WALK_FEATURES}) USING (id)""")
+    LEFT JOIN ({ORACLES['fea_l4_partner_degree']}) USING (id) LEFT JOIN ({ORACLES['fea_l8_triangles']}) USING (id) LEFT JOIN (SELECT * EXCLUDE (core) FROM ({_core_sql(G2)})) USING (id) LEFT JOIN ({_WALK_FEATURES}) USING (id)
+    LEFT JOIN ({ORACLES['fea_f1_trophic']}) USING (id) LEFT JOIN ({ORACLES['fea_f2_springrank']}) USING (id)""")
 def _(spark, d):
     g = G.directed(spark, d)
-    return rounded(X.assemble(_nodes(g), X.connection_features(g), X.reciprocity(g), X.partner_degree(g), X.triangles(g), X.core_numbers(g).drop("core"), X.walk_features(X.return_probabilities(g))))
+    return rounded(X.assemble(_nodes(g), X.connection_features(g), X.reciprocity(g), X.partner_degree(g), X.triangles(g), X.core_numbers(g).drop("core"), X.walk_features(X.return_probabilities(g)), _flows(g)))
 
 
 # --- tokens ------------------------------------------------------------------------------------------------------------
@@ -400,13 +407,13 @@ def _(spark, d):
     return rounded(tokens.gnn_forward(G.directed(spark, d), _user_features(spark, d), [{"kind": "sage", "norm": _NORM, **_SAGE}, {"kind": "gin", **_GIN}]))
 
 
-@query("nn4_displacement", f"SELECT vec_id AS id, {', '.join(r6(f'embedding[{k + 1}]::DOUBLE - embedding[{64 - k}]::DOUBLE', f'x{k}') for k in (0, 7, 40))} FROM embeddings")
+@query("nn4_displacement", f"SELECT vec_id AS id, {', '.join(r6(f'embedding[{k + 1}]::DOUBLE - embedding[{64 - k}]::DOUBLE', f'x{k}') for k in range(_PLACES))} FROM embeddings")
 def _(spark, d):
     from graftline.operators.encoder import displacement
 
     e = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
     moved = displacement(e, e.withColumn("embedding", F.reverse("embedding")))
-    return rounded(moved.select("id", *(F.col("embedding")[k].alias(f"x{k}") for k in (0, 7, 40))))
+    return rounded(moved.select("id", *(F.col("embedding")[k].alias(f"x{k}") for k in range(_PLACES))))
 
 
 @query("nn1_nn5_untrained_embedding")
@@ -621,7 +628,6 @@ def _(spark, d):
 # --- scaling ----------------------------------------------------------------------------------------------------------------
 
 #: Places of an embedding; the queries read all of them.
-_PLACES = 64
 
 
 def _vec(spark, d) -> DataFrame:
@@ -726,7 +732,7 @@ def _(spark, d):
 @query("prb2_sweep")
 def _(spark, d):
     rows = _probe_rows(spark, d).withColumn("odd", F.expr("CAST(CAST(label AS INT) % 2 AS STRING)"))
-    found = probes.sweep(rows, ["odd"], {"all": F.lit(True), "even": F.col("id") % 2 == 0}, penalties=(1.0,), ks=(5,))
+    found = probes.sweep(rows, ["odd"], {"all": F.lit(True), "even": F.col("id") % 2 == 0})
     return rounded(spark.createDataFrame([(t, scope, r["source_macro_f1"], r["rows_of_unknown_class"]) for (t, scope), r in found.items()], "target string, scope string, macro_f1 double, rows_of_unknown_class long"), 4)
 
 
@@ -746,7 +752,7 @@ def _(spark, d):
 @query("prb3_transfer")
 def _(spark, d):
     rows = _probe_rows(spark, d)
-    out, _ = probes.transfer(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), penalties=(0.1, 1.0))
+    out, _ = probes.transfer(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"))
     return rounded(out.drop("proba"), 4)
 
 
@@ -821,8 +827,9 @@ def _(spark, d):
 
 @query("scr8_temperature")
 def _(spark, d):
-    rows = _t(spark, d, "embeddings").select(F.slice(F.col("embedding").cast("array<double>"), 1, 10).alias("log_p"), F.col("label").alias("true_code"))
-    return rounded(spark.createDataFrame([(scoring.temperature(rows),)], "temperature double"), 3)
+    rows = _t(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("log_p"), F.col("label").alias("true_code"))
+    t, scores = scoring.calibrated(rows.where("vec_id % 2 = 0"), rows.where("vec_id % 2 = 1"))
+    return rounded(scores.withColumn("temperature", F.lit(t)), 4)
 
 
 # --- slices and reports -----------------------------------------------------------------------------------------------------
@@ -855,13 +862,17 @@ def _(spark, d):
     return rounded(slicing.per_class(_pred(spark, d)))
 
 
-@query("qry4_slices", f"""WITH s AS (SELECT 'lang' AS slice, lang AS value, "true", pred FROM {_PRED} UNION ALL SELECT 'source', source, "true", pred FROM {_PRED}),
+_BREAKDOWN = {"lang": "lang", "source": "source", "place": '"where"', "class": '"true"', "call": "pred", "quintile": "least(4, floor(p * 5))::INT", "length": "floor(log10(n_chars + 1))::INT", "connected": "(n_chars >= 500)"}
+
+
+@query("qry4_slices", f"""WITH s AS ({' UNION ALL '.join(f"""SELECT '{k}' AS slice, CAST({e} AS VARCHAR) AS value, "true", pred FROM {_PRED}""" for k, e in _BREAKDOWN.items())}),
     k AS (SELECT slice, value, count(*) AS n, count(*) FILTER ("true" <> pred) AS wrong FROM s GROUP BY ALL),
     f AS (SELECT slice, value, avg(2 * tp / (support + predicted)) AS f FROM {_CLASS.format(by='slice, value,', rows='s')} WHERE support > 0 GROUP BY ALL)
     SELECT slice, value, n, wrong, round(wrong / sum(wrong) OVER (PARTITION BY slice), 6) + 0.0 AS share_of_errors, CASE WHEN n >= 30 THEN round(1 - wrong / n, 6) + 0.0 END AS accuracy, CASE WHEN n >= 30 THEN round(f, 6) + 0.0 END AS macro_f1
     FROM k LEFT JOIN f USING (slice, value) QUALIFY row_number() OVER (PARTITION BY slice ORDER BY n DESC, value) <= 12""")
 def _(spark, d):
-    return rounded(slicing.slices(_pred(spark, d), ["lang", "source"]))
+    p = _pred(spark, d).withColumns({"place": F.col("where"), "class": F.col("true"), "call": F.col("pred"), "quintile": F.least(F.lit(4), F.floor(F.col("p") * 5)).cast("int"), "length": F.floor(F.log10(F.col("n_chars") + 1.0)).cast("int"), "connected": F.col("n_chars") >= 500})
+    return rounded(slicing.slices(p, list(_BREAKDOWN)))
 
 
 _MODE = "(SELECT {by}, {v} AS mode FROM (SELECT {by}, {v}, row_number() OVER (PARTITION BY {by} ORDER BY count(*) DESC, {v}) AS r FROM {rows} WHERE {v} IS NOT NULL GROUP BY {by}, {v}) WHERE r = 1)"
@@ -1006,7 +1017,7 @@ def _(spark, d):
 
 @query("prb1_in_volume")
 def _(spark, d):
-    out, _ = probes.in_volume(_probe_rows(spark, d), penalties=(0.1, 1.0), ks=(1, 5))
+    out, _ = probes.in_volume(_probe_rows(spark, d))
     return rounded(out.drop("proba"), 4)
 
 
@@ -1018,7 +1029,7 @@ def _(spark, d):
 def _report_rows(spark, d) -> tuple[DataFrame, DataFrame]:
     """Vectors whose label stands for a class, with a type, a split and counts by arithmetic; even ids are the source."""
     e, i = _t(spark, d, "embeddings"), F.col("vec_id")
-    rows = e.select(i.alias("id"), F.slice(F.col("embedding").cast("array<double>"), 1, 16).alias("x"), (F.col("label") % 3).cast("string").alias("label"), F.concat(F.lit("t"), (F.col("label") * 4 + F.shiftright(i, 1) % 4).cast("string")).alias("cell_type"),
+    rows = e.select(i.alias("id"), F.col("embedding").cast("array<double>").alias("x"), (F.col("label") % 3).cast("string").alias("label"), F.concat(F.lit("t"), (F.col("label") * 4 + F.shiftright(i, 1) % 4).cast("string")).alias("cell_type"),
         splits.modulo_split(i).alias("split"), (i * 37 % 101 + 1).alias("syn_out"), (i * 17 % 31 + 1).alias("n_out"), (i * 13 % 97 + 1).alias("syn_in"), (i * 7 % 29 + 1).alias("n_in"))
     return rows.where("id % 2 = 0"), rows.where("id % 2 = 1")
 
@@ -1027,7 +1038,7 @@ def _report_rows(spark, d) -> tuple[DataFrame, DataFrame]:
 def _(spark, d):
     from graftline.plans.reports import forward_mechanism
 
-    found = forward_mechanism(*_report_rows(spark, d), least_cells=3, least_types=3, rounds=(1,))
+    found = forward_mechanism(*_report_rows(spark, d), least_cells=3, least_types=3)
     cell = lambda part, name, value: found[part].select(F.lit(part).alias("part"), F.expr(f"CAST({name} AS STRING)").alias("what"), F.expr(value).cast("double").alias("value"))
     return rounded(cell("A", "what", "macro_f1").unionByName(cell("B", "class", "spearman")).unionByName(cell("B by ratio", "ratio_bin", "acc")).unionByName(cell("C", "concat(`true`, quartile)", "acc")).unionByName(cell("D", "what", "macro_f1")).unionByName(cell("E", "`true`", "same_type")).unionByName(cell("E by neighbour", "same", "acc")).unionByName(cell("E chance", "'chance'", "chance")), 4)
 

@@ -137,3 +137,24 @@ def test_rows_without_a_vector_have_no_probabilities(spark):
     probe = {"coef": np.array([[1.0, 0.0], [0.0, 1.0]]), "intercept": [0.0, 0.0]}
     got = {r.id: r for r in probes.prediction_rows(probes.probabilities(rows, probe), ["a", "b"]).collect()}
     assert got[1].pred == "b" and got[2].proba is None and got[2].pred is None and got[2].p_true is None and got[3].p == 0.5 and got[3].p_true is None
+
+
+def test_calibration_of_the_target_equals_numpy(spark):
+    rng = np.random.default_rng(21)
+    z = rng.standard_normal((900, 4)) * 4
+    p = np.exp(z / 2.0) / np.exp(z / 2.0).sum(1, keepdims=True)
+    y = np.array([int(rng.choice(4, p=q)) for q in p])
+    rows = spark.createDataFrame([(i, [float(v) for v in r], int(c)) for i, (r, c) in enumerate(zip(z, y, strict=True))], "id long, log_p array<double>, true_code int")
+    t, out = scoring.calibrated(rows.where("id % 3 > 0"), rows.where("id % 3 = 0"))
+    fit = np.arange(900) % 3 > 0
+    loss = lambda t: (np.log(np.exp(z[fit] / t).sum(1)) - z[fit][np.arange(fit.sum()), y[fit]] / t).mean()
+    assert all(loss(t) <= loss(t * k) for k in (0.99, 1.01)) and abs(t - scoring.temperature(rows.where("id % 3 > 0"))) < 1e-12
+
+    def gap(t):
+        q = np.exp(z[~fit] / t) / np.exp(z[~fit] / t).sum(1, keepdims=True)
+        top, hit = q.max(1), q.argmax(1) == y[~fit]
+        bins = np.minimum(np.floor(top * 10), 9)
+        return sum((bins == b).mean() * abs(top[bins == b].mean() - hit[bins == b].mean()) for b in set(bins))
+
+    r = out.first()
+    assert r.rows == 300 and abs(r.before - gap(1.0)) < 1e-9 and abs(r.after - gap(t)) < 1e-9 and r.after < r.before
