@@ -5,6 +5,7 @@ Rows have id, x (array of doubles), label and, where a probe is tuned, split.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,8 @@ PENALTIES = (0.01, 0.1, 1.0, 10.0)
 NEIGHBOURS = (1, 5, 15, 50)
 #: Bytes of vectors that a block of queries, or a slice of the reference, holds.
 MOST_BYTES = 64 << 20
+#: Pivots around which a reference lies in cells.
+MOST_PIVOTS = 1024
 #: Bytes of a model that every executor may hold, and values of probabilities that a batch holds.
 MOST_MODEL, BATCH_VALUES = 1 << 28, 1 << 21
 
@@ -102,35 +105,112 @@ def prediction_rows(rows: DataFrame, classes: list[str], p: str = "proba") -> Da
     return met.withColumns({"p": F.array_max(p), "p_true": F.get(F.col(p), F.col("_true")), "margin": A.margin(F.col(p)), "entropy": A.entropy(F.col(p))}).drop("_true", "_best")
 
 
+def _matrix(rows: pd.DataFrame, metric: str) -> np.ndarray:
+    m = np.array(rows["x"].tolist(), dtype=float).reshape(len(rows), -1)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) if metric == "cosine" else m
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2 * a @ b.T, 0))
+
+
+class Cells:
+    """The reference (id, x, label, cell, part), stored: each row in the cell of its nearest pivot, a reference row, and large cells in
+    parts of bounded size; and, for each cell, how many rows it has and how far from its pivot the last one is.
+
+    Cosine distance orders unit vectors as their distance does; a zero vector, to which that does not apply, lies in a last cell that all queries meet.
+    """
+
+    def __init__(self, reference: DataFrame, metric: str):
+        self.metric = metric
+        n, width = reference.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
+        self.row_bytes = 8 * (width or 1)
+        count = max(1, min(MOST_PIVOTS, max(-(-n * self.row_bytes // MOST_BYTES), math.isqrt(n) // 2)))
+        pivots = reference.select("x").orderBy(F.xxhash64("id"), "id").limit(count).toPandas()
+        self.pivots = _matrix(pivots, metric) if len(pivots) else np.zeros((1, width or 1))
+        last, pivots = len(self.pivots), self.pivots
+
+        def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for at in range(0, len(b), 4096):
+                    part = b.iloc[at : at + 4096]
+                    x = _matrix(part, metric)
+                    d = _distances(x, pivots)
+                    cell = d.argmin(axis=1)
+                    if metric == "cosine":
+                        cell = np.where((x * x).sum(axis=1) < 0.5, last, cell)
+                    yield part.assign(cell=cell.astype(np.int32), r=d[np.arange(len(x)), np.minimum(cell, last - 1)])
+
+        fields = reference.select("id", "x", F.col("label").cast("string").alias("label"))
+        self.rows = stored(fields.mapInPandas(place, f"id {fields.schema['id'].dataType.simpleString()}, x array<double>, label string, cell int, r double"), "cells")
+        found = {r.cell: (r.n, r.r) for r in self.rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("r").alias("r")).collect()}
+        self.size = np.array([found.get(c, (0, 0.0))[0] for c in range(last + 1)])
+        self.radius = np.array([found.get(c, (0, 0.0))[1] for c in range(last)] + [np.inf])
+        self.parts = np.maximum(1, -(-self.size * self.row_bytes // MOST_BYTES))
+        parts = F.array(*(F.lit(int(p)) for p in self.parts))
+        self.rows = self.rows.withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), parts[F.col("cell")].cast("long")).cast("int")).drop("r")
+
+    def needed(self, x: np.ndarray, k: int) -> np.ndarray:
+        """For each query and cell, whether the cell can hold one of the k nearest: by the triangle inequality no row of it is nearer than the
+        pivot less the radius, while k rows are no farther than some pivots plus their radius."""
+        if not self.size.any():
+            return np.zeros((len(x), len(self.size)), bool)
+        d = np.hstack([_distances(x, self.pivots), np.zeros((len(x), 1))])
+        far = np.where(self.size > 0, d + self.radius, np.inf)
+        order = np.argsort(far, axis=1)
+        enough = (np.cumsum(self.size[order], axis=1) >= k).argmax(axis=1)
+        bound = np.take_along_axis(far, order, axis=1)[np.arange(len(x)), enough]
+        bound[self.size.sum() < k] = np.inf
+        if self.metric == "cosine":
+            bound[(x * x).sum(axis=1) < 0.5] = np.inf
+        return (d - self.radius <= bound[:, None] + 1e-7 * (1 + np.abs(d))) & (self.size > 0)
+
+
+def met_share(queries: DataFrame, reference: DataFrame, k: int, metric: str = "euclidean") -> float:
+    """JOI15: the share of all pairs of a query and a reference row that neighbours() looks at."""
+    cells = Cells(reference, metric)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"met": (cells.needed(_matrix(b, metric), k) * cells.size).sum(axis=1), "of": cells.size.sum()})
+
+    cells.rows, rows = None, queries.select("x")  # the function takes no table along
+    met, of = rows.mapInPandas(run, "met long, of long").agg(F.sum("met"), F.sum("of")).first()
+    return met / of if of else 0.0
+
+
 def neighbours(queries: DataFrame, reference: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
     """JOI15/JOI16/TOP7: (id, rank from 1, neighbour, label, distance) of each query's k nearest, ties by id.
 
-    Queries are dealt to blocks and the reference to slices of bounded size, and each block meets each slice as matrix products in a task of its own; the best of
-    all slices are merged by rank. Nothing but the counts of both sides reaches the driver.
+    The reference lies in cells around pivots and a query goes only to the cells that can hold one of its nearest, so what moves is
+    a copy of the query for each such cell, and of a cell for each block of its queries. A block meets a part of a cell as matrix products in a task of its own; the
+    best of all are merged by rank. Pivots, of which there are at most MOST_PIVOTS, and cell sizes are all that reaches the driver.
     """
-    n, width = reference.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
-    tasks, size = queries.sparkSession.sparkContext.defaultParallelism, 8 * (width or 1)
-    slices, m = max(1, -(-n * size // MOST_BYTES)), queries.count()
-    blocks = max(1, -(-m * size // MOST_BYTES), min(tasks, m // 256))
-    all_of = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    left = queries.select("id", "x", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), all_of(slices).alias("slice"))
-    right = reference.select("id", "x", F.col("label").cast("string").alias("label"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(slices)).cast("int").alias("slice"), all_of(blocks).alias("block"))
-    unit = lambda rows: np.array(rows["x"].tolist(), dtype=float).reshape(len(rows), -1)
+    cells = Cells(reference, metric)
+    tasks, m = queries.sparkSession.sparkContext.defaultParallelism, queries.count()
+    blocks = max(1, -(-m * cells.row_bytes // MOST_BYTES), min(tasks, m // 256))
+    right = cells.rows.select("id", "x", "label", "cell", "part", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    cells.rows = None  # the function takes no table along
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), 1024):
+                part = b.iloc[at : at + 1024]
+                row, cell = np.nonzero(cells.needed(_matrix(part, metric), k))
+                times = cells.parts[cell]
+                ends = np.cumsum(times)
+                number = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - times, times)
+                sent = part.iloc[np.repeat(row, times)]
+                yield sent.assign(cell=np.repeat(cell, times).astype(np.int32), part=number.astype(np.int32))
 
     def run(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(q) and len(r):
-            ids, labels, m = r["id"].to_numpy(), r["label"].to_numpy(), unit(r)
-            if metric == "cosine":
-                m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+            ids, labels, m = r["id"].to_numpy(), r["label"].to_numpy(), _matrix(r, metric)
             squares = (m * m).sum(axis=1)
             for at in range(0, len(q), 256):
-                x = unit(q.iloc[at : at + 256])
-                if metric == "cosine":
-                    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                    d = 1 - x @ m.T
-                else:
-                    d = np.maximum((x * x).sum(axis=1)[:, None] + squares - 2 * x @ m.T, 0)
+                x = _matrix(q.iloc[at : at + 256], metric)
+                d = 1 - x @ m.T if metric == "cosine" else np.maximum((x * x).sum(axis=1)[:, None] + squares - 2 * x @ m.T, 0)
                 last = min(k, len(ids)) - 1
                 for query, row, v in zip(q["id"].iloc[at : at + 256], d, x, strict=True):
                     near = np.flatnonzero(row <= np.partition(row, last)[last] + 1e-9)
@@ -139,8 +219,10 @@ def neighbours(queries: DataFrame, reference: DataFrame, k: int, metric: str = "
                     out += [(query, ids[near[j]], labels[near[j]], exact[j]) for j in best]
         return pd.DataFrame(out, columns=["id", "neighbour", "label", "distance"])
 
-    left, right = left.toDF(*left.columns), right.toDF(*right.columns)  # columns of their own, where both sides come from one table
-    found = left.groupBy("block", "slice").cogroup(right.groupBy("block", "slice")).applyInPandas(run, "id long, neighbour long, label string, distance double")
+    asked = queries.select("id", "x", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
+    left = asked.mapInPandas(send, f"id {asked.schema['id'].dataType.simpleString()}, x array<double>, block int, cell int, part int")
+    keys = ["cell", "part", "block"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, "id long, neighbour long, label string, distance double")
     order = Window.partitionBy("id").orderBy("distance", "neighbour")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -158,3 +158,33 @@ def test_calibration_of_the_target_equals_numpy(spark):
 
     r = out.first()
     assert r.rows == 300 and abs(r.before - gap(1.0)) < 1e-9 and abs(r.after - gap(t)) < 1e-9 and r.after < r.before
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_neighbours_of_far_clusters_meet_few_rows(spark, metric):
+    """Exact beside ties, repeated rows and zero vectors, though most cells are never met."""
+    rng = np.random.default_rng(17)
+    centres = rng.standard_normal((12, 6)) * 40
+    x = centres[np.arange(4200) % 12] + rng.standard_normal((4200, 6)) * 0.5
+    x[100:140] = x[100]
+    x[[7, 8]] = 0
+    df = spark.createDataFrame([(i, [float(v) for v in r], str(i % 3)) for i, r in enumerate(x)], "id long, x array<double>, label string")
+    asked, held = df.where("id % 10 = 0 OR id IN (7, 100, 101)"), df.where("id % 10 > 0")
+    assert probes.met_share(asked, held, 3, metric) < 0.5
+    ids, refs = [r.id for r in asked.collect()], np.array([r.id for r in held.collect()])
+    norm = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    got = {}
+    for r in sorted(probes.neighbours(asked, held, 3, metric).collect(), key=lambda r: (r.id, r["rank"])):
+        got.setdefault(r.id, []).append((r.neighbour, r.distance))
+    assert set(got) == set(ids)
+    for i in ids:
+        d = 1 - norm(x[refs]) @ norm(x[[i]])[0] if metric == "cosine" else np.sqrt(((x[refs] - x[i]) ** 2).sum(1))
+        want = np.sort(d)[:3]
+        assert np.allclose([v for _, v in got[i]], want, atol=1e-9)
+        assert all(abs(d[refs == j][0] - v) < 1e-9 for j, v in got[i])
+
+
+def test_neighbours_of_nothing(spark, rows):
+    assert probes.neighbours(rows.limit(0), rows, 3).collect() == []
+    assert probes.neighbours(rows.limit(5), rows.limit(0), 3).collect() == []
+    assert len(probes.neighbours(rows.where("id < 2"), rows.where("id IN (5, 6)"), 9).collect()) == 4
