@@ -55,17 +55,25 @@ def make_splits(to: Folder, seed: int = 0, stratify_on: tuple[str, ...] = ("nt_b
 
 
 def feature_blocks(to: Folder, kinds: tuple[str, ...] = ("connection", "rwse", "flow", "local", "local_tri")) -> None:
-    """Each block is its own table with a row for every node, so a stage that was lost is made again alone."""
+    """Each block is its own table with a row for every node, so a stage that was lost is made again alone.
+
+    Every column is 0 for a node without an edge, and only such nodes are filled: a part of a block that lacks a node with an edge to another is an error.
+    """
     edges, nodes = to.read("edges").selectExpr("CAST(pre AS long) pre", "CAST(post AS long) post", "w"), to.nodes()
+    linked = stored(edges.where("pre <> post").select(F.explode(F.array("pre", "post")).alias("id")).distinct(), "linked")
     make = {
-        "connection": lambda: X.connection_features(edges),
-        "rwse": lambda: X.walk_features(X.return_probabilities(edges, keep=to.at("rwse_parts"))),
-        "flow": lambda: flow.flow_block(edges, nodes.select("id"))[0],
-        "local": lambda: X.assemble(nodes.select("id"), X.reciprocity(edges), X.partner_degree(edges), X.core_numbers(edges).drop("core")),
-        "local_tri": lambda: X.triangles(edges),
+        "connection": lambda: [X.connection_features(edges)],
+        "rwse": lambda: [X.walk_features(X.return_probabilities(edges, keep=to.at("rwse_parts")))],
+        "flow": lambda: [flow.flow_block(edges, nodes.select("id"))[0]],
+        "local": lambda: [X.reciprocity(edges), X.partner_degree(edges), X.core_numbers(edges).drop("core")],
+        "local_tri": lambda: [X.triangles(edges)],
     }
     for kind in kinds:
-        to.write(kind, X.assemble(nodes.select("id"), make[kind]()))
+        parts = [stored(df, f"block-{kind}") for df in make[kind]()]
+        for df in parts:
+            if not linked.join(df, "id", "left_anti").isEmpty():
+                raise ValueError(f"a part of block {kind} ({', '.join(df.columns[1:3])}...) lacks nodes that have edges")
+        to.write(kind, X.assemble(nodes.select("id"), *parts))
 
 
 def features(at: Folder, columns: tuple[str, ...] | None = X.REFINED) -> DataFrame:

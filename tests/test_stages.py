@@ -60,3 +60,19 @@ def test_command_line(spark, raw, tmp_path, capsys):
     assert main(["check", "--a", f"{out}/pred", "--b", f"{out}/pred"]) == 0
     capsys.readouterr()
     assert run("fafb", "dictionary").count("\n") == 47
+
+
+def test_a_block_that_lost_a_node_is_an_error(spark, tmp_path, monkeypatch):
+    """Nodes without an edge, or with a loop alone, are filled; others must be there."""
+    from graftline.operators import features as X
+    from graftline.plans import stages
+
+    at = stages.Folder(spark, str(tmp_path), "fafb")
+    at.write("nodes", spark.range(6).selectExpr("CAST(id AS int) AS node_id"))
+    at.write("edges", spark.createDataFrame([(0, 1, 2), (1, 2, 1), (2, 0, 4), (3, 3, 1)], "pre int, post int, w int"))
+    stages.feature_blocks(at, ("connection", "local"))
+    assert at.read("local").count() == 6 and at.read("local").where("local_log_kcore > 0").count() == 3
+    whole = X.partner_degree
+    monkeypatch.setattr(X, "partner_degree", lambda edges: whole(edges).where("id <> 1"))
+    with pytest.raises(ValueError, match="local"):
+        stages.feature_blocks(at, ("local",))
