@@ -1,6 +1,7 @@
 import random
 import re
 import time
+from collections import Counter
 from html.parser import HTMLParser
 
 import pytest
@@ -127,3 +128,22 @@ def test_long_and_broken_pages_take_time_in_proportion(source):
     began = time.process_time()
     Page(source).text()
     assert time.process_time() - began < 8
+
+
+def test_template_alone_finds_the_articles_of_the_given_pages(spark):
+    """Without what tags and names say, every page of a host that has a template gives its article; so the slots decide, not the rules."""
+    pages = table(spark, "/root/testdata/sf0.01", "pages")
+    host = {r.page_id: r.url.split("://")[1].split("/")[0].lower() for r in pages.collect()}
+    number = Counter(host.values())
+    known = {r.page_id: plain(r.html) for r in pages.collect() if number[host[r.page_id]] >= 5}
+    got = {r.page_id: r.text for r in main_text(pages, tags=False).collect()}
+    assert len(known) > 100 and {i: got[i] for i in known} == known
+
+
+def test_slots_decide_where_names_say_nothing(spark):
+    """A short slot of each page's own text, of no telling name, goes; the main slot, a heading and a slot nested in the main one stay."""
+    own = "<div class='m'><p>Long text of page {0}, which goes on and on for a while</p><div class='n'>boxed {0}</div><p>and ends {0}</p></div>"
+    page = "<html><body><div class='t'><h1>Title {0}</h1></div><div class='s'>offer {0}</div>" + own + "</body></html>"
+    rows = [(i, "http://h.org/", page.format(i)) for i in range(12)]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Title {i}\n\nLong text of page {i}, which goes on and on for a while\n\nboxed {i}\n\nand ends {i}" for i in range(12)}
