@@ -83,27 +83,65 @@ def _linear(df: DataFrame, inputs: list[str], weights: list[list[float]], bias:
     return df.select("id", *((F.greatest(m, F.lit(0.0)) if relu else m).alias(f"h{k}") for k, m in enumerate(made)))
 
 
-def sage_layer(edges: DataFrame, h: DataFrame, own: list[list[float]], near: list[list[float]], bias: list[float], relu: bool = True) -> DataFrame:
-    """NN10: own weights of a node's columns and near weights of its incoming partners' mean (0 without one)."""
-    names = h.columns[1:]
-    mean = propagate(edges, h, names, "mean", "in").withColumnsRenamed({c: f"_{c}" for c in names})
-    met = h.join(mean, "id", "left").na.fill(0.0)
-    return _linear(met, [*names, *(f"_{c}" for c in names)], [[*a, *b] for a, b in zip(own, near, strict=True)], bias, relu)
-
-
-def gin_layer(edges: DataFrame, h: DataFrame, weights: list[list[float]], bias: list[float], eps: float = 0.0, relu: bool = True) -> DataFrame:
-    """NN10: weights of 1 + eps times a node's columns and its incoming partners' sum."""
-    names = h.columns[1:]
-    total = propagate(edges, h, names, "sum", "in").withColumnsRenamed({c: f"_{c}" for c in names})
-    met = h.join(total, "id", "left").na.fill(0.0)
-    return _linear(met.select("id", *(((1 + eps) * F.col(c) + F.col(f"_{c}")).alias(c) for c in names)), names, weights, bias, relu)
+def _met(edges: DataFrame, h: DataFrame, how: str, directions: list[str], weight: str | None) -> DataFrame:
+    """h and, under _<direction>_<column>, what its partners send (0 without one)."""
+    met = h
+    for direction in directions:
+        sent = propagate(edges, h, h.columns[1:], how, direction, weight)
+        met = met.join(sent.withColumnsRenamed({c: f"_{direction}_{c}" for c in sent.columns[1:]}), "id", "left")
+    return met.na.fill(0.0)
+
+
+def sage_layer(edges: DataFrame, h: DataFrame, own: list[list[float]], near: list[list[float]], bias: list[float], relu: bool = True, near_out: list[list[float]] | None = None, weight: str | None = None) -> DataFrame:
+    """NN10: own weights of a node's columns and near weights of its incoming partners' mean (0 without one), by weight if one is named; with near_out,
+    those of the outgoing partners' mean as well."""
+    names, sides = h.columns[1:], {"in": near} | ({"out": near_out} if near_out else {})
+    met = _met(edges, h, "mean", list(sides), weight)
+    rows = [[x for part in parts for x in part] for parts in zip(own, *sides.values(), strict=True)]
+    return _linear(met, [*names, *(f"_{s}_{c}" for s in sides for c in names)], rows, bias, relu)
+
+
+def gin_layer(edges: DataFrame, h: DataFrame, weights: list[list[float]], bias: list[float], eps: float = 0.0, relu: bool = True, weights_out: list[list[float]] | None = None, eps_out: float = 0.0, weight: str | None = None) -> DataFrame:
+    """NN10: weights of 1 + eps times a node's columns and its incoming partners' (weighted) sum; with weights_out, those of the outgoing partners' side as well."""
+    names, sides = h.columns[1:], {"in": (weights, eps)} | ({"out": (weights_out, eps_out)} if weights_out else {})
+    met = _met(edges, h, "sum", list(sides), weight)
+    mixed = met.select("id", *(((1 + e) * F.col(c) + F.col(f"_{s}_{c}")).alias(f"{s}_{c}") for s, (_, e) in sides.items() for c in names))
+    rows = [[x for part in parts for x in part] for parts in zip(*(w for w, _ in sides.values()), strict=True)]
+    return _linear(mixed, mixed.columns[1:], rows, bias, relu)
+
+
+def _attended(edges: DataFrame, h: DataFrame, direction: str, lin: list[list[float]], src: list[list[float]], dst: list[list[float]], weight: list[float], slope: float) -> DataFrame:
+    """(id, h0, h1, ...): partners' projected columns, averaged by a softmax for each head of leaky scores of both ends and of the edge's log weight."""
+    partner, own = ("pre", "post") if direction == "in" else ("post", "pre")
+    heads, c = len(src), len(src[0])
+    x = _linear(h, h.columns[1:], lin, [0.0] * (heads * c), relu=False)
+    score = lambda a, k: sum(F.lit(float(v)) * F.col(f"h{k * c + i}") for i, v in enumerate(a[k]))
+    ends = edges.select(F.col(partner).alias("_p"), F.col(own).alias("_o"), F.log1p(F.col("w").cast("double")).alias("_w"))
+    met = ends.join(x.select(F.col("id").alias("_p"), *(score(src, k).alias(f"_s{k}") for k in range(heads))), "_p")
+    met = met.join(x.select(F.col("id").alias("_o"), *(score(dst, k).alias(f"_d{k}") for k in range(heads))), "_o")
+    raw = [F.col(f"_s{k}") + F.col(f"_d{k}") + F.lit(float(weight[k])) * F.col("_w") for k in range(heads)]
+    logits = stored(met.select("_p", "_o", *(F.when(r > 0, r).otherwise(slope * r).alias(f"_e{k}") for k, r in enumerate(raw))), "attention")
+    top = logits.groupBy("_o").agg(*(F.max(f"_e{k}").alias(f"_m{k}") for k in range(heads)))
+    share = [F.exp(F.col(f"_e{k}") - F.col(f"_m{k}")) for k in range(heads)]
+    sent = logits.join(top, "_o").join(x.withColumnRenamed("id", "_p"), "_p")
+    return sent.groupBy(F.col("_o").alias("id")).agg(*((F.sum(share[j // c] * F.col(f"h{j}")) / F.sum(share[j // c])).alias(f"h{j}") for j in range(heads * c)))
+
+
+def gat_layer(edges: DataFrame, h: DataFrame, own: list[list[float]], bias: list[float], sides: dict[str, dict], relu: bool = True, slope: float = 0.2) -> DataFrame:
+    """NN10: own weights of a node's columns plus, for each direction of sides, its partners' columns by attention (0 without one). A direction has weights of its own: lin (a row for each
+    column made), src and dst (a vector for each head) and weight (of the log weight, one a head). An edge carries a score a head to the shuffle; columns meet it once."""
+    made = _linear(h, h.columns[1:], own, bias, relu=False)
+    for direction, given in sides.items():
+        sent = _attended(edges, h, direction, slope=slope, **given)
+        made = made.join(sent.withColumnsRenamed({c: f"_{c}" for c in sent.columns[1:]}), "id", "left").select("id", *((F.col(c) + F.coalesce(f"_{c}", F.lit(0.0))).alias(c) for c in made.columns[1:]))
+    return made.select("id", *(F.greatest(F.col(c), F.lit(0.0)).alias(c) for c in made.columns[1:])) if relu else made
 
 
 def gnn_forward(edges: DataFrame, h: DataFrame, layers: list[dict]) -> DataFrame:
-    """NN11: a stack's forward pass: each layer is {"kind": "sage" or "gin", its weights, and optionally "norm": (mean, deviation, scale, shift) of each column, kept from the source}."""
+    """NN11: a stack's forward pass: each layer is {"kind": "sage", "gin" or "gat", its weights, and optionally "norm": (mean, deviation, scale, shift) of each column, kept from the source}."""
     for layer in layers:
         given = {k: v for k, v in layer.items() if k not in ("kind", "norm")}
-        h = {"sage": sage_layer, "gin": gin_layer}[layer["kind"]](edges, h, relu=False, **given)
+        h = {"sage": sage_layer, "gin": gin_layer, "gat": gat_layer}[layer["kind"]](edges, h, relu=False, **given)
         norm = layer.get("norm") or [(0.0, 1.0, 1.0, 0.0)] * (len(h.columns) - 1)
         h = h.select("id", *(F.greatest((F.col(c) - m) / s * g + b, F.lit(0.0)).alias(c) for c, (m, s, g, b) in zip(h.columns[1:], norm, strict=True)))
     return h

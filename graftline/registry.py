@@ -407,6 +407,38 @@ def _(spark, d):
     return rounded(tokens.gnn_forward(G.directed(spark, d), _user_features(spark, d), [{"kind": "sage", "norm": _NORM, **_SAGE}, {"kind": "gin", **_GIN}]))
 
 
+_DIR_SAGE = _SAGE | {"near_out": [[-0.5, 0.25], [0.75, 0.125]]}
+_DIR_GIN = _GIN | {"weights_out": [[0.005, 0.02], [-0.01, 0.0]], "eps_out": -0.25}
+_GAT = {"own": [[0.5, -0.25], [0.125, 1.0]], "bias": [0.1, -0.2], "sides": {
+    "in": {"lin": [[1.0, 0.5], [-0.5, 0.25]], "src": [[0.75], [-1.0]], "dst": [[0.5], [2.0]], "weight": [0.25, -0.5]},
+    "out": {"lin": [[0.25, -1.0], [0.5, 0.5]], "src": [[-0.5], [1.5]], "dst": [[1.0], [-0.75]], "weight": [0.0, 1.0]}}}
+_OUT_SIDE = lambda how: f"(SELECT pre AS id, {how}(h0) AS o0, {how}(h1) AS o1 FROM {G2} JOIN h ON h.id = post GROUP BY 1)"
+
+
+def _gat_sql(direction: str) -> str:
+    w, (partner, own) = _GAT["sides"][direction], ("pre", "post") if direction == "in" else ("post", "pre")
+    lin = lambda t, k: f"({w['lin'][k][0]} * {t}.h0 + {w['lin'][k][1]} * {t}.h1)"
+    raw = lambda k: f"({w['src'][k][0]} * {lin('p', k)} + {w['dst'][k][0]} * {lin('o', k)} + {w['weight'][k]} * ln(1 + w))"
+    rows = f"SELECT {own} AS id, {', '.join(f'{lin(chr(112), k)} AS x{k}, greatest({raw(k)}, 0.2 * {raw(k)}) AS e{k}' for k in (0, 1))} FROM {G2} JOIN h p ON p.id = {partner} JOIN h o ON o.id = {own}"
+    tops = f"SELECT *, max(e0) OVER (PARTITION BY id) AS m0, max(e1) OVER (PARTITION BY id) AS m1 FROM ({rows})"
+    return f"(SELECT id, {', '.join(f'sum(exp(e{k} - m{k}) * x{k}) / sum(exp(e{k} - m{k})) AS {direction}{k}' for k in (0, 1))} FROM ({tops}) GROUP BY 1)"
+
+
+@query("nn10_dir_sage_layer", f"WITH {_GNN} SELECT id, {r6('greatest(' + _SAGE_SQL[0] + ' - 0.5 * coalesce(o0, 0) + 0.25 * coalesce(o1, 0), 0)', 'h0')}, {r6('greatest(' + _SAGE_SQL[1] + ' + 0.75 * coalesce(o0, 0) + 0.125 * coalesce(o1, 0), 0)', 'h1')} FROM h LEFT JOIN {_near(G2, 'h', 'avg')} USING (id) LEFT JOIN {_OUT_SIDE('avg')} USING (id)")
+def _(spark, d):
+    return rounded(tokens.sage_layer(G.directed(spark, d), _user_features(spark, d), **_DIR_SAGE))
+
+
+@query("nn10_dir_gin_layer", f"WITH {_GNN} SELECT id, {r6('greatest(' + _GIN_SQL[0] + ' + 0.005 * (0.75 * h0 + coalesce(o0, 0)) + 0.02 * (0.75 * h1 + coalesce(o1, 0)), 0)', 'h0')}, {r6('greatest(' + _GIN_SQL[1] + ' - 0.01 * (0.75 * h0 + coalesce(o0, 0)), 0)', 'h1')} FROM h LEFT JOIN {_near(G2, 'h', 'sum')} USING (id) LEFT JOIN {_OUT_SIDE('sum')} USING (id)")
+def _(spark, d):
+    return rounded(tokens.gin_layer(G.directed(spark, d), _user_features(spark, d), **_DIR_GIN))
+
+
+@query("nn10_dir_gat_layer", f"WITH {_GNN} SELECT id, {r6('greatest(0.5 * h0 - 0.25 * h1 + 0.1 + coalesce(in0, 0) + coalesce(out0, 0), 0)', 'h0')}, {r6('greatest(0.125 * h0 + h1 - 0.2 + coalesce(in1, 0) + coalesce(out1, 0), 0)', 'h1')} FROM h LEFT JOIN {_gat_sql('in')} USING (id) LEFT JOIN {_gat_sql('out')} USING (id)")
+def _(spark, d):
+    return rounded(tokens.gat_layer(G.directed(spark, d), _user_features(spark, d), **_GAT))
+
+
 @query("nn4_displacement", f"SELECT vec_id AS id, {', '.join(r6(f'embedding[{k + 1}]::DOUBLE - embedding[{64 - k}]::DOUBLE', f'x{k}') for k in range(_PLACES))} FROM embeddings")
 def _(spark, d):
     from graftline.operators.encoder import displacement
@@ -428,6 +460,41 @@ def _(spark, d):
     return embed(sets, random_weights(len(f.columns) - 1, 32, 4, 2, 7), 8)
 
 
+#: Columns of connection_features.
+_SET_COLUMNS = 24
+
+
+def _class_sets(spark, d) -> DataFrame:
+    """Users' token sets over the event graph, with a class of their commonest event type."""
+    g = G.directed(spark, d)
+    f = X.connection_features(g)
+    scaled = scaling.apply_scale(f, scaling.fit_scale(f, f.columns[1:]), f.columns[1:])
+    packed = scaled.select("id", F.array(*(F.col(f"`{c}`") for c in f.columns[1:])).alias("x"))
+    classes = _t(spark, d, "events").groupBy(F.col("user_id").alias("id")).agg(F.pmod(F.crc32(F.mode("event_type", True)), F.lit(5)).cast("int").alias("code"))
+    return tokens.gather(tokens.token_arrays(tokens.top_partners(g, 16)), packed).join(classes, "id")
+
+
+@query("nn7_target_stats")
+def _(spark, d):
+    from graftline.operators import encoder, training
+
+    sets = _class_sets(spark, d)
+    stats = training.target_stats(sets, encoder.random_weights(_SET_COLUMNS, 32, 4, 2, 5), 16)
+    return rounded(spark.createDataFrame([stats]))
+
+
+@query("nn6_training_curve")
+def _(spark, d):
+    """As many steps as two epochs have, eight at least."""
+    from graftline.operators import encoder, training
+    from graftline.plans.storage import stored
+
+    sets = stored(_class_sets(spark, d), "class-sets")
+    steps = max(8, -(-2 * sets.count() // 1024))
+    done = training.train(sets, encoder.random_weights(_SET_COLUMNS, 32, 4, 2, 5), 16, steps, rate=0.003)
+    return rounded(spark.createDataFrame([(c["step"], c["loss"], done["stats"]["constant_predictor_loss"]) for c in done["curve"]], "step int, loss double, constant_predictor_loss double"))
+
+
 # --- label text and label columns ------------------------------------------------------------------------------------------
 
 #: Label text made from the orders: names of the vocabulary and others, by remainders of the key.

@@ -24,7 +24,7 @@ def test_query_equals_sql(spark, duck, name):
     assert_same(registry.QUERIES[name](spark, SF), duck, registry.ORACLES[name])
 
 
-@pytest.mark.parametrize("name", ["fea_z_redundancy", "scl5_effective_rank", "scr8_temperature", "prb2_sweep", "nn1_nn5_untrained_embedding", "prb11_curve_point"])
+@pytest.mark.parametrize("name", ["fea_z_redundancy", "scl5_effective_rank", "scr8_temperature", "prb2_sweep", "nn1_nn5_untrained_embedding", "prb11_curve_point", "nn6_training_curve", "nn7_target_stats"])
 def test_query_has_rows(spark, name):
     assert registry.QUERIES[name](spark, SF).count() > 0
 
