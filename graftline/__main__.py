@@ -32,9 +32,15 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--kinds", default="connection,rwse,flow,local,local_tri")
     s = add("topk", "strongest partners")
     s.add_argument("-k", type=int, default=64)
-    s = add("embed", "baseline or untrained embeddings")
-    s.add_argument("--method", default="raw", choices=("raw", "degree", "composition", "propagate", "untrained"))
-    s.add_argument("--source", help="volume whose statistics are used")
+    s = add("embed", "baseline, untrained, trained or outside embeddings")
+    s.add_argument("--method", default="raw", choices=("raw", "degree", "composition", "propagate", "untrained", "trained", "outside"))
+    s.add_argument("--source", help="volume whose statistics, and whose trained encoder, are used")
+    s.add_argument("--vectors", help="a table of id and x, for the method outside")
+    s = add("train", "the encoder, on the labelled train rows")
+    s.add_argument("--target", default="nt_best")
+    for name, value in (("k", 64), ("width", 128), ("heads", 8), ("layers", 4), ("steps", 1000), ("batch", 1024), ("seed", 0)):
+        s.add_argument(f"--{name}", type=int, default=value)
+    s.add_argument("--rate", type=float, default=3e-4)
     s = add("transfer", "probes fitted on one volume, applied to another")
     s.add_argument("--target", required=True)
     s.add_argument("--method", default="raw")
@@ -79,7 +85,10 @@ def main(argv: list[str] | None = None) -> int:
         print(stages.top_k(at, a.k))
     elif a.stage == "embed":
         base = stages.Folder(spark, a.processed, a.source) if a.source else None
-        at.write(f"embedding_{a.method}", stages.untrained_embedding(at) if a.method == "untrained" else stages.baseline_embedding(at, a.method, base))
+        made = {"untrained": lambda: stages.untrained_embedding(at), "trained": lambda: stages.trained_embedding(at, base), "outside": lambda: stages.outside_embedding(at, a.vectors)}
+        at.write(f"embedding_{a.method}", made.get(a.method, lambda: stages.baseline_embedding(at, a.method, base))())
+    elif a.stage == "train":
+        print(stages.train_encoder(at, a.target, a.k, a.width, a.heads, a.layers, a.steps, a.batch, a.rate, a.seed))
     elif a.stage == "transfer":
         to = stages.Folder(spark, a.processed, a.target)
         print(json.dumps(stages.zero_shot(at, to, at.read(f"embedding_{a.method}"), to.read(f"embedding_{a.method}"), tuple(a.targets.split(",")), a.out), default=str))

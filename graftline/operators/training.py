@@ -206,3 +206,30 @@ def train(sets: DataFrame, weights: dict, k: int, steps: int, batch: int = 1024,
             save(spark, state, step + 1, {"leaves": params, "first": first, "second": second, "curve": curve})
     frozen.destroy()
     return {"weights": weights, "head": head, "curve": curve, "stats": stats}
+
+
+def weights_table(spark: SparkSession, weights: dict, settings: dict) -> DataFrame:
+    """SRC11: an encoder as a table: one row an array, with the settings that it was trained with."""
+    flat = {name: weights[name] for name in ("token", "query", "codes", "unknown")}
+    flat |= {f"{i}.{name}": b[name] for i, b in enumerate(weights["blocks"]) for name in BLOCK}
+    meta = json.dumps(settings | {"heads": weights["heads"], "layers": len(weights["blocks"])}, sort_keys=True)
+    rows = [(name, list(a.shape), bytearray(np.ascontiguousarray(a, float).tobytes()), meta) for name, a in flat.items()]
+    return spark.createDataFrame(rows, "name string, shape array<int>, value binary, settings string").coalesce(1)
+
+
+def read_weights(table: DataFrame) -> tuple[dict, dict]:
+    """The encoder of a weights_table and its settings; a table that lacks an array, or has one of another size or name, is an error."""
+    rows = table.limit(10_000).collect()  # arrays, a few a layer
+    if not rows:
+        raise ValueError("no weights")
+    settings, found = json.loads(rows[0].settings), {}
+    for r in rows:
+        a = np.frombuffer(bytes(r.value))
+        if a.size != int(np.prod(r.shape)):
+            raise ValueError(f"weights {r.name}: {a.size} values for shape {r.shape}")
+        found[r.name] = a.reshape(r.shape).copy()
+    wanted = {"token", "query", "codes", "unknown", *(f"{i}.{name}" for i in range(settings["layers"]) for name in BLOCK)}
+    if set(found) != wanted or len(rows) != len(wanted):
+        raise ValueError(f"weights: {sorted(set(found) ^ wanted)} missing, unknown or repeated")
+    blocks = [{name: found[f"{i}.{name}"] for name in BLOCK} for i in range(settings["layers"])]
+    return {name: found[name] for name in ("token", "query", "codes", "unknown")} | {"blocks": blocks, "heads": settings["heads"]}, settings

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graftline.functions import labels as L
-from graftline.operators import encoder, flow, probes, scaling, scoring, slicing, splits, tokens
+from graftline.operators import encoder, flow, probes, scaling, scoring, slicing, splits, tokens, training
 from graftline.operators import features as X
 from graftline.plans import volumes
 from graftline.plans.storage import stored
@@ -146,6 +148,49 @@ def untrained_embedding(at: Folder, k: int = 64, width: int = 128, heads: int =
     return encoder.embed(sets, encoder.random_weights(d_in, width, heads, layers, len(L.V.TRANSMITTERS), seed), k).select("id", F.col("embedding").alias("x"))
 
 
+#: Seed tokens that class codes are scaled to: so many of smallest digest.
+CODE_ROWS = 4096
+
+
+def train_encoder(at: Folder, target: str = "nt_best", k: int = 64, width: int = 128, heads: int = 8, layers: int = 4, steps: int = 1000, batch: int = 1024, rate: float = 3e-4, seed: int = 0) -> str:
+    """NN6, NN7, SNK4c: trains the encoder on the labelled train rows of a volume and writes its weights, the loss of each step and the target's statistics, which are returned. The state lies beside
+    them, under the settings' digest; a run that was cut off goes on from it."""
+    settings = {"target": target, "k": k, "width": width, "heads": heads, "layers": layers, "batch": batch, "rate": rate, "seed": seed}
+    sets = tokens.gather(T.checked_tokens(at.read("topk"), k), baseline_embedding(at, "raw"))
+    classes = F.array(*(F.lit(c) for c in L.V.TRANSMITTERS))
+    rows = L.harmonise(at.nodes()).join(at.read("splits"), "node_id").withColumn("split", L.restrict_split(F.col("split"), L.in_scope("brain")))
+    coded = rows.where(F.col("split") == "train").select("id", (F.array_position(classes, F.col(target)) - 1).cast("int").alias("code")).where("code >= 0")
+    sets = stored(sets.join(coded, "id"), "training-sets")
+    some = [r.seed for r in splits.cohort(sets, CODE_ROWS, seed).select("seed").collect()]
+    if not some:
+        raise ValueError(f"no labelled train row for {target}")
+    weights = encoder.random_weights(len(some[0]), width, heads, layers, len(L.V.TRANSMITTERS), seed)
+    weights, scale = encoder.calibrate_codes(weights, np.pad(np.array(some, float), ((0, 0), (0, 2))))
+    name = hashlib.md5(json.dumps(settings, sort_keys=True).encode()).hexdigest()
+    done = training.train(sets, weights, k, steps, batch, rate, seed=seed, state=f"{at.path}/{at.volume}_encoder_state/{name}")
+    at.write("encoder", training.weights_table(at.spark, done["weights"], settings | {"steps": steps}))
+    at.write("encoder_loss", at.spark.createDataFrame([(c["step"], c["loss"]) for c in done["curve"]], "step int, loss double").coalesce(1))
+    told = settings | done["stats"] | {"steps": steps, "code_norm": scale, "loss": done["curve"][-1]["loss"] if done["curve"] else None}
+    at.write("encoder_report", at.spark.createDataFrame([(json.dumps(told, sort_keys=True),)], "report string"))
+    return json.dumps(told, sort_keys=True)
+
+
+def trained_embedding(at: Folder, source: Folder | None = None) -> DataFrame:
+    """NN5, SRC11: (id, x) by the encoder that was trained on the source (or on this volume), the class unknown for every node; features are scaled by the source's statistics."""
+    weights, settings = training.read_weights((source or at).read("encoder"))
+    sets = tokens.gather(T.checked_tokens(at.read("topk"), settings["k"]), baseline_embedding(at, "raw", source))
+    unknown = sets.withColumn("code", F.lit(None).cast("int"))
+    return encoder.embed(unknown, weights, settings["k"], shown="code").select("id", F.col("embedding").alias("x"))
+
+
+def outside_embedding(at: Folder, path: str) -> DataFrame:
+    """SRC9/SRC10: (id, x) of vectors made elsewhere, a table of id and x with one row for each node of the volume."""
+    given = T.checked_vectors(at.spark.read.parquet(path).select(F.col("id").cast("long").alias("id"), "x"), "x", at.nodes().count())
+    if not at.nodes().select("id").join(given, "id", "left_anti").isEmpty():
+        raise ValueError(f"{path} lacks nodes of {at.volume}")
+    return given.withColumn("x", F.col("x").cast("array<double>"))
+
+
 def probe_rows(at: Folder, embedding: DataFrame, target: str, split: str = "split", source: bool = True) -> DataFrame:
     nodes = L.harmonise(at.nodes()).withColumn("connected", L.in_scope("brain"))
     met = nodes.join(at.read("splits"), "node_id").withColumn("split", L.restrict_split(F.col(split), F.col("connected")))

@@ -52,6 +52,18 @@ def test_command_line(spark, raw, tmp_path, capsys):
     for method in ("degree", "composition", "propagate"):
         run("mcns", "embed", "--method", method)
         assert spark.read.parquet(f"{out}/mcns_embedding_{method}.parquet").count() == 150
+    small = ("--k", "8", "--width", "16", "--heads", "2", "--layers", "1", "--steps", "6", "--batch", "40", "--rate", "0.01")
+    told = json.loads(run("fafb", "train", *small))
+    loss = [r.loss for r in spark.read.parquet(f"{out}/fafb_encoder_loss.parquet").orderBy("step").collect()]
+    assert len(loss) == 6 and told["loss"] == loss[-1] < loss[0] and told["constant_predictor_loss"] > 0
+    assert json.loads(run("fafb", "train", *small)) == told  # nothing is left to do
+    run("fafb", "embed", "--method", "trained")
+    run("mcns", "embed", "--method", "trained", "--source", "fafb")
+    told = json.loads(run("fafb", "transfer", "--target", "mcns", "--targets", "nt_best", "--method", "trained"))
+    assert 0 <= told["nt_best"]["target_macro_f1"] <= 1
+    run("mcns", "embed", "--method", "outside", "--vectors", f"{out}/mcns_embedding_trained.parquet")
+    with pytest.raises(ValueError, match="rows"):
+        main(["--processed", out, "--volume", "fafb", "embed", "--method", "outside", "--vectors", f"{out}/mcns_embedding_trained.parquet"])
     told = json.loads(run("fafb", "transfer", "--target", "mcns", "--targets", "nt_best,nt_known", "--out", f"{out}/pred"))
     assert set(told) == {"nt_best", "nt_known"} and 0 <= told["nt_best"]["target_macro_f1"] <= 1
     assert "## Slices" in run("mcns", "breakdown", "--predictions", f"{out}/pred")

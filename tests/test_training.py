@@ -72,3 +72,16 @@ def test_loss_falls_below_the_line_and_a_run_goes_on(spark, tmp_path):
     assert np.array_equal(whole["weights"]["codes"], weights["codes"])
     got = encoder.embed(sets.drop("code"), whole["weights"], K).collect()
     assert len(got) == 120 and np.isfinite([r.embedding for r in got]).all()
+
+
+def test_weights_as_a_table(spark):
+    weights = encoder.random_weights(D, 8, 2, 2, 3)
+    table = training.weights_table(spark, weights, {"k": K})
+    got, settings = training.read_weights(table)
+    assert settings == {"k": K, "heads": 2, "layers": 2} and got["heads"] == 2
+    head = encoder.random_predictor(8)
+    assert all(np.array_equal(a, b) for a, b in zip(training.leaves(got, head), training.leaves(weights, head), strict=True))
+    assert np.array_equal(got["codes"], weights["codes"]) and np.array_equal(got["unknown"], weights["unknown"])
+    for bad, told in ((table.where("name <> '1.up'"), "1.up"), (table.unionByName(table), "repeated"), (table.limit(0), "no weights")):
+        with pytest.raises(ValueError, match=told):
+            training.read_weights(bad)
