@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graftline.plans.ordered import row_numbers
+from graftline.plans.storage import stored
+
 PARTS = ("train", "val", "test")
 FRACTIONS = (0.7, 0.15, 0.15)
 
@@ -41,28 +47,71 @@ def group_key(group: Column, id_: Column) -> Column:
     return F.coalesce(group.cast("string"), F.concat(F.lit("__ungrouped_"), id_.cast("string")))
 
 
+def dealt(held: np.ndarray, wanted: np.ndarray, size: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """(rows, parts): how many of n groups of one size each part gets, when each goes to the part that lacks most (the first of equals): held and wanted by row and part.
+
+    In closed form: a part's lacks fall by the size with each group it gets, so the j-th of a part is dealt after those of the others that lack more, whose number is known; j is found by halving.
+    """
+    size, n = size[:, None], n[:, None]
+    lack = lambda q, j: wanted[:, q, None] - (held[:, q, None] + j * size)
+
+    def before(p: int, j: np.ndarray) -> np.ndarray:
+        at, v = j.copy(), lack(p, j)
+        for q in range(held.shape[1]):
+            if q == p:
+                continue
+            more = (lambda c, q=q: lack(q, c) >= v) if q < p else (lambda c, q=q: lack(q, c) > v)
+            c = np.maximum(np.floor((lack(q, 0) - v) / size).astype(np.int64), 0)
+            for _ in range(2):  # the quotient is rounded
+                c = np.where(more(c), c + 1, c)
+            for _ in range(2):
+                c = np.where((c > 0) & ~more(c - 1), c - 1, c)
+            at += c
+        return at
+
+    out = []
+    for p in range(held.shape[1]):
+        low, high = np.zeros_like(n), n.copy()  # the first j that is not among the n
+        while (low < high).any():
+            middle = (low + high) // 2
+            inside = (before(p, middle) < n) & (low < high)
+            low, high = np.where(inside, middle + 1, low), np.where(inside, high, np.minimum(high, middle))
+        out.append(low)
+    return np.concatenate(out, axis=1)
+
+
 def blocked_split(nodes: DataFrame, stratify_on: list[str], group: str, seed: int = 0, fractions=FRACTIONS) -> DataFrame:
     """SPL3: nodes with a split that keeps each group whole: per stratum, groups by size are dealt to the part that lacks most.
 
-    A group's stratum is its commonest one (least of equals); null is a stratum. Strata are dealt by themselves, which gives the same result as
-    dealing all at once; what one task holds is the groups of a stratum, not its rows.
+    A group's stratum is its commonest one (least of equals); null is a stratum. Strata are dealt by themselves, which gives the same result as dealing all at once. Groups of one size
+    are a run, ordered by digest; one task holds a stratum's runs, as many as it has distinct sizes, and a group's part follows from its number in the run.
     """
     stratum = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("__null")) for c in stratify_on))
     keyed = nodes.withColumns({"_group": group_key(F.col(group), F.col("id")), "_stratum": stratum})
     groups = keyed.groupBy("_group").agg(F.count(F.lit(1)).alias("size"), F.mode("_stratum", True).alias("stratum")).withColumn("draw", draw(F.col("_group"), F.lit(seed)))
-
-    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "draw", "_group"], ascending=[False, True, True])
-        total, held, out = int(pdf["size"].sum()), [0, 0, 0], []
-        for size in pdf["size"]:
-            lacks = [f * total - h for f, h in zip(fractions, held, strict=True)]
-            best = lacks.index(max(lacks))
-            held[best] += size
-            out.append(PARTS[best])
-        return pd.DataFrame({"_group": pdf["_group"], "split": out})
-
-    dealt = groups.groupBy("stratum").applyInPandas(deal, "_group string, split string")
-    return keyed.join(dealt, "_group").drop("_group", "_stratum")
+    groups = stored(groups.withColumns({"place": F.conv(F.substring("draw", 1, 15), 16, 10).cast("long"), "tie": F.struct("draw", "_group")}), "split-groups")
+
+    def runs(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("size", ascending=False)
+        total, held, out = int((pdf["size"] * pdf["n"]).sum()), np.zeros((1, len(fractions)), np.int64), []
+        wanted = np.array([[f * total for f in fractions]])
+        for stratum, size, n in pdf[["stratum", "size", "n"]].itertuples(index=False):
+            out.append((stratum, size, total, held[0].tolist()))
+            held = held + size * dealt(held, wanted, np.array([size]), np.array([n]))
+        return pd.DataFrame(out, columns=["stratum", "size", "total", "held"])
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                held, size, n = np.array(b["held"].tolist(), np.int64), b["size"].to_numpy(np.int64), b["number"].to_numpy(np.int64)
+                wanted = np.array(fractions)[None] * b["total"].to_numpy()[:, None]
+                got = (dealt(held, wanted, size, n) - dealt(held, wanted, size, n - 1)).argmax(axis=1)
+                yield pd.DataFrame({"_group": b["_group"].to_numpy(), "split": [PARTS[p] for p in got]})
+
+    starts = groups.groupBy("stratum", "size").agg(F.count(F.lit(1)).alias("n")).groupBy("stratum").applyInPandas(runs, "stratum string, size long, total long, held array<long>")
+    numbered = row_numbers(groups, "place", "tie", "number", ("stratum", "size"))
+    split = numbered.join(stored(starts, "split-runs"), ["stratum", "size"]).select("_group", "size", "total", "held", "number").mapInPandas(place, "_group string, split string")
+    return keyed.join(split, "_group").drop("_group", "_stratum")
 
 
 def leak_share(nodes: DataFrame, split: str, column: str, labelled: Column | None = None) -> DataFrame:

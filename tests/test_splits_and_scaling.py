@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -89,3 +91,36 @@ def test_null_space_equals_numpy_and_keeps_other_columns(spark):
     b = np.linalg.solve(c.T @ c + 1e-3 * np.trace(c.T @ c) / 6 * np.eye(6), c.T @ y)
     q = b / np.linalg.norm(b)
     assert np.allclose(got[cols].to_numpy(), c - np.outer(c @ q, q)) and set(got["s"]) == {"k"} and np.allclose(got["t"], t)
+
+
+def test_runs_of_equal_groups_are_dealt_as_one_by_one(spark):
+    """The closed form gives each part what the loop gives it, ties included; a stratum of many singletons is dealt by many tasks."""
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        total, size, n = int(rng.integers(1, 400)), int(rng.integers(1, 9)), int(rng.integers(0, 60))
+        held = rng.integers(0, 80, 3)
+        wanted, loop = [f * total for f in splits.FRACTIONS], [int(h) for h in held]
+        for _ in range(n):
+            lacks = [w - h for w, h in zip(wanted, loop, strict=True)]
+            loop[lacks.index(max(lacks))] += size
+        got = splits.dealt(held[None].astype(np.int64), np.array([wanted]), np.array([size]), np.array([n]))[0]
+        assert (held + size * got).tolist() == loop
+
+    sizes = [1] * 3000 + [2] * 500 + [7] * 40 + [300]
+    rows, at = [], 0
+    for g, k in enumerate(sizes):
+        for _ in range(k):
+            rows.append((at, None if k == 1 else f"g{g}", "a"))
+            at += 1
+    nodes = spark.createDataFrame(rows, "id long, grp string, label string")
+    got = {r.id: r.split for r in splits.blocked_split(nodes, ["label"], "grp", 3).collect()}
+    names, loop = {}, [0, 0, 0]
+    for i, g, _ in rows:
+        names.setdefault(g or f"__ungrouped_{i}", []).append(i)
+    order = sorted(names, key=lambda g: (-len(names[g]), hashlib.md5(f"{g}:3".encode()).hexdigest(), g))
+    for g in order:
+        lacks = [f * at - h for f, h in zip(splits.FRACTIONS, loop, strict=True)]
+        best = lacks.index(max(lacks))
+        loop[best] += len(names[g])
+        assert {got[i] for i in names[g]} == {splits.PARTS[best]}
+    assert len(got) == at
