@@ -9,7 +9,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
@@ -23,8 +22,8 @@ from graftline.plans.storage import stored
 
 PENALTIES = (0.01, 0.1, 1.0, 10.0)
 NEIGHBOURS = (1, 5, 15, 50)
-#: Bytes of vectors that a block of queries, or a slice of the reference, holds.
-MOST_BYTES = 64 << 20
+#: Bytes of vectors that a block of queries, or a part of the reference, holds, and values of distances that a slice of a block holds.
+MOST_BYTES, SLICE_VALUES = 16 << 20, 1 << 21
 #: Pivots around which a reference lies in cells.
 MOST_PIVOTS = 1024
 #: Bytes of a model that every executor may hold, and values of probabilities that a batch holds.
@@ -105,8 +104,9 @@ def prediction_rows(rows: DataFrame, classes: list[str], p: str = "proba") -> Da
     return met.withColumns({"p": F.array_max(p), "p_true": F.get(F.col(p), F.col("_true")), "margin": A.margin(F.col(p)), "entropy": A.entropy(F.col(p))}).drop("_true", "_best")
 
 
-def _matrix(rows: pd.DataFrame, metric: str) -> np.ndarray:
-    m = np.array(rows["x"].tolist(), dtype=float).reshape(len(rows), -1)
+def _matrix(x: pa.Array, metric: str) -> np.ndarray:
+    """Arrays of doubles as a matrix, from their Arrow values."""
+    m = np.asarray(x.flatten(), dtype=float).reshape(len(x), -1)
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) if metric == "cosine" else m
 
 
@@ -115,8 +115,8 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Cells:
-    """The reference (id, x, label, cell, part), stored: each row in the cell of its nearest pivot, a reference row, and large cells in
-    parts of bounded size; and, for each cell, how many rows it has and how far from its pivot the last one is.
+    """The reference (id, x, label, cell, part), stored: each row in the cell of its nearest pivot, a reference row; cells in parts of bounded size, small ones
+    together and large ones cut; and, for each cell, how many rows it has and how far from its pivot the last one is.
 
     Cosine distance orders unit vectors as their distance does; a zero vector, to which that does not apply, lies in a last cell that all queries meet.
     """
@@ -126,29 +126,41 @@ class Cells:
         n, width = reference.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
         self.row_bytes = 8 * (width or 1)
         count = max(1, min(MOST_PIVOTS, max(-(-n * self.row_bytes // MOST_BYTES), math.isqrt(n) // 2)))
-        pivots = reference.select("x").orderBy(F.xxhash64("id"), "id").limit(count).toPandas()
-        self.pivots = _matrix(pivots, metric) if len(pivots) else np.zeros((1, width or 1))
+        pivots = reference.select("x").orderBy(F.xxhash64("id"), "id").limit(count).toArrow()
+        self.pivots = _matrix(pivots["x"].combine_chunks(), metric) if len(pivots) else np.zeros((1, width or 1))
         last, pivots = len(self.pivots), self.pivots
+        fields = reference.select("id", "x", F.col("label").cast("string").alias("label"))
 
-        def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for at in range(0, len(b), 4096):
-                    part = b.iloc[at : at + 4096]
-                    x = _matrix(part, metric)
+                    part = b.slice(at, 4096)
+                    x = _matrix(part["x"], metric)
                     d = _distances(x, pivots)
                     cell = d.argmin(axis=1)
+                    r = d[np.arange(len(x)), cell]
                     if metric == "cosine":
                         cell = np.where((x * x).sum(axis=1) < 0.5, last, cell)
-                    yield part.assign(cell=cell.astype(np.int32), r=d[np.arange(len(x)), np.minimum(cell, last - 1)])
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell.astype(np.int32)), pa.array(r)], names=[*part.schema.names, "cell", "r"])
 
-        fields = reference.select("id", "x", F.col("label").cast("string").alias("label"))
-        self.rows = stored(fields.mapInPandas(place, f"id {fields.schema['id'].dataType.simpleString()}, x array<double>, label string, cell int, r double"), "cells")
+        self.rows = stored(fields.mapInArrow(place, f"id {fields.schema['id'].dataType.simpleString()}, x array<double>, label string, cell int, r double"), "cells")
         found = {r.cell: (r.n, r.r) for r in self.rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("r").alias("r")).collect()}
         self.size = np.array([found.get(c, (0, 0.0))[0] for c in range(last + 1)])
         self.radius = np.array([found.get(c, (0, 0.0))[1] for c in range(last)] + [np.inf])
-        self.parts = np.maximum(1, -(-self.size * self.row_bytes // MOST_BYTES))
-        parts = F.array(*(F.lit(int(p)) for p in self.parts))
-        self.rows = self.rows.withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), parts[F.col("cell")].cast("long")).cast("int")).drop("r")
+        pieces = np.maximum(1, -(-self.size * self.row_bytes // MOST_BYTES))
+        # cells near each other come one after the other, so that a query needs few parts; a cell that fills one has its own
+        order = [*np.argsort(_distances(self.pivots, self.pivots[:1])[:, 0], kind="stable").tolist(), last]
+        self.first, number, filled = np.zeros(last + 1, int), -1, math.inf
+        for c in order:
+            share = self.size[c] * self.row_bytes
+            if pieces[c] > 1 or filled + share > MOST_BYTES:
+                number, filled = number + 1, 0
+            self.first[c], filled = number, filled + share
+            if pieces[c] > 1:
+                number, filled = number + int(pieces[c]) - 1, math.inf
+        self.pieces, self.parts = pieces, number + 1
+        first, pieces = (F.array(*(F.lit(int(p)) for p in a))[F.col("cell")] for a in (self.first, pieces))
+        self.rows = self.rows.withColumn("part", (first + F.pmod(F.xxhash64("id", F.lit(1)), pieces.cast("long"))).cast("int")).drop("r")
 
     def needed(self, x: np.ndarray, k: int) -> np.ndarray:
         """For each query and cell, whether the cell can hold one of the k nearest: by the triangle inequality no row of it is nearer than the
@@ -165,26 +177,37 @@ class Cells:
             bound[(x * x).sum(axis=1) < 0.5] = np.inf
         return (d - self.radius <= bound[:, None] + 1e-7 * (1 + np.abs(d))) & (self.size > 0)
 
+    def needed_parts(self, x: np.ndarray, k: int) -> np.ndarray:
+        """For each query and part, whether it has rows of a needed cell."""
+        out = np.zeros((len(x), self.parts), bool)
+        for c, need in enumerate(self.needed(x, k).T):
+            out[need, self.first[c] : self.first[c] + self.pieces[c]] = True
+        return out
+
 
 def met_share(queries: DataFrame, reference: DataFrame, k: int, metric: str = "euclidean") -> float:
     """JOI15: the share of all pairs of a query and a reference row that neighbours() looks at."""
     cells = Cells(reference, metric)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pd.DataFrame({"met": (cells.needed(_matrix(b, metric), k) * cells.size).sum(axis=1), "of": cells.size.sum()})
+            for at in range(0, len(b), 1024):
+                x = _matrix(b["x"].slice(at, 1024), metric)
+                met = (cells.needed(x, k) * cells.size).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(np.full(len(x), cells.size.sum()))], names=["met", "of"])
 
     cells.rows, rows = None, queries.select("x")  # the function takes no table along
-    met, of = rows.mapInPandas(run, "met long, of long").agg(F.sum("met"), F.sum("of")).first()
+    met, of = rows.mapInArrow(run, "met long, of long").agg(F.sum("met"), F.sum("of")).first()
     return met / of if of else 0.0
 
 
 def neighbours(queries: DataFrame, reference: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
     """JOI15/JOI16/TOP7: (id, rank from 1, neighbour, label, distance) of each query's k nearest, ties by id.
 
-    The reference lies in cells around pivots and a query goes only to the cells that can hold one of its nearest, so what moves is
-    a copy of the query for each such cell, and of a cell for each block of its queries. A block meets a part of a cell as matrix products in a task of its own; the
-    best of all are merged by rank. Pivots, of which there are at most MOST_PIVOTS, and cell sizes are all that reaches the driver.
+    The reference lies in cells around pivots, cells in parts, and a query goes only to parts with a cell that can hold one of its nearest, so what moves is
+    a copy of the query for each such part, and of a part for each block of queries. A block meets a part in a task of its own, as matrix products with the
+    needed cells, in slices; both are of MOST_BYTES and come as Arrow, so a task holds the same however many rows there are. The best of all are merged by
+    rank. Pivots, of which there are at most MOST_PIVOTS, and cell sizes are all that reaches the driver.
     """
     cells = Cells(reference, metric)
     tasks, m = queries.sparkSession.sparkContext.defaultParallelism, queries.count()
@@ -192,37 +215,49 @@ def neighbours(queries: DataFrame, reference: DataFrame, k: int, metric: str = "
     right = cells.rows.select("id", "x", "label", "cell", "part", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     cells.rows = None  # the function takes no table along
 
-    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, len(b), 1024):
-                part = b.iloc[at : at + 1024]
-                row, cell = np.nonzero(cells.needed(_matrix(part, metric), k))
-                times = cells.parts[cell]
-                ends = np.cumsum(times)
-                number = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - times, times)
-                sent = part.iloc[np.repeat(row, times)]
-                yield sent.assign(cell=np.repeat(cell, times).astype(np.int32), part=number.astype(np.int32))
-
-    def run(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        out = []
+                part = b.slice(at, 1024)
+                for number, need in enumerate(cells.needed_parts(_matrix(part["x"], metric), k).T):
+                    if need.any():
+                        sent = part.filter(pa.array(need))
+                        yield pa.RecordBatch.from_arrays([*sent.columns, pa.array(np.full(len(sent), number, np.int32))], names=[*sent.schema.names, "part"])
+
+    def run(q: pa.Table, r: pa.Table) -> pa.Table:
+        out = {"id": [], "neighbour": [], "label": [], "distance": []}
         if len(q) and len(r):
-            ids, labels, m = r["id"].to_numpy(), r["label"].to_numpy(), _matrix(r, metric)
+            r = r.take(np.argsort(r["cell"].to_numpy(), kind="stable"))
+            ids, m = r["id"].to_numpy(), _matrix(r["x"].combine_chunks(), metric)
+            cell, begin = np.unique(r["cell"].to_numpy(), return_index=True)
+            spans = list(zip(cell, begin, [*begin[1:], len(ids)], strict=True))
             squares = (m * m).sum(axis=1)
-            for at in range(0, len(q), 256):
-                x = _matrix(q.iloc[at : at + 256], metric)
-                d = 1 - x @ m.T if metric == "cosine" else np.maximum((x * x).sum(axis=1)[:, None] + squares - 2 * x @ m.T, 0)
-                last = min(k, len(ids)) - 1
-                for query, row, v in zip(q["id"].iloc[at : at + 256], d, x, strict=True):
-                    near = np.flatnonzero(row <= np.partition(row, last)[last] + 1e-9)
+            vectors, most = q["x"].combine_chunks(), max(1, min(256, SLICE_VALUES // len(ids)))
+            asked, last = q["id"].to_numpy(), min(k, len(ids)) - 1
+            for at in range(0, len(q), most):
+                x = _matrix(vectors.slice(at, most), metric)
+                need, d = cells.needed(x, k), np.full((len(x), len(ids)), np.inf)
+                for c, a, z in spans:
+                    rows = np.flatnonzero(need[:, c])
+                    if len(rows):
+                        v = x[rows]
+                        d[rows, a:z] = 1 - v @ m[a:z].T if metric == "cosine" else np.maximum((v * v).sum(axis=1)[:, None] + squares[a:z] - 2 * v @ m[a:z].T, 0)
+                for query, row, v in zip(asked[at : at + most], d, x, strict=True):
+                    near = np.flatnonzero((row <= np.partition(row, last)[last] + 1e-9) & (row < np.inf))
                     exact = 1 - m[near] @ v if metric == "cosine" else np.sqrt(((m[near] - v) ** 2).sum(axis=1))
                     best = np.lexsort((ids[near], exact))[:k]
-                    out += [(query, ids[near[j]], labels[near[j]], exact[j]) for j in best]
-        return pd.DataFrame(out, columns=["id", "neighbour", "label", "distance"])
+                    out["id"].append(np.full(len(best), query))
+                    out["neighbour"].append(near[best])
+                    out["distance"].append(exact[best])
+        spot = np.concatenate(out["neighbour"]) if out["neighbour"] else np.zeros(0, int)
+        flat = lambda name, kind: np.concatenate(out[name]) if out[name] else np.zeros(0, kind)
+        label = r["label"].take(pa.array(spot)).cast(pa.string()) if len(spot) else pa.array([], pa.string())
+        return pa.table({"id": pa.array(flat("id", np.int64), pa.int64()), "neighbour": pa.array(r["id"].to_numpy()[spot] if len(spot) else spot, pa.int64()), "label": label, "distance": pa.array(flat("distance", float))})
 
     asked = queries.select("id", "x", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-    left = asked.mapInPandas(send, f"id {asked.schema['id'].dataType.simpleString()}, x array<double>, block int, cell int, part int")
-    keys = ["cell", "part", "block"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, "id long, neighbour long, label string, distance double")
+    left = asked.mapInArrow(send, f"id {asked.schema['id'].dataType.simpleString()}, x array<double>, block int, part int")
+    keys = ["part", "block"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "id long, neighbour long, label string, distance double")
     order = Window.partitionBy("id").orderBy("distance", "neighbour")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

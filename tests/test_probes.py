@@ -188,3 +188,20 @@ def test_neighbours_of_nothing(spark, rows):
     assert probes.neighbours(rows.limit(0), rows, 3).collect() == []
     assert probes.neighbours(rows.limit(5), rows.limit(0), 3).collect() == []
     assert len(probes.neighbours(rows.where("id < 2"), rows.where("id IN (5, 6)"), 9).collect()) == 4
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_what_moves_does_not_grow_with_the_cells(spark, monkeypatch, metric):
+    """Queries are sent once a part of bounded size, not once a cell, and no part or block is larger than the bound allows."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((3000, 8))
+    df = spark.createDataFrame([(i, [float(v) for v in r], str(i % 3)) for i, r in enumerate(x)], "id long, x array<double>, label string")
+    cells = probes.Cells(df, metric)
+    assert len(cells.pivots) > 20 and cells.parts == 1 and probes.Cells(df.limit(0), metric).rows.count() == 0
+    monkeypatch.setattr(probes, "MOST_BYTES", 20_000)
+    cells = probes.Cells(df, metric)
+    sizes = {r.part: r["count"] for r in cells.rows.groupBy("part").count().collect()}
+    assert set(sizes) <= set(range(cells.parts)) and cells.parts < 2 * 3000 * 64 / 20_000 + 2 and max(sizes.values()) * 64 <= 20_000
+    assert np.array_equal(cells.needed_parts(x[:9], 3).any(axis=1), np.ones(9, bool))
+    spread = cells.rows.groupBy("cell").agg(F.count_distinct("part").alias("parts")).collect()
+    assert all(r.parts <= cells.pieces[r.cell] for r in spread)
