@@ -58,7 +58,7 @@ def _slices(batches: Iterator[pd.DataFrame], k: int, label: str, rows: int = 64)
 
 
 def _summed(df: DataFrame, run, size: int) -> tuple[int, np.ndarray]:
-    """The sum over the tasks of what run(batches) yields, (least id, rows, vector) at most once, in order of the ids; merged in the executors by eights before it reaches the driver."""
+    """The sum over the tasks of what run(batches) yields, (least id, rows, vector) at most once, in order of the ids; merged in the executors to one, which reaches the driver."""
     schema = "first long, n long, s binary"
     frame = lambda first, n, s: pd.DataFrame({"first": [first], "n": [n], "s": [s.tobytes()]})
 
@@ -72,8 +72,9 @@ def _summed(df: DataFrame, run, size: int) -> tuple[int, np.ndarray]:
             yield frame(found[0].first, sum(r.n for r in found), np.sum([np.frombuffer(r.s) for r in found], axis=0))
 
     tasks = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
-    rows = sorted(df.mapInPandas(partial, schema).repartition(tasks, "first").mapInPandas(merge, schema).collect(), key=lambda r: r.first)
-    return sum(r.n for r in rows), np.sum([np.frombuffer(r.s) for r in rows], axis=0) if rows else np.zeros(size)
+    merged = df.mapInPandas(partial, schema).repartition(tasks, "first").mapInPandas(merge, schema)
+    found = merged.repartition(1).mapInPandas(merge, schema).first()  # one row a task before: some vectors, in one task
+    return (found.n, np.frombuffer(found.s)) if found else (0, np.zeros(size))
 
 
 def target_stats(sets: DataFrame, target: dict, k: int, label: str = "code") -> dict:
