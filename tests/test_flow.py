@@ -78,3 +78,17 @@ def test_systems_side_by_side_equal_each_alone_and_a_dense_solve(spark):
         assert np.abs(got[name] - x).max() < 1e-8, name
     alone = levels(flow.springrank(edges, spark.range(21), 0.1, rtol=1e-12)[0])
     assert np.abs(np.array(alone) - got["springrank_log1p_a0.1"]).max() < 1e-8
+
+
+def test_flow_block_makes_its_edges_once(spark):
+    """What the edges come from, joins of whole tables perhaps, runs once, however often the block reads them."""
+    made = spark.sparkContext.accumulator(0)
+
+    def rows(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    edges = spark.createDataFrame([(0, 1, 2), (1, 2, 1), (0, 2, 3)], "pre long, post long, w long").mapInPandas(rows, "pre long, post long, w long")
+    flow.flow_block(edges, spark.range(3), maxiter=1)
+    assert made.value == 3
