@@ -85,3 +85,22 @@ def test_weights_as_a_table(spark):
     for bad, told in ((table.where("name <> '1.up'"), "1.up"), (table.unionByName(table), "repeated"), (table.limit(0), "no weights")):
         with pytest.raises(ValueError, match=told):
             training.read_weights(bad)
+
+
+def test_sums_reach_the_driver_as_one_vector(spark, monkeypatch):
+    """However many tasks add up, no list of their vectors comes to the driver."""
+    df = spark.range(0, 40, 1, 8)
+    plain, seen = type(df).collect, []
+    monkeypatch.setattr(type(df), "collect", lambda self: seen.append(plain(self)) or seen[-1])
+
+    def run(batches):
+        for b in batches:
+            yield b["id"].min(), len(b), np.array([b["id"].sum(), 1.0])
+
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        n, s = training._summed(df, run, 2)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert n == 40 and s[0] == 780 and s[1] == 8 and all(len(rows) <= 1 for rows in seen)
