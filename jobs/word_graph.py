@@ -20,7 +20,7 @@ import logging
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graftline.operators.edges import aggregate_edges, degree_table
+from graftline.operators.edges import degree_table
 from graftline.operators.tokens import token_arrays, top_partners
 from jobs.common import main, present
 
@@ -65,16 +65,16 @@ def take_new(spark: SparkSession, documents: str, out: str, checkpoint: str, con
     return len(done)
 
 
-def behind(spark: SparkSession, out: str, most: int) -> dict[str, int]:
-    """The last batch of each volume that has batches above its mark. A volume is one row; more than most of them are refused."""
-    last = present(spark, f"{out}/log", LOG_SCHEMA).groupBy("volume").agg(F.max("batch").alias("last"))
+def behind(spark: SparkSession, out: str, most: int) -> dict[str, tuple[int, int]]:
+    """The first and the last batch of each volume that has batches above its mark. A volume is one row; more than most of them are refused."""
+    last = present(spark, f"{out}/log", LOG_SCHEMA).groupBy("volume").agg(F.min("batch").alias("first"), F.max("batch").alias("last"))
     rows = last.join(present(spark, f"{out}/marks", MARK), "volume", "left").where("upto IS NULL OR upto < last").limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"more than {most} volumes; set most_volumes or another volume column")
-    return {r.volume: r.last for r in rows}
+    return {r.volume: (r["first"], r.last) for r in rows}
 
 
-def put_together(spark: SparkSession, out: str, volumes: dict[str, int], config: dict) -> None:
+def put_together(spark: SparkSession, out: str, volumes: dict[str, tuple[int, int]], config: dict) -> None:
     """Edges, nodes and marks of the given volumes from the whole log; other volumes' folders are not touched."""
     if not volumes:
         LOG.info("no volume has new batches")
@@ -85,14 +85,18 @@ def put_together(spark: SparkSession, out: str, volumes: dict[str, int], config:
         LOG.info("wrote %s/%s of volumes %s", out, name, ", ".join(sorted(volumes)))
 
     here = F.col("volume").isin(*volumes)
-    end = lambda c: F.struct("volume", F.col(c).alias("word")).alias(c)  # noqa: E731  the same word of two volumes is two nodes
+    end = lambda c: F.concat_ws(" ", "volume", c).alias(c)  # noqa: E731  the same word of two volumes is two nodes; no word holds a space
+    word = lambda c: F.substring_index(c, " ", -1)
+    volume = lambda c: F.expr(f"left({c}, length({c}) - length(substring_index({c}, ' ', -1)) - 1)").alias("volume")
     log = present(spark, f"{out}/log", LOG_SCHEMA).where(here)
-    edges = aggregate_edges(log.select(end("pre"), end("post"), "w")).where(F.col("w") >= config["least_weight"])
-    write(edges.select(F.col("pre.word").alias("pre"), F.col("post.word").alias("post"), "w", F.col("pre.volume").alias("volume")), "edges")
+    one = F.col("volume").isin(*(v for v, (first, last) in volumes.items() if first == last))  # a batch's pairs are added up already
+    added = log.where(~one).groupBy("pre", "post", "volume").agg(F.sum("w").alias("w")).select("pre", "post", "w", "volume")
+    edges = added.unionByName(log.where(one).select("pre", "post", "w", "volume")).where(F.col("w") >= config["least_weight"])
+    write(edges.select("pre", "post", "w", "volume"), "edges")
     edges = present(spark, f"{out}/edges", EDGES).where(here).select(end("pre"), end("post"), "w")
-    tokens = token_arrays(top_partners(edges, config["k"])).select("id", F.transform("tokens", lambda t: t["partner"]["word"]).alias("tokens"))
-    write(degree_table(edges).join(tokens, "id").select(F.col("id.word").alias("word"), "n_in", "n_out", "syn_in", "syn_out", "tokens", F.col("id.volume").alias("volume")), "nodes")
-    upto = F.create_map(*(F.lit(x) for pair in volumes.items() for x in pair))
+    tokens = token_arrays(top_partners(edges, config["k"])).select("id", F.transform("tokens", lambda t: word(t["partner"])).alias("tokens"))
+    write(degree_table(edges).join(tokens, "id").select(word("id").alias("word"), "n_in", "n_out", "syn_in", "syn_out", "tokens", volume("id")), "nodes")
+    upto = F.create_map(*(F.lit(x) for v, (_, last) in volumes.items() for x in (v, last)))
     write(present(spark, f"{out}/nodes", NODES).where(here).groupBy("volume").agg(F.count(F.lit(1)).alias("n_nodes")).select(upto[F.col("volume")].cast("long").alias("upto"), "n_nodes", "volume"), "marks")
 
 

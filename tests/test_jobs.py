@@ -152,3 +152,23 @@ def test_command_lines(spark, grown, tmp_path):
         assert done.returncode == 0 and "done:" in done.stderr, done.stdout + done.stderr
     assert found(spark, out) == plain(FIRST)
     assert training_table.output(spark, out + "-t").count() == 9
+
+
+def test_word_graph_of_one_batch_is_not_added_up_again(spark, tmp_path):
+    """behind tells volumes of one batch; volumes with spaces, of which one begins like another, stay apart."""
+    docs, out = str(tmp_path / "docs"), str(tmp_path / "out")
+    rows = [("x y x y", "a b"), ("x y", "a"), ("b x y", "a")]
+    spark.createDataFrame(rows, "text string, lang string").coalesce(1).write.parquet(docs)
+    word_graph.take_new(spark, docs, out, f"{out}/checkpoint", word_graph.DEFAULTS)
+    assert word_graph.behind(spark, out, 10) == {"a b": (0, 0), "a": (0, 0)}
+    word_graph.run(spark, docs, out, f"{out}/checkpoint")
+    spark.createDataFrame(rows[:1], "text string, lang string").write.mode("append").parquet(docs)
+    word_graph.take_new(spark, docs, out, f"{out}/checkpoint", word_graph.DEFAULTS)
+    assert word_graph.behind(spark, out, 10) == {"a b": (0, 1)}
+    word_graph.run(spark, docs, out, f"{out}/checkpoint")
+    got = {(r.kind, r.volume, r.pre, r.post): (r.w, r.n_in, r.n_out, r.syn_in, r.syn_out, r.tokens) for r in word_graph.output(spark, out).collect()}
+    assert got == {
+        ("edge", "a b", "x", "y"): (4, *[None] * 5), ("edge", "a b", "y", "x"): (2, *[None] * 5), ("edge", "a", "x", "y"): (2, *[None] * 5), ("edge", "a", "b", "x"): (1, *[None] * 5),
+        ("node", "a b", "x", None): (None, 1, 1, 2, 4, "y y"), ("node", "a b", "y", None): (None, 1, 1, 4, 2, "x x"),
+        ("node", "a", "x", None): (None, 1, 1, 1, 2, "y b"), ("node", "a", "y", None): (None, 1, 0, 2, 0, "x"), ("node", "a", "b", None): (None, 0, 1, 0, 1, "x"),
+    }
