@@ -6,15 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graftline.plans.ordered import percentiles, running_sums
+from graftline.plans.storage import stored
 
 
 def aggregate_edges(raw: DataFrame, already_unique: bool = False) -> DataFrame:
     """AGG1: w summed by (pre, post). A table said to be unique is not summed, but is checked."""
     if not already_unique:
         return raw.groupBy("pre", "post").agg(F.sum("w").alias("w"))
+    raw = stored(raw.select("pre", "post", "w"), "unique-edges")  # made once; the check's sums are not in the tasks that make it
     if not raw.groupBy("pre", "post").count().where("count > 1").isEmpty():
         raise ValueError("edges repeat a pair")
-    return raw.select("pre", "post", "w")
+    return raw
 
 
 def symmetrised(edges: DataFrame) -> DataFrame:
