@@ -332,7 +332,7 @@ def _(spark, d):
 @query("top1_partners", f"""SELECT i AS id, (r - 1)::INT AS rank, j AS partner, {r6('ln(1 + w)', 'weight')}, sign FROM
     (SELECT *, row_number() OVER (PARTITION BY i ORDER BY w DESC, sign DESC, j) AS r FROM {SYM1}) WHERE r <= 16""")
 def _(spark, d):
-    return rounded(tokens.top_partners(G.bipartite(spark, d), 16))
+    return rounded(tokens.top_partners(stored(G.bipartite(spark, d), "pairs"), 16))  # no task both adds up pairs and sorts them
 
 
 @query("top2_token_stats", f"""WITH n AS (SELECT i, count(*) AS d FROM {SYM2} GROUP BY i)

@@ -29,6 +29,10 @@ def test_query_has_rows(spark, name):
     assert registry.QUERIES[name](spark, SF).count() > 0
 
 
+def test_pairs_are_added_up_before_they_are_ranked(spark):
+    assert "Aggregate" not in registry.QUERIES["top1_partners"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_entry_has_rows(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
