@@ -19,6 +19,21 @@ def aggregate_edges(raw: DataFrame, already_unique: bool = False) -> DataFrame:
     return raw
 
 
+def aggregate_both_ways(raw: DataFrame) -> DataFrame:
+    """AGG1 with JOI12: w summed by (pre, post), and w_back, the sum the other way or null; self-loops are their own.
+
+    Both directions of a pair meet in one aggregate, so that the summed edges need not be joined with themselves. A null end is kept.
+    """
+    up, pre, post = F.col("pre") <= F.col("post"), F.col("pre"), F.col("post")
+    a, b = F.when(up, pre).otherwise(post), F.when(up, post).otherwise(pre)  # a null end makes b -> a
+    way = F.when(up, 1).otherwise(2)
+    pairs = raw.groupBy(a.alias("a"), b.alias("b")).agg(F.sum(F.when(way == 1, F.col("w"))).alias("ab"), F.sum(F.when(way == 2, F.col("w"))).alias("ba"), F.bit_or(way).alias("ways"))
+    edge = lambda way, pre, post, w, back: F.struct(F.lit(way).alias("way"), F.col(pre).alias("pre"), F.col(post).alias("post"), F.col(w).alias("w"), back.alias("w_back"))
+    loop = F.when(F.col("a") == F.col("b"), F.col("ab")).otherwise(F.col("ba"))
+    ways = F.array(edge(1, "a", "b", "ab", loop), edge(2, "b", "a", "ba", F.col("ab")))
+    return pairs.select("ways", F.inline(ways)).where(F.col("way").bitwiseAND(F.col("ways")) > 0).select("pre", "post", "w", "w_back")
+
+
 def symmetrised(edges: DataFrame) -> DataFrame:
     """SET3: (i, j, w, sign) both ways from one scan; sign 1 is out of i, -1 into it."""
     out = F.struct(F.col("pre").alias("i"), F.col("post").alias("j"), F.col("w"), F.lit(1).alias("sign"))

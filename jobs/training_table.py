@@ -3,7 +3,7 @@
 The source graph's statistics are written beside its table; the table of another graph, to which a fitted model is applied
 unchanged, is scaled by them instead of its own (source_scale):
 
-    edges/part=K          pre, post, w, added up and checked, in parts by pre
+    edges/part=K          pre, post, w, added up and checked, in parts by pre; w_back, the weight of the edge the other way, or null
     scale                 one row: mean_<c> and sd_<c> of every column over the train rows
     table/split=S         id, the columns, scaled, of train, val or test
 
@@ -19,27 +19,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graftline.operators import features, scaling, splits
-from graftline.operators.edges import aggregate_edges
+from graftline.operators.edges import aggregate_both_ways
 from jobs.common import main, present
 
 LOG = logging.getLogger("jobs.training_table")
 #: pre and post are columns of the rows; a prefix tells two kinds of ids apart; weight is a column or nothing (each row counts 1).
 DEFAULTS = {"pre": "l_suppkey", "post": "l_partkey", "pre_prefix": "s", "post_prefix": "p", "weight": None, "seed": 0, "parts": 16, "source_scale": None}
-EDGES = "pre string, post string, w double, part int"
+EDGES = "pre string, post string, w double, w_back double, part int"
 
 
 def edges_of(rows: DataFrame, config: dict) -> DataFrame:
-    """(pre, post, w): rows with both ends, added up by pair; a null weight counts 0 and pairs of no weight go."""
+    """(pre, post, w, w_back): rows with both ends, added up by pair, both ways at once; a null weight counts 0 and pairs of no weight go."""
     end = lambda side: F.concat(F.lit(config[f"{side}_prefix"]), F.col(f"`{config[side]}`").cast("string")).alias(side)
     w = F.coalesce(F.col(f"`{config['weight']}`").cast("double"), F.lit(0.0)) if config["weight"] else F.lit(1.0)
     raw = rows.select(end("pre"), end("post"), w.alias("w")).where("pre IS NOT NULL AND post IS NOT NULL")
-    return aggregate_edges(raw).where("w > 0")
-
-
-def node_features(edges: DataFrame) -> DataFrame:
-    """(id, degree, connection-shape, reciprocity and partner-degree columns), one row a node."""
-    blocks = [features.connection_features(edges), features.reciprocity(edges), features.partner_degree(edges)]
-    return features.assemble(blocks[0], *blocks[1:])
+    return aggregate_both_ways(raw).where("w > 0").withColumn("w_back", F.when(F.col("w_back") > 0, F.col("w_back")))
 
 
 def run(spark: SparkSession, rows: str, out: str, config: dict | None = None) -> dict:
@@ -51,7 +45,7 @@ def run(spark: SparkSession, rows: str, out: str, config: dict | None = None) ->
     edges = present(spark, f"{out}/edges", EDGES).drop("part")
     n_edges = edges.count()
     LOG.info("read %s, wrote %d edges to %s/edges", rows, n_edges, out)
-    nodes = splits.random_split(node_features(edges), config["seed"]).withColumnRenamed("split_random", "split")
+    nodes = splits.random_split(features.edge_features(edges), config["seed"]).withColumnRenamed("split_random", "split")
     columns = [c for c in nodes.columns if c not in ("id", "split")]
     nodes.write.mode("overwrite").parquet(f"{out}/unscaled")
     nodes = spark.read.schema(nodes.schema).parquet(f"{out}/unscaled")

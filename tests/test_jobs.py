@@ -133,6 +133,17 @@ def test_training_table_reruns_and_serves_another_graph(spark, tmp_path):
         assert abs(r["cv_out"] - (raw[r.id] - scale["mean_cv_out"]) / max(scale["sd_cv_out"], 1e-6)) < 1e-9
 
 
+def test_training_table_knows_both_ways_of_a_pair(spark, tmp_path):
+    """Both kinds of ids are one; weights of zero and below are no edges, either way."""
+    rows, out = str(tmp_path / "rows"), str(tmp_path / "out")
+    spark.createDataFrame([(1, 2, 1.0), (1, 2, 2.0), (2, 1, 4.0), (1, 3, 1.0), (3, 1, 0.0), (4, 1, 2.0), (1, 4, -2.0), (5, 5, 3.0)], "a long, b long, x double").write.parquet(rows)
+    training_table.run(spark, rows, out, {"pre": "a", "post": "b", "pre_prefix": "n", "post_prefix": "n", "weight": "x", "parts": 2})
+    edges = {(r.pre, r.post): (r.w, r.w_back) for r in spark.read.parquet(f"{out}/edges").collect()}
+    assert edges == {("n1", "n2"): (3, 4), ("n2", "n1"): (4, 3), ("n1", "n3"): (1, None), ("n4", "n1"): (2, None), ("n5", "n5"): (3, 3)}
+    raw = {r.id: (r.local_recip_frac_out, r.local_recip_wfrac_out, r.local_recip_frac_in) for r in spark.read.parquet(f"{out}/unscaled").collect()}
+    assert raw == {"n1": (0.5, 0.75, 0.5), "n2": (1, 1, 1), "n3": (0, 0, 0), "n4": (0, 0, 0), "n5": (0, 0, 0)}
+
+
 def test_settings_come_from_a_file_and_unknown_ones_fail(spark, tmp_path):
     path = tmp_path / "config.json"
     path.write_text(json.dumps({"k": 3}))
