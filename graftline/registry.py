@@ -178,7 +178,7 @@ def _(spark, d):
     SELECT s.i AS id, {', '.join(f"round(coalesce(avg(x) FILTER (sign = {k}), 0), 6) + 0.0 AS local_nbr_logdeg_{n}, round(coalesce(stddev_pop(x) FILTER (sign = {k}), 0), 6) + 0.0 AS local_nbr_logdeg_{n}_sd" for n, k in (('out', 1), ('in', -1)))}
     FROM s JOIN x ON x.i = s.j GROUP BY s.i""")
 def _(spark, d):
-    return rounded(X.partner_degree(G.directed(spark, d)))
+    return rounded(X.partner_degree(stored(G.directed(spark, d), "event-graph")))  # degrees and both ends read it
 
 
 @query("fea_l8_triangles", f"""WITH e AS (SELECT pre, post FROM {G2} WHERE pre <> post), u AS (SELECT pre AS i, post AS j FROM e UNION SELECT post, pre FROM e),
