@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from graftline.operators import flow
+from graftline.operators.clusters import clusters
 
 
 def graph(spark, pairs, n, w=1):
@@ -92,3 +93,33 @@ def test_flow_block_makes_its_edges_once(spark):
     edges = spark.createDataFrame([(0, 1, 2), (1, 2, 1), (0, 2, 3)], "pre long, post long, w long").mapInPandas(rows, "pre long, post long, w long")
     flow.flow_block(edges, spark.range(3), maxiter=1)
     assert made.value == 3
+
+
+def test_parts_tied_by_one_edge_meet_on_clusters(spark, monkeypatch):
+    """Cliques in a row: the system on clusters carries what takes Jacobi steps alone 139 iterations. Two rows make two components."""
+    monkeypatch.setattr(flow, "MOST_CLUSTERS", 90, raising=False)
+    pairs = [(8 * c + a, 8 * c + b) for c in range(60) for a in range(8) for b in range(a)] + [(8 * c, 8 * c + 9) for c in range(59) if c != 30]
+    edges, nodes = graph(spark, pairs, 480)
+    systems = {"trophic_raw": ("raw", 1, 0.0), "springrank_raw_a1": ("raw", -1, 1.0)}
+    out, status = flow.levels(edges, nodes, systems, rtol=1e-12)
+    assert all(s["converged"] and s["iterations"] <= 100 for s in status.values()), status
+    w = np.zeros((480, 480))
+    w[tuple(np.array(pairs).T)] = 1
+    got = out.toPandas().sort_values("id")
+    for name, (_, sign, alpha) in systems.items():
+        x = np.linalg.lstsq(np.diag(w.sum(0) + w.sum(1)) - w - w.T + alpha * np.eye(480), sign * (w.sum(0) - w.sum(1)), rcond=None)[0]
+        if not alpha:
+            x -= np.repeat([x[:248].mean(), x[248:].mean()], [248, 232])
+        assert np.abs(got[name] - x).max() < 1e-8, name
+
+
+def test_clusters_are_few_and_cover_all_nodes(spark):
+    """A path, of which few nodes have a seed beside them, pairs that nothing ties together, and nodes without a pair."""
+    path = [(i, i + 1) for i in range(200)] + [(1000 + 2 * i, 1001 + 2 * i) for i in range(50)]
+    both = spark.createDataFrame([(a, b, 1.0) for p in path for a, b in (p, p[::-1])], "i long, j long, v double")
+    nodes = spark.createDataFrame([(i,) for i in [*range(201), *range(1000, 1100), 5000]], "i long")
+    for most in (20, 70):
+        found = clusters(both, nodes, most).collect()
+        assert len(found) == 302 == len({r.i for r in found}) and {r.c for r in found} == set(range(max(r.c for r in found) + 1))
+        assert most / 4 <= len({r.c for r in found}) <= most
+    assert any(len({r.c for r in found if r.i in (i, i + 1)}) == 1 for i in range(200))
