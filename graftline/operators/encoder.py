@@ -33,11 +33,11 @@ def norm_slope(x: np.ndarray, grad: np.ndarray) -> np.ndarray:
 
 
 def _gelu(x: np.ndarray) -> np.ndarray:
-    return 0.5 * x * (1 + np.tanh(math.sqrt(2 / math.pi) * (x + 0.044715 * x**3)))
+    return 0.5 * x * (1 + np.tanh(math.sqrt(2 / math.pi) * (x + 0.044715 * x * x * x)))
 
 
 def gelu_slope(x: np.ndarray) -> np.ndarray:
-    t = np.tanh(math.sqrt(2 / math.pi) * (x + 0.044715 * x**3))
+    t = np.tanh(math.sqrt(2 / math.pi) * (x + 0.044715 * x * x * x))
     return 0.5 * (1 + t) + 0.5 * x * (1 - t * t) * math.sqrt(2 / math.pi) * (1 + 3 * 0.044715 * x * x)
 
 

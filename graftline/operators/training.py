@@ -18,7 +18,7 @@ from pyspark.sql.utils import AnalysisException
 
 from graftline.operators import encoder
 from graftline.operators.splits import hash_share
-from graftline.plans.storage import shared_dir
+from graftline.plans.storage import shared_dir, stored
 
 #: A model of more values is refused: its gradient passes through the driver at each step.
 MOST_VALUES = 50_000_000
@@ -42,7 +42,11 @@ def moved(target: dict, tokens: np.ndarray, valid: np.ndarray, code: np.ndarray)
 
 def loss_and_gradients(weights: dict, head: dict, target: dict, scale: float, tokens: np.ndarray, valid: np.ndarray, code: np.ndarray) -> tuple[float, list[np.ndarray]]:
     """The summed loss (mean over places, summed over rows) and its gradients by the leaves."""
-    wanted = moved(target, tokens, valid, code)[1] / scale
+    return _towards(weights, head, moved(target, tokens, valid, code)[1] / scale, tokens, valid)
+
+
+def _towards(weights: dict, head: dict, wanted: np.ndarray, tokens: np.ndarray, valid: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """The same of displacements that are known."""
     tape, above = [], []
     z = encoder.forward(weights, tokens, valid, np.full(len(tokens), -1), tape)
     off = encoder.predict(head, z, above) - wanted
@@ -57,8 +61,26 @@ def _slices(batches: Iterator[pd.DataFrame], k: int, label: str, rows: int = 64)
             yield part, *encoder.arrays(part, k), part[label].to_numpy(int)
 
 
-def _summed(df: DataFrame, run, size: int) -> tuple[int, np.ndarray]:
-    """The sum over the tasks of what run(batches) yields, (least id, rows, vector) at most once, in order of the ids; merged in the executors to one, which reaches the driver."""
+def _packed(sets: DataFrame, target: dict, k: int, label: str) -> DataFrame:
+    """(id, tokens, valid, anchor, move): each row's input as bytes, its read-out by the frozen target and its displacement, which are made once."""
+    shared = sets.sparkSession.sparkContext.broadcast(target)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part, tokens, valid, code in _slices(batches, k, label):
+            u, m = moved(shared.value, tokens, valid, code)
+            made = {name: [r.tobytes() for r in rows] for name, rows in (("tokens", tokens), ("valid", valid), ("anchor", u), ("move", m))}
+            yield pd.DataFrame({"id": part["id"].to_numpy(), **made})
+
+    return stored(sets.mapInPandas(run, "id long, tokens binary, valid binary, anchor binary, move binary"), "training-rows")
+
+
+def _rows(column: pd.Series, *shape: int, of: type = float) -> np.ndarray:
+    return np.frombuffer(b"".join(column), of).reshape(len(column), *shape)
+
+
+def _summed(df: DataFrame, run, size: int, few: bool = False) -> tuple[int, np.ndarray]:
+    """The sum over the tasks of what run(batches) yields, (least id, rows, vector) at most once, in order of the ids; merged in the executors to one, which reaches the driver.
+    few: there are a few tasks whose vectors are small enough to meet in one."""
     schema = "first long, n long, s binary"
     frame = lambda first, n, s: pd.DataFrame({"first": [first], "n": [n], "s": [s.tobytes()]})
 
@@ -72,7 +94,9 @@ def _summed(df: DataFrame, run, size: int) -> tuple[int, np.ndarray]:
             yield frame(found[0].first, sum(r.n for r in found), np.sum([np.frombuffer(r.s) for r in found], axis=0))
 
     tasks = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
-    merged = df.mapInPandas(partial, schema).repartition(tasks, "first").mapInPandas(merge, schema)
+    merged = df.mapInPandas(partial, schema)
+    if not few:
+        merged = merged.repartition(tasks, "first").mapInPandas(merge, schema)
     found = merged.repartition(1).mapInPandas(merge, schema).first()  # one row a task before: some vectors, in one task
     return (found.n, np.frombuffer(found.s)) if found else (0, np.zeros(size))
 
@@ -80,19 +104,22 @@ def _summed(df: DataFrame, run, size: int) -> tuple[int, np.ndarray]:
 def target_stats(sets: DataFrame, target: dict, k: int, label: str = "code") -> dict:
     """NN7: what the class is worth in the frozen encoder, over all rows (id, seed, partners, label): the displacements' size beside the anchors' spread, the loss of who knows
     nothing of classes and says the mean displacement. Two passes of mergeable sums. No row is an error."""
-    spark, d = sets.sparkSession, len(target["query"])
-    shared = spark.sparkContext.broadcast(target)
+    return _stats(_packed(sets, target, k, label), len(target["query"]))
 
+
+def _stats(packed: DataFrame, d: int) -> dict:
     def first_pass(batches):
         total, n, least = np.zeros(2 * d + 2), 0, None
-        for part, tokens, valid, code in _slices(batches, k, label):
-            u, m = moved(shared.value, tokens, valid, code)
+        for part in batches:
+            if part.empty:
+                continue
+            u, m = _rows(part["anchor"], d), _rows(part["move"], d)
             total += np.concatenate([u.sum(axis=0), m.sum(axis=0), [(m * m).sum(), np.linalg.norm(m, axis=1).sum()]])
             n, least = n + len(part), min(part["id"].min(), least if least is not None else part["id"].min())
         if n:
             yield least, n, total
 
-    n, sums = _summed(sets, first_pass, 2 * d + 2)
+    n, sums = _summed(packed, first_pass, 2 * d + 2)
     if not n:
         raise ValueError("target_stats: no labelled row")
     mean_u, mean_m, square = sums[:d] / n, sums[d : 2 * d] / n, sums[2 * d] / (n * d)
@@ -102,15 +129,17 @@ def target_stats(sets: DataFrame, target: dict, k: int, label: str = "code") ->
 
     def second_pass(batches):
         total, n, least = np.zeros(3), 0, None
-        for part, tokens, valid, code in _slices(batches, k, label):
-            u, m = moved(shared.value, tokens, valid, code)
+        for part in batches:
+            if part.empty:
+                continue
+            u, m = _rows(part["anchor"], d), _rows(part["move"], d)
             away = u - mean_u
             total += [np.linalg.norm(away, axis=1).sum(), (away * away).sum(), smooth_l1((m - mean_m) / rms).mean(axis=1).sum()]
             n, least = n + len(part), min(part["id"].min(), least if least is not None else part["id"].min())
         if n:
             yield least, n, total
 
-    spread, spread2, constant = _summed(sets, second_pass, 3)[1] / n
+    spread, spread2, constant = _summed(packed, second_pass, 3)[1] / n
     size = float(sums[2 * d + 1] / n)
     return {"rows": n, "constant_predictor_loss": float(constant), "displacement": size, "anchor_spread": float(spread), "ratio": size / float(spread) if spread else None, "class_share": float(square / (square + spread2 / d)), "class_blind_loss": float(0.5 * square), "rms": rms}
 
@@ -167,7 +196,8 @@ def train(sets: DataFrame, weights: dict, k: int, steps: int, batch: int = 1024,
     size = sum(a.size for a in params)
     if size > MOST_VALUES:
         raise ValueError(f"a model of {size} values; {MOST_VALUES} at most")
-    stats = target_stats(sets, target, k, label)
+    packed = _packed(sets, target, k, label)
+    stats = _stats(packed, len(target["query"]))
     first, second, curve, begin = [np.zeros_like(a) for a in params], [np.zeros_like(a) for a in params], [], 0
     found = load(spark, state) if state else None
     if found:
@@ -176,25 +206,28 @@ def train(sets: DataFrame, weights: dict, k: int, steps: int, batch: int = 1024,
             for a, b in zip(mine, kept, strict=True):
                 a[...] = b
         curve = model["curve"]
-    path = batches_of(sets, steps, batch, seed)
-    schema = spark.read.parquet(path).schema
-    frozen = spark.sparkContext.broadcast((target, stats["rms"]))
+    path = batches_of(packed.drop("anchor"), steps, batch, seed)
+    there = {r.step for r in spark.read.parquet(path).select("step").distinct().collect()}  # a batch of a small table can be empty
+    schema, d_in, rms = packed.drop("anchor").schema, len(weights["token"]), stats["rms"]
     for step in range(begin, steps):
         shared = spark.sparkContext.broadcast((weights, head))
 
         def run(batches, shared=shared):
-            (w, h), (t, scale) = shared.value, frozen.value
+            w, h = shared.value
             total, n, least = np.zeros(size + 1), 0, None
-            for part, tokens, valid, code in _slices(batches, k, label):
-                loss, grads = loss_and_gradients(w, h, t, scale, tokens, valid, code)
-                total += np.concatenate([[loss], *(g.ravel() for g in grads)])
-                n, least = n + len(part), min(part["id"].min(), least if least is not None else part["id"].min())
+            for b in batches:
+                for at in range(0, len(b), 64):
+                    part = b.iloc[at : at + 64]
+                    loss, grads = _towards(w, h, _rows(part["move"], len(w["query"])) / rms, _rows(part["tokens"], k + 1, d_in), _rows(part["valid"], k + 1, of=bool))
+                    total += np.concatenate([[loss], *(g.ravel() for g in grads)])
+                    n, least = n + len(part), min(part["id"].min(), least if least is not None else part["id"].min())
             if n:
                 yield least, n, total
 
-        n, total = _summed(spark.read.schema(schema).parquet(path).where(F.col("step") == step), run, size + 1)
+        rows = spark.read.schema(schema).parquet(f"{path}/step={step}") if step in there else None  # the folder of the step alone is listed
+        n, total = _summed(rows, run, size + 1, few=size < 1 << 20) if rows else (0, None)
         shared.destroy()
-        if n:  # a batch of a small table can be empty
+        if n:
             grads, at = total[1:] / n, 0
             for a, m, v in zip(params, first, second, strict=True):
                 g, at = grads[at : at + a.size].reshape(a.shape), at + a.size
@@ -205,7 +238,6 @@ def train(sets: DataFrame, weights: dict, k: int, steps: int, batch: int = 1024,
             curve.append({"step": step, "loss": float(total[0] / n)})
         if state and ((step + 1) % save_every == 0 or step + 1 == steps):
             save(spark, state, step + 1, {"leaves": params, "first": first, "second": second, "curve": curve})
-    frozen.destroy()
     return {"weights": weights, "head": head, "curve": curve, "stats": stats}
 
 

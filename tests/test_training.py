@@ -104,3 +104,12 @@ def test_sums_reach_the_driver_as_one_vector(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", parts)
     assert n == 40 and s[0] == 780 and s[1] == 8 and all(len(rows) <= 1 for rows in seen)
+
+
+def test_steps_read_their_own_rows_and_run_the_frozen_target_once(spark, monkeypatch):
+    """The frozen target reads each row before the first step; a step lists no other step's files."""
+    asked, plain, batches = [], type(spark.read).parquet, training.batches_of
+    monkeypatch.setattr(training, "batches_of", lambda *a: asked.clear() or batches(*a))
+    monkeypatch.setattr(type(spark.read), "parquet", lambda self, *paths, **how: asked.extend(paths) or plain(self, *paths, **how))
+    done = training.train(spark.createDataFrame(made(60), SCHEMA), encoder.random_weights(D, 8, 2, 1, 3), K, 3, batch=20)
+    assert len(done["curve"]) == 3 and [p.rsplit("/", 1)[1] for p in asked[-3:]] == ["step=0", "step=1", "step=2"] and len(asked) == 4
